@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +75,78 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows by key over the session's shuffle partitions."""
     return df.repartition(*[F.col(k) for k in keys])
+
+
+#: log2 of the bits of the filter that `prune` broadcasts: 2 MB.
+FILTER_BITS = 24
+
+
+def prune(df: DataFrame, needed: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose key may be in `needed` (a column of the same name): a bitmap of fixed size is
+    broadcast, so rows that are surely not needed stay out of the shuffle of the exact join that follows."""
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << FILTER_BITS))
+    bits = needed.select(place.alias("_p")).groupBy(F.expr("_p div 32768").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_p") % 32768).alias("_bits"))
+    # at most 512 rows of 4 KB
+    marked = df.withColumn("_p", place).join(F.broadcast(bits), F.expr("_p div 32768 = _bucket"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return marked.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0).select(df.columns)
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node reachable over links, for every node that has a link.
+
+    Large-star and small-star rounds over the edge table until nothing changes; each round is written to
+    the shared folder, and hubs are aggregated before they are joined."""
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    edges = materialize(edges, "edges")
+    last = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = materialize(small.filter("u <> v").distinct(), "edges")
+        now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+        if tuple(now) == last:
+            break
+        last = tuple(now)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (bytes), remembered up to a bound."""
+
+    limit = 1_000_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+WORD_HASHES = WordHashes()
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of `size` consecutive values: a polynomial modulo 2**64, then mixed."""
+    n = len(h)
+    if n < size:
+        return np.empty(0, np.uint64)
+    if len(_POWERS[0]) < n:
+        m = 1 << int(n).bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(m, base, dtype=np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POWERS[0][:n], dtype=np.uint64)])
+    g = (sums[size:] - sums[:-size]) * _POWERS[1][: n - size + 1]
+    g ^= g >> np.uint64(31)
+    g *= np.uint64(0xBF58476D1CE4E5B9)
+    return g ^ (g >> np.uint64(29))

@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, pieces, pii
-from tidemark.llm.common import table
+from tidemark.llm import ann, chat, decontam, jaccard, langid, passages, pieces, pii, quality, toxicity
+from tidemark.llm.common import crc_fold, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = toxicity.train(docs, labels.filter(crc_fold("doc_id", 5) != 0))
+    scored = toxicity.score(docs, index)
+    return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(quality.labelled(docs, labels.filter(crc_fold("doc_id", 3) != 1), "quality"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    langs, likelihoods = langid.train(docs.filter(crc_fold("doc_id", 4) != 2))
+    return langid.identify(docs, langs, likelihoods).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,14 +53,58 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(ann.build_index(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_decode(table(spark, sf_dir, "documents"))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
+
+
+_ALL = (op1_toxicity, op2_quality, op3_language, op4_jaccard, op5_decontamination, op6_pii, op7_neighbours, op8_chat, op9_sentencepiece, op10_passages)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontamination, op6_pii, op9_sentencepiece)}
+    return {f.__name__: f for f in _ALL}
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+OP8_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS no FROM t),
+lines AS (SELECT conv_id, no, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' AS line FROM n),
+pre AS (SELECT conv_id, no, string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY no) AS rendered,
+  max(no) OVER (PARTITION BY conv_id) AS last FROM lines),
+whole AS (
+  SELECT min(conv_id) AS conv_id, no AS n_turns, count(*) AS copies, rendered
+  FROM pre WHERE no = last GROUP BY no, rendered)
+SELECT conv_id, n_turns, copies, rendered FROM whole w
+WHERE NOT EXISTS (SELECT 1 FROM pre p WHERE p.no < p.last AND p.no = w.n_turns AND p.rendered = w.rendered)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_neighbours": OP7_SQL, "op8_chat": OP8_SQL}
