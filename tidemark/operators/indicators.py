@@ -141,7 +141,7 @@ def change_over(rows: DataFrame, column: str, sessions: int) -> DataFrame:
     return moved.groupBy("symbol").agg(F.max_by("change", "trade_date").alias("change"))
 
 
-def price_path(bars: DataFrame, windows: tuple[int, ...] = (YEAR, 3 * YEAR)) -> DataFrame:
+def price_path(bars: DataFrame, windows: tuple[int, ...] = (YEAR, 3 * YEAR), min_label: int = YEAR // 2) -> DataFrame:
     """One row per symbol and period (0 is the full history): first and last price, growth, extremes,
     drawdowns, log trend and its label. A period longer than the history is not available."""
     priced = bars.filter("close_qfq is not null")
@@ -171,7 +171,7 @@ def price_path(bars: DataFrame, windows: tuple[int, ...] = (YEAR, 3 * YEAR)) ->
     out = out.withColumn("cagr", growth).withColumn("log_trend", trend_).withColumn("range_position", ratio(F.col("last_close") - F.col("low"), F.col("high") - F.col("low")))
     t, q, n = F.col("log_trend"), F.col("r2"), F.col("observations")
     label = (
-        F.when(n < YEAR // 2, "insufficient_history_for_path_label")
+        F.when(n < min_label, "insufficient_history_for_path_label")
         .when(t.isNull() | q.isNull(), "insufficient_price_data_for_path_label")
         .when((t >= 0.1) & (q >= 0.45), "persistent_uptrend")
         .when((t <= -0.1) & (q >= 0.45), "persistent_downtrend")

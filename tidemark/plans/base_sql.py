@@ -2,7 +2,7 @@
 
 BARS = """
 px AS (
-  SELECT *, l_extendedprice / l_quantity AS p, date_trunc('week', l_shipdate)::DATE AS wk
+  SELECT *, l_extendedprice / l_quantity AS p, DATE '1995-01-02' + (floor((l_shipdate::DATE - DATE '1995-01-02') / 21) * 21)::INTEGER AS wk
   FROM lineitem WHERE l_shipdate IS NOT NULL AND l_quantity > 0),
 agg AS (
   SELECT l_suppkey AS symbol, wk AS trade_date,
@@ -12,7 +12,7 @@ agg AS (
   FROM px GROUP BY 1, 2),
 bars AS (
   SELECT *, amount / volume AS close_raw,
-    CASE WHEN symbol % 7 <> 3 THEN (1 + 0.1 * (year(trade_date) - 1995))::DOUBLE END AS adj_factor FROM agg),
+    CASE WHEN symbol % 31 <> 3 THEN (1 + 0.1 * (year(trade_date) - 1995))::DOUBLE END AS adj_factor FROM agg),
 lastf AS (
   SELECT *, last_value(adj_factor IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date
     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lf FROM bars),
@@ -60,5 +60,5 @@ idx AS (
 LIMITS = """
 moves AS (SELECT symbol, trade_date, close_qfq / nullif(lag(close_qfq) OVER (PARTITION BY symbol ORDER BY session_no), 0) - 1 AS r FROM grid),
 limits AS (
-  SELECT symbol, trade_date, CASE WHEN r >= 0.3 THEN 'U' ELSE 'D' END AS limit_type FROM moves WHERE r >= 0.3 OR r <= -0.25)
+  SELECT symbol, trade_date, CASE WHEN r >= 2.0 THEN 'U' ELSE 'D' END AS limit_type FROM moves WHERE r >= 2.0 OR r <= -0.65)
 """

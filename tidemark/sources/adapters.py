@@ -1,6 +1,6 @@
 """The benchmark tables seen as market tables.
 
-A supplier is a symbol and the week a line item ships in is a session. Everything is a lazy DataFrame
+A supplier is a symbol and every three weeks of ship dates are a session, named by its first Monday. Everything is a lazy DataFrame
 with column pruning down to the scan; money is summed as decimals so that results do not depend on the
 order of rows.
 """
@@ -13,20 +13,27 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import change
 
 #: Session returns that count as limit moves.
-LIMIT_UP, LIMIT_DOWN = 0.3, -0.25
+FIRST_DAY, SESSION_DAYS = "1995-01-02", 21
+LIMIT_UP, LIMIT_DOWN = 2.0, -0.65
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def session_date(ship: str):
+    """First day of the 21-day session that a ship date falls in."""
+    first = F.lit(FIRST_DAY).cast("date")
+    return F.date_add(first, (F.floor(F.datediff(F.col(ship), first) / SESSION_DAYS) * SESSION_DAYS).cast("int"))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, trade_date, open/high/low/close raw, cached close_qfq, adj_factor, volume, amount."""
     money = lambda c: F.col(c).cast("decimal(18,2)")
     px = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", px.alias("px"))
     items = table(spark, sf_dir, "lineitem").filter("l_shipdate is not null and l_quantity > 0")
-    each = items.groupBy(F.col("l_suppkey").alias("symbol"), F.date_trunc("week", "l_shipdate").cast("date").alias("trade_date")).agg(
+    each = items.groupBy(F.col("l_suppkey").alias("symbol"), session_date("l_shipdate").alias("trade_date")).agg(
         F.min(order)["px"].alias("open_raw"),
         F.max(px).alias("high_raw"),
         F.min(px).alias("low_raw"),
@@ -34,7 +41,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(money("l_quantity")).cast("double").alias("volume"),
     )
     close = F.col("amount") / F.col("volume")
-    factor = F.when(F.col("symbol") % 7 != 3, 1 + 0.1 * (F.year("trade_date") - 1995))
+    factor = F.when(F.col("symbol") % 31 != 3, 1 + 0.1 * (F.year("trade_date") - 1995))
     return each.select("symbol", "trade_date", "open_raw", "high_raw", "low_raw", close.alias("close_raw"), close.alias("close_qfq"), factor.alias("adj_factor"), "volume", "amount")
 
 
