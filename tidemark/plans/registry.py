@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.plans import panel_queries, replay_queries, screen_queries  # noqa: F401
+from tidemark.plans import panel_queries, replay_queries, screen_queries, table_queries  # noqa: F401
