@@ -106,5 +106,47 @@ WHERE NOT EXISTS (SELECT 1 FROM pre p WHERE p.no < p.last AND p.no = w.n_turns A
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = r"'[^\x20\x09-\x0D]+'"
+_ITEM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP4_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_PLAIN}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
+"""
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ITEM}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ITEM}) AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+z AS (SELECT DISTINCT n FROM p),
+q AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, z WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, i, n FROM q JOIN p USING (n, win)),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(xs, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_PLAIN}) AS w FROM documents),
+q AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS o FROM q),
+g AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 50)) AS k FROM f WHERE o < doc_id)),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.k) AS kept FROM x ANTI JOIN g ON g.doc_id = x.doc_id AND g.k = x.k GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_neighbours": OP7_SQL, "op8_chat": OP8_SQL}
+    return {"op4_jaccard": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_neighbours": OP7_SQL, "op8_chat": OP8_SQL, "op10_passages": OP10_SQL}
