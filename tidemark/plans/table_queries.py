@@ -8,7 +8,7 @@ from tidemark.operators import corpus, ingest, portfolio, sector
 from tidemark.plans import query
 from tidemark.plans.base_sql import BARS, META, VALUATION
 from tidemark.plans.panel_queries import qfq, rounded
-from tidemark.sources import adapters, asof
+from tidemark.sources import adapters, asof, store
 from tidemark.sources.adapters import table
 
 FIN = """
@@ -369,3 +369,41 @@ def doc_links(spark, sf_dir):
     s = lambda c: c.cast("string")
     text = F.concat(F.lit("see [[p"), s(i + 7), F.lit("|x]] and [y](p"), s(i * 2), F.lit(".md) not `[[zz]]`\n```\n[[code]]\n```\n[u](https://e.org/a)"))
     return corpus.broken_links(table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), s(i), F.lit(".md")).alias("path"), text.alias("text")))
+
+
+# --- typed tables and runs
+
+
+@query(
+    """SELECT 's' || s_suppkey AS symbol, (DATE '1999-01-04' + (s_suppkey % 9)::INTEGER) AS trade_date, round(CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END, 2) AS circ_mv, NULL::DOUBLE AS turnover_rate FROM supplier WHERE s_suppkey % 6 <> 0"""
+)
+def ing_typed_table(spark, sf_dir):
+    k = F.col("s_suppkey")
+    day = F.date_add(F.lit("1999-01-04").cast("date"), (k % 9).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select(F.when(k % 6 != 0, F.concat(F.lit(" s"), k.cast("string"))).otherwise(" ").alias("symbol"), F.date_format(day, "yyyyMMdd").alias("trade_date"), F.when(k % 4 != 0, F.col("s_acctbal").cast("string")).otherwise("n/a").alias("circ_mv"), F.lit(1).alias("unused"))
+    target, out = store.persist(rows, "daily_basic", [("basic", {"daily_basic"}, {"symbol", "circ_mv"}, "valuation")])
+    assert target == "valuation"
+    return rounded(out, digits=2)
+
+
+@query("SELECT 's' || s_suppkey AS symbol, DATE '1999-01-04' AS trade_date, 'U' AS limit_type, NULL::DOUBLE AS pct_chg, '{\"extra\":' || s_nationkey || ',\"limit_type\":\"U\",\"symbol\":\"s' || s_suppkey || '\",\"trade_date\":\"1999-01-04\"}' AS payload_json FROM supplier")
+def ing_payload_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("symbol"), F.lit("1999-01-04").alias("trade_date"), F.lit("U").alias("limit_type"), F.col("s_nationkey").alias("extra"))
+    return store.conform(rows, store.SPECS["limit_events"])
+
+
+@query("SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def rpl_runs(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("operation"), F.col("o_orderdate").alias("created_at"), "o_totalprice")
+    logged = store.run_log(runs, ["o_totalprice"])
+    return store.list_runs(logged, "F", 50).select("id", F.to_date("created_at").alias("day"))
+
+
+@query("SELECT n_nationkey AS sector_code, n_name AS sector_name, CASE WHEN n_nationkey % 3 = 0 THEN 'concept' ELSE 'industry' END AS sector_type FROM nation WHERE n_nationkey % 3 <> 0")
+def src_sector_master(spark, sf_dir):
+    return adapters.sectors(spark, sf_dir)[0].filter("sector_type = 'industry'").orderBy("sector_type", "sector_name", "sector_code").select("sector_code", "sector_name", "sector_type")
+
+
+@query("SELECT DISTINCT event_type, ts::DATE AS day FROM events")
+def src_stored_dates(spark, sf_dir):
+    return asof.stored_dates(table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day")), "day", "event_type")

@@ -1 +1 @@
-
+"""Incremental ledger input with Structured Streaming."""
