@@ -12,6 +12,9 @@ from tidemark.sources import adapters
 
 
 def qfq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restated bars. The bars are kept while a query runs: a plan that uses them in several places (grid, limits,
+    valuation, index) aggregates the line items once."""
+    adapters.bars(spark, sf_dir).persist()
     return panel.restate_qfq(adapters.bars(spark, sf_dir))
 
 

@@ -141,7 +141,7 @@ def _armed(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir):
-    return replay.outcomes(_armed(spark, sf_dir), full_grid(spark, sf_dir), adapters.index_daily(spark, sf_dir))
+    return replay.outcomes(_armed(spark, sf_dir).persist(), full_grid(spark, sf_dir), adapters.index_daily(spark, sf_dir)).persist()
 
 
 SIGNALS = f"""

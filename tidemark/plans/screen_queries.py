@@ -19,7 +19,7 @@ def full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session grid with valuation, metadata, limit types and the amount in currency."""
     grid = panel.session_grid(qfq(spark, sf_dir))
     limits = adapters.limit_events(grid)
-    return panel.amount_cny(panel.screening_panel(grid, adapters.valuation(spark, sf_dir), adapters.metadata(spark, sf_dir), limits))
+    return panel.amount_cny(panel.screening_panel(grid, adapters.valuation(spark, sf_dir), adapters.metadata(spark, sf_dir), limits)).persist()
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.scores(screen.exclusions(measured(spark, sf_dir), PROFILE), bench(spark, sf_dir), PROFILE)
+    return screen.scores(screen.exclusions(measured(spark, sf_dir), PROFILE), bench(spark, sf_dir), PROFILE).persist()
 
 
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
