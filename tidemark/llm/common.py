@@ -95,29 +95,40 @@ def prune(df: DataFrame, needed: DataFrame, key: str) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over links, for every node that has a link.
 
-    Large-star and small-star rounds over the edge table until nothing changes; each round is written to
-    the shared folder, and hubs are aggregated before they are joined."""
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = materialize(edges, "edges")
-    last = None
+    Large-star and small-star rounds over the edge table until it is a forest of stars; each round is written
+    to the shared folder, and hubs are aggregated before they are joined."""
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.filter("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if tuple(now) == last:
+        # a star forest: every u has one v, and no v is a u
+        roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+        loose = roles.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v")).filter("as_u > 1 or (as_u > 0 and as_v > 0)")
+        if loose.isEmpty():
             break
-        last = tuple(now)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+_HELD: list = [None]
+
+
+def claim(owner: str, tables: list[dict]) -> None:
+    """Called as a task starts: one operator at a time keeps its remembered values in a Python worker, those
+    of the operator before are dropped."""
+    if _HELD[0] is not None and _HELD[0][0] != owner:
+        for t in _HELD[0][1]:
+            t.clear()
+    _HELD[0] = (owner, tables)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    limit = 1_000_000
+    limit = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

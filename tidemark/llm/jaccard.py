@@ -8,10 +8,12 @@ verified on the whole sets.
 
 Only reachability is asked for, so work between documents already connected is left out:
 1. equal sets are one node;
-2. every group meets the first group of each of its prefix shingles (a star, linear in the input);
-   verified links give components;
+2. every group meets the leading group of each of its prefix shingles, the one whose prefix is shared most
+   (stars, linear in the input); verified links give components;
 3. exact round: only prefix shingles that still see two components produce pairs, and only pairs from
-   different components. Every link between different components is found here, so none is lost.
+   different components. Sets of similar size must share many prefix shingles, so each group needs to
+   look only under its rarest ones, by as many as it has more than that number; groups that have fewer
+   drop out. Every link between different components is found here, so none is lost.
 
 The order of shingles is only a matter of speed: a bounded table ranks the most frequent ones last.
 
@@ -26,10 +28,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_HASHES, components, materialize, prune, text_slices, texts, window_hashes
+from tidemark.llm.common import WORD_HASHES, claim, components, materialize, prune, text_slices, texts, window_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -59,6 +61,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """Rows (doc, n, digest) of every document, and rows (token, seen) of shingles frequent in a slice."""
 
     def run(batches):
+        claim("words", [WORD_HASHES])
         for batch in batches:
             for part in text_slices(batch, budget=8 << 20):
                 sets = [shingle_set(t, size) for t in texts(part)]
@@ -81,6 +84,7 @@ def _prefixes(docs: DataFrame, ranked: np.ndarray, size: int, percent: int) -> D
     held = docs.sparkSession.sparkContext.broadcast(ranked)
 
     def run(batches):
+        claim("words", [WORD_HASHES])
         order = held.value
         keys = np.sort(order)
         rank = np.argsort(order, kind="stable")
@@ -114,11 +118,10 @@ def _prefixes(docs: DataFrame, ranked: np.ndarray, size: int, percent: int) -> D
 
 
 def _shared_tokens(rows: DataFrame) -> DataFrame:
-    """From rows sorted by token, then group: one row a document as it is, and (token, grp, n, first) of
-    tokens that more than one group has, where `first` is the token's first group. Streams; a token's
-    groups are never held together."""
+    """From rows sorted by token, then group: one row a document as it is, and (token, grp, n) of tokens
+    that more than one group has. Streams; a token's groups are never held together."""
 
-    names = ["token", "grp", "n", "doc", "digest", "first", "first_n"]
+    names = ["token", "grp", "n", "doc", "digest"]
 
     def run(batches):
         held = None  # of the token that is open: token, first group and its size, last group, whether the first is told
@@ -126,8 +129,7 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
             token, grp, n = (batch.column(c).to_numpy() for c in ("token", "grp", "n"))
             single = token < 0
             if single.any():
-                one = batch.filter(pa.array(single))
-                yield pa.RecordBatch.from_arrays([*one.columns, one.column("grp"), one.column("n")], names=names)
+                yield batch.filter(pa.array(single))
             token, grp, n = token[~single], grp[~single], n[~single]
             if not len(token):
                 continue
@@ -142,17 +144,16 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
                 token, grp, n = np.append(held[0], token), np.append(held[1], grp), np.append(held[2], n)
             at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(at, len(token)))
-            first, first_n = np.repeat(grp[at], size), np.repeat(n[at], size)
             keep = np.repeat(size > 1, size)
             if goes_on and held[4]:
                 keep[0] = False
             held = (int(token[-1]), int(grp[at[-1]]), int(n[at[-1]]), int(grp[-1]), bool(size[-1] > 1))
             if keep.any():
                 k = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(grp[keep]), pa.array(n[keep], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(first[keep]), pa.array(first_n[keep], pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(grp[keep]), pa.array(n[keep], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "grp")
-    return dealt.mapInArrow(run, "token bigint, grp bigint, n int, doc bigint, digest binary, first bigint, first_n int")
+    return dealt.mapInArrow(run, "token bigint, grp bigint, n int, doc bigint, digest binary")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -165,13 +166,45 @@ def _overlap_fits(shared: str, a: str, b: str, percent: int):
     return F.expr(f"({100 + percent}L) * ({shared} + {rest}) >= {percent}L * ({a} + {b})")
 
 
+#: Ratio of neighbouring size classes in the exact round.
+SIZE_STEP = 1.02
+
+
+def _probes(rows: DataFrame, percent: int) -> DataFrame:
+    """Of rows (token, grp, n, comp): those that the exact round joins, as (token, grp, n, comp, own, other, rest).
+
+    `own` is the size class of the group, `other` one in which the token has another component. A partner
+    from that class must share at least `need` of the group's tokens there; of `have` tokens, the rarest
+    `have - need + 1` include the first shared one under one common order. `rest` counts the token and those
+    after it: no pair whose first shared token this is can share more."""
+    apart = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("df")).filter("x < y").select("token", "df")
+    rows = materialize(rows.join(apart, "token").withColumn("own", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")), "apart")
+    classes = rows.groupBy("token", F.col("own").alias("other")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    reach = int(np.log(100 / percent) / np.log(SIZE_STEP)) + 2
+    near = rows.join(classes, "token").filter(f"other between own - {reach} and own + {reach} and (lo <> comp or hi <> comp)")
+    low, high = F.pow(F.lit(SIZE_STEP), "other") - 1, F.pow(F.lit(SIZE_STEP), F.col("other") + 1) + 1
+
+    def need(m):
+        m = F.least(F.greatest(m, F.col("n") * percent / 100), F.col("n") * 100 / percent)
+        return F.ceil((F.col("n") + m) * percent / (100 + percent) - F.greatest(F.col("n"), m) * percent / 100 - 1e-6)
+
+    group = Window.partitionBy("grp", "comp", "other")
+    ranked = near.withColumn("have", F.count("*").over(group)).withColumn("need", F.greatest(F.lit(1), F.least(need(low), need(high)))).filter("have >= need")
+    ranked = ranked.withColumn("k", F.row_number().over(group.orderBy("df", "token")))
+    return ranked.filter("k <= have - need + 1").select("token", "grp", "n", "comp", "own", "other", (F.col("have") - F.col("k") + 1).alias("rest"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the threshold. Texts are fetched for documents in pairs only."""
+    """Those of the pairs (a, b) whose whole sets reach the threshold. Texts are fetched for documents in pairs only.
+
+    Both sides of these joins grow with the input, so they are merge joins at every size."""
     needed = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct()
-    found = materialize(prune(docs, needed, "doc").join(needed, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    both = pairs.join(found.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+    found = materialize(prune(docs, needed, "doc").join(needed.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    of_a, of_b = found.select(F.col("doc").alias("a"), F.col("text").alias("ta")), found.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b")
 
     def run(batches):
+        claim("words", [WORD_HASHES])
         known: dict[int, np.ndarray] = {}
 
         def of(doc: int, text: str) -> np.ndarray:
@@ -207,26 +240,26 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     nodes = materialize(shared.filter("doc is not null").groupBy("grp", "n", "digest").agg(F.min("doc").alias("node")), "nodes")
     tokens = shared.filter("doc is null")
 
-    # stars: each group with the first group of its tokens, each node with the first node of its group
+    # stars: each group with the leading group of its tokens, each node with the first node of its group
     lead = nodes.groupBy("grp").agg(F.min("node").alias("lead"))
     inside = nodes.join(lead, "grp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    star = tokens.filter("grp <> first").filter(_sizes_fit("n", "first_n", percent)).groupBy("first", "grp").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("first_n").alias("first_n"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    weight = tokens.join(spread, "token").groupBy("grp").agg((F.sum("df") * (1 << 20) + F.pmod("grp", F.lit(1 << 20))).alias("w"))
+    chief = tokens.join(weight, "grp").groupBy("token").agg(F.max_by("grp", "w").alias("first"), F.max_by("n", "w").alias("first_n"))
+    star = tokens.join(chief, "token").filter("grp <> first").filter(_sizes_fit("n", "first_n", percent)).groupBy("first", "grp").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("first_n").alias("first_n"))
     star = star.filter(_overlap_fits("shared", "n", "first_n", percent)).select("first", "grp")
-    across = star.join(lead.select(F.col("grp").alias("first"), F.col("lead").alias("a")), "first").join(nodes.select("grp", F.col("node").alias("b")), "grp").select("a", "b")
+    across = star.join(lead.select(F.col("grp").alias("first"), F.col("lead").alias("a")).hint("merge"), "first").join(nodes.select("grp", F.col("node").alias("b")).hint("merge"), "grp").select("a", "b")
     links = verify(materialize(inside.unionByName(across).distinct(), "pairs"), slim, size, percent)
     comps = components(links)
 
     # exact round between what is still apart
-    placed = materialize(nodes.join(comps.withColumnRenamed("component", "comp"), "node", "left").select("grp", "n", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    placed = materialize(nodes.join(comps.withColumnRenamed("component", "comp").hint("merge"), "node", "left").select("grp", "n", "node", F.coalesce("comp", "node").alias("comp")), "placed")
     parts = placed.groupBy("grp", "n", "comp").agg(F.count("*").alias("members"))
-    rows = tokens.select("token", "grp").join(parts.select("grp", "n", "comp"), "grp")
-    apart = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
-    rows = materialize(rows.join(apart, "token"), "apart")
-    left = rows.select("token", F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = rows.select("token", F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    met = left.join(right, "token").filter("ca < cb").filter(_sizes_fit("na", "nb", percent))
-    met = met.groupBy("ga", "ca", "gb", "cb").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    met = met.filter(_overlap_fits("shared", "na", "nb", percent)).select("ga", "ca", "gb", "cb")
+    probes = materialize(_probes(tokens.select("token", "grp").join(parts.select("grp", "n", "comp"), "grp"), percent), "probes")
+    left = probes.select("token", F.col("own").alias("x"), F.col("other").alias("y"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rest").alias("ra"))
+    right = probes.select("token", F.col("other").alias("x"), F.col("own").alias("y"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"))
+    together = (F.col("ca") < F.col("cb")) & _sizes_fit("na", "nb", percent) & _overlap_fits("least(ra, rb)", "na", "nb", percent)
+    met = left.join(right, ["token", "x", "y"]).filter(together).select("ga", "ca", "gb", "cb").distinct()
     split = parts.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
     own = parts.join(split, "grp").select(F.col("grp").alias("ga"), F.col("comp").alias("ca"))
     own = own.join(own.select(F.col("ga").alias("gb"), F.col("ca").alias("cb")), F.expr("ga = gb and ca < cb"))
@@ -234,7 +267,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     member = placed.select("grp", "comp", "node")
     more = met.join(member.select(F.col("grp").alias("ga"), F.col("comp").alias("ca"), F.col("node").alias("a")), ["ga", "ca"]).join(member.select(F.col("grp").alias("gb"), F.col("comp").alias("cb"), F.col("node").alias("b")), ["gb", "cb"])
     more = verify(materialize(more.select("a", "b").distinct(), "pairs"), slim, size, percent)
-    final = components(links.unionByName(more))
+    # components over components: the new links join whole parts
+    node = placed.select("node", "comp").distinct()
+    joined = more.join(node.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(node.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    merged = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    final = node.join(merged.select(F.col("node").alias("comp"), "component"), "comp", "left").select("node", F.coalesce("component", "comp").alias("component"))
 
     # back to documents: digest and size name the node
     by_set = nodes.join(final, "node", "left").select("n", "digest", F.coalesce("component", "node").alias("component"))
