@@ -1,7 +1,7 @@
 """Removal of repeated passages with automata over confirmed phrases.
 
-1. Every document is fingerprinted: of any `SPAN` - `GRAM` + 1 consecutive word n-grams the one with the
-   smallest hash is an anchor, so two documents that share `SPAN` words share an anchor at the same place.
+1. Every document is fingerprinted: of any `SPAN` - `GRAM` + 1 consecutive word n-grams the smallest hash is
+   an anchor, so two documents that share `SPAN` words share an anchor. A document keeps each anchor once.
 2. Anchors that more than one document has make suspects. For one document of each set of equal texts, the
    suspect windows (those whose anchor recurs) are hashed and aggregated to their smallest document; a
    window that a second document has is confirmed.
@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_HASHES, materialize, prune, text_slices, texts, window_hashes
+from tidemark.llm.common import WORD_HASHES, claim, materialize, prune, text_slices, texts, window_hashes
 
 #: Words of a window, and of an anchor n-gram.
 SPAN = 50
@@ -59,44 +59,43 @@ def _digest(words: list[bytes]) -> str:
 
 
 def fingerprints(docs: DataFrame, span: int) -> DataFrame:
-    """Rows (doc, pos, anchor) and, with pos -1, one row a document with `n_words` and `digest` of its words."""
+    """Rows (doc, anchor), each anchor of a document once, and one row a document with `n_words` and `digest`
+    of its words."""
 
     def run(batches):
+        claim("words", [WORD_HASHES])
         for batch in batches:
             for part in text_slices(batch):
-                doc, pos, anchor, n_words, digest = [], [], [], [], []
+                doc, anchor, n_words, digest = [], [], [], []
                 for d, text in zip(part.column("doc").to_pylist(), texts(part), strict=True):
                     words = split_words(text)
                     head = 1
                     if len(words) >= span and d is not None:
                         at, grams = anchors(WORD_HASHES.of(words), span)
-                        at = np.unique(at)
-                        anchor.append(grams[at].view(np.int64))
-                        pos.append(at)
-                        head += len(at)
+                        mine = np.unique(grams[at]).view(np.int64)
+                        anchor.append(mine)
+                        head += len(mine)
                     anchor.append(np.zeros(1, np.int64))
-                    pos.append(np.full(1, -1))
                     doc += [d] * head
                     n_words += [None] * (head - 1) + [len(words)]
                     digest += [None] * (head - 1) + [_digest(words)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.concatenate(pos), pa.int32()), pa.array(np.concatenate(anchor)), pa.array(n_words, pa.int64()), pa.array(digest, pa.string())], names=["doc", "pos", "anchor", "n_words", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.concatenate(anchor)), pa.array(n_words, pa.int64()), pa.array(digest, pa.string())], names=["doc", "anchor", "n_words", "digest"])
 
-    return docs.mapInArrow(run, "doc bigint, pos int, anchor bigint, n_words bigint, digest string")
+    return docs.mapInArrow(run, "doc bigint, anchor bigint, n_words bigint, digest string")
 
 
 def _windows(suspects: DataFrame, span: int) -> DataFrame:
     """(anchor, win, doc, pos, copied) of the suspect windows."""
 
     def run(batches):
+        claim("words", [WORD_HASHES])
         for batch in batches:
             for part in text_slices(batch):
                 out = []
                 for d, text, marks, copied in zip(part.column("doc").to_pylist(), texts(part), part.column("marks"), part.column("copied").to_pylist(), strict=True):
                     h = WORD_HASHES.of(split_words(text))
                     at, grams = anchors(h, span)
-                    recurs = np.zeros(len(h) + 1, dtype=bool)
-                    recurs[np.minimum(marks.values.to_numpy(), len(h))] = True
-                    pos = np.flatnonzero(recurs[at])
+                    pos = np.flatnonzero(np.isin(grams[at].view(np.int64), marks.values.to_numpy()))
                     if len(pos):
                         out.append((grams[at[pos]].view(np.int64), window_hashes(h, span)[pos].view(np.int64), np.full(len(pos), d), pos, np.full(len(pos), copied)))
                 if out:
@@ -110,6 +109,7 @@ def _passages(owners: DataFrame, span: int) -> DataFrame:
     """From rows (doc, text, starts): rows (doc, start, words) of each passage and (doc, start, anchor) of its anchors."""
 
     def run(batches):
+        claim("words", [WORD_HASHES])
         for batch in batches:
             for part in text_slices(batch):
                 doc, start, words_out, anchor = [], [], [], []
@@ -223,13 +223,13 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id",
     `kept_sha256`, the hash of the kept words joined by one space."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     prints = materialize(fingerprints(slim, span), "fingerprints")
-    heads, points = prints.filter("pos = -1").select("doc", "n_words", "digest"), prints.filter("pos >= 0").select("doc", "pos", "anchor")
+    heads, points = prints.filter("digest is not null").select("doc", "n_words", "digest"), prints.filter("digest is null").select("doc", "anchor")
 
     recurring = points.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("anchor")
     points = materialize(points.join(recurring, "anchor"), "points")
     copies = heads.filter(F.col("n_words") >= span).groupBy("digest").agg(F.min("doc").alias("rep"), F.max("doc").alias("other"))
     whole = heads.filter("doc is not null").join(copies, "digest").select("doc", "digest", (F.col("doc") == F.col("rep")).alias("tells"), (F.col("rep") < F.col("other")).alias("copied"))
-    marks = points.groupBy("doc").agg(F.collect_set("pos").alias("marks"))
+    marks = points.groupBy("doc").agg(F.collect_set("anchor").alias("marks"))
     suspects = prune(slim.filter("doc is not null"), marks.select("doc"), "doc").join(marks.join(whole.dropDuplicates(["doc"]), "doc"), "doc")
     suspects = materialize(suspects, "suspects")
 
