@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import text_slices, texts
+from tidemark.llm.common import claim, text_slices, texts
 
 #: Remembered parts and pairs of one Python worker; both tables start afresh when full.
-PART_MEMORY = 900_000
-PAIR_MEMORY = 1_000_000
+PART_MEMORY = 600_000
+PAIR_MEMORY = 600_000
 
 SPACE = "▁"
 
@@ -236,6 +236,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, id_col: str =
 
     def run(batches):
         c = codec(path)
+        claim("pieces", [c._parts, c._fits])
         tail = [c.end] if end_id else []
         for batch in batches:
             for part in text_slices(batch, "text"):

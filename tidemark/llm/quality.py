@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, text_slices, texts
+from tidemark.llm.common import bounded_sample, claim, text_slices, texts
 
 BITS = 18
 #: Labelled rows that training looks at, about; above it a sample by id hash is taken.
@@ -29,7 +29,7 @@ SHARDS = 8
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.3, 1.0
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_MEMORY = 1_000_000
+_MEMORY = 400_000
 _SAME = np.uint64(0x27220A95FE1D0F11)
 
 
@@ -89,6 +89,7 @@ class Leader:
 
 
 def _fit_shard(rows: pd.DataFrame) -> pd.DataFrame:
+    claim("tokens", [_HASHES])
     rows = rows.sort_values("mark")
     model, examples = Leader(1 << BITS), []
     for text, y in zip(rows["text"], rows["label"], strict=True):
@@ -130,6 +131,7 @@ def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", keep: bool
     names = [f.name for f in out_schema.fields]
 
     def run(batches):
+        claim("tokens", [_HASHES])
         w = held.value
         for batch in batches:
             for part in text_slices(batch):
