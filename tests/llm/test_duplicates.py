@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,26 @@ def test_other_thresholds(spark, family):
     assert got == {k: v[1] for k, v in brute.jaccard_components(docs, 60).items()}
 
 
+def test_every_link_is_counted(spark, family):
+    sets = {d: brute.shingles(t) for d, t in family}
+    alike = lambda s, t: bool(s & t) and 100 * len(s & t) >= 75 * len(s | t)
+    want = {d: sum(e != d and alike(s, t) for e, t in sets.items()) for d, s in sets.items()}
+    df = spark.createDataFrame(family, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(df).collect()}
+    assert got == want and max(want.values()) > 40
+    odd = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f"), (10, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.n_links) for r in jaccard.near_duplicates(odd).collect()) == [(-1, 0), (4, 1), (9, 1), (10, 0)]
+
+
+def test_links_query_matches_sql(spark):
+    c = duckdb.connect()
+    c.register("documents", spark.read.parquet(f"{SF}/documents.parquet").toPandas())
+    want = {r[0]: r[1:] for r in c.execute(queries.oracle_sql()["op4_links"]).fetchall()}
+    got = queries.op4_links(spark, SF)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
 def test_connected_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -6,14 +6,13 @@ with the same prefix and size form one group, and only groups are joined: by pre
 on sizes and on the number of shared prefix shingles. Surviving group pairs are expanded to members and
 verified on the whole sets.
 
-Only reachability is asked for, so work between documents already connected is left out:
-1. equal sets are one node;
-2. every group meets the leading group of each of its prefix shingles, the one whose prefix is shared most
-   (stars, linear in the input); verified links give components;
-3. exact round: only prefix shingles that still see two components produce pairs, and only pairs from
-   different components. Sets of similar size must share many prefix shingles, so each group needs to
-   look only under its rarest ones, by as many as it has more than that number; groups that have fewer
-   drop out. Every link between different components is found here, so none is lost.
+Every link is found:
+1. equal sets are one node, with its number of documents;
+2. pairs of groups: sets of similar size must share many prefix shingles, so each group needs to look only
+   under its rarest ones, by as many as it has more than that number; groups that have fewer drop out;
+3. pairs of nodes, across groups and within one, are verified in tiles: nodes that share their smallest
+   candidate partner lie together, and a tile's texts are fetched once for all of its pairs.
+Links of documents are those of their nodes, counted with copies; components follow from the links.
 
 The order of shingles is only a matter of speed: a bounded table ranks the most frequent ones last.
 
@@ -166,69 +165,88 @@ def _overlap_fits(shared: str, a: str, b: str, percent: int):
     return F.expr(f"({100 + percent}L) * ({shared} + {rest}) >= {percent}L * ({a} + {b})")
 
 
-#: Ratio of neighbouring size classes in the exact round.
+#: Ratio of neighbouring size classes.
 SIZE_STEP = 1.02
 
 
-def _probes(rows: DataFrame, percent: int) -> DataFrame:
-    """Of rows (token, grp, n, comp): those that the exact round joins, as (token, grp, n, comp, own, other, rest).
+def _probes(tokens: DataFrame, percent: int) -> DataFrame:
+    """Of rows (token, grp, n): those that have to be joined, as (token, grp, n, own, other, rest).
 
-    `own` is the size class of the group, `other` one in which the token has another component. A partner
+    `own` is the size class of the group, `other` one in which the token has another group. A partner
     from that class must share at least `need` of the group's tokens there; of `have` tokens, the rarest
     `have - need + 1` include the first shared one under one common order. `rest` counts the token and those
     after it: no pair whose first shared token this is can share more."""
-    apart = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("df")).filter("x < y").select("token", "df")
-    rows = materialize(rows.join(apart, "token").withColumn("own", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")), "apart")
-    classes = rows.groupBy("token", F.col("own").alias("other")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    rows = materialize(tokens.join(spread, "token").withColumn("own", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")), "sized")
+    classes = rows.groupBy("token", F.col("own").alias("other")).agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
     reach = int(np.log(100 / percent) / np.log(SIZE_STEP)) + 2
-    near = rows.join(classes, "token").filter(f"other between own - {reach} and own + {reach} and (lo <> comp or hi <> comp)")
+    near = rows.join(classes, "token").filter(f"other between own - {reach} and own + {reach} and (lo <> grp or hi <> grp)")
     low, high = F.pow(F.lit(SIZE_STEP), "other") - 1, F.pow(F.lit(SIZE_STEP), F.col("other") + 1) + 1
 
     def need(m):
         m = F.least(F.greatest(m, F.col("n") * percent / 100), F.col("n") * 100 / percent)
         return F.ceil((F.col("n") + m) * percent / (100 + percent) - F.greatest(F.col("n"), m) * percent / 100 - 1e-6)
 
-    group = Window.partitionBy("grp", "comp", "other")
+    group = Window.partitionBy("grp", "other")
     ranked = near.withColumn("have", F.count("*").over(group)).withColumn("need", F.greatest(F.lit(1), F.least(need(low), need(high)))).filter("have >= need")
     ranked = ranked.withColumn("k", F.row_number().over(group.orderBy("df", "token")))
-    return ranked.filter("k <= have - need + 1").select("token", "grp", "n", "comp", "own", "other", (F.col("have") - F.col("k") + 1).alias("rest"))
+    return ranked.filter("k <= have - need + 1").select("token", "grp", "n", "own", "other", (F.col("have") - F.col("k") + 1).alias("rest"))
+
+
+#: Nodes of a tile, about.
+TILE = 128
+
+
+def _tiled(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with `tile`, the pair of tiles they lie in."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    head = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("head")), "heads")
+    parts = head.groupBy("head").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    of = head.join(parts, "head").select("node", F.xxhash64("head", F.pmod(F.xxhash64("node"), "parts")).alias("t"))
+    of_a, of_b = of.select(F.col("node").alias("a"), F.col("t").alias("ta")), of.select(F.col("node").alias("b"), F.col("t").alias("tb"))
+    both = pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b")
+    return both.select("a", "b", F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the threshold. Texts are fetched for documents in pairs only.
+    """Those of the pairs (a, b) whose whole sets reach the threshold. Texts are fetched for documents in pairs
+    only, once a pair of tiles.
 
     Both sides of these joins grow with the input, so they are merge joins at every size."""
-    needed = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct()
-    found = materialize(prune(docs, needed, "doc").join(needed.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    of_a, of_b = found.select(F.col("doc").alias("a"), F.col("text").alias("ta")), found.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b")
+    pairs = materialize(_tiled(pairs), "tiled")
+    places = materialize(pairs.select("tile", F.col("a").alias("doc")).unionByName(pairs.select("tile", F.col("b").alias("doc"))).distinct(), "places")
+    needed = places.select("doc").distinct()
+    found = prune(docs, needed, "doc").join(needed.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])
+    held = places.join(found.hint("merge"), "doc").select("tile", F.col("doc").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    rows = held.unionByName(pairs.select("tile", "a", "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches):
         claim("words", [WORD_HASHES])
-        known: dict[int, np.ndarray] = {}
-
-        def of(doc: int, text: str) -> np.ndarray:
-            s = known.get(doc)
-            if s is None:
-                if len(known) >= 256:
-                    known.clear()
-                s = known[doc] = shingle_set(text, size)
-            return s
-
+        tile, sets = None, {}
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for x, y, tx, ty in zip(a, b, texts(batch, "ta"), texts(batch, "tb"), strict=True):
-                s, t = of(x, tx), of(y, ty)
-                n = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(n > 0 and 100 * n >= percent * (len(s) + len(t) - n))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for part in text_slices(batch):
+                for t, x, y, text in zip(part.column("tile").to_pylist(), part.column("a").to_pylist(), part.column("b").to_pylist(), texts(part), strict=True):
+                    if t != tile:
+                        tile, sets = t, {}
+                    if y is None:
+                        sets[x] = shingle_set(text, size)
+                        continue
+                    u, v = sets[x], sets[y]
+                    n = len(np.intersect1d(u, v, assume_unique=True))
+                    if n > 0 and 100 * n >= percent * (len(u) + len(v) - n):
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return materialize(both.mapInArrow(run, "a bigint, b bigint"), "links")
+    # a tile's texts come before its pairs
+    dealt = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
+    return materialize(dealt.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, `n_shingles` and `component_id`, the smallest id reachable by links."""
+    """One row per document: id, `n_shingles`, `component_id`, the smallest id reachable by links, and `n_links`,
+    the number of other documents it links with."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     first = materialize(_sets(slim, size), "sets")
     heads = first.filter("n is not null").select("doc", "n", "digest")
@@ -237,47 +255,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     shared = materialize(_shared_tokens(_prefixes(slim, ranked, size, percent)), "tokens")
     # equal sets are one node, named by its smallest document
-    nodes = materialize(shared.filter("doc is not null").groupBy("grp", "n", "digest").agg(F.min("doc").alias("node")), "nodes")
-    tokens = shared.filter("doc is null")
-
-    # stars: each group with the leading group of its tokens, each node with the first node of its group
-    lead = nodes.groupBy("grp").agg(F.min("node").alias("lead"))
-    inside = nodes.join(lead, "grp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    weight = tokens.join(spread, "token").groupBy("grp").agg((F.sum("df") * (1 << 20) + F.pmod("grp", F.lit(1 << 20))).alias("w"))
-    chief = tokens.join(weight, "grp").groupBy("token").agg(F.max_by("grp", "w").alias("first"), F.max_by("n", "w").alias("first_n"))
-    star = tokens.join(chief, "token").filter("grp <> first").filter(_sizes_fit("n", "first_n", percent)).groupBy("first", "grp").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("first_n").alias("first_n"))
-    star = star.filter(_overlap_fits("shared", "n", "first_n", percent)).select("first", "grp")
-    across = star.join(lead.select(F.col("grp").alias("first"), F.col("lead").alias("a")).hint("merge"), "first").join(nodes.select("grp", F.col("node").alias("b")).hint("merge"), "grp").select("a", "b")
-    links = verify(materialize(inside.unionByName(across).distinct(), "pairs"), slim, size, percent)
-    comps = components(links)
-
-    # exact round between what is still apart
-    placed = materialize(nodes.join(comps.withColumnRenamed("component", "comp").hint("merge"), "node", "left").select("grp", "n", "node", F.coalesce("comp", "node").alias("comp")), "placed")
-    parts = placed.groupBy("grp", "n", "comp").agg(F.count("*").alias("members"))
-    probes = materialize(_probes(tokens.select("token", "grp").join(parts.select("grp", "n", "comp"), "grp"), percent), "probes")
-    left = probes.select("token", F.col("own").alias("x"), F.col("other").alias("y"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rest").alias("ra"))
-    right = probes.select("token", F.col("other").alias("x"), F.col("own").alias("y"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"))
-    together = (F.col("ca") < F.col("cb")) & _sizes_fit("na", "nb", percent) & _overlap_fits("least(ra, rb)", "na", "nb", percent)
-    met = left.join(right, ["token", "x", "y"]).filter(together).select("ga", "ca", "gb", "cb").distinct()
-    split = parts.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
-    own = parts.join(split, "grp").select(F.col("grp").alias("ga"), F.col("comp").alias("ca"))
-    own = own.join(own.select(F.col("ga").alias("gb"), F.col("ca").alias("cb")), F.expr("ga = gb and ca < cb"))
-    met = met.unionByName(own).distinct()
-    member = placed.select("grp", "comp", "node")
-    more = met.join(member.select(F.col("grp").alias("ga"), F.col("comp").alias("ca"), F.col("node").alias("a")), ["ga", "ca"]).join(member.select(F.col("grp").alias("gb"), F.col("comp").alias("cb"), F.col("node").alias("b")), ["gb", "cb"])
-    more = verify(materialize(more.select("a", "b").distinct(), "pairs"), slim, size, percent)
-    # components over components: the new links join whole parts
-    node = placed.select("node", "comp").distinct()
-    joined = more.join(node.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(node.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-    merged = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    final = node.join(merged.select(F.col("node").alias("comp"), "component"), "comp", "left").select("node", F.coalesce("component", "comp").alias("component"))
+    nodes = materialize(shared.filter("doc is not null").select("grp", "n", "digest", "doc").distinct().groupBy("grp", "n", "digest").agg(F.min("doc").alias("node"), F.count("*").alias("copies")), "nodes")
+
+    probes = materialize(_probes(shared.filter("doc is null").select("token", "grp", "n"), percent), "probes")
+    left = probes.select("token", F.col("own").alias("x"), F.col("other").alias("y"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    right = probes.select("token", F.col("other").alias("x"), F.col("own").alias("y"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    together = (F.col("ga") < F.col("gb")) & _sizes_fit("na", "nb", percent) & _overlap_fits("least(ra, rb)", "na", "nb", percent)
+    met = left.join(right, ["token", "x", "y"]).filter(together).select("ga", "gb").distinct()
+    member = nodes.select("grp", "node")
+    of_a, of_b = member.select(F.col("grp").alias("ga"), F.col("node").alias("a")), member.select(F.col("grp").alias("gb"), F.col("node").alias("b"))
+    across = met.join(of_a.hint("merge"), "ga").join(of_b.hint("merge"), "gb").select("a", "b")
+    inside = member.join(member.select("grp", F.col("node").alias("b")), "grp").select(F.col("node").alias("a"), "b").filter("a < b")
+    pairs = materialize(across.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "pairs")
+    links = verify(pairs, slim, size, percent)
+
+    weight = nodes.groupBy(F.col("node").alias("b")).agg(F.max("copies").alias("w"))
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = ways.join(weight.hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("others"))
+    final = degree.join(components(links), "node")
 
     # back to documents: digest and size name the node
-    by_set = nodes.join(final, "node", "left").select("n", "digest", F.coalesce("component", "node").alias("component"))
+    by_set = nodes.join(final, "node", "left").select("n", "digest", F.coalesce("component", "node").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = heads.join(by_set, ["n", "digest"], "left")
     own_id = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component", "doc"))
-    return out.select(F.col("doc").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc").isNotNull(), own_id).alias("component_id"))
+    n_links = F.when(F.col("doc").isNull() | (F.col("n") == 0), F.lit(0)).otherwise(F.coalesce("links", F.lit(0))).cast("bigint")
+    return out.select(F.col("doc").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc").isNotNull(), own_id).alias("component_id"), n_links.alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
