@@ -81,3 +81,20 @@ def test_pieces_match_library(spark, odd):
         assert codec.decode(ids) == lib.decode(ids), ids
     got = queries.op9_sentencepiece(spark, SF).agg(F.count("*"), F.min("n_tokens")).first()
     assert got[0] == spark.read.parquet(f"{SF}/documents.parquet").count() and got[1] >= 1
+
+
+def test_account_numbers_before_other_words(spark):
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    cases = [
+        (f"é IBAN {de} BIC COBADEFFXXX", [de]),
+        ("pay DE89 3704 0044 0532 0130 00 2024 now", ["DE89 3704 0044 0532 0130 00"]),
+        (f"{de} {gb} {de}", [de, gb, de]),
+        (f"AB12 {gb} X", [gb]),
+        (f"X{de} {de}X DE89370400440532013001", []),
+        (None, []),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: [cases[r.doc_id][0][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find_spans(df).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+    clean = {r.doc_id: r.text for r in pii.redact(df.filter("doc_id < 2")).collect()}
+    assert clean[0] == "é IBAN <IBAN> BIC COBADEFFXXX" and "3704" not in clean[1]

@@ -6,7 +6,7 @@ numbers taken modulo 97 with array functions; the words just before and after a
 its score. Patterns never rescan a run of characters, so long texts cost linear time.
 
 Kinds: email, ip, card and phone are kept whenever their own check holds. The method adds iban (mod-97
-holds) and id_number (three-two-four digits, kept only if a context word stands nearby).
+holds; words after the number are left out, the longest run of words that holds counts) and id_number (three-two-four digits, kept only if a context word stands nearby).
 
 Null and empty texts have no spans. Repeated rows give repeated results. Other columns pass through
 in `redact` and `find_spans` keeps only the id.
@@ -24,7 +24,8 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # every start is a match of two letters; group 1 is the longest text that may belong to the number
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))[A-Z]{2}",
     "id_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 KINDS = list(PATTERNS)
@@ -78,13 +79,13 @@ def _valid(kind: str, x: Column) -> Column:
         return F.when(n.between(12, 19), luhn(_digits(x))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(x)).between(9, 15)
-    if kind == "iban":
-        return mod97(x)
     return F.lit(True)
 
 
 def _found(text: Column, kind: str) -> Column:
     """Array of (start, no, stop, score) of one kind, in order of start."""
+    if kind == "iban":
+        return _accounts(text)
     pattern = F.lit(PATTERNS[kind])
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, PATTERNS[kind], -1)
@@ -108,6 +109,36 @@ def _found(text: Column, kind: str) -> Column:
     return F.when(F.regexp_like(text, pattern), spans).otherwise(F.array().cast(SPANS))
 
 
+def _account(longest: Column) -> Column:
+    """The longest valid account number that ends where a word of `longest` ends; null without one."""
+    words = F.split(longest, " ")
+    ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    return F.get(F.filter(ends, lambda x: (F.length(F.regexp_replace(x, " ", "")) >= 15) & mod97(x)), F.lit(0))
+
+
+def _accounts(text: Column) -> Column:
+    """Array of (start, no, stop, score) of account numbers, in order of start, none within another."""
+    pattern = F.lit(PATTERNS["iban"])
+    longest = F.regexp_extract_all(text, pattern, F.lit(1))
+    gaps = F.split(text, PATTERNS["iban"], -1)
+    parts = F.arrays_zip(F.transform(longest, _account).alias("m"), F.slice(gaps, F.lit(1), F.size(longest)).alias("b"))
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["b"])
+        stop = start + F.length(x["m"])
+        before = F.substr(text, F.greatest(start - CONTEXT_WIDTH, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_WIDTH)))
+        near = before.rlike(CONTEXT["iban"]) | F.substr(text, stop + 1, F.lit(CONTEXT_WIDTH)).rlike(CONTEXT["iban"])
+        score = F.lit(BASE_SCORE["iban"]) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+        span = F.array(F.struct(start.cast("int").alias("start"), F.lit(KINDS.index("iban")).alias("no"), stop.cast("int").alias("stop"), score.alias("score")))
+        kept = x["m"].isNotNull() & (start >= acc["upto"])
+        out = F.concat(acc["out"], F.when(kept, span).otherwise(F.array().cast(SPANS)))
+        return F.struct((start + 2).cast("int").alias("at"), F.when(kept, stop).otherwise(acc["upto"]).cast("int").alias("upto"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("upto"), F.array().cast(SPANS).alias("out"))
+    spans = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.when(F.regexp_like(text, pattern), spans).otherwise(F.array().cast(SPANS))
+
+
 SPANS = "array<struct<start:int,no:int,stop:int,score:double>>"
 
 
