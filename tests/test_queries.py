@@ -48,3 +48,14 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).columns[0] == "trade_date"
     assert set(SQL) <= set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_over_all_symbols_and_given_texts(spark, tmp_path):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    symbols = {r[0] for r in li.select("l_suppkey").distinct().collect()}
+    assert {r[0] for r in QUERIES["src_bars_all"](spark, SF).select("symbol").distinct().collect()} == symbols
+    assert {r[0] for r in QUERIES["ing_melt_all"](spark, SF).select("symbol").distinct().collect()} == {f"s{k}" for k in symbols}
+    spark.createDataFrame([(1, "<head><TITLE>Demo 2019年年度报告</TITLE>"), (2, "<p>2020 年报</p>"), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, QUERIES["doc_page_titles"](spark, str(tmp_path)).collect())) == [(1, "annual", 2019), (2, None, None), (3, None, None)]
+    spark.createDataFrame([(1, "to [[p2]] and [x](p9.md)"), (2, "`[[p8]]` [[p7|seven]]"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["doc_text_links"](spark, str(tmp_path)).collect())) == [("p1.md", "p9.md"), ("p2.md", "p7")]

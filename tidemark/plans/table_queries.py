@@ -31,6 +31,11 @@ def src_bars(spark, sf_dir):
     return rounded(asof.read_range(qfq(spark, sf_dir), "1999-01-01", "1999-12-31", [1, 2, 3, 5, 8]).select("symbol", "trade_date", "close_qfq", "volume"))
 
 
+@query(f"WITH {BARS} SELECT symbol, trade_date, round(close_qfq, 6) AS close_qfq, volume FROM qfq")
+def src_bars_all(spark, sf_dir):
+    return rounded(qfq(spark, sf_dir).select("symbol", "trade_date", "close_qfq", "volume"))
+
+
 @query("SELECT d::DATE AS cal_date, CASE WHEN dayofweek(d) IN (0, 6) THEN 0 ELSE 1 END AS is_open, CASE dayofweek(d) WHEN 1 THEN d::DATE - 3 WHEN 0 THEN d::DATE - 2 ELSE d::DATE - 1 END AS pretrade_date FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 DAY) t(d) WHERE d::DATE BETWEEN (SELECT min(l_shipdate)::DATE FROM lineitem) AND (SELECT max(l_shipdate)::DATE FROM lineitem)")
 def src_calendar(spark, sf_dir):
     span = table(spark, sf_dir, "lineitem").agg(F.min(F.to_date("l_shipdate")).alias("a"), F.max(F.to_date("l_shipdate")).alias("b"))
@@ -70,6 +75,12 @@ def asof_memberships_of_stocks(spark, sf_dir):
     return asof.memberships(member, master, "2002-01-01", stock=[5, 7, 10, 15]).select("sector_code", "con_code", "trade_date")
 
 
+@query(f"WITH {MEMBER}, l AS (SELECT sector_code, max(trade_date) AS trade_date FROM mem WHERE trade_date <= DATE '2002-01-01' GROUP BY 1) SELECT sector_code, con_code, trade_date FROM mem JOIN l USING (sector_code, trade_date)")
+def asof_memberships_of_all_stocks(spark, sf_dir):
+    master, _, _, member = adapters.sectors(spark, sf_dir)
+    return asof.memberships(member, master, "2002-01-01").select("sector_code", "con_code", "trade_date")
+
+
 _DATES = "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'later' WHEN o_orderkey % 10 = 4 THEN strftime(o_orderdate, '%Y%m%d') WHEN o_orderkey % 10 = 5 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS ann FROM orders"
 _PARSED = f"p AS (SELECT *, CASE WHEN regexp_matches(ann, '^[0-9]{{8}}$') THEN strptime(ann, '%Y%m%d')::DATE WHEN regexp_matches(ann, '^[0-9]{{4}}-') THEN ann::DATE END AS d FROM ({_DATES}))"
 
@@ -157,6 +168,22 @@ def ing_melt(spark, sf_dir):
     return ingest.melt(wide.filter("trade_date is not null"), "trade_date", "close")
 
 
+#: Symbols of one row of a wide table.
+WIDE = 200
+
+
+@query("SELECT l_shipdate::DATE AS trade_date, 's' || l_suppkey AS symbol, max(l_extendedprice) AS close FROM lineitem WHERE l_shipdate IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY 1, 2 HAVING max(l_extendedprice) IS NOT NULL")
+def ing_melt_all(spark, sf_dir):
+    """Every symbol: a wide row is a date and a block of symbols, so that columns stay few."""
+    k = F.col("l_suppkey").cast("bigint")
+    li = table(spark, sf_dir, "lineitem").filter("l_shipdate is not null and l_suppkey is not null")
+    key = F.struct(F.to_date("l_shipdate").alias("trade_date"), F.floor(k / WIDE).alias("block"))
+    wide = li.groupBy(key.alias("key")).agg(*[F.max(F.when(F.pmod(k, F.lit(WIDE)) == i, F.col("l_extendedprice"))).alias(str(i)) for i in range(WIDE)])
+    long = ingest.melt(wide, "key", "close")
+    symbol = F.concat(F.lit("s"), (F.col("key.block") * WIDE + F.col("symbol").cast("bigint")).cast("string"))
+    return long.select("key.trade_date", symbol.alias("symbol"), "close")
+
+
 @query(
     """WITH c AS (SELECT d::DATE AS cal_date FROM range(DATE '1998-01-01', DATE '1999-01-01', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) NOT IN (0, 6)), h AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem WHERE l_suppkey % 5 = 1 UNION SELECT DISTINCT o_orderdate::DATE FROM orders WHERE o_orderkey % 9 = 2)
 SELECT count(*) AS expected, count(*) FILTER (cal_date IN (SELECT d FROM h)) AS stored, count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS missing, min(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS first_missing, max(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS last_missing FROM c"""
@@ -167,6 +194,16 @@ def ing_date_coverage(spark, sf_dir):
     return ingest.date_coverage(adapters.calendar(spark), raw, done, "1998-01-01", "1998-12-31")
 
 
+@query(
+    """WITH c AS (SELECT d::DATE AS cal_date FROM range(DATE '1998-01-01', DATE '1999-01-01', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) NOT IN (0, 6)), h AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem UNION SELECT DISTINCT o_orderdate::DATE FROM orders)
+SELECT count(*) AS expected, count(*) FILTER (cal_date IN (SELECT d FROM h)) AS stored, count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS missing, min(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS first_missing, max(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS last_missing FROM c"""
+)
+def ing_date_coverage_all(spark, sf_dir):
+    raw = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date"))
+    done = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("trade_date"))
+    return ingest.date_coverage(adapters.calendar(spark), raw, done, "1998-01-01", "1998-12-31")
+
+
 @query(f"WITH {META} SELECT symbol FROM meta WHERE (list_date IS NULL OR list_date <= DATE '1996-01-01') AND (delist_date IS NULL OR delist_date >= DATE '2000-06-06')")
 def ing_symbols_alive(spark, sf_dir):
     return ingest.symbols_alive(adapters.metadata(spark, sf_dir), "2000-06-06", "1996-01-01")
@@ -335,6 +372,13 @@ def doc_titles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", corpus.report_kind(title).alias("k")).select("doc_id", "k.kind", "k.year")
 
 
+@query()
+def doc_page_titles(spark, sf_dir):
+    """Kind and year by the title of each given page."""
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", corpus.report_kind(title).alias("k")).select("page_id", "k.kind", "k.year")
+
+
 @query(r"SELECT doc_id, length(regexp_replace(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT starts_with(ltrim(x), '#')), ''), '[^\p{L}\p{N}]', '', 'g')) >= 40 AS substantive, length(CASE WHEN length(text) > 2000 THEN text[1:2000] || chr(10) || '[cut]' ELSE text END) AS n FROM documents")
 def doc_filters(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", corpus.substantive(F.col("text"), 40).alias("substantive"), F.length(corpus.capped(F.col("text"), 2000)).alias("n"))
@@ -371,6 +415,13 @@ def doc_links(spark, sf_dir):
     return corpus.broken_links(table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), s(i), F.lit(".md")).alias("path"), text.alias("text")))
 
 
+@query()
+def doc_text_links(spark, sf_dir):
+    """Links of the given texts that lead to no document, a document being the page p<doc_id>.md."""
+    path = F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return corpus.broken_links(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+
+
 # --- typed tables and runs
 
 
