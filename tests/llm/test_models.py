@@ -98,6 +98,13 @@ def test_neighbours_match_sql_and_recall(spark):
     assert (joined.score_x == joined.score_y).all()
 
 
+def test_neighbours_bound_is_not_narrowed():
+    """A true neighbour falls outside the bound by chance in less than 0.01 % of cases."""
+    from statistics import NormalDist
+
+    assert 1 - NormalDist().cdf(ann.WIDTH) < 1e-4
+
+
 def test_neighbours_small_blocks_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((300, 24)).astype(np.float32)

@@ -28,7 +28,7 @@ from tidemark.llm.common import materialize
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 16_384
 #: Width of the error bound in standard deviations.
-WIDTH = 3.0
+WIDTH = 4.0
 SEED = 20_240_501
 
 
