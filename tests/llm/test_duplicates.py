@@ -70,11 +70,32 @@ def test_every_link_is_counted(spark, family):
     assert sorted((r.doc_id or -1, r.n_links) for r in jaccard.near_duplicates(odd).collect()) == [(-1, 0), (4, 1), (9, 1), (10, 0)]
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
+    base = [f"w{k}" for k in range(40)]
+    near = lambda k: " ".join([*base[:38], f"x{k}"])
+    other = " ".join(f"v{k}" for k in range(30))
+    rows = [(3, " ".join(base)), (5, near(1)), (5, other), (9, other), (None, other), (7, other + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.lit("x")).withColumn("n", F.lit(0))
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.n_links) for r in jaccard.near_duplicates(df).collect())
+    assert got == [(-1, 26, -1, 0), (3, 36, 3, 1), (5, 26, 5, 2), (5, 35, 3, 1), (7, 27, 5, 2), (9, 26, 5, 2)]
+    kept = sorted((r.doc_id or -1, r.text) for r in jaccard.keep_one(df).collect())
+    assert kept == sorted([(-1, other), (3, rows[0][1]), (5, other)])
+
+
+def test_tiles_and_forests_match_all_pairs(spark, family, monkeypatch):
+    """Small tiles, few cells: the same links."""
+    for name, value in (("TILE", 7), ("TILE_SHINGLES", 900), ("CELLS", 500)):
+        monkeypatch.setattr(jaccard, name, value)
+    df = spark.createDataFrame(family, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+    assert got == brute.jaccard_components(family)
+
+
 def test_links_query_matches_sql(spark):
     c = duckdb.connect()
     c.register("documents", spark.read.parquet(f"{SF}/documents.parquet").toPandas())
     want = {r[0]: r[1:] for r in c.execute(queries.oracle_sql()["op4_links"]).fetchall()}
-    got = queries.op4_links(spark, SF)
+    got = queries.op4_jaccard(spark, SF)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
 
@@ -103,6 +124,39 @@ def test_passages_of_odd_tables(spark):
     assert passages.repeated_passages(some.limit(0)).count() == 0
 
 
+def test_passages_of_one_id_with_several_texts(spark):
+    """Rows are judged by their own words; rows of one id take none from each other."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, one), (5, one), (5, two), (5, two + "\n"), (9, "pre " + two), (9, one + " " + two), (None, two), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("dg", F.lit(1)).withColumn("text_hash", F.lit(None).cast("string"))
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in passages.repeated_passages(df).collect())
+    assert got == [(-1, 60, 0), (3, 60, 0), (5, 60, 0), (5, 60, 0), (5, 60, 60), (9, 61, 60), (9, 120, 120), (10, 0, 0)]
+    out = sorted((r.doc_id or -1, r.text or "") for r in passages.remove_passages(df, passages.repeated_passages(df)).collect())
+    assert out == [(-1, two), (3, one), (5, ""), (5, two), (5, two + "\n"), (9, ""), (9, "pre"), (10, "")]
+
+
+def test_pieces_of_a_shared_head_stay_linear(spark, monkeypatch):
+    """Pairs of documents with one head of 49 words: an anchor of many pieces nominates by windows, with the
+    same result, and long passages are cut into pieces."""
+    head = [f"h{i}" for i in range(49)]
+    rows = []
+    for k in range(30):
+        tail = [f"t{k}x{i}" for i in range(70)]
+        rows += [(2 * k, " ".join(head + tail)), (2 * k + 1, " ".join(head + tail + ["end", str(k)]))]
+    long = [f"l{i}" for i in range(1500)]
+    rows += [(100, " ".join(long)), (101, " ".join(["a", *long[300:], "b"])), (102, " ".join(long[700:749] + long[100:160]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.repeated(rows)
+    sent = []
+    stream = passages._stream
+    monkeypatch.setattr(passages, "_stream", lambda rows, span: (sent.append(rows), stream(rows, span))[1])
+    monkeypatch.setattr(passages, "BUCKET_WORDS", 200)
+    monkeypatch.setattr(passages, "MACHINE_WORDS", 300)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in passages.repeated_passages(df).collect()}
+    assert got == want and sum(v[1] > 0 for v in got.values()) == 32
+    assert sent[0].filter("kind = 0 and doc < 100").count() <= 40
+
+
 def test_window_hashes_tell_windows_apart():
     import numpy as np
 

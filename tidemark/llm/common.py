@@ -23,13 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder of the session (`spark.checkpoint.dir`); one is set only where there is none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", found)
-    return found
+    """Shared folder of the session (`spark.checkpoint.dir`). Where it is unset, a local session (one machine, as
+    in tests) gets a temporary folder of its own; on a cluster that is an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -77,6 +85,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*[F.col(k) for k in keys])
 
 
+#: Groups with at least this share of the rows are joined by broadcast; there are at most as many as its inverse.
+HOT_SHARE = 0.001
+
+
+def join_copies(rows: DataFrame, groups: DataFrame, keys: list[str], copies: str = "copies") -> DataFrame:
+    """`rows` left-joined with one row a group, where `copies` counts the group's rows: a group with a large
+    share of all rows stays out of the shuffle. Both sides are read twice, so they should be written tables."""
+    least = rows.count() * HOT_SHARE
+    hot, rest = groups.filter(F.col(copies) >= least), groups.filter(F.col(copies) < least)
+    found = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys, "left")
+    return found.unionByName(others)
+
+
 #: log2 of the bits of the filter that `prune` broadcasts: 2 MB.
 FILTER_BITS = 24
 

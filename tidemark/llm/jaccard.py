@@ -2,24 +2,28 @@
 
 Each document becomes the set of its distinct shingles. Under one global order, rare shingles first, two
 sets at or above the threshold share a shingle among the first ones of each, their prefixes. Documents
-with the same prefix and size form one group, and only groups are joined: by prefix shingle, with a filter
-on sizes and on the number of shared prefix shingles. Surviving group pairs are expanded to members and
-verified on the whole sets.
+with the same prefix and size form one group, and only groups are joined: by prefix shingle and size class,
+with a filter on the number of prefix shingles that sets of such sizes must share. Groups that meet are
+expanded to members and verified on the whole sets.
 
 Every link is found:
 1. equal sets are one node, with its number of documents;
-2. pairs of groups: sets of similar size must share many prefix shingles, so each group needs to look only
-   under its rarest ones, by as many as it has more than that number; groups that have fewer drop out;
-3. pairs of nodes, across groups and within one, are verified in tiles: nodes that share their smallest
-   candidate partner lie together, and a tile's texts are fetched once for all of its pairs.
-Links of documents are those of their nodes, counted with copies; components follow from the links.
+2. a group looks under its rarest prefix shingles only, by as many as it has more than the number it must
+   share with a partner of the size class; groups that have fewer drop out;
+3. nodes lie in tiles of bounded size, near their smallest possible partner, and tiles rather than nodes are
+   paired: a hot shingle with k nodes gives (k / tile)^2 rows. A pair of tiles is verified at once, as the product
+   of two membership matrices, and returns for each node its number of links and its place in the tiles'
+   forest of links: rows in proportion to nodes, whatever the number of links.
+Links of documents are those of their nodes, counted with copies; components follow from the forests.
 
 The order of shingles is only a matter of speed: a bounded table ranks the most frequent ones last.
 
 Words are runs without space or \\x09-\\x0D after A-Z is lowered. With fewer words than a shingle the whole
 sequence is one shingle. A null, empty or wordless text has an empty set and links with nothing: its
-component is its own id. Equal texts always link. Rows repeating an id keep one row each; rows with a null
-id have no links. Shingles are compared as 64-bit hashes.
+component is its own id. Equal texts always link. Rows are the vertices, so rows that repeat an id keep one
+row each and are judged by their own text (with one id their links to each other count too); rows with a
+null id have no links. Other columns, whatever their names, are ignored. Shingles are compared as 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_HASHES, claim, components, materialize, prune, text_slices, texts, window_hashes
+from tidemark.llm.common import WORD_HASHES, claim, components, join_copies, materialize, prune, text_slices, texts, window_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -38,6 +42,14 @@ PERCENT = 75
 RANKED = 1 << 18
 #: A shingle that occurs this often within one slice of documents counts as frequent.
 LOCAL_REPEATS = 3
+#: Sets that one task remembers having told.
+MEMORY = 200_000
+#: Ratio of neighbouring size classes.
+SIZE_STEP = 1.02
+#: Nodes, and shingles, of a tile, about.
+TILE, TILE_SHINGLES = 256, 250_000
+#: Cells of a membership matrix at a time.
+CELLS = 1 << 21
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -57,70 +69,86 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc, n, digest) of every document, and rows (token, seen) of shingles frequent in a slice."""
+    """Rows (doc, th, n, digest, shingles) of every document, and rows (token, seen) of shingles frequent in a
+    slice. A task tells the shingles of equal sets once; null ids have none told."""
+    names = ["doc", "th", "n", "digest", "shingles", "token", "seen"]
 
     def run(batches):
         claim("words", [WORD_HASHES])
+        told: set[bytes] = set()
         for batch in batches:
-            for part in text_slices(batch, budget=8 << 20):
+            for part in text_slices(batch):
                 sets = [shingle_set(t, size) for t in texts(part)]
                 n = [len(s) for s in sets]
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                raw: list[bytes | None] = []
+                for d, g, s in zip(part.column("doc").to_pylist(), digest, sets, strict=True):
+                    if d is None or not len(s) or g in told:
+                        raw.append(None)
+                        continue
+                    if len(told) >= MEMORY:
+                        told.clear()
+                    told.add(g)
+                    raw.append(s.tobytes())
                 none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), none, none], names=["doc", "n", "digest", "token", "seen"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(raw, pa.binary()), none, none], names=names)
                 if sum(n):
                     token, seen = np.unique(np.concatenate(sets), return_counts=True)
                     token, seen = token[seen >= LOCAL_REPEATS], seen[seen >= LOCAL_REPEATS]
                     k = len(token)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(token.view(np.int64)), pa.array(seen)], names=["doc", "n", "digest", "token", "seen"])
+                    empty = pa.nulls(k, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), empty, empty, pa.array(token.view(np.int64)), pa.array(seen)], names=names)
 
-    return docs.mapInArrow(run, "doc bigint, n int, digest binary, token bigint, seen bigint")
+    return docs.mapInArrow(run, "doc bigint, th bigint, n int, digest binary, shingles binary, token bigint, seen bigint")
 
 
-def _prefixes(docs: DataFrame, ranked: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Rows (token, grp, n): the prefix shingles of each document; and, with doc and digest set, one row a
-    document. `grp` is the hash of size and prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(ranked)
+def _prefixes(sets: DataFrame, ranked: np.ndarray, percent: int) -> DataFrame:
+    """Rows (token, grp, n): the prefix shingles of each group, told once by a task; and, with a negative token and
+    the digest set, one row a set. `grp` is the hash of size and prefix."""
+    held = sets.sparkSession.sparkContext.broadcast(ranked)
 
     def run(batches):
-        claim("words", [WORD_HASHES])
         order = held.value
         keys = np.sort(order)
-        rank = np.argsort(order, kind="stable")
+        rank = np.argsort(order, kind="stable") + 1
+        told: set[int] = set()
         for batch in batches:
-            for part in text_slices(batch):
-                token, grp, count, doc, digest = [], [], [], [], []
-                for d, t in zip(part.column("doc").to_pylist(), texts(part), strict=True):
-                    s = shingle_set(t, size)
-                    n = len(s)
-                    if not n or d is None:
-                        continue
+            for part in text_slices(batch, "shingles"):
+                token, grp, count, digest = [], [], [], []
+                for g128, raw in zip(part.column("digest").to_pylist(), part.column("shingles").to_pylist(), strict=True):
+                    s = np.frombuffer(raw, dtype=np.uint64)
+                    n, k = len(s), prefix_length(len(s), percent)
+                    first = s[:k]
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                        late = np.where(keys[at] == s, rank[at] + 1, 0)
-                        ordered = s[np.argsort(late, kind="stable")]
-                    else:
-                        ordered = s
-                    first = ordered[: prefix_length(n, percent)]
+                        common = keys[at] == s
+                        if common[:k].any():
+                            late = np.flatnonzero(common)
+                            late = late[np.argsort(rank[at[late]], kind="stable")]
+                            first = np.concatenate([s[~common], s[late]])[:k]
                     g = xxhash.xxh64_intdigest(np.append(first, np.uint64(n)).tobytes()) >> 1
-                    token.append((first >> np.uint64(8)).astype(np.int64))
-                    token.append(np.array([-1 - (xxhash.xxh64_intdigest(str(d)) >> 1)], dtype=np.int64))
-                    k = len(first) + 1
-                    grp.append(np.full(k, g, dtype=np.int64))
-                    count.append(np.full(k, n, dtype=np.int32))
-                    doc += [None] * (k - 1) + [d]
-                    digest += [None] * (k - 1) + [xxhash.xxh3_128_digest(s.tobytes())]
+                    new = g not in told
+                    if new:
+                        if len(told) >= MEMORY:
+                            told.clear()
+                        told.add(g)
+                        token.append((first >> np.uint64(8)).astype(np.int64))
+                    token.append(np.array([-1 - (xxhash.xxh64_intdigest(g128) >> 1)], dtype=np.int64))
+                    rows = k + 1 if new else 1
+                    grp.append(np.full(rows, g, dtype=np.int64))
+                    count.append(np.full(rows, n, dtype=np.int32))
+                    digest += [None] * (rows - 1) + [g128]
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(grp)), pa.array(np.concatenate(count)), pa.array(doc, pa.int64()), pa.array(digest, pa.binary())], names=["token", "grp", "n", "doc", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(grp)), pa.array(np.concatenate(count)), pa.array(digest, pa.binary())], names=["token", "grp", "n", "digest"])
 
-    return docs.mapInArrow(run, "token bigint, grp bigint, n int, doc bigint, digest binary")
+    return sets.mapInArrow(run, "token bigint, grp bigint, n int, digest binary")
 
 
 def _shared_tokens(rows: DataFrame) -> DataFrame:
-    """From rows sorted by token, then group: one row a document as it is, and (token, grp, n) of tokens
+    """From rows sorted by token, then group: one row a set as it is, and (token, grp, n) of tokens
     that more than one group has. Streams; a token's groups are never held together."""
 
-    names = ["token", "grp", "n", "doc", "digest"]
+    names = ["token", "grp", "n", "digest"]
 
     def run(batches):
         held = None  # of the token that is open: token, first group and its size, last group, whether the first is told
@@ -149,33 +177,18 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
             held = (int(token[-1]), int(grp[at[-1]]), int(n[at[-1]]), int(grp[-1]), bool(size[-1] > 1))
             if keep.any():
                 k = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(grp[keep]), pa.array(n[keep], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(grp[keep]), pa.array(n[keep], pa.int32()), pa.nulls(k, pa.binary())], names=names)
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "grp")
-    return dealt.mapInArrow(run, "token bigint, grp bigint, n int, doc bigint, digest binary")
-
-
-def _sizes_fit(a: str, b: str, percent: int):
-    return F.expr(f"100L * least({a}, {b}) >= {percent}L * greatest({a}, {b})")
-
-
-def _overlap_fits(shared: str, a: str, b: str, percent: int):
-    """Whether `shared` common prefix shingles and all that may follow reach the needed overlap."""
-    rest = f"(greatest({a}, {b}) * {percent}L + 99) div 100 - 1"
-    return F.expr(f"({100 + percent}L) * ({shared} + {rest}) >= {percent}L * ({a} + {b})")
-
-
-#: Ratio of neighbouring size classes.
-SIZE_STEP = 1.02
+    return dealt.mapInArrow(run, "token bigint, grp bigint, n int, digest binary")
 
 
 def _probes(tokens: DataFrame, percent: int) -> DataFrame:
-    """Of rows (token, grp, n): those that have to be joined, as (token, grp, n, own, other, rest).
+    """Of rows (token, grp, n): those that have to be joined, as (token, grp, own, other).
 
     `own` is the size class of the group, `other` one in which the token has another group. A partner
     from that class must share at least `need` of the group's tokens there; of `have` tokens, the rarest
-    `have - need + 1` include the first shared one under one common order. `rest` counts the token and those
-    after it: no pair whose first shared token this is can share more."""
+    `have - need + 1` include the first shared one under one common order."""
     spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
     rows = materialize(tokens.join(spread, "token").withColumn("own", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")), "sized")
     classes = rows.groupBy("token", F.col("own").alias("other")).agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
@@ -190,99 +203,162 @@ def _probes(tokens: DataFrame, percent: int) -> DataFrame:
     group = Window.partitionBy("grp", "other")
     ranked = near.withColumn("have", F.count("*").over(group)).withColumn("need", F.greatest(F.lit(1), F.least(need(low), need(high)))).filter("have >= need")
     ranked = ranked.withColumn("k", F.row_number().over(group.orderBy("df", "token")))
-    return ranked.filter("k <= have - need + 1").select("token", "grp", "n", "own", "other", (F.col("have") - F.col("k") + 1).alias("rest"))
-
-
-#: Nodes of a tile, about.
-TILE = 128
-
-
-def _tiled(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with `tile`, the pair of tiles they lie in."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    head = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("head")), "heads")
-    parts = head.groupBy("head").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    of = head.join(parts, "head").select("node", F.xxhash64("head", F.pmod(F.xxhash64("node"), "parts")).alias("t"))
-    of_a, of_b = of.select(F.col("node").alias("a"), F.col("t").alias("ta")), of.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-    both = pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b")
-    return both.select("a", "b", F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile"))
-
-
-def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the threshold. Texts are fetched for documents in pairs
-    only, once a pair of tiles.
-
-    Both sides of these joins grow with the input, so they are merge joins at every size."""
-    pairs = materialize(_tiled(pairs), "tiled")
-    places = materialize(pairs.select("tile", F.col("a").alias("doc")).unionByName(pairs.select("tile", F.col("b").alias("doc"))).distinct(), "places")
-    needed = places.select("doc").distinct()
-    found = prune(docs, needed, "doc").join(needed.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])
-    held = places.join(found.hint("merge"), "doc").select("tile", F.col("doc").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
-    rows = held.unionByName(pairs.select("tile", "a", "b", F.lit(None).cast("string").alias("text")))
+    return ranked.filter("k <= have - need + 1").select("token", "grp", "own", "other")
+
+
+def _tiles(probes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): the tile of each node that may have a link, and the pairs of tiles ta <= tb to verify.
+
+    Rows that meet share (token, lower class, upper class) and come from both classes. A group lies with the
+    smallest group that it meets; a tile is a part of the nodes that lie together."""
+    sides = probes.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "grp", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high"))
+    meets = sides.groupBy("token", "lo", "hi").agg(F.min("grp").alias("first"), F.max("grp").alias("last"), F.max("low").alias("l"), F.max("high").alias("h")).filter("first < last and l and h")
+    met = materialize(sides.join(meets.select("token", "lo", "hi", "first"), ["token", "lo", "hi"]), "met")
+    heads = met.groupBy("grp").agg(F.min("first").alias("head"))
+    several = nodes.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp", F.col("grp").alias("head"))
+    heads = heads.unionByName(several).groupBy("grp").agg(F.min("head").alias("head"))
+    placed = materialize(nodes.join(heads.hint("merge"), "grp"), "placed")
+    parts = placed.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
+    members = placed.join(parts.hint("merge"), "head").select("grp", "digest", "n", "copies", F.xxhash64("head", F.pmod(F.xxhash64("digest"), "parts")).alias("tile"))
+    members = materialize(members, "members")
+    of = members.select("grp", "tile").distinct()
+    found = met.join(of.hint("merge"), "grp").groupBy("token", "lo", "hi", "tile").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    found = materialize(found, "found")
+    a, b = (found.filter(side).select("token", "lo", "hi", F.col("tile").alias(t)) for side, t in (("low", "ta"), ("high", "tb")))
+    across = a.join(b.hint("merge"), ["token", "lo", "hi"]).select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb"))
+    own = of.join(several.select("grp").hint("merge"), "grp")
+    inside = own.select("grp", F.col("tile").alias("ta")).join(own.select("grp", F.col("tile").alias("tb")).hint("merge"), "grp").filter("ta <= tb").select("ta", "tb")
+    return members, materialize(across.unionByName(inside).distinct(), "tiles")
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of the sets of `left` and `right` at or above the threshold; of `left` alone, i < j, without `right`."""
+    sets = left + (right or [])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    token, number = np.unique(np.concatenate(sets), return_inverse=True)
+    node = np.repeat(np.arange(len(sets)), sizes)
+    cut = len(left)
+    if right is None:
+        keep = np.bincount(number, minlength=len(token)) > 1
+    else:
+        here = np.bincount(number[node < cut], minlength=len(token)) > 0
+        keep = here & (np.bincount(number[node >= cut], minlength=len(token)) > 0)
+    column = np.cumsum(keep) - 1
+    use = keep[number]
+    node, number = node[use], column[number[use]]
+    rows, cols = cut, len(sets) - cut if right is not None else cut
+    common = np.zeros((rows, cols), dtype=np.float32)
+    step = max(1, CELLS // len(sets))
+    order = np.argsort(number, kind="stable")
+    node, number = node[order], number[order]
+    for start in range(0, int(keep.sum()), step):
+        x, y = np.searchsorted(number, [start, start + step])
+        cells = np.zeros((len(sets), step), dtype=np.float32)
+        cells[node[x:y], number[x:y] - start] = 1
+        common += cells[:cut] @ (cells[cut:] if right is not None else cells).T
+    n = sizes[:cut, None] + (sizes[cut:] if right is not None else sizes)[None, :]
+    linked = (common > 0) & ((100 + percent) * common.astype(np.int64) >= percent * n)
+    return np.nonzero(np.triu(linked, 1) if right is None else linked)
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one reachable over the links."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def verify(members: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, others, root) for each node with links in a pair of tiles: the documents it links with there, and a
+    node of the pair of tiles that its links lead to. A tile's sets are fetched once for each of its pairs."""
+    needed = members.select("digest", "tile", "copies")
+    key = F.xxhash64("digest").alias("key")
+    told = prune(sets.select("digest", "shingles", key), needed.select(key), "key").drop("key")
+    held = told.join(needed.hint("merge"), "digest").dropDuplicates(["digest"])
+    held = materialize(held, "held")
+    # both sides grow with the input, so these are merge joins at every size
+    sent = [pairs.withColumn("tile", F.col(t)).join(held.hint("merge"), "tile").select("ta", "tb", F.lit(side).alias("side"), "digest", "copies", "shingles") for side, t in ((0, "ta"), (1, "tb"))]
+    rows = sent[0].unionByName(sent[1].filter("ta < tb"))
+    names = ["node", "others", "root"]
+
+    def solve(left, right):
+        sets = [np.frombuffer(s, dtype=np.uint64) for _, _, s in left + right]
+        ids, copies = [g for g, _, _ in left + right], np.array([c for _, c, _ in left + right], dtype=np.int64)
+        i, j = alike(sets[: len(left)], sets[len(left) :] if right else None, percent)
+        if not len(i):
+            return None
+        j = j + len(left) if right else j
+        others = np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))
+        root = _forest(len(ids), i, j)
+        at = np.unique(np.concatenate([i, j])).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in at], pa.binary()), pa.array(others[at].astype(np.int64)), pa.array([ids[root[k]] for k in at], pa.binary())], names=names)
 
     def run(batches):
-        claim("words", [WORD_HASHES])
-        tile, sets = None, {}
+        open_pair, left, right = None, [], []
         for batch in batches:
-            a, b = [], []
-            for part in text_slices(batch):
-                for t, x, y, text in zip(part.column("tile").to_pylist(), part.column("a").to_pylist(), part.column("b").to_pylist(), texts(part), strict=True):
-                    if t != tile:
-                        tile, sets = t, {}
-                    if y is None:
-                        sets[x] = shingle_set(text, size)
-                        continue
-                    u, v = sets[x], sets[y]
-                    n = len(np.intersect1d(u, v, assume_unique=True))
-                    if n > 0 and 100 * n >= percent * (len(u) + len(v) - n):
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for part in text_slices(batch, "shingles"):
+                for ta, tb, side, g, c, s in zip(*(part.column(x).to_pylist() for x in ("ta", "tb", "side", "digest", "copies", "shingles")), strict=True):
+                    if (ta, tb) != open_pair:
+                        if left and (right or open_pair[0] == open_pair[1]) and (out := solve(left, right)) is not None:
+                            yield out
+                        open_pair, left, right = (ta, tb), [], []
+                    (right if side else left).append((g, c, s))
+        if left and (right or open_pair[0] == open_pair[1]) and (out := solve(left, right)) is not None:
+            yield out
 
-    # a tile's texts come before its pairs
-    dealt = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
-    return materialize(dealt.mapInArrow(run, "a bigint, b bigint"), "links")
+    dealt = rows.repartition("ta", "tb").sortWithinPartitions("ta", "tb")
+    return materialize(dealt.mapInArrow(run, "node binary, others bigint, root binary"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, `n_shingles`, `component_id`, the smallest id reachable by links, and `n_links`,
-    the number of other documents it links with."""
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    """One row per document: id, `n_shingles`, `component_id`, the smallest id reachable by links, `n_links`, the
+    number of other documents it links with, and `text_hash`, which tells texts of one id apart."""
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     first = materialize(_sets(slim, size), "sets")
-    heads = first.filter("n is not null").select("doc", "n", "digest")
+    heads = first.filter("n is not null").select("doc", "th", "n", "digest")
     common = first.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.col("seen").desc(), "token").limit(RANKED)
     ranked = common.orderBy("seen", "token").select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64)
 
-    shared = materialize(_shared_tokens(_prefixes(slim, ranked, size, percent)), "tokens")
-    # equal sets are one node, named by its smallest document
-    nodes = materialize(shared.filter("doc is not null").select("grp", "n", "digest", "doc").distinct().groupBy("grp", "n", "digest").agg(F.min("doc").alias("node"), F.count("*").alias("copies")), "nodes")
-
-    probes = materialize(_probes(shared.filter("doc is null").select("token", "grp", "n"), percent), "probes")
-    left = probes.select("token", F.col("own").alias("x"), F.col("other").alias("y"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("rest").alias("ra"))
-    right = probes.select("token", F.col("other").alias("x"), F.col("own").alias("y"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
-    together = (F.col("ga") < F.col("gb")) & _sizes_fit("na", "nb", percent) & _overlap_fits("least(ra, rb)", "na", "nb", percent)
-    met = left.join(right, ["token", "x", "y"]).filter(together).select("ga", "gb").distinct()
-    member = nodes.select("grp", "node")
-    of_a, of_b = member.select(F.col("grp").alias("ga"), F.col("node").alias("a")), member.select(F.col("grp").alias("gb"), F.col("node").alias("b"))
-    across = met.join(of_a.hint("merge"), "ga").join(of_b.hint("merge"), "gb").select("a", "b")
-    inside = member.join(member.select("grp", F.col("node").alias("b")), "grp").select(F.col("node").alias("a"), "b").filter("a < b")
-    pairs = materialize(across.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "pairs")
-    links = verify(pairs, slim, size, percent)
-
-    weight = nodes.groupBy(F.col("node").alias("b")).agg(F.max("copies").alias("w"))
-    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ways.join(weight.hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("others"))
-    final = degree.join(components(links), "node")
-
-    # back to documents: digest and size name the node
-    by_set = nodes.join(final, "node", "left").select("n", "digest", F.coalesce("component", "node").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = heads.join(by_set, ["n", "digest"], "left")
-    own_id = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component", "doc"))
-    n_links = F.when(F.col("doc").isNull() | (F.col("n") == 0), F.lit(0)).otherwise(F.coalesce("links", F.lit(0))).cast("bigint")
-    return out.select(F.col("doc").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc").isNotNull(), own_id).alias("component_id"), n_links.alias("n_links"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` that are the smallest id of their component; rows without an id stay."""
-    gone = near_duplicates(docs, id_col=id_col, **options).filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    sets = first.filter("shingles is not null").select("digest", "shingles")
+    shared = materialize(_shared_tokens(_prefixes(sets, ranked, percent)), "tokens")
+    # equal sets are one node
+    counts = heads.filter("doc is not null and n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
+    nodes = materialize(shared.filter("digest is not null").select("grp", "n", "digest").distinct().join(counts.hint("merge"), "digest"), "nodes")
+
+    probes = materialize(_probes(shared.filter("digest is null").select("token", "grp", "n"), percent), "probes")
+    members, pairs = _tiles(probes, nodes)
+    found = verify(members, pairs, sets, percent)
+    degree = found.groupBy("node").agg(F.sum("others").alias("others"))
+    of = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = materialize(degree.join(of.hint("merge"), "node").join(nodes.select(F.col("digest").alias("node"), "doc").hint("merge"), "node"), "linked")
+    smallest = linked.groupBy("component").agg(F.min("doc").alias("lowest"))
+    final = linked.join(smallest.hint("merge"), "component").select(F.col("node").alias("digest"), "lowest", "others")
+
+    # back to documents: the digest names the node
+    by_set = nodes.join(final.hint("merge"), "digest", "left").filter("copies > 1 or lowest is not null")
+    by_set = by_set.select("digest", "copies", F.coalesce("lowest", "doc").alias("lowest"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = join_copies(heads, materialize(by_set, "classes"), ["digest"])
+    known = F.col("doc").isNotNull()
+    return out.select(
+        F.col("doc").alias(id_col),
+        F.col("n").cast("bigint").alias("n_shingles"),
+        F.when(known, F.coalesce("lowest", "doc")).alias("component_id"),
+        F.when(known, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
+        F.col("th").alias("text_hash"),
+    )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that hold the smallest id of their component, with all columns; rows without an id stay, and
+    so do all rows that repeat the smallest id within one component. Rows are matched by id and text."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter(F.col("component_id") < F.col(id_col))
+    gone = gone.select(F.col(id_col).alias("_tm_id"), F.coalesce("text_hash", F.lit(0)).alias("_tm_th")).distinct()
+    same = (docs[id_col].cast("bigint") == F.col("_tm_id")) & (F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)) == F.col("_tm_th"))
+    return docs.join(gone, same, "left_anti").select(docs.columns)
