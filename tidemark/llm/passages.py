@@ -1,183 +1,252 @@
 """Removal of repeated passages with automata over confirmed phrases.
 
 1. Every document is fingerprinted: of any `SPAN` - `GRAM` + 1 consecutive word n-grams the smallest hash is
-   an anchor, so two documents that share `SPAN` words share an anchor. A document keeps each anchor once.
-2. Anchors that more than one document has make suspects. For one document of each set of equal texts, the
-   suspect windows (those whose anchor recurs) are hashed and aggregated to their smallest document; a
-   window that a second document has is confirmed.
-3. Confirmed windows of their smallest document join to passages. Blocks of each passage, laid so that
-   every window holds one, become the phrases of an Aho-Corasick automaton over word numbers. Suspects are
-   dealt over buckets; a bucket's automaton holds the passages its documents can contain, and the
-   documents stream through it. Each hit is extended word by word against the passage; matches of at least
-   `SPAN` words from a smaller document are removed.
+   an anchor, so two documents that share `SPAN` words share an anchor. Of documents with equal words one,
+   the smallest, speaks for all; the others lose every word and go no further.
+2. Anchors that texts with different words share make suspects. Their suspect windows (those whose anchor
+   recurs) are hashed and aggregated to their smallest document; a window that a second document has is
+   confirmed.
+3. Confirmed windows of their smallest document join to passages, cut to pieces of bounded length that
+   overlap by a window. Blocks of each piece, laid so that every window holds one, become the phrases of an
+   Aho-Corasick automaton over words. Suspects are dealt over buckets; a bucket's automaton holds the pieces
+   that its documents share an anchor with (for anchors of many pieces: a confirmed window), and the documents
+   stream through it. Each hit is extended word by word against the piece; matches of at least `SPAN` words
+   from a smaller document are removed.
 
 Hashes only nominate: what is removed has matched word by word. Frequent anchors and windows are
 aggregated before they are joined, and no set of all occurrences is gathered anywhere.
 
 Words are runs without space or \\x09-\\x0D, unchanged. Null, empty and short texts have no window and lose
-nothing. Rows with a null id, and rows repeating an id, never lose words to each other but are measured
-against smaller ids. Other columns are ignored. An empty table gives no rows.
+nothing. Rows are judged one by one: rows with a null id lose nothing and take nothing; rows that repeat an
+id, with one text or several, never take words from each other but lose them to smaller ids. Other columns,
+whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_HASHES, claim, materialize, prune, text_slices, texts, window_hashes
+from tidemark.llm.common import WORD_HASHES, claim, join_copies, materialize, prune, text_slices, texts, window_hashes
 
 #: Words of a window, and of an anchor n-gram.
 SPAN = 50
 GRAM = 12
-#: Words of an automaton's phrase; passages are cut every SPAN - BLOCK + 1 words.
+#: Words of an automaton's phrase; pieces are cut every SPAN - BLOCK + 1 words.
 BLOCK = 25
+#: New words of a piece; it has SPAN - 1 more that the next one repeats.
+PIECE = 400
+#: Pieces that an anchor may have to nominate them by itself; beyond, windows do.
+FEW_PIECES = 8
 #: Words of suspect documents that one bucket has, about.
-BUCKET_WORDS = 400_000
+BUCKET_WORDS = 300_000
+#: Texts that one task remembers having fingerprinted.
+MEMORY = 200_000
+_RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def split_words(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def anchors(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the words' hashes: the anchor position of every window, and the n-gram hashes."""
-    grams = window_hashes(hashes, GRAM)
-    width = span - GRAM + 1
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Smallest of every `width` consecutive values."""
+    step, low = 1, values
+    while 2 * step <= width:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    rest = width - step
+    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+
+
+def anchors(hashes: np.ndarray, span: int) -> np.ndarray:
+    """The anchor of every window, from the words' hashes."""
     if len(hashes) < span:
-        return np.empty(0, np.int64), grams
-    return sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1), grams
+        return np.empty(0, np.int64)
+    return sliding_min(window_hashes(hashes, GRAM), span - GRAM + 1).view(np.int64)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values of an array with long runs."""
+    return np.unique(values[np.append(True, values[1:] != values[:-1])]) if len(values) else values
 
 
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _key(digest: str) -> int:
+    """64 bits of a digest; with the id, it names a text."""
+    return int(digest[:16], 16) - (1 << 63)
+
+
 def fingerprints(docs: DataFrame, span: int) -> DataFrame:
-    """Rows (doc, anchor), each anchor of a document once, and one row a document with `n_words` and `digest`
-    of its words."""
+    """Rows (doc, dg, anchor), each anchor of a text once, and one row a document (doc, dg, th, n_words, digest).
+
+    A task tells the anchors of equal texts once, and again when a smaller id turns up."""
 
     def run(batches):
         claim("words", [WORD_HASHES])
+        told: dict[int, int] = {}
         for batch in batches:
             for part in text_slices(batch):
-                doc, anchor, n_words, digest = [], [], [], []
+                doc, key, anchor, size = [], [], [], []
+                n_words, digest = [], []
                 for d, text in zip(part.column("doc").to_pylist(), texts(part), strict=True):
                     words = split_words(text)
-                    head = 1
-                    if len(words) >= span and d is not None:
-                        at, grams = anchors(WORD_HASHES.of(words), span)
-                        mine = np.unique(grams[at]).view(np.int64)
-                        anchor.append(mine)
-                        head += len(mine)
-                    anchor.append(np.zeros(1, np.int64))
-                    doc += [d] * head
-                    n_words += [None] * (head - 1) + [len(words)]
-                    digest += [None] * (head - 1) + [_digest(words)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.concatenate(anchor)), pa.array(n_words, pa.int64()), pa.array(digest, pa.string())], names=["doc", "anchor", "n_words", "digest"])
+                    n_words.append(len(words))
+                    digest.append(_digest(words))
+                    if len(words) < span or d is None:
+                        continue
+                    k = _key(digest[-1])
+                    if told.get(k, d + 1) <= d:
+                        continue
+                    if len(told) >= MEMORY:
+                        told.clear()
+                    told[k] = d
+                    mine = _distinct(anchors(WORD_HASHES.of(words), span))
+                    anchor.append(mine)
+                    doc.append(d)
+                    key.append(k)
+                    size.append(len(mine))
+                n = part.num_rows
+                none = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([_key(g) for g in digest], pa.int64()), none, part.column("th"), pa.array(n_words, pa.int64()), pa.array(digest, pa.string())], names=_PRINT)
+                if doc:
+                    k = sum(size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(doc, np.int64), size)), pa.array(np.repeat(np.array(key, np.int64), size)), pa.array(np.concatenate(anchor)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string())], names=_PRINT)
+
+    return docs.mapInArrow(run, "doc bigint, dg bigint, anchor bigint, th bigint, n_words bigint, digest string")
+
 
-    return docs.mapInArrow(run, "doc bigint, anchor bigint, n_words bigint, digest string")
+_PRINT = ["doc", "dg", "anchor", "th", "n_words", "digest"]
 
 
 def _windows(suspects: DataFrame, span: int) -> DataFrame:
-    """(anchor, win, doc, pos, copied) of the suspect windows."""
+    """(anchor, win, doc, dg, pos) of the suspect windows."""
 
     def run(batches):
         claim("words", [WORD_HASHES])
         for batch in batches:
             for part in text_slices(batch):
                 out = []
-                for d, text, marks, copied in zip(part.column("doc").to_pylist(), texts(part), part.column("marks"), part.column("copied").to_pylist(), strict=True):
+                for d, g, text, marks in zip(part.column("doc").to_pylist(), part.column("dg").to_pylist(), texts(part), part.column("marks"), strict=True):
                     h = WORD_HASHES.of(split_words(text))
-                    at, grams = anchors(h, span)
-                    pos = np.flatnonzero(np.isin(grams[at].view(np.int64), marks.values.to_numpy()))
+                    at = anchors(h, span)
+                    pos = np.flatnonzero(np.isin(at, marks.values.to_numpy()))
                     if len(pos):
-                        out.append((grams[at[pos]].view(np.int64), window_hashes(h, span)[pos].view(np.int64), np.full(len(pos), d), pos, np.full(len(pos), copied)))
+                        out.append((at[pos], window_hashes(h, span)[pos].view(np.int64), np.full(len(pos), d), np.full(len(pos), g), pos))
                 if out:
-                    a, w, d, p, c = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(c, pa.bool_())], names=["anchor", "win", "doc", "pos", "copied"])
+                    a, w, d, g, p = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(d, pa.int64()), pa.array(g, pa.int64()), pa.array(p, pa.int32())], names=["anchor", "win", "doc", "dg", "pos"])
 
-    return suspects.mapInArrow(run, "anchor bigint, win bigint, doc bigint, pos int, copied boolean")
+    return suspects.mapInArrow(run, "anchor bigint, win bigint, doc bigint, dg bigint, pos int")
 
 
-def _passages(owners: DataFrame, span: int) -> DataFrame:
-    """From rows (doc, text, starts): rows (doc, start, words) of each passage and (doc, start, anchor) of its anchors."""
+def _pieces(owners: DataFrame, span: int) -> DataFrame:
+    """From rows (doc, dg, text, starts): rows (doc, dg, start, words) of each piece of a passage and
+    (doc, dg, start, anchor) of its anchors."""
 
     def run(batches):
         claim("words", [WORD_HASHES])
         for batch in batches:
             for part in text_slices(batch):
-                doc, start, words_out, anchor = [], [], [], []
-                for d, text, starts in zip(part.column("doc").to_pylist(), texts(part), part.column("starts"), strict=True):
+                doc, key, start, words_out, anchor = [], [], [], [], []
+                for d, g, text, starts in zip(part.column("doc").to_pylist(), part.column("dg").to_pylist(), texts(part), part.column("starts"), strict=True):
                     words = split_words(text)
                     at = np.unique(starts.values.to_numpy())
-                    at = at[at <= len(words) - span]
-                    if not len(at):
-                        continue
                     cut = np.flatnonzero(np.diff(at) > span)
-                    begins, ends = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + span
-                    chosen, grams = anchors(WORD_HASHES.of(words), span)
-                    chosen = np.unique(chosen)
-                    for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-                        mine = np.unique(grams[chosen[(chosen >= b) & (chosen + GRAM <= e)]]).view(np.int64)
-                        k = len(mine) + 1
-                        doc += [d] * k
-                        start += [b] * k
-                        words_out += [b" ".join(words[b:e]).decode()] + [None] * (k - 1)
-                        anchor += [None, *mine.tolist()]
+                    mine = anchors(WORD_HASHES.of(words), span)
+                    for b, e in zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True):
+                        for x in range(b, e + 1, PIECE):
+                            y = min(x + PIECE, e + 1)
+                            its = _distinct(mine[x:y])
+                            k = len(its) + 1
+                            doc += [d] * k
+                            key += [g] * k
+                            start += [x] * k
+                            words_out += [b" ".join(words[x : y + span - 1]).decode()] + [None] * (k - 1)
+                            anchor += [None, *its.tolist()]
                 if doc:
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(words_out, pa.string()), pa.array(anchor, pa.int64())], names=["doc", "start", "words", "anchor"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(words_out, pa.string()), pa.array(anchor, pa.int64())], names=["doc", "dg", "start", "words", "anchor"])
+
+    return owners.mapInArrow(run, "doc bigint, dg bigint, start int, words string, anchor bigint")
+
 
-    return owners.mapInArrow(run, "doc bigint, start int, words string, anchor bigint")
+#: Code points from here on stand for words; none is a surrogate. One automaton takes pieces of as many words,
+#: about, so that they always suffice.
+_FIRST = 0xE000
+MACHINE_WORDS = 500_000
 
 
 class PhraseAutomaton:
-    """Automaton over word numbers of the blocks of some passages."""
-
-    def __init__(self, passages: list[tuple[int, list[bytes]]], span: int):
-        self.span, self.vocab = span, {}
-        self.owner = [d for d, _ in passages]
-        number = self.vocab.setdefault
-        self.passages = [np.array([number(w, len(self.vocab) + 1) for w in ws], dtype=np.int64) for _, ws in passages]
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, ids in enumerate(self.passages):
-            for at in range(0, len(ids) - BLOCK + 1, span - BLOCK + 1):
-                places.setdefault(tuple(ids[at : at + BLOCK].tolist()), []).append((k, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    """Automaton over the blocks of some pieces; a word is one letter."""
+
+    def __init__(self, pieces: list[tuple[int, list[bytes]]], span: int):
+        self.span, self.letter = span, {}
+        self.owner = [d for d, _ in pieces]
+        places: dict[str, list[tuple[int, int]]] = {}
+        letter = self.letter
+        self.pieces = []
+        for k, (_, words) in enumerate(pieces):
+            for w in words:
+                if w not in letter:
+                    letter[w] = chr(_FIRST + len(letter) + 1)
+            line = "".join(map(letter.__getitem__, words))
+            self.pieces.append(self._numbers(line))
+            for at in range(0, len(words) - BLOCK + 1, span - BLOCK + 1):
+                places.setdefault(line[at : at + BLOCK], []).append((k, at))
+        self.automaton = ahocorasick.Automaton()
         for block, where in places.items():
             self.automaton.add_word(block, where)
         if places:
             self.automaton.make_automaton()
         self.empty = not places
 
+    @staticmethod
+    def _numbers(line: str) -> np.ndarray:
+        return np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32)
+
     def covered(self, doc: int, words: list[bytes]) -> np.ndarray:
-        """Which words lie in a window that a smaller document's passage has."""
+        """Which words lie in a window that a smaller document's piece has."""
         out = np.zeros(len(words), dtype=bool)
         if self.empty or len(words) < self.span:
             return out
-        get = self.vocab.get
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
+        line = "".join(map(self.letter.get, words, repeat(chr(_FIRST))))
+        ids = None
         reached: dict[tuple[int, int], int] = {}
         reach = self.span - BLOCK
-        for end, where in self.automaton.iter(tuple(ids.tolist())):
+        for end, where in self.automaton.iter(line):
             at = end - BLOCK + 1
             if out[max(0, at - reach) : end + 1 + reach].all():
                 continue
+            if ids is None:
+                ids = self._numbers(line)
             for k, block_at in where:
                 if self.owner[k] >= doc or reached.get((k, at - block_at), -1) > at:
                     continue
-                left, right = _extent(ids, at, self.passages[k], block_at)
+                left, right = _extent(ids, at, self.pieces[k], block_at)
                 reached[(k, at - block_at)] = right
                 if right - left >= self.span:
                     out[left:right] = True
         return out
 
 
+def _machines(pieces: list[tuple[int, list[bytes]]], span: int) -> list[PhraseAutomaton]:
+    """Automata over the pieces, each of about `MACHINE_WORDS` words."""
+    if not pieces:
+        return []
+    part = np.cumsum([len(w) for _, w in pieces]) // MACHINE_WORDS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pieces)]
+    return [PhraseAutomaton(pieces[a:b], span) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _extent(x: np.ndarray, i: int, y: np.ndarray, j: int) -> tuple[int, int]:
     """How far x around i and y around j are equal: the range in x."""
     n = min(len(x) - i, len(y) - j)
@@ -189,75 +258,104 @@ def _extent(x: np.ndarray, i: int, y: np.ndarray, j: int) -> tuple[int, int]:
 
 
 def _stream(rows: DataFrame, span: int) -> DataFrame:
-    """Rows sorted by bucket, passages before documents: each bucket's passages are compiled, then its
-    documents pass by. Gives (doc, digest, n_removed, removed, kept_digest) of documents that lose words."""
+    """Rows sorted by bucket, pieces before documents: each bucket's pieces are compiled, then its
+    documents pass by. Gives (doc, dg, n_removed, removed, kept_digest) of documents that lose words."""
+    names = ["doc", "dg", "n_removed", "removed", "kept_digest"]
 
     def run(batches):
-        bucket, passages, machine = None, [], None
+        bucket, pieces, machines = None, [], None
         for batch in batches:
             for part in text_slices(batch):
                 out = []
-                for b, kind, d, text in zip(part.column("bucket").to_pylist(), part.column("kind").to_pylist(), part.column("doc").to_pylist(), texts(part), strict=True):
+                for b, kind, d, g, text in zip(part.column("bucket").to_pylist(), part.column("kind").to_pylist(), part.column("doc").to_pylist(), part.column("dg").to_pylist(), texts(part), strict=True):
                     if b != bucket:
-                        bucket, passages, machine = b, [], None
-                    words = split_words(text)
+                        bucket, pieces, machines = b, [], None
                     if kind == 0:
-                        passages.append((d, words))
+                        pieces.append((d, split_words(text)))
+                        continue
+                    if machines is None:
+                        machines, pieces = _machines(pieces, span), []
+                    if not machines:
                         continue
-                    if machine is None:
-                        machine = PhraseAutomaton(passages, span)
-                    gone = machine.covered(d, words)
+                    words = split_words(text)
+                    gone = np.logical_or.reduce([m.covered(d, words) for m in machines])
                     if gone.any():
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
-                        out.append((d, _digest(words), int(gone.sum()), [{"start": a, "end": e} for a, e in edge.tolist()], _digest([w for w, g in zip(words, gone.tolist(), strict=True) if not g])))
+                        out.append((d, g, int(gone.sum()), [{"start": a, "end": e} for a, e in edge.tolist()], _digest([w for w, x in zip(words, gone.tolist(), strict=True) if not x])))
                 if out:
                     d, g, n, r, k = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(g, pa.string()), pa.array(n, pa.int64()), pa.array(r, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(k, pa.string())], names=["doc", "digest", "n_removed", "removed", "kept_digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(r, _RANGES), pa.array(k, pa.string())], names=names)
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "doc")
-    return dealt.mapInArrow(run, "doc bigint, digest string, n_removed bigint, removed array<struct<start:int,end:int>>, kept_digest string")
+    return dealt.mapInArrow(run, "doc bigint, dg bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept_digest string")
+
+
+def _routes(points: DataFrame, seeds: DataFrame, confirmed: DataFrame, suspects: DataFrame, bucket, span: int) -> DataFrame:
+    """(bucket, owner, owner_dg, start): the pieces that a bucket's documents may contain. An anchor of few
+    pieces nominates them all; under an anchor of many, only pieces of which a document has a window."""
+    each = seeds.groupBy("anchor").agg(F.count("*").alias("pieces"))
+    few, many = each.filter(F.col("pieces") <= FEW_PIECES).select("anchor"), each.filter(F.col("pieces") > FEW_PIECES).select("anchor")
+    last = points.withColumn("bucket", bucket).groupBy("anchor", "bucket").agg(F.max("doc").alias("last"))
+    by_anchor = last.join(few, "anchor").join(seeds, "anchor").filter("owner < last").select("bucket", "owner", "owner_dg", "start")
+    marks = points.join(many, "anchor").groupBy("doc", "dg").agg(F.collect_set("anchor").alias("marks"))
+    wide = _windows(suspects.select("doc", "dg", "text").join(marks, ["doc", "dg"]), span)
+    last = wide.withColumn("bucket", bucket).groupBy("anchor", "win", "bucket").agg(F.max("doc").alias("last"))
+    owned = confirmed.select("anchor", "win", F.col("doc").alias("owner"), F.col("dg").alias("owner_dg"))
+    by_window = last.join(owned, ["anchor", "win"]).filter("owner < last").select("anchor", "bucket", "owner", "owner_dg").distinct().join(seeds, ["anchor", "owner", "owner_dg"])
+    return by_anchor.unionByName(by_window.select("bucket", "owner", "owner_dg", "start")).distinct()
 
 
 def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, `n_words`, `n_removed`, `removed` (word ranges, end exclusive) and
-    `kept_sha256`, the hash of the kept words joined by one space."""
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    """One row per document: id, `n_words`, `n_removed`, `removed` (word ranges, end exclusive), `kept_sha256`,
+    the hash of the kept words joined by one space, and `text_hash`, which tells texts of one id apart."""
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     prints = materialize(fingerprints(slim, span), "fingerprints")
-    heads, points = prints.filter("digest is not null").select("doc", "n_words", "digest"), prints.filter("digest is null").select("doc", "anchor")
-
-    recurring = points.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("anchor")
-    points = materialize(points.join(recurring, "anchor"), "points")
-    copies = heads.filter(F.col("n_words") >= span).groupBy("digest").agg(F.min("doc").alias("rep"), F.max("doc").alias("other"))
-    whole = heads.filter("doc is not null").join(copies, "digest").select("doc", "digest", (F.col("doc") == F.col("rep")).alias("tells"), (F.col("rep") < F.col("other")).alias("copied"))
-    marks = points.groupBy("doc").agg(F.collect_set("anchor").alias("marks"))
-    suspects = prune(slim.filter("doc is not null"), marks.select("doc"), "doc").join(marks.join(whole.dropDuplicates(["doc"]), "doc"), "doc")
-    suspects = materialize(suspects, "suspects")
-
-    windows = _windows(suspects.filter("tells"), span)
-    confirmed = windows.groupBy("anchor", "win").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.min_by("pos", "doc").alias("pos"), F.max("copied").alias("copied")).filter("doc < other or copied")
-    starts = confirmed.groupBy("doc").agg(F.collect_list("pos").alias("starts"))
-    owners = prune(suspects.select("doc", "text"), starts.select("doc"), "doc").join(starts, "doc")
-    passages = materialize(_passages(owners, span), "passages")
+    heads, points = prints.filter("digest is not null").drop("anchor"), prints.filter("digest is null").select("doc", "dg", "anchor")
+
+    # of equal words the smallest id speaks; its th leads to one of its texts
+    sets = heads.filter(f"doc is not null and n_words >= {span}").groupBy("digest").agg(F.min("doc").alias("rep"), F.min_by("th", "doc").alias("th"), F.min("dg").alias("dg"), F.count("*").alias("copies"))
+    sets = materialize(sets, "sets")
+    tells = sets.select(F.col("rep").alias("doc"), "dg", "th")
+    recurring = points.groupBy("anchor").agg(F.min("dg").alias("x"), F.max("dg").alias("y")).filter("x < y").select("anchor")
+    points = materialize(points.join(recurring, "anchor").join(tells.select("doc", "dg"), ["doc", "dg"]).distinct(), "points")
+    marks = points.groupBy("doc", "dg").agg(F.collect_list("anchor").alias("marks")).join(tells, ["doc", "dg"])
+    marks = materialize(marks, "marks")
+    suspects = materialize(prune(slim.filter("doc is not null"), marks.select("doc"), "doc").join(marks, ["doc", "th"]), "suspects")
+
+    confirmed = _windows(suspects, span).groupBy("anchor", "win").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.min_by("dg", "doc").alias("dg"), F.min_by("pos", "doc").alias("pos")).filter("doc < other")
+    confirmed = materialize(confirmed.drop("other"), "confirmed")
+    starts = confirmed.groupBy("doc", "dg").agg(F.collect_list("pos").alias("starts"))
+    pieces = materialize(_pieces(suspects.select("doc", "dg", "text").join(starts, ["doc", "dg"]), span), "pieces")
 
     total = suspects.agg(F.sum(F.size("marks"))).first()[0] or 0
     buckets = int(total * (span - GRAM + 2) // (2 * BUCKET_WORDS)) + 1
-    bucket = F.pmod(F.xxhash64(F.lit("bucket"), "doc"), F.lit(buckets))
-    seeds = passages.filter("anchor is not null").select("anchor", F.col("doc").alias("owner"), "start")
-    routes = points.withColumn("bucket", bucket).groupBy("anchor", "bucket").agg(F.max("doc").alias("last")).join(seeds, "anchor").filter("owner < last").select("bucket", "owner", "start").distinct()
-    held = passages.filter("anchor is null").select(F.col("doc").alias("owner"), "start", "words").distinct()
-    phrases = routes.join(held, ["owner", "start"]).select("bucket", F.lit(0).alias("kind"), F.col("owner").alias("doc"), F.col("words").alias("text"))
-    stream = phrases.unionByName(suspects.select(bucket.alias("bucket"), F.lit(1).alias("kind"), "doc", "text"))
-    # the digest tells rows apart that repeat an id
-    out = heads.join(_stream(stream, span).dropDuplicates(["doc", "digest"]), ["doc", "digest"], "left")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return out.select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.coalesce("kept_digest", "digest").alias("kept_sha256"))
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), "doc", "dg"), F.lit(buckets))
+    seeds = pieces.filter("anchor is not null").select("anchor", F.col("doc").alias("owner"), F.col("dg").alias("owner_dg"), "start").distinct()
+    held = pieces.filter("anchor is null").select(F.col("doc").alias("owner"), F.col("dg").alias("owner_dg"), "start", "words").dropDuplicates(["owner", "owner_dg", "start"])
+    phrases = _routes(points, seeds, confirmed, suspects, bucket, span).join(held, ["owner", "owner_dg", "start"]).select("bucket", F.lit(0).alias("kind"), F.col("owner").alias("doc"), F.col("owner_dg").alias("dg"), F.col("words").alias("text"))
+    stream = phrases.unionByName(suspects.select(bucket.alias("bucket"), F.lit(1).alias("kind"), "doc", "dg", "text"))
+    lost = _stream(stream, span).dropDuplicates(["doc", "dg"]).withColumnRenamed("doc", "rep")
+
+    found = sets.join(lost, ["rep", "dg"], "left").filter("copies > 1 or n_removed is not null").select("digest", "rep", "copies", "n_removed", "removed", "kept_digest")
+    out = join_copies(heads, materialize(found, "lost"), ["digest"])
+    copy = F.col("doc").isNotNull() & (F.col("doc") > F.col("rep"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    mine = lambda all_gone, lost, none: F.when(copy, all_gone).otherwise(F.coalesce(F.when(F.col("doc").isNotNull(), lost), none))
+    return out.select(
+        F.col("doc").alias(id_col),
+        "n_words",
+        mine(F.col("n_words"), F.col("n_removed"), F.lit(0)).cast("bigint").alias("n_removed"),
+        mine(whole, F.col("removed"), F.array().cast("array<struct<start:int,end:int>>")).alias("removed"),
+        mine(F.sha2(F.lit(""), 256), F.col("kept_digest"), F.col("digest")).alias("kept_sha256"),
+        F.col("th").alias("text_hash"),
+    )
 
 
 def remove_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the removed words of `found` (from `repeated_passages`) taken out of the text; a text that
-    loses words is its kept words joined by one space."""
-    ranges = found.filter("n_removed > 0").select(F.col(id_col).alias("_id"), F.col("removed").alias("_gone"))
-    joined = docs.join(ranges, docs[id_col] == F.col("_id"), "left")
-    words = F.filter(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    kept = F.filter(words, lambda w, i: ~F.exists("_gone", lambda r: (i >= r["start"]) & (i < r["end"])))
-    return joined.select(*[(F.when(F.col("_gone").isNotNull(), F.array_join(kept, " ")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+    loses words is its kept words joined by one space. Rows are matched by id and text."""
+    gone = found.filter("n_removed > 0").select(F.col(id_col).cast("bigint").alias("_tm_id"), F.col("text_hash").alias("_tm_th"), F.col("removed").alias("_tm_gone")).dropDuplicates(["_tm_id", "_tm_th"])
+    joined = docs.join(gone, (docs[id_col].cast("bigint") == F.col("_tm_id")) & (F.xxhash64(docs[text_col]) == F.col("_tm_th")), "left")
+    words = F.filter(F.split(docs[text_col], "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    kept = F.filter(words, lambda w, i: ~F.exists("_tm_gone", lambda r: (i >= r["start"]) & (i < r["end"])))
+    return joined.select(*[(F.when(F.col("_tm_gone").isNotNull(), F.array_join(kept, " ")).otherwise(docs[c]).alias(c) if c == text_col else docs[c]) for c in docs.columns])

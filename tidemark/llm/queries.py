@@ -30,11 +30,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op4_links(spark, sf_dir).select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    """The same as `op4_jaccard`, which returns the links too."""
+    return op4_jaccard(spark, sf_dir)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("removed", "text_hash")
 
 
 _ALL = (op1_toxicity, op2_quality, op3_language, op4_jaccard, op4_links, op5_decontamination, op6_pii, op7_neighbours, op8_chat, op9_sentencepiece, op10_passages)
@@ -114,7 +115,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _PLAIN = r"'[^\x20\x09-\x0D]+'"
 _ITEM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
-OP4_SQL = f"""
+_OP4_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_PLAIN}) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
@@ -126,7 +127,7 @@ c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
 """
 
-OP4_LINKS_SQL = OP4_SQL.replace("\nSELECT doc_id, coalesce(n.n", ",\nk AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)\nSELECT doc_id, coalesce(n.n").replace("AS component_id FROM w", "AS component_id, coalesce(k.n_links, 0) AS n_links FROM w").rstrip() + " LEFT JOIN k ON k.a = doc_id\n"
+OP4_SQL = _OP4_SQL.replace("\nSELECT doc_id, coalesce(n.n", ",\nk AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)\nSELECT doc_id, coalesce(n.n").replace("AS component_id FROM w", "AS component_id, coalesce(k.n_links, 0) AS n_links FROM w").rstrip() + " LEFT JOIN k ON k.a = doc_id\n"
 
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ITEM}) AS w FROM documents),
@@ -155,4 +156,4 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard": OP4_SQL, "op4_links": OP4_LINKS_SQL, "op5_decontamination": OP5_SQL, "op7_neighbours": OP7_SQL, "op8_chat": OP8_SQL, "op10_passages": OP10_SQL}
+    return {"op4_jaccard": OP4_SQL, "op4_links": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_neighbours": OP7_SQL, "op8_chat": OP8_SQL, "op10_passages": OP10_SQL}
