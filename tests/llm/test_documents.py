@@ -37,14 +37,62 @@ def test_contamination_short_items_blocks_and_odd_rows(spark, odd):
     table = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.contamination(docs, [x for x in items if x[0] is not None])
-    for block in (1_000_000, 8):
+    for block in (1_000_000, 20, 3):
         got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in decontam.contamination(table, bench, block_words=block).collect()}
         assert got == {k: v[:3] for k, v in want.items()}
     none = decontam.contamination(table, bench.limit(0)).agg(F.sum("n_hit"), F.count("*")).first()
     assert none[0] == 0 and none[1] == len(docs)
     assert decontam.contamination(table.limit(0), bench).count() == 0
     longest = {r.doc_id: r.longest_match for r in decontam.contamination(table, bench).collect()}
-    assert longest[21] == 17
+    assert longest[21].n_words == 17 and longest[21].item == "6" and (longest[21].doc_word, longest[21].item_word) == (1, 0)
+
+
+def test_contamination_is_one_for_any_number_of_blocks(spark):
+    """Null and repeated ids, rows repeated in full, and matches that run through two items."""
+    a, b, c = ([f"{x}{k}" for k in range(30)] for x in "abc")
+    bench = [(1, " ".join(a[:13])), (2, " ".join(a[1:14])), (3, " ".join(b)), (3, " ".join(c)), (4, " ".join(b[5:20])), (None, " ".join(c)), (5, "q")]
+    docs = [(None, " ".join(a[:14])), (None, "clean"), (7, " ".join(a[:14])), (7, " ".join(["x", *b[3:27], "y"])), (7, " ".join(["x", *b[3:27], "y"])), (8, " ".join(c) + " q " + " ".join(b[:13]))]
+    table, items = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hits", F.lit("x")).withColumn("th", F.lit(0)), spark.createDataFrame(bench, "item_id long, text string")
+    want = [brute.contamination([(0, t)], [x for x in bench if x[0] is not None])[0][:3] for _, t in docs]
+    runs = []
+    for block in (10_000, 60, 1):
+        got = decontam.contamination(table, items, block_words=block).collect()
+        assert sorted((r.doc_id or -1, r.n_words, r.n_hit, len(r["items"])) for r in got) == sorted((d or -1, *w) for (d, _), w in zip(docs, want, strict=True))
+        runs.append(sorted((r.doc_id or -1, r.n_hit, r.longest_match.n_words if r.longest_match else 0) for r in got))
+        kept = decontam.remove_contaminated(table, items, block_words=block).collect()
+        assert [(r.doc_id, r.text) for r in kept] == [(None, "clean")]
+    assert runs[0] == runs[1] == runs[2]
+    # 14 words of a lie in two items of 13, so no match is longer than 13
+    assert {r[2] for r in runs[0]} == {0, 13, 24, 30}
+
+
+def test_segments_keep_every_window(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SEGMENT", 20)
+    item = [f"w{k}" for k in range(75)]
+    docs = [(k, " ".join(item[k : k + 13])) for k in range(63)] + [(99, " ".join(item))]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")).collect()
+    assert all(r.n_hit == r.n_words and r["items"] == ["a"] for r in got)
+
+
+def test_work_follows_the_matches_not_the_benchmark():
+    """A benchmark 100 times larger costs a shard little more."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    shard = rng.integers(0, 1 << 62, 300_000).astype(np.uint64)
+    took = []
+    for n in (40, 4000):
+        items = [(str(k), 100, rng.integers(0, 1 << 62, 100).astype(np.uint64).tobytes()) for k in range(n)] + [("hit", 40, shard[500:540].tobytes())]
+        tests = decontam.TestSuffixes(items, 13)
+        marks = tests.marks()
+        began = time.perf_counter()
+        for _ in range(3):
+            found = list(decontam.locate(shard, np.full(len(shard), len(shard)), tests, marks))
+        took.append(time.perf_counter() - began)
+        assert sorted(found[0][1].tolist()) == list(range(500, 528))
+    assert took[1] < 4 * took[0] + 0.05
 
 
 def test_personal_data_matches_brute(spark, odd):

@@ -1,16 +1,23 @@
 """Benchmark decontamination over suffix arrays of the training text.
 
-Each task cuts its documents into shards of a few MB. A shard's words become numbers (0 for words no
-benchmark item has), and the shard's suffix array orders the positions whose suffix can match at all by
-their first `window` words. Every test suffix is looked up in that array by binary search; the range it
-delimits holds all locations, and runs of locations on one diagonal give the longest verbatim match.
-
-The test suffixes travel to the tasks in blocks of at most `block_words` words, one pass over the
-documents for each block, so what is broadcast has a fixed bound however large the benchmark is.
+Each task cuts its documents into shards of a few MB. The words of a shard that may open a match (a bitmap and
+a sorted table of window hashes tell) make its suffix array: their positions in the order of the `window`
+words that follow. Every test suffix that the shard may hold is looked up there by binary search, and the
+range it delimits holds all its locations. The longest verbatim match of a document with any one item is found by binary
+search over its length.
+
+The test suffixes travel to the tasks as sorted numeric arrays, in blocks of about `block_words` words (some
+50 bytes a word in every worker), one pass over the documents for each block; a shard's work grows with its own
+words and matches, and with the number of blocks. Items longer than `SEGMENT` words are split into segments
+that overlap by a window less one word, so every window is whole in one of them. Passes
+are joined by id and text, so the number of blocks never changes a result.
 
 Words are runs of letters a-z, digits and non-ASCII characters after A-Z is lowered. A null or empty text
 has no words: such a document is clean and such an item has no window. An item shorter than the window
-is one window of its whole length. Repeated items with one id count once; ids that are null are ignored.
+is one window of its whole length. Repeated items with one id count once each different text, under the one id;
+items whose id is null are ignored. Each row of documents is judged by its own text, whatever its id: null and
+repeated ids are nothing special. Other columns, whatever their names, are ignored. Words and windows are compared as
+64-bit hashes, and windows that agree once more word by word.
 """
 
 from __future__ import annotations
@@ -20,14 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_slices, texts
+from tidemark.llm.common import WORD_HASHES, claim, materialize, text_slices, texts, window_hashes
 
 WINDOW = 13
-#: Words of test windows that one pass broadcasts (4 bytes each in every worker).
-BLOCK_WORDS = 4_000_000
+#: Words of test items that one pass broadcasts, about.
+BLOCK_WORDS = 1_000_000
+#: Words of a segment of an item. Longest matches are measured within one.
+SEGMENT = 50_000
+#: Rows of a suffix array that are sorted at a time.
+SHARD_BYTES = 4 << 20
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
+_RANGE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def words(text: str) -> list[bytes]:
@@ -35,156 +47,249 @@ def words(text: str) -> list[bytes]:
 
 
 class TestSuffixes:
-    """Test windows of one block, sorted, with the items that hold each."""
+    """One block of test items: their words as hashes and, for each window size, the sorted window hashes with a
+    place of each and the items that hold it."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str, int, bytes]], window: int):
+        """From (item, whether it is shorter than a window, word hashes) of each segment."""
         self.window = window
-        self.vocab: dict[bytes, int] = {}
-        by_window: dict[tuple[int, ...], set[int]] = {}
-        self.names = [name for name, _ in items]
-        for k, (_, ws) in enumerate(items):
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws]
-            for i in range(max(1, len(ids) - window + 1)) if ids else ():
-                by_window.setdefault(tuple(ids[i : i + window]), set()).add(k)
-        self.windows = sorted(by_window)
-        self.items = [sorted(by_window[w]) for w in self.windows]
-        self.sizes = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
-        low = np.zeros((len(self.windows), window), dtype=">u4")
-        high = np.full((len(self.windows), window), 0xFFFFFFFF, dtype=">u4")
-        for k, w in enumerate(self.windows):
-            low[k, : len(w)] = high[k, : len(w)] = w
-        self.low, self.high = _keys(low), _keys(high)
+        names = sorted({name for name, _, _ in items})
+        number = {name: k for k, name in enumerate(names)}
+        self.names = names
+        parts = [np.frombuffer(raw, dtype=np.uint64) for _, _, raw in items]
+        self.start = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        self.words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        self.item = np.array([number[name] for name, _, _ in items], dtype=np.int32)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        sizes = np.array([min(len(p), window) for p in parts], dtype=np.int64)
+        for size in np.unique(sizes).tolist():
+            key, place, owner = [], [], []
+            for k in np.flatnonzero(sizes == size).tolist():
+                g = window_hashes(parts[k], size)
+                key.append(g)
+                place.append(self.start[k] + np.arange(len(g)))
+                owner.append(np.full(len(g), self.item[k], dtype=np.int32))
+            key, place, owner = np.concatenate(key), np.concatenate(place), np.concatenate(owner)
+            order = np.lexsort((owner, key))
+            key, place, owner = key[order], place[order], owner[order]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+            key, place, owner = key[fresh], place[fresh], owner[fresh]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            self.by_size[size] = (key[first], place[first], np.append(first, len(key)), owner)
+
+    def marks(self) -> dict[int, np.ndarray]:
+        """For each window size a bitmap of the windows' high bits, 8 to 16 places a window."""
+        out = {}
+        for size, (key, *_) in self.by_size.items():
+            bits = int(len(key)).bit_length() + 3
+            seen = np.zeros(1 << bits, dtype=bool)
+            seen[key >> np.uint64(64 - bits)] = True
+            out[size] = seen
+        return out
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of big-endian numbers as fixed-width byte strings that sort like the rows."""
-    return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * 4}").ravel()
-
-
-def suffix_array(ids: np.ndarray, window: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that at least `shortest` known words follow, in the order of their first `window`
-    words, and those words as sortable keys. 0 ends a document and stands for unknown words."""
-    n = len(ids)
-    stops = np.flatnonzero(ids == 0)
-    ahead = np.full(n, n, dtype=np.int64)
-    if len(stops):
-        where = np.searchsorted(stops, np.arange(n))
-        inside = where < len(stops)
-        ahead[inside] = stops[where[inside]]
-    known = ahead - np.arange(n)
-    at = np.flatnonzero(known >= shortest)
-    padded = np.concatenate([ids, np.zeros(window, dtype=ids.dtype)])
-    rows = padded[at[:, None] + np.arange(window)]
-    rows[np.arange(window) >= known[at][:, None]] = 0
-    keys = _keys(rows.astype(">u4"))
-    order = np.argsort(keys, kind="stable")
-    return at[order], keys[order]
-
-
-def locate(shard: list[list[bytes]], tests: TestSuffixes) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each document, document, window and word position of every occurrence)."""
-    counts = [len(w) for w in shard]
-    starts = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64) + 1)])
-    ids = np.zeros(int(starts[-1]), dtype=np.uint32)
-    get = tests.vocab.get
-    for k, ws in enumerate(shard):
-        ids[starts[k] : starts[k] + len(ws)] = np.fromiter((get(w, 0) for w in ws), dtype=np.uint32, count=len(ws))
-    at, keys = suffix_array(ids, tests.window, tests.shortest)
-    left = np.searchsorted(keys, tests.low, side="left")
-    right = np.searchsorted(keys, tests.high, side="right")
-    full = tests.sizes == tests.window
-    right[full] = np.searchsorted(keys, tests.low[full], side="right")
-    found = np.flatnonzero(right > left)
-    if not len(found):
-        none = np.empty(0, dtype=np.int64)
-        return counts, none, none, none
-    window = np.repeat(found, right[found] - left[found])
-    where = np.concatenate([at[left[k] : right[k]] for k in found])
-    doc = np.searchsorted(starts, where, side="right") - 1
-    return counts, doc, window, where - starts[doc]
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[str, str]]]:
-    """Item ids and texts in blocks of bounded size; each block is read on its own."""
+    """Rows of word hashes as fixed-width byte strings, equal only where the rows are."""
+    return np.ascontiguousarray(rows.astype(">u8")).view(f"V{rows.shape[1] * 8}").ravel()
+
+
+def suffix_array(h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions `at` in the order of the `size` words that follow, and those words, a row each."""
+    rows = h[at[:, None] + np.arange(size)]
+    order = np.lexsort(rows.T[::-1])
+    return at[order], rows[order]
+
+
+def _search(rows: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right ends, among sorted rows, of the rows equal to each row of `test`: a binary search for all
+    test suffixes at once."""
+    ends = []
+    for right in (False, True):
+        low, high = np.zeros(len(test), dtype=np.int64), np.full(len(test), len(rows), dtype=np.int64)
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            here, there = rows[np.minimum(mid, len(rows) - 1)], test
+            differ = here != there
+            first = differ.argmax(axis=1)
+            k = np.arange(len(test))
+            less = np.where(differ.any(axis=1), here[k, first] < there[k, first], right)
+            low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+        ends.append(low)
+    return ends[0], ends[1]
+
+
+def locate(h: np.ndarray, ends: np.ndarray, tests: TestSuffixes, marks: dict[int, np.ndarray]):
+    """For each window size: (position, number of the window) of every occurrence in a shard. `h` are the shard's word
+    hashes, `ends` for each position the end of its document."""
+    for size, (key, place, *_) in tests.by_size.items():
+        if len(h) < size:
+            continue
+        g = window_hashes(h, size)
+        seen = marks[size]
+        bits = len(seen).bit_length() - 1
+        at = np.flatnonzero(seen[g >> np.uint64(64 - bits)] & (np.arange(len(g)) + size <= ends[: len(g)]))
+        if not len(at):
+            continue
+        number = np.minimum(np.searchsorted(key, g[at]), len(key) - 1)
+        same = key[number] == g[at]
+        at = at[same]
+        if not len(at):
+            continue
+        tried = np.unique(number[same])
+        at, rows = suffix_array(h, at, size)
+        left, right = _search(rows, tests.words[place[tried][:, None] + np.arange(size)])
+        n = right - left
+        which = np.repeat(np.arange(len(tried)), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield size, at[left[which] + offset], tried[which]
+
+
+def longest(h: np.ndarray, tests: TestSuffixes, items: np.ndarray, least: int) -> tuple[int, int, int, int]:
+    """(words, position, item, position in the item's segment) of the longest run that `h` shares with a segment of
+    one of the items, given that they share `least` words: binary search over the length."""
+    segments = np.flatnonzero(np.isin(tests.item, items))
+    parts = [tests.words[tests.start[k] : tests.start[k + 1]] for k in segments]
+
+    def shared(size: int):
+        mine = window_hashes(h, size)
+        order = np.argsort(mine, kind="stable")
+        for k, p in zip(segments.tolist(), parts, strict=True):
+            theirs = window_hashes(p, size)
+            if not len(theirs) or not len(mine):
+                continue
+            found = np.minimum(np.searchsorted(mine, theirs, sorter=order), len(mine) - 1)
+            hit = np.flatnonzero(mine[order[found]] == theirs)
+            if len(hit):
+                j = int(hit[0])
+                return size, int(order[found[j]]), int(tests.item[k]), j
+        return None
+
+    low, high = least, min(len(h), max(len(p) for p in parts))
+    best = shared(low) or (least, 0, int(items[0]), 0)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if (found := shared(mid)) is not None:
+            low, best = mid, found
+        else:
+            high = mid - 1
+    return best
+
+
+def _segments(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, words, segment): word hashes of each segment of each item."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).filter("item is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(total // (2 * block_words)) + 1
+
+    def run(batches):
+        claim("words", [WORD_HASHES])
+        for batch in batches:
+            item, n, raw = [], [], []
+            for name, text in zip(batch.column("item").to_pylist(), texts(batch), strict=True):
+                h = WORD_HASHES.of(words(text))
+                for k in range(0, max(1, len(h) - window + 1), SEGMENT) if len(h) else ():
+                    part = h[k : k + SEGMENT + window - 1]
+                    item.append(name)
+                    n.append(len(part))
+                    raw.append(part.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["item", "n", "words"])
+
+    return items.mapInArrow(run, "item string, n bigint, words binary")
+
+
+def _blocks(benchmark: DataFrame, window: int, block_words: int):
+    """Test suffixes in blocks of bounded size; each block is gathered and sent on its own."""
+    rows = materialize(_segments(benchmark, window), "benchmark")
+    n = int((rows.agg(F.sum("n")).first()[0] or 0) // block_words) + 1
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+        part = rows.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k).orderBy("item", "words").toArrow()
+        yield TestSuffixes(list(zip(part["item"].to_pylist(), part["n"].to_pylist(), part["words"].to_pylist(), strict=True)), window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, `n_words`, `n_hit` (words inside an occurring window), `items` (ids of the
-    items with occurring windows, sorted as strings), `longest_match` (words of the longest verbatim match)."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    passes = []
-    for block in _blocks(benchmark, block_words):
-        held = spark.sparkContext.broadcast([(name, words(text)) for name, text in block])
-        passes.append(slim.mapInArrow(_finder(held, window), f"id {kind}, n_words bigint, hits array<int>, items array<string>, longest int"))
-    if len(passes) == 1:
-        out = passes[0].withColumn("n_hit", F.size("hits").cast("bigint"))
-        return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.array_sort("items").alias("items"), F.col("longest").alias("longest_match"))
-    each = passes[0].select("*", F.lit(0).alias("pass"))
-    for k, p in enumerate(passes[1:], 1):
-        each = each.unionByName(p.select("*", F.lit(k).alias("pass")))
-    each = materialize(each.withColumn("row", F.xxhash64("id", "n_words")), "contamination")
-    hit = each.filter(F.size("hits") > 0).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.max("longest").alias("longest"))
-    base = each.filter("pass = 0").select(F.col("id"), "n_words")
-    both = base.join(hit, "id", "left")
-    return both.select(F.col("id").alias(id_col), "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce(F.array_sort("items"), F.array().cast("array<string>")).alias("items"), F.coalesce("longest", F.lit(0)).alias("longest_match"))
+_MATCH = "struct<item:string,n_words:int,doc_word:int,item_word:int>"
+_MATCH_TYPE = pa.struct([("item", pa.string()), ("n_words", pa.int32()), ("doc_word", pa.int32()), ("item_word", pa.int32())])
 
 
 def _finder(held, window: int):
+    """Task function: (id, th, n_words, hits, items, longest) of every document of a pass."""
+
     def run(batches):
-        tests = TestSuffixes(held.value, window)
+        claim("words", [WORD_HASHES])
+        tests: TestSuffixes = held.value
+        marks = tests.marks()
         for batch in batches:
-            for part in text_slices(batch):
-                shard = [words(t) for t in texts(part)]
-                n = len(shard)
-                hits: list[list[int]] = [[] for _ in range(n)]
-                items: list[list[str]] = [[] for _ in range(n)]
-                longest = [0] * n
-                counts = [len(w) for w in shard]
-                if tests.shortest:
-                    counts, doc, win, pos = locate(shard, tests)
-                    for d in np.unique(doc).tolist():
-                        mine = doc == d
-                        w, p = win[mine], pos[mine]
-                        marks = np.zeros(counts[d] + 1, dtype=np.int64)
-                        np.add.at(marks, p, 1)
-                        np.add.at(marks, np.minimum(p + tests.sizes[w], counts[d]), -1)
-                        covered = np.cumsum(marks[:-1]) > 0
-                        hits[d] = np.flatnonzero(covered).tolist()
-                        items[d] = sorted({tests.names[i] for x in np.unique(w).tolist() for i in tests.items[x]})
-                        longest[d] = _longest(p, w, tests)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int32())], names=["id", "n_words", "hits", "items", "longest"])
+            for part in text_slices(batch, budget=SHARD_BYTES):
+                shard = [WORD_HASHES.of(words(t)) for t in texts(part)]
+                counts = np.array([len(w) for w in shard], dtype=np.int64)
+                bounds = np.concatenate([[0], np.cumsum(counts)])
+                h = np.concatenate(shard)
+                hits: list[list[dict]] = [[] for _ in shard]
+                items: list[list[str]] = [[] for _ in shard]
+                match: list[dict | None] = [None] * len(shard)
+                found = list(locate(h, np.repeat(bounds[1:], counts), tests, marks))
+                if found:
+                    size = np.concatenate([np.full(len(p), s) for s, p, _ in found])
+                    pos = np.concatenate([p for _, p, _ in found])
+                    win = np.concatenate([w for _, _, w in found])
+                    doc = np.searchsorted(bounds, pos, side="right") - 1
+                    order = np.lexsort((pos, doc))
+                    size, pos, win, doc = size[order], pos[order], win[order], doc[order]
+                    cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        d = int(doc[a])
+                        s, p = size[a:b], pos[a:b] - bounds[d]
+                        ends = np.maximum.accumulate(p + s)
+                        fresh = np.append(True, p[1:] > ends[:-1])
+                        start, end = p[fresh], ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(p) - 1)]
+                        hits[d] = [{"start": x, "end": y} for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                        its = np.unique(np.concatenate([tests.by_size[z][3][tests.by_size[z][2][w] : tests.by_size[z][2][w + 1]] for z, w in {*zip(s.tolist(), win[a:b].tolist(), strict=True)}]))
+                        items[d] = [tests.names[k] for k in its.tolist()]
+                        n, x, k, y = longest(shard[d], tests, its, int(s.max()))
+                        match[d] = {"item": tests.names[k], "n_words": n, "doc_word": x, "item_word": y}
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(counts), pa.array(hits, _RANGE), pa.array(items, pa.list_(pa.string())), pa.array(match, _MATCH_TYPE)], names=["id", "th", "n_words", "hits", "items", "longest"])
 
     return run
 
 
-def _longest(pos: np.ndarray, win: np.ndarray, tests: TestSuffixes) -> int:
-    """Words of the longest run of consecutive positions whose windows overlap one after another."""
-    best = int(tests.sizes[win].max())
-    at = np.unique(pos[tests.sizes[win] == tests.window])
-    if len(at):
-        cut = np.flatnonzero(np.diff(at) != 1)
-        ends = np.concatenate([cut, [len(at) - 1]])
-        begins = np.concatenate([[0], cut + 1])
-        best = max(best, int((at[ends] - at[begins]).max()) + tests.window)
-    return best
+def _covered(ranges):
+    """Places that (start, end) ranges in order of start cover."""
+    none = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda acc, r: F.struct(F.greatest(acc["upto"], r["end"]).alias("upto"), (acc["n"] + F.greatest(r["end"] - F.greatest(acc["upto"], r["start"]), F.lit(0))).alias("n"))
+    return F.aggregate(ranges, none, step, lambda acc: acc["n"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, `n_words`, `n_hit` (words inside an occurring window), `hits` (their ranges, end
+    exclusive), `items` (ids of the items with occurring windows, sorted as strings), `longest_match` (item, words,
+    and first word in document and segment, of a longest verbatim match with one item; null without a hit) and `text_hash`, which tells texts of one id
+    apart."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    passes = []
+    for block in _blocks(benchmark, window, block_words):
+        held = spark.sparkContext.broadcast(block)
+        passes.append(slim.mapInArrow(_finder(held, window), f"id {kind}, th bigint, n_words bigint, hits array<struct<start:int,end:int>>, items array<string>, longest {_MATCH}"))
+    if len(passes) == 1:
+        out = passes[0]
+    else:
+        each = passes[0].withColumn("pass", F.lit(0))
+        for k, p in enumerate(passes[1:], 1):
+            each = each.unionByName(p.filter("longest is not null").withColumn("pass", F.lit(k)))
+        each = materialize(each, "contamination")
+        hit = each.filter("longest is not null").groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.max_by("longest", F.struct("longest.n_words", "longest.item")).alias("longest"))
+        both = each.filter("pass = 0").select("id", "th", "n_words").join(hit, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
+        none = lambda c: F.coalesce(c, F.array().cast(hit.schema[c].dataType))
+        out = both.select("id", "th", "n_words", F.array_sort(none("hits")).alias("hits"), none("items").alias("items"), "longest")
+    return out.select(F.col("id").alias(id_col), "n_words", _covered(F.col("hits")).alias("n_hit"), "hits", F.array_sort("items").alias("items"), F.col("longest").alias("longest_match"), F.col("th").alias("text_hash"))
 
 
 def is_contaminated(n_words, n_hit):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` whose document is not contaminated, with all columns. Ids must be unique."""
-    bad = contamination(docs, benchmark, id_col=id_col, **options).filter(is_contaminated(F.col("n_words"), F.col("n_hit"))).select(id_col)
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` whose text is not contaminated, with all columns; rows are matched by id and text."""
+    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).filter(is_contaminated(F.col("n_words"), F.col("n_hit")))
+    bad = bad.select(F.col(id_col).alias("_tm_id"), F.col("text_hash").alias("_tm_th")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_tm_id")) & (F.xxhash64(docs[text_col]) == F.col("_tm_th")), "left_anti").select(docs.columns)
