@@ -111,7 +111,7 @@ def test_neighbours_small_blocks_ties_and_odd_vectors(spark):
     v[50:120] = v[40]
     rows = [(i, [float(x) for x in v[i]]) for i in range(300)] + [(400, None), (401, [0.0] * 24), (402, [float("nan")] + [1.0] * 23), (403, [None] + [1.0] * 23), (404, []), (420, [1.0, 2.0]), (421, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.search(ann.build_index(df), F.col("vec_id") % 20 == 0, query_block=7, candidate_block=40).toPandas()
+    got = ann.search(ann.build_index(df), F.col("vec_id") % 20 == 0, query_cells=7 * 24, candidate_cells=40 * 24).toPandas()
     full = v.astype(np.float64)
     for q in range(0, 300, 20):
         mine = got[got.query_id == q].sort_values("rank")
@@ -122,6 +122,24 @@ def test_neighbours_small_blocks_ties_and_odd_vectors(spark):
     assert ann.search(ann.build_index(df.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """A query's own row is left out, other rows of its id are not; each row of a repeated query id has its own k."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.standard_normal(8)]) for k in range(1, 60)]
+    rows += [(40, [1.0] * 8), (40, [2.0] * 8), (7, rows[6][1]), (None, [9.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("row", F.lit("x")).withColumn("dim", F.lit(None).cast("int"))
+    got = ann.search(ann.build_index(df), F.col("vec_id") % 20 == 0, candidate_cells=8 * 9).toPandas()
+    v = np.array([e for i, e in rows[:-1]], dtype=np.float32).astype(float)
+    ids = np.array([i for i, _ in rows[:-1]])
+    want = []
+    for k in np.flatnonzero(ids % 20 == 0):
+        score = ann.exact(np.broadcast_to(v[k], v.shape), v)
+        order = [i for i in np.lexsort((ids, -score)) if i != k][:20]
+        want += [(int(ids[k]), r, int(ids[i]), score[i]) for r, i in enumerate(order, 1)]
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(want)
+    assert (got.query_id == 40).sum() == 60 and (got[got.query_id == 40].vec_id == 40).sum() >= 2
+
+
 def test_conversations(spark):
     got = queries.op8_chat(spark, SF).toPandas().sort_values("conv_id").reset_index(drop=True)
     want = oracle("op8_chat", conversations=spark.read.parquet(f"{SF}/conversations.parquet").toPandas()).sort_values("conv_id").reset_index(drop=True)

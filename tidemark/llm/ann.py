@@ -7,12 +7,15 @@ each block the best estimates are computed exactly first; then every vector whos
 reaches the exact k-th best is reranked on the original vectors, in single and then in double precision.
 
 Queries and candidates meet in blocks of bounded size: (query block, candidate block) is the grouping key,
-blocks are dealt by a hash of the id, so groups are even and none grows with the data. Each block pair
-returns k rows a query at most.
-
-Vectors that are null, zero or hold null or non-finite components take no part. Vectors meet only those
-of their own dimension. Ties go to the smaller id; repeated ids are separate candidates, all but the
-query's own id. A query with fewer candidates than k gets them all. Empty tables give no rows.
+blocks are dealt by a hash of the row's number, so groups are even, none grows with the data, and a repeated id is
+no hot key. Each block pair returns k rows a query at most. A candidate travels to every query block as it is
+stored (single precision stays single) with its code; sums are made in double precision.
+
+Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id. Vectors
+meet only those of their own dimension. Ties go to the smaller id. Rows are told apart by a number of their own: a
+query's candidates are all rows but itself, so another row with its id is one, and each row of a repeated query id
+gets its own k neighbours, under the same `query_id`. A query with fewer candidates than k gets them all. Other
+columns, whatever their names, are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 16_384
+#: Components of a block of queries, and of one of candidates, about.
+QUERY_CELLS = 1 << 17
+CANDIDATE_CELLS = 1 << 20
 #: Width of the error bound in standard deviations.
 WIDTH = 4.0
 SEED = 20_240_501
@@ -48,22 +52,26 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col)
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     kept = vectors.filter(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False)))
-    return kept.select(F.col(id_col).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("vector"), F.size(v).alias("dim"))
+    return kept.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("vector"), F.size(v).alias("dim"))
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Index rows (vec_id, dim, vector, code, length, fit) of every usable vector."""
+    fine = usable(vectors, id_col, vec_col)
+    if fine.schema["vector"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        fine = fine.withColumn("vector", F.col("vector").cast("array<double>"))
+    kind = fine.schema["vector"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                flat = part.column("vector").flatten().to_numpy().reshape(-1, dim)
+                flat = part.column("vector").flatten().to_numpy().astype(np.float64).reshape(-1, dim)
                 codes, length, fit = encode(flat, rotation(int(dim)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length, pa.float32()), pa.array(fit, pa.float32())], names=["vec_id", "vector", "dim", "code", "length", "fit"])
 
-    return usable(vectors, id_col, vec_col).mapInArrow(run, "vec_id bigint, vector array<double>, dim int, code binary, length float, fit float")
+    return fine.mapInArrow(run, f"vec_id bigint, vector {kind}, dim int, code binary, length float, fit float")
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,10 +79,15 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
 
 
+def _none() -> pd.DataFrame:
+    return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+
 def search_block(queries: pd.DataFrame, cands: pd.DataFrame, k: int, width: float = WIDTH) -> pd.DataFrame:
     """The k best candidates of each query within one pair of blocks."""
-    q, x = np.stack(queries["vector"].to_numpy()), np.stack(cands["vector"].to_numpy())
+    q, x = (np.stack(rows["vector"].to_numpy()).astype(np.float64) for rows in (queries, cands))
     q_id, x_id = queries["vec_id"].to_numpy(), cands["vec_id"].to_numpy()
+    q_row, x_row = queries["row"].to_numpy(), cands["row"].to_numpy()
     dim = x.shape[1]
     bits = np.unpackbits(np.frombuffer(b"".join(cands["code"]), dtype=np.uint8).reshape(len(x), -1), axis=1)[:, :dim]
     signs = (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
@@ -91,7 +104,7 @@ def search_block(queries: pd.DataFrame, cands: pd.DataFrame, k: int, width: floa
         near = turned[s : s + 128] @ signs.T * scale
         bound = near + q_len[s : s + 128, None] * spread
         for i in range(len(near)):
-            own = x_id == q_id[s + i]
+            own = x_row == q_row[s + i]
             near[i, own] = bound[i, own] = -np.inf
             room = len(x) - int(own.sum())
             if not room:
@@ -106,28 +119,27 @@ def search_block(queries: pd.DataFrame, cands: pd.DataFrame, k: int, width: floa
                 more = more[np.take(single, more, axis=0) @ q32[s + i] >= floor - slack[s + i]]
                 take = np.concatenate([take, more])
                 score = np.concatenate([score, exact(np.broadcast_to(q[s + i], (len(more), dim)), x[more])])
-            best = np.lexsort((x_id[take], -score))[:k]
-            out.append(pd.DataFrame({"query_id": q_id[s + i], "vec_id": x_id[take[best]], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            best = np.lexsort((x_row[take], x_id[take], -score))[:k]
+            out.append(pd.DataFrame({"row": q_row[s + i], "query_id": q_id[s + i], "vec_id": x_id[take[best]], "score": score[best]}))
+    return pd.concat(out) if out else _none()
 
 
-def search(index: DataFrame, is_query, k: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def search(index: DataFrame, is_query, k: int = 20, query_cells: int = QUERY_CELLS, candidate_cells: int = CANDIDATE_CELLS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for the index rows that `is_query` selects."""
-    index = materialize(index, "codes")
-    queries = index.filter(is_query).select("vec_id", "vector", "dim")
-    n, m = index.count(), queries.count()
-    n_cand, n_query = -(-n // candidate_block) or 1, -(-m // query_block) or 1
-    block = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = queries.select("*", block("q", n_query).alias("qb"), every(n_cand).alias("cb"))
-    right = index.select("*", block("c", n_cand).alias("cb"), every(n_query).alias("qb"))
+    # numbered before it is written, so a row keeps its number however often it is read
+    index = materialize(index.withColumn("row", F.monotonically_increasing_id()), "codes")
+    # one row a dimension
+    sizes = index.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") / candidate_cells).cast("int").alias("cbs"), F.greatest(F.lit(1), F.ceil(F.count(F.when(is_query, 1)) * F.col("dim") / query_cells)).cast("int").alias("qbs"))
+    sized = index.join(F.broadcast(sizes), "dim")
+    block = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "row"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = sized.filter(is_query).select("row", "vec_id", "vector", "dim", block("q", "qbs").alias("qb"), every("cbs").alias("cb"))
+    right = sized.select(*[F.col(c).alias(c) for c in ("row", "vec_id", "vector", "dim", "code", "length", "fit")], block("c", "cbs").alias("cb"), every("qbs").alias("qb"))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        return search_block(a, b, k)
+        return _none() if a.empty or b.empty else search_block(a, b, k)
 
     keys = ["dim", "qb", "cb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "row long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
