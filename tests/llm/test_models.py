@@ -60,6 +60,57 @@ def test_toxicity_index_is_exact(spark):
         assert np.allclose(sim, np.sort(full)[::-1][: len(sim)]) and len(sim) == min(toxicity.NEIGHBOURS, (full > 0).sum())
 
 
+def test_toxicity_query_matches_plain_cosine(spark):
+    """Scores of the whole query against dense vectors over the same weights, and ties, repeated rows, odd rows."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.01', '0.001')}/{t}.parquet") for t in ("documents", "labels"))
+    ix = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, ix).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    n, df = len(texts), {}
+    for t in texts.values():
+        for w in set(toxicity.terms(t)):
+            df[w] = df.get(w, 0) + 1
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    count = lambda y: {w: sum(known.get(d) == y and w in set(toxicity.terms(t)) for d, t in texts.items()) for w in ix.vocab}
+    a, b, n1, n0 = count(1), count(0), sum(v == 1 for d, v in known.items() if d in texts), sum(v == 0 for d, v in known.items() if d in texts)
+    for w, k in ix.vocab.items():
+        odds = lambda x, m: np.log((x + 0.5) / (m - x + 0.5))
+        error = np.sqrt(sum(1 / (x + 0.5) for x in (a[w], n1 - a[w], b[w], n0 - b[w])))
+        assert np.isclose(ix.idf[k], np.log(n / df[w]) * max(0, abs(odds(a[w], n1) - odds(b[w], n0)) - error))
+
+    def dense(text):
+        v = np.zeros(len(ix.vocab))
+        for w in toxicity.terms(text):
+            if w in ix.vocab:
+                v[ix.vocab[w]] += 1
+        v[v > 0] = (1 + np.log(v[v > 0])) * ix.idf[v > 0]
+        return v / (np.linalg.norm(v) or 1)
+
+    examples = np.array([dense(texts[i]) for i in ix.ids])
+    for d, t in texts.items():
+        sim = examples @ dense(t)
+        best = np.sort(sim[sim > 1e-12])[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose([e.similarity for e in got[d].evidence], best), d
+        near = np.array([{int(i): k for k, i in enumerate(ix.ids)}[e.example] for e in got[d].evidence], dtype=int)
+        assert np.isclose(got[d].score, ix.calibrated(ix.vote(near, sim[near])))
+
+
+def test_toxicity_of_repeated_and_empty_tables(spark):
+    bad, good = "you stupid clown", "a kind and gentle word"
+    rows = [(k, f"{bad if k % 3 == 0 else good} {k}") for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)] + [(61, None), (None, 1), (3, 1)], "doc_id long, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    twice = spark.createDataFrame(rows + rows[:9] + [(3, "zzz later text"), (None, bad), (70, None), (71, "")], "doc_id long, text string").withColumn("label", F.lit("x")).withColumn("score", F.lit(1))
+    ix, jx = toxicity.train(once, labels), toxicity.train(twice, labels)
+    assert len(jx.ids) == len(ix.ids) == 60
+    got = [(r.doc_id, r.score) for r in toxicity.score(twice, jx).collect()]
+    assert len(got) == 73 and all(0 <= s <= 1 for _, s in got)
+    assert all((s >= 0.5) == (d is None or d % 3 == 0) for d, s in got if d is None or d < 60) or dict(got)[3] < 0.5
+    assert len({s for d, s in got if d in (70, 71)}) == 1
+    assert toxicity.score(twice.limit(0), jx).count() == 0
+    assert {r.score for r in toxicity.score(once, toxicity.train(once.limit(0), labels)).collect()} == {0.5}
+
+
 def test_toxicity_without_labels_and_odd_rows(spark):
     ix = toxicity.train(odd(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(odd(spark), ix).collect()} == {0.5}

@@ -57,6 +57,27 @@ def bounded_sample(df: DataFrame, key: str, rows: int, salt: str = "sample") ->
     return df.filter(mark < int(SAMPLE_STEPS * rows / n))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int, id_col: str = "doc_id", per_class: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """(id, text, label) of about `rows` labelled rows (of each class, if `per_class`) and `max_bytes` of text, or all of
+    them if there are fewer, and the number of labelled rows of each class.
+
+    Rows with a null label or id are left out; repeated labels of one id are averaged and rounded; of several texts
+    of one id the smallest is taken, once."""
+    each = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.round(F.avg(label)).cast("int").alias("label"))
+    sizes = {r["label"]: r["count"] for r in each.groupBy("label").count().collect()}
+    if per_class:
+        picked = [bounded_sample(each.filter(F.col("label") == y), id_col, rows) for y in (1, 0)]
+        picked = picked[0].unionByName(picked[1])
+    else:
+        picked = bounded_sample(each, id_col, rows)
+    found = docs.select(id_col, "text").join(F.broadcast(picked), id_col)
+    found = materialize(found.groupBy(F.col(id_col).alias("id")).agg(F.min("text").alias("text"), F.first("label").alias("label")), "labelled")
+    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        found = found.filter(F.pmod(F.xxhash64(F.lit("bytes"), F.col("id").cast("string")), F.lit(SAMPLE_STEPS)) < int(SAMPLE_STEPS * max_bytes / size))
+    return found, sizes
+
+
 def crc_fold(key: str, parts: int):
     """crc32 of the key as text, modulo `parts`."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))

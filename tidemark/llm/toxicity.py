@@ -1,15 +1,19 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows (`MAX_EXAMPLES` a class) becomes an inverted index: terms that mark the
-toxic class (chi-square and lift), weighted by (1 + ln tf) ln(N / df), where df and N
-count all documents. Examples lie in blocks; for each term and block the largest weight is kept, and a
-block is scored only if its bound reaches the k-th best similarity so far, so the k nearest are exact.
+A bounded sample of labelled rows (`MAX_EXAMPLES` a class, `MAX_BYTES` of text) becomes an inverted index over all
+their words. A word weighs (1 + ln tf) ln(N / df), where df and N count all documents, times its relevance: how far
+its odds of standing in a toxic example are from those in another, in logarithms, beyond one standard error (0 if
+not beyond). No number of words and no share of the rows cuts this short; words of relevance 0 have no postings.
+Examples lie in blocks, ordered by their weightiest word; for each word and block the largest weight is kept, and
+blocks are scored by falling bound until none reaches the k-th best similarity so far, so the k nearest are exact.
 Neighbours vote with their squared similarity; a logistic curve fitted on the examples themselves (each
 scored without itself, classes weighted back to their true shares) turns votes into scores.
 
-Null and empty texts, and texts without an indexed term, get the score of a document without neighbours.
-Rows with a null label are not learned from; repeated labels of one document are averaged and rounded.
-Ties between neighbours go to the smaller example number. Without labelled rows every score is 0.5.
+Null and empty texts, and texts without an indexed word, get the score of a document without neighbours.
+Rows with a null label or id are not learned from; repeated labels of one document are averaged and rounded, and of
+several texts of one id the smallest is learned, once. Every row is scored by its own text. Ties between neighbours go
+to the smaller example number. Without labelled rows of both classes every score is 0.5. Other columns, whatever their
+names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,18 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, text_slices, texts
+from tidemark.llm.common import labelled_sample, materialize, text_slices, texts
 
-#: Labelled rows of each class that become examples, about.
+#: Labelled rows of each class that become examples, about, and bytes of their texts, about.
 MAX_EXAMPLES = 3_000
-#: Terms of the index; those with the largest chi-square.
-MAX_TERMS = 4_000
-#: A term must differ between the classes beyond chance, by this share of the variance, and be this many
-#: times as frequent among toxic examples.
-MIN_CHI2, MIN_PHI2, MIN_LIFT = 10.83, 0.006, 10.0
-BLOCK = 64
+MAX_BYTES = 64 << 20
+BLOCK = 32
 NEIGHBOURS = 25
-#: Blocks scored before any bound is used.
+#: Blocks scored before any bound is used; each further step takes twice as many.
 FIRST_BLOCKS = 4
 VOTE_FLOOR = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -47,7 +47,8 @@ def terms(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """Block-max inverted index over examples; postings lie by term, then example."""
+    """Block-max inverted index over examples. Cells are the pairs of a word and a block with postings, by word, then
+    block; a cell has its largest weight and the range of its postings."""
 
     vocab: dict[str, int]
     idf: np.ndarray
@@ -55,57 +56,61 @@ class Index:
     labels: np.ndarray
     example: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
-    bounds: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
-    ptr: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    bound: np.ndarray = field(default_factory=lambda: np.empty(0))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    blocks: int = 1
     curve: tuple[float, float] = (0.0, 0.0)
 
-    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector of a word list: term numbers and weights."""
-        at = np.fromiter(map(self.vocab.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        at, tf = np.unique(at[at >= 0], return_counts=True)
+    def unit(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of word numbers and their counts; `idf` holds the relevance too."""
         w = (1 + np.log(tf)) * self.idf[at]
         norm = np.sqrt(w @ w)
         return (at[w > 0], w[w > 0] / norm) if norm > 0 else (at[:0], w[:0])
 
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.vocab.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        return self.unit(*np.unique(at[at >= 0], return_counts=True))
+
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        n, n_blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
+        """Postings of the examples; example k of the index is `vectors[k]`."""
+        n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         term = np.concatenate([v[0] for v in vectors]) if n else np.empty(0, np.int64)
         weight = np.concatenate([v[1] for v in vectors]) if n else np.empty(0)
         example = np.repeat(np.arange(n), [len(v[0]) for v in vectors]) if n else np.empty(0, np.int64)
         order = np.lexsort((example, term))
         term, self.weight, self.example = term[order], weight[order], example[order].astype(np.int32)
-        cell = term * n_blocks + self.example // BLOCK
-        self.bounds = np.zeros(len(self.vocab) * n_blocks)
-        np.maximum.at(self.bounds, cell, self.weight)
-        self.bounds = self.bounds.reshape(len(self.vocab), n_blocks)
-        starts = np.searchsorted(cell, np.arange(len(self.vocab) * n_blocks + 1))
-        self.ptr = np.stack([starts[:-1], starts[1:]], axis=1).reshape(len(self.vocab), n_blocks, 2)
-
-    def similarities(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosine with every example of the given blocks; 0 elsewhere."""
-        spans = self.ptr[at[:, None], blocks[None, :]]
-        start, size = spans[..., 0].ravel(), (spans[..., 1] - spans[..., 0]).ravel()
-        q = np.repeat(np.repeat(w, len(blocks)), size)
-        offset = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        post = offset + np.arange(len(offset))
-        return np.bincount(self.example[post], weights=q * self.weight[post], minlength=len(self.ids))
+        cell = term * self.blocks + self.example // BLOCK
+        at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+        self.start = np.append(at, len(cell))
+        self.block = (cell[at] % self.blocks).astype(np.int32)
+        self.bound = np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0)
+        self.first = np.searchsorted(term[at], np.arange(len(self.vocab) + 1))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The exact nearest examples with positive similarity, nearest first."""
-        if not len(at) or not len(self.ids):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = w @ self.bounds[at]
+        sim = np.zeros(len(self.ids))
+        cells, q = _ranges(self.first[at], self.first[at + 1], w)
+        if not len(cells):
+            return np.empty(0, np.int64), sim[:0]
+        block = self.block[cells]
+        bound = np.bincount(block, weights=q * self.bound[cells], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        sim = self.similarities(at, w, order[:FIRST_BLOCKS])
-        if skip >= 0:
-            sim[skip] = 0
-        floor = np.partition(sim, -NEIGHBOURS)[-NEIGHBOURS] if len(sim) > NEIGHBOURS else 0.0
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= floor - 1e-9)]
-        if len(rest):
-            sim += self.similarities(at, w, rest)
+        order = order[bound[order] > 0]
+        done, step, floor = 0, FIRST_BLOCKS, 0.0
+        # cells by the place of their block in the order of bounds
+        place = np.empty(self.blocks, dtype=np.int64)
+        place[order] = np.arange(len(order))
+        mine = place[block]
+        while done < len(order) and bound[order[done]] >= floor - 1e-9:
+            take = (mine >= done) & (mine < done + step)
+            post, weight = _ranges(self.start[cells[take]], self.start[cells[take] + 1], q[take])
+            sim += np.bincount(self.example[post], weights=weight * self.weight[post], minlength=len(sim))
             if skip >= 0:
                 sim[skip] = 0
+            floor = np.partition(sim, -NEIGHBOURS)[-NEIGHBOURS] if len(sim) > NEIGHBOURS else 0.0
+            done, step = done + step, 2 * step
         found = np.flatnonzero(sim > 0)
         best = found[np.lexsort((found, -sim[found]))[:NEIGHBOURS]]
         return best, sim[best]
@@ -121,6 +126,13 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(a * vote + b, -35, 35))))
 
 
+def _ranges(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, each with its range's value."""
+    size = end - start
+    total = int(size.sum())
+    return np.arange(total) + np.repeat(start - np.cumsum(size) + size, size), np.repeat(value, size)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton steps with a slight ridge."""
     beta, design = np.zeros(2), np.stack([x, np.ones_like(x)], axis=1)
@@ -135,18 +147,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(beta[0]), float(beta[1])
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", per_class: int = MAX_EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
-    """(id, text, label) of a bounded sample of each class, and the number of labelled rows of each class."""
-    each = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.round(F.avg(label)).cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in each.groupBy("label").count().collect()}
-    picked = None
-    for y in (1, 0):
-        part = bounded_sample(each.filter(F.col("label") == y), id_col, per_class)
-        picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(id_col, "text").join(F.broadcast(picked), id_col)
-    return rows.select(F.col(id_col).alias("id"), "text", "label"), sizes
-
-
 def _term_counts(rows: DataFrame) -> DataFrame:
     """(id, label, term, tf) of the examples."""
 
@@ -161,15 +161,12 @@ def _term_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, term string, tf long")
 
 
-def select_terms(counts: DataFrame, n1: int, n0: int) -> DataFrame:
-    """(term, chi2): at most MAX_TERMS terms whose presence marks the toxic class."""
-    each = counts.filter("term != ''").groupBy("term").agg(F.count(F.when(F.col("label") == 1, 1)).alias("a"), F.count(F.when(F.col("label") == 0, 1)).alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    n = float(n1 + n0)
-    cross = a * (n0 - b) - b * (n1 - a)
-    chi2 = F.try_divide(cross * cross * n, (a + b) * (n - a - b) * float(n1) * float(n0))
-    lifts = (a + 0.5) * float(n0) >= MIN_LIFT * (b + 0.5) * float(n1)
-    return each.filter(lifts).select("term", chi2.alias("chi2")).filter(F.col("chi2") >= max(MIN_CHI2, MIN_PHI2 * n)).orderBy(F.col("chi2").desc(), "term").limit(MAX_TERMS)
+def relevance(counts: pd.DataFrame, n1: int, n0: int) -> np.ndarray:
+    """For words in `a` of the n1 toxic and `b` of the n0 other examples: how far their log odds differ, beyond one
+    standard error."""
+    a, b = counts["a"].to_numpy(dtype=float) + 0.5, counts["b"].to_numpy(dtype=float) + 0.5
+    a_not, b_not = n1 + 1 - a, n0 + 1 - b
+    return np.maximum(0, np.abs(np.log(a / a_not) - np.log(b / b_not)) - np.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not))
 
 
 def document_frequencies(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -186,7 +183,8 @@ def document_frequencies(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.nda
                     found = set(map(known.get, terms(text), repeat(-1)))
                     found.discard(-1)
                     df[list(found)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(df)), -1]), pa.array([*df.tolist(), n])], names=["term", "n"])
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], n))], names=["term", "n"])
 
     got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     counts = dict(zip(got["term"].tolist(), got["n"].tolist(), strict=True))
@@ -194,40 +192,33 @@ def document_frequencies(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id") -> Index:
-    """Index over a bounded sample of the labelled rows, term statistics over all of `docs`."""
-    rows, sizes = examples(docs, labels, label, id_col)
-    counts = _term_counts(rows).persist()
-    seen = counts.select("id", "label").distinct().groupBy("label").count().collect()
-    taken = {r["label"]: r["count"] for r in seen}
-    n1, n0 = taken.get(1, 0), taken.get(0, 0)
-    picked = select_terms(counts, n1, n0).toPandas() if n1 and n0 else pd.DataFrame({"term": []})
-    vocab = {t: k for k, t in enumerate(sorted(picked["term"]))}
-    # at most MAX_TERMS terms times 2 * MAX_EXAMPLES examples
-    kept = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in vocab], "term string")), "term").toPandas()
+    """Index over a bounded sample of the labelled rows, word statistics over all of `docs`."""
+    rows, sizes = labelled_sample(docs, labels, label, MAX_EXAMPLES, MAX_BYTES, id_col, per_class=True)
+    counts = materialize(_term_counts(rows), "examples")
+    # what reaches the driver is bounded by the sample's bytes
     each = counts.select("id", "label").distinct().toPandas()
-    counts.unpersist()
+    n1, n0 = int((each["label"] == 1).sum()), int((each["label"] == 0).sum())
+    if not n1 or not n0:
+        return Index({}, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32))
+    by_term = counts.filter("term != ''").groupBy("term").agg(F.count(F.when(F.col("label") == 1, 1)).alias("a"), F.count(F.when(F.col("label") == 0, 1)).alias("b")).orderBy("term").toPandas()
+    weight = relevance(by_term, n1, n0)
+    by_term, weight = by_term[weight > 0], weight[weight > 0]
+    vocab = {t: k for k, t in enumerate(by_term["term"])}
     df, n_docs = document_frequencies(docs, vocab)
-    idf = np.log(np.maximum(n_docs, 1) / np.maximum(df, 1))
-    each = each.sort_values(["label", "id"], ascending=[False, True]).reset_index(drop=True)
-    index = Index(vocab, idf, each["id"].to_numpy(), each["label"].to_numpy())
-    by_id = {i: g for i, g in kept.groupby("id")}
-    vectors = []
-    for i in each["id"]:
-        g = by_id.get(i)
-        if g is None:
-            vectors.append((np.empty(0, np.int64), np.empty(0)))
-            continue
-        at = g["term"].map(vocab).to_numpy(dtype=np.int64)
-        w = (1 + np.log(g["tf"].to_numpy(dtype=float))) * idf[at]
-        norm = np.sqrt(w @ w)
-        vectors.append((at[w > 0], w[w > 0] / norm) if norm > 0 else (at[:0], w[:0]))
+    index = Index(vocab, np.log(np.maximum(n_docs, 1) / np.maximum(df, 1)) * weight, np.empty(0, np.int64), np.empty(0, np.int32))
+    kept = counts.filter("term != ''").toPandas()
+    kept = kept.assign(at=kept["term"].map(vocab)).dropna(subset=["at"])
+    by_id = {i: (g["at"].to_numpy(dtype=np.int64), g["tf"].to_numpy(dtype=float)) for i, g in kept.groupby("id")}
+    none = (np.empty(0, np.int64), np.empty(0))
+    each["vector"] = [index.unit(*by_id[i]) if i in by_id else none for i in each["id"]]
+    each["lead"] = [int(at[w.argmax()]) if len(at) else -1 for at, w in each["vector"]]
+    each = each.sort_values(["lead", "id"]).reset_index(drop=True)
+    index.ids, index.labels = each["id"].to_numpy(), each["label"].to_numpy()
+    vectors = list(each["vector"])
     index.build(vectors)
-    if n1 and n0:
-        votes = np.array([index.vote(*index.nearest(*v, skip=k)) for k, v in enumerate(vectors)])
-        y = index.labels.astype(float)
-        total = sum(sizes.values())
-        w = np.where(y == 1, sizes.get(1, 0) / n1, sizes.get(0, 0) / n0) * len(y) / max(total, 1)
-        index.curve = _logistic(votes, y, w)
+    votes = np.array([index.vote(*index.nearest(*v, skip=k)) for k, v in enumerate(vectors)])
+    y = index.labels.astype(float)
+    index.curve = _logistic(votes, y, np.where(y == 1, sizes[1] / n1, sizes[0] / n0) * len(y) / (sizes[1] + sizes[0]))
     return index
 
 
