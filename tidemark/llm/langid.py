@@ -1,13 +1,15 @@
 """Language identification as mixture inference.
 
 Character trigrams of a bounded sample of labelled rows give each language's likelihoods (a table of
-hashed trigrams with a fixed number of cells). A document's words are drawn from a mixture of languages:
-expectation-maximisation estimates the proportions, for all documents of a slice at once. Language sets are
-compared by penalised likelihood (half a log word count and a weight for each further language); the
-prediction is the language with the largest share in the best set.
-
-A null text or one without letters is `und` with score 0. Rows with null language are not learned from.
-Without anything learned, every row is `und`. Ties go to the language that sorts first.
+hashed trigrams with a fixed number of cells; with more than 256 languages the trigrams share more cells). A document's
+words are drawn from a mixture of languages: expectation-maximisation over all languages estimates first proportions,
+for all documents of a slice at once. The languages then enter by their proportions, one after another, and each set is
+fitted again, as long as the likelihood penalised by half a log word count and a weight for each further language
+rises: any number of languages can enter. The prediction is the language with the largest share in the best set.
+
+A null text or one without letters is `und` with score 0. Rows with null language or id are not learned from. Every row
+is judged by its own text, so repeated rows repeat their result. Without anything learned, every row is `und`. Ties go
+to the language that sorts first. Other columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def trigrams(batch_texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray,
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages in order and the (bucket x language) table of log likelihoods from rows (id, text, lang)."""
-    rows = bounded_sample(docs.filter("lang is not null and text is not null"), id_col, max_rows).select("text", "lang")
+    rows = bounded_sample(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(id_col).isNotNull()), id_col, max_rows).select("text", "lang")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -97,26 +99,35 @@ def infer(batch_texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.nda
     words = np.diff(np.append(start, len(doc)))
     base = np.add.reduceat(top.astype(np.float64), start)
 
-    def fit(pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    def fit(pi: np.ndarray, rounds: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares after so many rounds, and log likelihoods, of some of the documents."""
+        if len(docs) == len(has):
+            mine, begin, place = lik, start, back
+        else:
+            use = np.isin(back, docs)
+            mine, place = lik[use], np.searchsorted(docs, back[use])
+            begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        n = words[docs]
         for _ in range(rounds):
-            joint = lik * pi[back]
-            total = joint.sum(axis=1)
-            total[total <= 0] = 1e-30
-            pi = np.add.reduceat(joint / total[:, None], start, axis=0) / words[:, None]
-        total = np.maximum((lik * pi[back]).sum(axis=1), 1e-30)
-        return pi, base + np.add.reduceat(np.log(total).astype(np.float64), start)
-
-    full, _ = fit(np.full((len(has), n_langs), 1 / n_langs, dtype=np.float32), ROUNDS)
-    order = np.argsort(-full, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
+            joint = mine * pi[place]
+            total = np.maximum(joint.sum(axis=1), 1e-30)
+            pi = np.add.reduceat(joint / total[:, None], begin, axis=0) / n[:, None]
+        total = np.maximum((mine * pi[place]).sum(axis=1), 1e-30)
+        return pi, base[docs] + np.add.reduceat(np.log(total).astype(np.float64), begin)
+
+    everyone = np.arange(len(has))
+    full, _ = fit(np.full((len(has), n_langs), 1 / n_langs, dtype=np.float32), ROUNDS, everyone)
+    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
     best, best_score = np.zeros_like(full), np.full(len(has), -np.inf)
-    for size in range(1, min(n_langs, 5) + 1):
-        chosen = (rank < size).astype(np.float32)
-        pi = np.maximum(full, 1e-3) * chosen
-        pi, value = fit(pi / pi.sum(axis=1, keepdims=True), 0 if size == 1 else SET_ROUNDS)
-        value = value - PENALTY * (size - 1) * (0.5 * np.log(words + 1.0) + 1)
-        better = value > best_score
-        best[better], best_score[better] = pi[better], value[better]
+    rising, size = everyone, 0
+    while len(rising) and size < n_langs:
+        size += 1
+        pi = np.maximum(full[rising], 1e-3) * (rank[rising] < size)
+        pi, value = fit((pi / pi.sum(axis=1, keepdims=True)).astype(np.float32), 0 if size == 1 else SET_ROUNDS, rising)
+        value = value - PENALTY * (size - 1) * (0.5 * np.log(words[rising] + 1.0) + 1)
+        better = value > best_score[rising]
+        best[rising[better]], best_score[rising[better]] = pi[better], value[better]
+        rising = rising[better]
     shares[has], n_words[has] = best, words
     return shares, n_words
 
