@@ -36,6 +36,58 @@ def test_quality_without_labels_and_odd_rows(spark):
     assert quality.score(odd(spark).limit(0), model).count() == 0
 
 
+def test_quality_weights_match_plain_updates(spark):
+    """Weights and scores of one and of several groups against the published per-coordinate rule, term by term; groups
+    count by their rows."""
+    from math import exp, sqrt
+
+    import pandas as pd
+
+    rows = [(k, f"{'good plain words' if k % 3 else 'bad bad junk !!'} n{k % 5} tail", int(k % 3 > 0)) for k in range(40)]
+    rows += [(40, None, 1), (41, "", 0)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    marks = {r.id: r.m for r in df.select("id", F.xxhash64(F.lit("ftrl"), F.col("id").cast("string")).alias("m")).collect()}
+
+    def plain(part):
+        z, n, w = {}, {}, lambda k, z, n: 0.0 if abs(z.get(k, 0)) <= (quality.L1 if k else 0) else -(z[k] - (1 if z[k] > 0 else -1) * (quality.L1 if k else 0)) / ((quality.BETA + sqrt(n[k])) / quality.ALPHA + quality.L2)
+        xs = []
+        for _, t, y in sorted(part, key=lambda r: marks[r[0]]):
+            x = {}
+            for k, v in zip(*(a.tolist() for a in quality.features([t or ""])[1:]), strict=True):
+                x[k] = x.get(k, 0) + v
+            xs.append((x, y))
+        for _ in range(quality.EPOCHS):
+            for x, y in xs:
+                ws = {k: w(k, z, n) for k in x}
+                p = 1 / (1 + exp(-max(-35, min(35, sum(ws[k] * v for k, v in x.items())))))
+                for k, v in x.items():
+                    g = (p - y) * v
+                    z[k] = z.get(k, 0) + g - (sqrt(n.get(k, 0) + g * g) - sqrt(n.get(k, 0))) / quality.ALPHA * ws[k]
+                    n[k] = n.get(k, 0) + g * g
+        return {k: w(k, z, n) for k in z}
+
+    for per in (1000, 14):
+        shards = -(-len(rows) // per)
+        want = {}
+        for s in range(shards):
+            part = [r for r in rows if marks[r[0]] % shards == s]
+            for k, v in plain(part).items() if part else ():
+                want[k] = want.get(k, 0) + v * len(part) / len(rows)
+        got = {r.feature: r.weight for r in quality.train(df, per).collect()}
+        assert got.keys() == {k for k, v in want.items() if v} and all(np.isclose(got[k], want[k]) for k in got)
+    few = quality.train(df.filter("id < 6"))
+    again = pd.DataFrame([tuple(r) for r in quality.score(df.select(F.col("id").alias("doc_id"), "text"), few).collect()])
+    assert again[1].max() - again[1].min() > 0.1
+
+
+def test_quality_of_repeated_rows(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "b good"), (1, "a good"), (1, "a good"), (2, "junk"), (None, "x"), (3, None)], "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("label", F.lit(9))
+    found = sorted((r.id, r.text, r.label) for r in quality.labelled(docs, labels, "quality").collect())
+    assert found == [(1, "a good", 1), (2, "junk", 0)]
+    assert quality.score(docs, quality.train(quality.labelled(docs, labels, "quality")), keep=True).count() == 6
+
+
 def test_toxicity_held_out(spark):
     d = labelled(spark, "op1_toxicity", "toxic")
     held = d[d.held_out]
@@ -132,6 +184,60 @@ def test_language_held_out_and_mixtures(spark):
     assert none == [] and {r.lang_pred for r in langid.identify(odd(spark), none, table).collect()} == {"und"}
 
 
+def test_language_mixtures_match_plain_expectation_maximisation():
+    """The fitted shares against one document and word at a time; and as many languages enter as a text has."""
+    rng = np.random.default_rng(8)
+    names = "abcdefghijklmnopqrst"
+    table = np.full((1 << 12, 9), -9.0, dtype=np.float32)
+    words = [["".join(rng.choice(list(names[2 * k : 2 * k + 4]), 5)) for _ in range(40)] for k in range(9)]
+    for k, ws in enumerate(words):
+        np.add.at(table[:, k], langid.trigrams([" ".join(ws)], 12)[0], 1.5)
+    table = np.minimum(table, -1.0)
+    docs = [" ".join(words[0]), " ".join(words[2][:20] + words[5][:20]), " ".join(w for k in range(1, 8) for w in words[k][:30]), "", "1 2", None or ""]
+    shares, n = langid.infer(docs, table)
+    assert n.tolist() == [40, 40, 210, 0, 0, 0] and (shares[3:] == 0).all()
+    assert (shares[2] > 0).sum() >= 7 and np.allclose(shares[:3].sum(axis=1), 1, atol=1e-4)
+
+    def plain(text):
+        lik = []
+        for w in text.split():
+            lik.append(table[langid.trigrams([w], 12)[0]].sum(axis=0).astype(float))
+        lik = np.array(lik)
+        top = lik.max(axis=1, keepdims=True)
+        like = np.exp(lik - top)
+
+        def fit(pi, rounds):
+            for _ in range(rounds):
+                each = [x * pi / max((x * pi).sum(), 1e-30) for x in like]
+                pi = sum(each) / len(each)
+            return pi, float(top.sum() + sum(np.log(max((x * pi).sum(), 1e-30)) for x in like))
+
+        full, _ = fit(np.full(9, 1 / 9), langid.ROUNDS)
+        order, best = np.argsort(-full, kind="stable"), None
+        for size in range(1, 10):
+            pi = np.zeros(9)
+            pi[order[:size]] = np.maximum(full[order[:size]], 1e-3)
+            pi, value = fit(pi / pi.sum(), 0 if size == 1 else langid.SET_ROUNDS)
+            value -= langid.PENALTY * (size - 1) * (0.5 * np.log(len(like) + 1.0) + 1)
+            if best is not None and value <= best[0]:
+                break
+            best = (value, pi)
+        return best[1]
+
+    for text, row in zip(docs[:3], shares, strict=False):
+        assert np.allclose(plain(text), row, atol=2e-3)
+
+
+def test_language_of_repeated_rows_and_empty_tables(spark):
+    rows = [(k % 20, f"{'alpha beta gamma' if k % 2 else 'uno dos tres'} word{k}", "en" if k % 2 else "es") for k in range(40)] + [(None, "alpha", "zz"), (5, None, "en"), (6, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("id", F.lit("x")).withColumn("score", F.lit(2))
+    langs, table = langid.train(docs)
+    assert langs == ["en", "es"]
+    got = langid.identify(docs, langs, table)
+    assert got.columns == ["doc_id", "lang_pred", "score", "shares"] and got.count() == len(rows)
+    assert langid.identify(docs.limit(0), langs, table).count() == 0 and langid.train(docs.limit(0))[0] == []
+
+
 def oracle(name, **tables):
     c = duckdb.connect()
     for t, df in tables.items():

@@ -1,12 +1,14 @@
 """Quality classifier: logistic regression on hashed word n-grams, fitted with follow-the-regularised-leader.
 
-Training takes a bounded sample of labelled rows (`MAX_ROWS`), dealt over `SHARDS` groups by a hash of the
-id. Each group runs the per-coordinate updates on its rows, and the groups' weights are averaged; a model
-has at most 2**BITS weights whatever the input. Scoring is one sparse dot product a document and needs no
-shuffle.
-
-Null and empty texts score as the model's intercept. Rows with a null label are not learned from; repeated
-labels of one document are averaged and rounded. Without any labelled row every score is 0.5.
+Training takes a bounded sample of labelled rows (`MAX_ROWS`, and `MAX_BYTES` of their texts), dealt by a hash of the
+id over one group for each `SHARD_ROWS` rows. Each group runs the per-coordinate updates on its rows, and the groups'
+weights are averaged by their rows; a model has at most 2**BITS weights whatever the input. Scoring is one sparse dot
+product a document and needs no shuffle.
+
+Null and empty texts score as the model's intercept. Rows with a null label or id are not learned from; repeated
+labels of one document are averaged and rounded; of several texts of one id the smallest is learned, once. Every row is
+scored by its own text. Without any labelled row every score is 0.5. Columns may have any names; with `keep`, an input
+column `score` is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,17 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, claim, text_slices, texts
+from tidemark.llm.common import claim, labelled_sample, materialize, text_slices, texts
 
 BITS = 18
-#: Labelled rows that training looks at, about; above it a sample by id hash is taken.
-MAX_ROWS = 24_000
-SHARDS = 8
+#: Labelled rows that training looks at, about, and bytes of their texts; above them a sample by id hash is taken.
+MAX_ROWS, MAX_BYTES = 24_000, 128 << 20
+#: Rows of one group, about.
+SHARD_ROWS = 3_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.3, 1.0
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_MEMORY = 400_000
-_SAME = np.uint64(0x27220A95FE1D0F11)
+_MEMORY = 200_000
 
 
 class TokenHashes(dict):
@@ -54,9 +56,6 @@ def features(batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         tokens = _TOKEN.findall(text)
         h = np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
         both = np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[1:] * np.uint64(0x165667B19E3779F9))])
-        # all bigrams of a word and itself are one feature
-        same = np.flatnonzero(h[1:] == h[:-1])
-        both[len(h) + same] = _SAME
         one = both >> shift
         one[one == 0] = 1
         feat.append(np.concatenate([[np.uint64(0)], one]).astype(np.int64))
@@ -101,22 +100,24 @@ def _fit_shard(rows: pd.DataFrame) -> pd.DataFrame:
             model.learn(at, x, y)
     used = np.flatnonzero(model.n)
     w = model.weights(used)
-    return pd.DataFrame({"feature": used[w != 0], "weight": w[w != 0]})
+    # feature -1 tells the group's rows
+    n = len(examples)
+    return pd.DataFrame({"feature": np.append(used[w != 0], -1), "weight": np.append(w[w != 0] * n, n)})
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, id_col: str = "doc_id") -> DataFrame:
     """(id, text, label) of a bounded sample of the labelled documents."""
-    each = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.round(F.avg(label)).cast("int").alias("label"))
-    sample = bounded_sample(each, id_col, max_rows)
-    return docs.select(id_col, "text").join(F.broadcast(sample), id_col).select(F.col(id_col).alias("id"), "text", "label")
+    return labelled_sample(docs, labels, label, max_rows, MAX_BYTES, id_col)[0]
 
 
-def train(examples: DataFrame, shards: int = SHARDS) -> DataFrame:
+def train(examples: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Model (feature, weight) from rows (id, text, label), label 0 or 1."""
+    shards = -(-examples.count() // shard_rows) or 1
     mark = F.xxhash64(F.lit("ftrl"), F.col("id").cast("string"))
     dealt = examples.select("text", "label", mark.alias("mark"), F.pmod(mark, F.lit(shards)).alias("shard"))
-    each = dealt.groupBy("shard").applyInPandas(_fit_shard, "feature long, weight double")
-    return each.groupBy("feature").agg((F.sum("weight") / shards).alias("weight"))
+    each = materialize(dealt.groupBy("shard").applyInPandas(_fit_shard, "feature long, weight double"), "weights")
+    rows = each.filter("feature = -1").agg(F.sum("weight")).first()[0] or 1.0
+    return each.filter("feature >= 0").groupBy("feature").agg((F.sum("weight") / rows).alias("weight"))
 
 
 def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", keep: bool = False) -> DataFrame:
@@ -134,7 +135,7 @@ def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", keep: bool
         claim("tokens", [_HASHES])
         w = held.value
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, budget=1 << 20):
                 doc, feat, val = features(texts(part))
                 dot = np.bincount(doc, weights=w[feat] * val, minlength=part.num_rows)
                 p = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
