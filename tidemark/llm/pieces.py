@@ -6,8 +6,8 @@ next to its left neighbour, else try a shorter one; a position from which nothin
 bitfield and never tried again. Parts recur, so their ids are remembered in a bounded table.
 
 Null and empty texts give only the end id and decode to the empty string. Rows are never merged:
-repeated rows give repeated results. Other columns pass through untouched unless they carry one of
-the result names, which then replace them.
+repeated rows give repeated results, null ids are nothing special. Columns other than the id and the text, whatever
+their names, are left out of the result. An empty table gives no rows.
 """
 
 from __future__ import annotations

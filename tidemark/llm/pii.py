@@ -3,13 +3,16 @@
 Everything is a column expression. For each kind the matches (`regexp_extract_all`) and the text
 between them (`split`) give the code-point positions; digits are summed by Luhn's rule and account
 numbers taken modulo 97 with array functions; the words just before and after a match raise or lower
-its score. Patterns never rescan a run of characters, so long texts cost linear time.
+its score. Patterns never rescan a run of characters; positions are running sums taken in chunks and redaction
+cuts an array of characters, so the cost grows with the text and its matches (chunks of `CHUNK` keep the remaining square
+term small). Context ends at the neighbouring match of its kind.
 
 Kinds: email, ip, card and phone are kept whenever their own check holds. The method adds iban (mod-97
 holds; words after the number are left out, the longest run of words that holds counts) and id_number (three-two-four digits, kept only if a context word stands nearby).
 
-Null and empty texts have no spans. Repeated rows give repeated results. Other columns pass through
-in `redact` and `find_spans` keeps only the id.
+Null and empty texts have no spans. Every row is judged by its own text: repeated rows repeat their results, null ids
+are nothing special. Other columns pass through in `redact`, whatever their names; `find_spans` keeps only the id. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,6 +50,46 @@ CONTEXT_WIDTH = 40
 _IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
+#: Entries of one chunk of a running sum.
+CHUNK = 128
+
+
+def _fold(values: Column, combine) -> Column:
+    """Running combination of an array of numbers >= 0 by a fold that grows its result; for short arrays."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        at = combine(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(values, start, step, lambda acc: acc["out"])
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, combine) -> Column:
+    """Running combination (sum, maximum) of an array of numbers >= 0, by chunks: each chunk on its own, then the
+    chunks' last values."""
+
+    def chunked(v):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / CHUNK).cast("int")), lambda c: _fold(F.slice(v, c * CHUNK + 1, F.lit(CHUNK)), combine))
+        return _let(chunks, shifted)
+
+    def shifted(each):
+        last = F.concat(F.array(F.lit(0)), _fold(F.transform(each, lambda c: F.get(c, F.size(c) - 1)), combine))
+        return F.flatten(F.zip_with(each, F.slice(last, F.lit(1), F.size(each)), lambda c, b: F.transform(c, lambda x: combine(x, b))))
+
+    return _let(values, chunked)
+
+
+def _after(ends: Column) -> Column:
+    """For each of the ends the largest one before it, 0 for the first; and at the end the largest of all."""
+    return F.concat(F.array(F.lit(0)), _running(ends, lambda a, b: F.greatest(a, b)))
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -87,26 +130,23 @@ def _found(text: Column, kind: str) -> Column:
     if kind == "iban":
         return _accounts(text)
     pattern = F.lit(PATTERNS[kind])
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    # one entry a match: the text before it and the text after it
-    parts = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("b"), F.slice(gaps, F.lit(2), F.size(matches)).alias("a"))
     no = KINDS.index(kind)
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["b"])
-        stop = start + F.length(x["m"])
+    def spans(v):
+        m, gaps, n = v["m"], v["g"], F.size(v["m"])
+        stops = _running(F.zip_with(F.slice(gaps, F.lit(1), n), m, lambda b, x: F.length(b) + F.length(x)), lambda a, b: a + b)
+        # one entry a match: where it ends, the text before it and the text after it
+        parts = F.arrays_zip(stops.alias("e"), m.alias("m"), F.slice(gaps, F.lit(1), n).alias("b"), F.slice(gaps, F.lit(2), n).alias("a"))
+        found = F.transform(F.filter(parts, lambda x: _valid(kind, x["m"])), span)
+        return found if kind in ("email", "ip", "card", "phone") else F.filter(found, lambda s: s["score"] >= KEEP_SCORE)
+
+    def span(x):
         near = F.right(x["b"], F.lit(CONTEXT_WIDTH)).rlike(CONTEXT[kind]) | F.left(x["a"], F.lit(CONTEXT_WIDTH)).rlike(CONTEXT[kind])
         score = F.lit(BASE_SCORE[kind]) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-        span = F.array(F.struct(start.cast("int").alias("start"), F.lit(no).alias("no"), stop.cast("int").alias("stop"), score.alias("score")))
-        kept = _valid(kind, x["m"])
-        if kind not in ("email", "ip", "card", "phone"):
-            kept = kept & (score >= KEEP_SCORE)
-        return F.struct(stop.cast("int").alias("at"), F.concat(acc["out"], F.when(kept, span).otherwise(F.array().cast(SPANS))).alias("out"))
+        return F.struct((x["e"] - F.length(x["m"])).cast("int").alias("start"), F.lit(no).alias("no"), x["e"].cast("int").alias("stop"), score.alias("score"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    spans = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, pattern), spans).otherwise(F.array().cast(SPANS))
+    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("g"))
+    return F.when(F.regexp_like(text, pattern), _let(both, spans)).otherwise(F.array().cast(SPANS))
 
 
 def _account(longest: Column) -> Column:
@@ -119,24 +159,27 @@ def _account(longest: Column) -> Column:
 def _accounts(text: Column) -> Column:
     """Array of (start, no, stop, score) of account numbers, in order of start, none within another."""
     pattern = F.lit(PATTERNS["iban"])
-    longest = F.regexp_extract_all(text, pattern, F.lit(1))
-    gaps = F.split(text, PATTERNS["iban"], -1)
-    parts = F.arrays_zip(F.transform(longest, _account).alias("m"), F.slice(gaps, F.lit(1), F.size(longest)).alias("b"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["b"])
-        stop = start + F.length(x["m"])
-        before = F.substr(text, F.greatest(start - CONTEXT_WIDTH, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_WIDTH)))
-        near = before.rlike(CONTEXT["iban"]) | F.substr(text, stop + 1, F.lit(CONTEXT_WIDTH)).rlike(CONTEXT["iban"])
+    def spans(v):
+        longest, gaps, n = v["m"], v["g"], F.size(v["m"])
+        # a match is two letters
+        twos = _running(F.transform(F.slice(gaps, F.lit(1), n), lambda b: F.length(b) + 2), lambda a, b: a + b)
+        each = F.arrays_zip(F.transform(twos, lambda e: e - 2).alias("start"), F.transform(longest, _account).alias("m"), F.slice(gaps, F.lit(1), n).alias("b"), longest.alias("l"))
+        return _let(F.filter(each, lambda x: x["m"].isNotNull()), apart)
+
+    def apart(found):
+        # one that starts within an earlier one is left out
+        upto = _after(F.transform(found, lambda x: x["start"] + F.length(x["m"])))
+        return F.transform(F.filter(F.zip_with(found, F.slice(upto, F.lit(1), F.size(found)), lambda x, u: F.struct(x.alias("x"), u.alias("u"))), lambda z: z["x"]["start"] >= z["u"]), lambda z: span(z["x"]))
+
+    def span(x):
+        after = F.substr(x["l"], F.length(x["m"]) + 1, F.lit(CONTEXT_WIDTH))
+        near = F.right(x["b"], F.lit(CONTEXT_WIDTH)).rlike(CONTEXT["iban"]) | after.rlike(CONTEXT["iban"])
         score = F.lit(BASE_SCORE["iban"]) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-        span = F.array(F.struct(start.cast("int").alias("start"), F.lit(KINDS.index("iban")).alias("no"), stop.cast("int").alias("stop"), score.alias("score")))
-        kept = x["m"].isNotNull() & (start >= acc["upto"])
-        out = F.concat(acc["out"], F.when(kept, span).otherwise(F.array().cast(SPANS)))
-        return F.struct((start + 2).cast("int").alias("at"), F.when(kept, stop).otherwise(acc["upto"]).cast("int").alias("upto"), out.alias("out"))
+        return F.struct(x["start"].cast("int").alias("start"), F.lit(KINDS.index("iban")).alias("no"), (x["start"] + F.length(x["m"])).cast("int").alias("stop"), score.alias("score"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("upto"), F.array().cast(SPANS).alias("out"))
-    spans = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, pattern), spans).otherwise(F.array().cast(SPANS))
+    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(1)).alias("m"), F.split(text, PATTERNS["iban"], -1).alias("g"))
+    return F.when(F.regexp_like(text, pattern), _let(both, spans)).otherwise(F.array().cast(SPANS))
 
 
 SPANS = "array<struct<start:int,no:int,stop:int,score:double>>"
@@ -155,16 +198,18 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redacted(text: Column, spans: Column) -> Column:
     """`text` with every span replaced by its kind in angle brackets; overlapping spans are replaced once, by the first."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        before = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        first = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(before, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], first).otherwise(inside)
-
-    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, empty, step, done)).otherwise(text)
+    cut = lambda letters, start, end: F.array_join(F.slice(letters, start + 1, end - start), "")
+
+    def replaced(v):
+        letters, upto = v["c"], v["u"]
+        # a span that starts before an earlier one ends only moves the place where the text goes on
+        first = F.filter(F.zip_with(spans, F.slice(upto, F.lit(1), F.size(spans)), lambda s, u: F.struct(s.alias("s"), u.alias("u"))), lambda z: z["s"]["start"] >= z["u"])
+        parts = F.transform(first, lambda z: F.concat(cut(letters, z["u"], z["s"]["start"]), F.lit("<"), F.upper(z["s"]["kind"]), F.lit(">")))
+        end = F.element_at(upto, -1)
+        return F.concat(F.array_join(parts, ""), cut(letters, end, F.greatest(F.size(letters), end)))
+
+    both = F.struct(F.split(text, "").alias("c"), _after(F.transform(spans, lambda s: s["end"])).alias("u"))
+    return F.when(F.size(spans) > 0, _let(both, replaced)).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
