@@ -40,11 +40,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+#: Whether shuffle files go once the write that made them is over; until then a lost executor's are made again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: lineage ends in files every executor sees."""
-    path = f"{scratch_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` to the shared folder and read it again: lineage ends in files every executor sees, and the shuffles
+    behind it are needed no more."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, salt: str = "sample") -> DataFrame:

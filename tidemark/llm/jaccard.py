@@ -42,7 +42,7 @@ PERCENT = 75
 RANKED = 1 << 18
 #: A shingle that occurs this often within one slice of documents counts as frequent.
 LOCAL_REPEATS = 3
-#: Sets that one task remembers having told.
+#: Sets and groups that one task remembers having told.
 MEMORY = 200_000
 #: Ratio of neighbouring size classes.
 SIZE_STEP = 1.02
@@ -69,54 +69,47 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc, th, n, digest, shingles) of every document, and rows (token, seen) of shingles frequent in a
-    slice. A task tells the shingles of equal sets once; null ids have none told."""
-    names = ["doc", "th", "n", "digest", "shingles", "token", "seen"]
+    """Rows (doc, th, n, digest) of every document, and rows (token, seen) of shingles frequent in a slice."""
+    names = ["doc", "th", "n", "digest", "token", "seen"]
 
     def run(batches):
         claim("words", [WORD_HASHES])
-        told: set[bytes] = set()
         for batch in batches:
             for part in text_slices(batch):
                 sets = [shingle_set(t, size) for t in texts(part)]
                 n = [len(s) for s in sets]
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                raw: list[bytes | None] = []
-                for d, g, s in zip(part.column("doc").to_pylist(), digest, sets, strict=True):
-                    if d is None or not len(s) or g in told:
-                        raw.append(None)
-                        continue
-                    if len(told) >= MEMORY:
-                        told.clear()
-                    told.add(g)
-                    raw.append(s.tobytes())
                 none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(raw, pa.binary()), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), none, none], names=names)
                 if sum(n):
                     token, seen = np.unique(np.concatenate(sets), return_counts=True)
                     token, seen = token[seen >= LOCAL_REPEATS], seen[seen >= LOCAL_REPEATS]
                     k = len(token)
-                    empty = pa.nulls(k, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), empty, empty, pa.array(token.view(np.int64)), pa.array(seen)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(token.view(np.int64)), pa.array(seen)], names=names)
 
-    return docs.mapInArrow(run, "doc bigint, th bigint, n int, digest binary, shingles binary, token bigint, seen bigint")
+    return docs.mapInArrow(run, "doc bigint, th bigint, n int, digest binary, token bigint, seen bigint")
 
 
-def _prefixes(sets: DataFrame, ranked: np.ndarray, percent: int) -> DataFrame:
-    """Rows (token, grp, n): the prefix shingles of each group, told once by a task; and, with a negative token and
-    the digest set, one row a set. `grp` is the hash of size and prefix."""
-    held = sets.sparkSession.sparkContext.broadcast(ranked)
+def _prefixes(docs: DataFrame, ranked: np.ndarray, size: int, percent: int) -> DataFrame:
+    """Rows (token, grp, n): the prefix shingles of each group; and, with a negative token and the digest set, one row a
+    set. A task tells equal sets and groups once; null ids are left out. `grp` is the hash of size and prefix."""
+    held = docs.sparkSession.sparkContext.broadcast(ranked)
 
     def run(batches):
+        claim("words", [WORD_HASHES])
         order = held.value
         keys = np.sort(order)
         rank = np.argsort(order, kind="stable") + 1
-        told: set[int] = set()
+        told: set[bytes | int] = set()
         for batch in batches:
-            for part in text_slices(batch, "shingles"):
+            for part in text_slices(batch):
                 token, grp, count, digest = [], [], [], []
-                for g128, raw in zip(part.column("digest").to_pylist(), part.column("shingles").to_pylist(), strict=True):
-                    s = np.frombuffer(raw, dtype=np.uint64)
+                for d, text in zip(part.column("doc").to_pylist(), texts(part), strict=True):
+                    if d is None or not len(s := shingle_set(text, size)):
+                        continue
+                    g128 = xxhash.xxh3_128_digest(s.tobytes())
+                    if g128 in told:
+                        continue
                     n, k = len(s), prefix_length(len(s), percent)
                     first = s[:k]
                     if len(keys):
@@ -128,10 +121,10 @@ def _prefixes(sets: DataFrame, ranked: np.ndarray, percent: int) -> DataFrame:
                             first = np.concatenate([s[~common], s[late]])[:k]
                     g = xxhash.xxh64_intdigest(np.append(first, np.uint64(n)).tobytes()) >> 1
                     new = g not in told
+                    if len(told) >= MEMORY:
+                        told.clear()
+                    told |= {g, g128}
                     if new:
-                        if len(told) >= MEMORY:
-                            told.clear()
-                        told.add(g)
                         token.append((first >> np.uint64(8)).astype(np.int64))
                     token.append(np.array([-1 - (xxhash.xxh64_intdigest(g128) >> 1)], dtype=np.int64))
                     rows = k + 1 if new else 1
@@ -141,7 +134,7 @@ def _prefixes(sets: DataFrame, ranked: np.ndarray, percent: int) -> DataFrame:
                 if token:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(grp)), pa.array(np.concatenate(count)), pa.array(digest, pa.binary())], names=["token", "grp", "n", "digest"])
 
-    return sets.mapInArrow(run, "token bigint, grp bigint, n int, digest binary")
+    return docs.mapInArrow(run, "token bigint, grp bigint, n int, digest binary")
 
 
 def _shared_tokens(rows: DataFrame) -> DataFrame:
@@ -219,7 +212,7 @@ def _tiles(probes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = heads.unionByName(several).groupBy("grp").agg(F.min("head").alias("head"))
     placed = materialize(nodes.join(heads.hint("merge"), "grp"), "placed")
     parts = placed.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
-    members = placed.join(parts.hint("merge"), "head").select("grp", "digest", "n", "copies", F.xxhash64("head", F.pmod(F.xxhash64("digest"), "parts")).alias("tile"))
+    members = placed.join(parts.hint("merge"), "head").select("grp", "digest", "doc", "th", "copies", F.xxhash64("head", F.pmod(F.xxhash64("digest"), "parts")).alias("tile"))
     members = materialize(members, "members")
     of = members.select("grp", "tile").distinct()
     found = met.join(of.hint("merge"), "grp").groupBy("token", "lo", "hi", "tile").agg(F.max("low").alias("low"), F.max("high").alias("high"))
@@ -275,43 +268,57 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify(members: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(members: DataFrame, pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, others, root) for each node with links in a pair of tiles: the documents it links with there, and a
-    node of the pair of tiles that its links lead to. A tile's sets are fetched once for each of its pairs."""
-    needed = members.select("digest", "tile", "copies")
-    key = F.xxhash64("digest").alias("key")
-    told = prune(sets.select("digest", "shingles", key), needed.select(key), "key").drop("key")
-    held = told.join(needed.hint("merge"), "digest").dropDuplicates(["digest"])
+    node of the pair of tiles that its links lead to. A node's text is fetched once, its shingles once for each pair of
+    its tile."""
+    found = prune(docs, members.select("doc"), "doc").join(members.select("doc", "th", "digest", "tile", "copies").hint("merge"), ["doc", "th"])
+
+    def shingled(batches):
+        claim("words", [WORD_HASHES])
+        told: set[bytes] = set()  # rows repeated in full name a node again
+        for batch in batches:
+            for part in text_slices(batch):
+                fresh = [g not in told and not told.add(g) for g in part.column("digest").to_pylist()]
+                part = part.filter(pa.array(fresh, pa.bool_()))
+                raw = [shingle_set(t, size).tobytes() for t in texts(part)]
+                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("tile"), part.column("copies"), pa.array(raw, pa.binary())], names=["digest", "tile", "copies", "shingles"])
+                if len(told) >= MEMORY:
+                    told.clear()
+
+    held = found.select("text", "digest", "tile", "copies").mapInArrow(shingled, "digest binary, tile bigint, copies bigint, shingles binary")
     held = materialize(held, "held")
     # both sides grow with the input, so these are merge joins at every size
     sent = [pairs.withColumn("tile", F.col(t)).join(held.hint("merge"), "tile").select("ta", "tb", F.lit(side).alias("side"), "digest", "copies", "shingles") for side, t in ((0, "ta"), (1, "tb"))]
     rows = sent[0].unionByName(sent[1].filter("ta < tb"))
     names = ["node", "others", "root"]
 
-    def solve(left, right):
-        sets = [np.frombuffer(s, dtype=np.uint64) for _, _, s in left + right]
-        ids, copies = [g for g, _, _ in left + right], np.array([c for _, c, _ in left + right], dtype=np.int64)
+    def solve(pair, left, right):
+        """Links of the nodes (digest to copies and shingles) of one tile or of two."""
+        if not left or not (right or pair[0] == pair[1]):
+            return
+        nodes = [*left.items(), *right.items()]
+        sets = [np.frombuffer(s, dtype=np.uint64) for _, (_, s) in nodes]
+        ids, copies = [g for g, _ in nodes], np.array([c for _, (c, _) in nodes], dtype=np.int64)
         i, j = alike(sets[: len(left)], sets[len(left) :] if right else None, percent)
         if not len(i):
-            return None
+            return
         j = j + len(left) if right else j
         others = np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))
         root = _forest(len(ids), i, j)
         at = np.unique(np.concatenate([i, j])).tolist()
-        return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in at], pa.binary()), pa.array(others[at].astype(np.int64)), pa.array([ids[root[k]] for k in at], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in at], pa.binary()), pa.array(others[at].astype(np.int64)), pa.array([ids[root[k]] for k in at], pa.binary())], names=names)
 
     def run(batches):
-        open_pair, left, right = None, [], []
+        pair, left, right = None, {}, {}
         for batch in batches:
             for part in text_slices(batch, "shingles"):
                 for ta, tb, side, g, c, s in zip(*(part.column(x).to_pylist() for x in ("ta", "tb", "side", "digest", "copies", "shingles")), strict=True):
-                    if (ta, tb) != open_pair:
-                        if left and (right or open_pair[0] == open_pair[1]) and (out := solve(left, right)) is not None:
-                            yield out
-                        open_pair, left, right = (ta, tb), [], []
-                    (right if side else left).append((g, c, s))
-        if left and (right or open_pair[0] == open_pair[1]) and (out := solve(left, right)) is not None:
-            yield out
+                    if (ta, tb) != pair:
+                        yield from solve(pair, left, right)
+                        pair, left, right = (ta, tb), {}, {}
+                    (right if side else left)[g] = (c, s)
+        yield from solve(pair, left, right)
 
     dealt = rows.repartition("ta", "tb").sortWithinPartitions("ta", "tb")
     return materialize(dealt.mapInArrow(run, "node binary, others bigint, root binary"), "links")
@@ -326,15 +333,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     common = first.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.col("seen").desc(), "token").limit(RANKED)
     ranked = common.orderBy("seen", "token").select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64)
 
-    sets = first.filter("shingles is not null").select("digest", "shingles")
-    shared = materialize(_shared_tokens(_prefixes(sets, ranked, percent)), "tokens")
+    shared = materialize(_shared_tokens(_prefixes(slim.select("doc", "text"), ranked, size, percent)), "tokens")
     # equal sets are one node
-    counts = heads.filter("doc is not null and n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
+    counts = heads.filter("doc is not null and n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.min_by("th", "doc").alias("th"), F.count("*").alias("copies"))
     nodes = materialize(shared.filter("digest is not null").select("grp", "n", "digest").distinct().join(counts.hint("merge"), "digest"), "nodes")
 
     probes = materialize(_probes(shared.filter("digest is null").select("token", "grp", "n"), percent), "probes")
     members, pairs = _tiles(probes, nodes)
-    found = verify(members, pairs, sets, percent)
+    found = verify(members, pairs, slim, size, percent)
     degree = found.groupBy("node").agg(F.sum("others").alias("others"))
     of = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = materialize(degree.join(of.hint("merge"), "node").join(nodes.select(F.col("digest").alias("node"), "doc").hint("merge"), "node"), "linked")
