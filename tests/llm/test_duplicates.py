@@ -136,8 +136,8 @@ def test_passages_of_one_id_with_several_texts(spark):
 
 
 def test_pieces_of_a_shared_head_stay_linear(spark, monkeypatch):
-    """Pairs of documents with one head of 49 words: an anchor of many pieces nominates by windows, with the
-    same result, and long passages are cut into pieces."""
+    """Pairs of documents with one head of 49 words: pieces travel by confirmed windows, so there are
+    about as many as passages, and long passages are cut."""
     head = [f"h{i}" for i in range(49)]
     rows = []
     for k in range(30):

@@ -9,8 +9,7 @@
 3. Confirmed windows of their smallest document join to passages, cut to pieces of bounded length that
    overlap by a window. Blocks of each piece, laid so that every window holds one, become the phrases of an
    Aho-Corasick automaton over words. Suspects are dealt over buckets; a bucket's automaton holds the pieces
-   that its documents share an anchor with (for anchors of many pieces: a confirmed window), and the documents
-   stream through it. Each hit is extended word by word against the piece; matches of at least `SPAN` words
+   that its documents share a confirmed window with, and the documents stream through it. Each hit is extended word by word against the piece; matches of at least `SPAN` words
    from a smaller document are removed.
 
 Hashes only nominate: what is removed has matched word by word. Frequent anchors and windows are
@@ -40,10 +39,8 @@ SPAN = 50
 GRAM = 12
 #: Words of an automaton's phrase; pieces are cut every SPAN - BLOCK + 1 words.
 BLOCK = 25
-#: New words of a piece; it has SPAN - 1 more that the next one repeats.
+#: A piece's windows start within one stretch of so many words of its document.
 PIECE = 400
-#: Pieces that an anchor may have to nominate them by itself; beyond, windows do.
-FEW_PIECES = 8
 #: Words of suspect documents that one bucket has, about.
 BUCKET_WORDS = 300_000
 #: Texts that one task remembers having fingerprinted.
@@ -129,7 +126,7 @@ _PRINT = ["doc", "dg", "anchor", "th", "n_words", "digest"]
 
 
 def _windows(suspects: DataFrame, span: int) -> DataFrame:
-    """(anchor, win, doc, dg, pos) of the suspect windows."""
+    """(win, doc, dg, pos) of the suspect windows."""
 
     def run(batches):
         claim("words", [WORD_HASHES])
@@ -138,45 +135,36 @@ def _windows(suspects: DataFrame, span: int) -> DataFrame:
                 out = []
                 for d, g, text, marks in zip(part.column("doc").to_pylist(), part.column("dg").to_pylist(), texts(part), part.column("marks"), strict=True):
                     h = WORD_HASHES.of(split_words(text))
-                    at = anchors(h, span)
-                    pos = np.flatnonzero(np.isin(at, marks.values.to_numpy()))
+                    pos = np.flatnonzero(np.isin(anchors(h, span), marks.values.to_numpy()))
                     if len(pos):
-                        out.append((at[pos], window_hashes(h, span)[pos].view(np.int64), np.full(len(pos), d), np.full(len(pos), g), pos))
+                        out.append((window_hashes(h, span)[pos].view(np.int64), np.full(len(pos), d), np.full(len(pos), g), pos))
                 if out:
-                    a, w, d, g, p = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(d, pa.int64()), pa.array(g, pa.int64()), pa.array(p, pa.int32())], names=["anchor", "win", "doc", "dg", "pos"])
+                    w, d, g, p = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(d, pa.int64()), pa.array(g, pa.int64()), pa.array(p, pa.int32())], names=["win", "doc", "dg", "pos"])
 
-    return suspects.mapInArrow(run, "anchor bigint, win bigint, doc bigint, dg bigint, pos int")
+    return suspects.mapInArrow(run, "win bigint, doc bigint, dg bigint, pos int")
 
 
 def _pieces(owners: DataFrame, span: int) -> DataFrame:
-    """From rows (doc, dg, text, starts): rows (doc, dg, start, words) of each piece of a passage and
-    (doc, dg, start, anchor) of its anchors."""
+    """From rows (doc, dg, text, starts): (doc, dg, cell, words) of each piece; `cell` numbers the stretch of `PIECE`
+    words that its windows start in."""
 
     def run(batches):
-        claim("words", [WORD_HASHES])
         for batch in batches:
             for part in text_slices(batch):
-                doc, key, start, words_out, anchor = [], [], [], [], []
+                doc, key, cell, out = [], [], [], []
                 for d, g, text, starts in zip(part.column("doc").to_pylist(), part.column("dg").to_pylist(), texts(part), part.column("starts"), strict=True):
                     words = split_words(text)
                     at = np.unique(starts.values.to_numpy())
-                    cut = np.flatnonzero(np.diff(at) > span)
-                    mine = anchors(WORD_HASHES.of(words), span)
+                    cut = np.flatnonzero((np.diff(at) > span) | (np.diff(at // PIECE) > 0))
                     for b, e in zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True):
-                        for x in range(b, e + 1, PIECE):
-                            y = min(x + PIECE, e + 1)
-                            its = _distinct(mine[x:y])
-                            k = len(its) + 1
-                            doc += [d] * k
-                            key += [g] * k
-                            start += [x] * k
-                            words_out += [b" ".join(words[x : y + span - 1]).decode()] + [None] * (k - 1)
-                            anchor += [None, *its.tolist()]
-                if doc:
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(words_out, pa.string()), pa.array(anchor, pa.int64())], names=["doc", "dg", "start", "words", "anchor"])
+                        doc.append(d)
+                        key.append(g)
+                        cell.append(b // PIECE)
+                        out.append(b" ".join(words[b : e + span]).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(cell, pa.int32()), pa.array(out, pa.string())], names=["doc", "dg", "cell", "words"])
 
-    return owners.mapInArrow(run, "doc bigint, dg bigint, start int, words string, anchor bigint")
+    return owners.mapInArrow(run, "doc bigint, dg bigint, cell int, words string")
 
 
 #: Code points from here on stand for words; none is a surrogate. One automaton takes pieces of as many words,
@@ -290,21 +278,6 @@ def _stream(rows: DataFrame, span: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc bigint, dg bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept_digest string")
 
 
-def _routes(points: DataFrame, seeds: DataFrame, confirmed: DataFrame, suspects: DataFrame, bucket, span: int) -> DataFrame:
-    """(bucket, owner, owner_dg, start): the pieces that a bucket's documents may contain. An anchor of few
-    pieces nominates them all; under an anchor of many, only pieces of which a document has a window."""
-    each = seeds.groupBy("anchor").agg(F.count("*").alias("pieces"))
-    few, many = each.filter(F.col("pieces") <= FEW_PIECES).select("anchor"), each.filter(F.col("pieces") > FEW_PIECES).select("anchor")
-    last = points.withColumn("bucket", bucket).groupBy("anchor", "bucket").agg(F.max("doc").alias("last"))
-    by_anchor = last.join(few, "anchor").join(seeds, "anchor").filter("owner < last").select("bucket", "owner", "owner_dg", "start")
-    marks = points.join(many, "anchor").groupBy("doc", "dg").agg(F.collect_set("anchor").alias("marks"))
-    wide = _windows(suspects.select("doc", "dg", "text").join(marks, ["doc", "dg"]), span)
-    last = wide.withColumn("bucket", bucket).groupBy("anchor", "win", "bucket").agg(F.max("doc").alias("last"))
-    owned = confirmed.select("anchor", "win", F.col("doc").alias("owner"), F.col("dg").alias("owner_dg"))
-    by_window = last.join(owned, ["anchor", "win"]).filter("owner < last").select("anchor", "bucket", "owner", "owner_dg").distinct().join(seeds, ["anchor", "owner", "owner_dg"])
-    return by_anchor.unionByName(by_window.select("bucket", "owner", "owner_dg", "start")).distinct()
-
-
 def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, `n_words`, `n_removed`, `removed` (word ranges, end exclusive), `kept_sha256`,
     the hash of the kept words joined by one space, and `text_hash`, which tells texts of one id apart."""
@@ -322,17 +295,20 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id",
     marks = materialize(marks, "marks")
     suspects = materialize(prune(slim.filter("doc is not null"), marks.select("doc"), "doc").join(marks, ["doc", "th"]), "suspects")
 
-    confirmed = _windows(suspects, span).groupBy("anchor", "win").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.min_by("dg", "doc").alias("dg"), F.min_by("pos", "doc").alias("pos")).filter("doc < other")
+    windows = materialize(_windows(suspects, span), "windows")
+    confirmed = windows.groupBy("win").agg(F.min("doc").alias("owner"), F.max("doc").alias("other"), F.min_by("dg", "doc").alias("owner_dg"), F.min_by("pos", "doc").alias("pos")).filter("owner < other")
     confirmed = materialize(confirmed.drop("other"), "confirmed")
-    starts = confirmed.groupBy("doc", "dg").agg(F.collect_list("pos").alias("starts"))
+    starts = confirmed.groupBy(F.col("owner").alias("doc"), F.col("owner_dg").alias("dg")).agg(F.collect_list("pos").alias("starts"))
     pieces = materialize(_pieces(suspects.select("doc", "dg", "text").join(starts, ["doc", "dg"]), span), "pieces")
 
     total = suspects.agg(F.sum(F.size("marks"))).first()[0] or 0
     buckets = int(total * (span - GRAM + 2) // (2 * BUCKET_WORDS)) + 1
     bucket = F.pmod(F.xxhash64(F.lit("bucket"), "doc", "dg"), F.lit(buckets))
-    seeds = pieces.filter("anchor is not null").select("anchor", F.col("doc").alias("owner"), F.col("dg").alias("owner_dg"), "start").distinct()
-    held = pieces.filter("anchor is null").select(F.col("doc").alias("owner"), F.col("dg").alias("owner_dg"), "start", "words").dropDuplicates(["owner", "owner_dg", "start"])
-    phrases = _routes(points, seeds, confirmed, suspects, bucket, span).join(held, ["owner", "owner_dg", "start"]).select("bucket", F.lit(0).alias("kind"), F.col("owner").alias("doc"), F.col("owner_dg").alias("dg"), F.col("words").alias("text"))
+    # of a window that many documents have, a bucket keeps one row
+    last = windows.groupBy("win", bucket.alias("bucket")).agg(F.max("doc").alias("last"))
+    routes = last.join(confirmed.hint("merge"), "win").filter("owner < last").select("bucket", "owner", "owner_dg", F.floor(F.col("pos") / PIECE).cast("int").alias("cell")).distinct()
+    held = pieces.select(F.col("doc").alias("owner"), F.col("dg").alias("owner_dg"), "cell", "words").distinct()
+    phrases = routes.join(held.hint("merge"), ["owner", "owner_dg", "cell"]).select("bucket", F.lit(0).alias("kind"), F.col("owner").alias("doc"), F.col("owner_dg").alias("dg"), F.col("words").alias("text"))
     stream = phrases.unionByName(suspects.select(bucket.alias("bucket"), F.lit(1).alias("kind"), "doc", "dg", "text"))
     lost = _stream(stream, span).dropDuplicates(["doc", "dg"]).withColumnRenamed("doc", "rep")
 
