@@ -134,9 +134,39 @@ def test_asof_filters(spark):
     kept, audit = asof.available_as_of(rows, ["f_ann_date", "ann_date"], "2024-06-30")
     assert [r.symbol for r in kept.collect()] == ["a"]
     a = audit.first()
-    assert (a.status, a.field, a.total, a.excluded, a.invalid) == ("filtered", "ann_date", 4, 1, 2)
+    assert (a.status, a.field, a.total, a.excluded, a.known_rows) == ("filtered", "ann_date", 4, 3, 2)
     kept, audit = asof.available_as_of(rows, ["x"], "2024-06-30")
     assert kept.count() == 4 and audit.first().status == "historically_unverified"
+    # a first field without a usable day does not decide
+    blank = rows.withColumn("f_ann_date", F.lit(" "))
+    assert [r.symbol for r in asof.available_as_of(blank, ["f_ann_date", "ann_date"], "2024-06-30")[0].collect()] == ["a"]
+    assert asof.available_as_of(blank.drop("ann_date"), ["f_ann_date"], "2024-06-30")[0].count() == 4
+    assert asof.available_as_of(rows.limit(0), ["ann_date"], "2024-06-30")[1].first().status == "not_applicable"
+    kept, audit = asof.sectors_as_of(rows.withColumnRenamed("ann_date", "trade_date"), "2024-06-30")
+    assert [r.symbol for r in kept.collect()] == ["a"] and tuple(audit.first()) == ("partial", 3, 2)
+    assert asof.sectors_as_of(rows, "2024-06-30")[1].first().status == "snapshot_without_effective_date"
+
+
+def test_business_keys(spark):
+    rows = spark.createDataFrame([("X", "20240102", None, "a"), ("X", "2024-01-02", "20240301", "b"), ("X", None, "20240301", "c"), ("X", " ", "2024-03-01", "d"), (None, None, None, "e"), (None, None, None, "f")], "ts_code string, trade_date string, ann_date string, h string")
+    key = lambda d: [r[0] for r in rows.select(ingest.business_key(F.lit(d), rows.columns, F.col("h"))).collect()]
+    a = key("one")
+    assert a[0] == a[1] and a[2] == a[3] and a[0] != a[2] and a[4:] == ["row:e", "row:f"]
+    assert key("two")[0] != a[0]
+
+
+def test_upsert_orders_rows_of_one_batch(spark):
+    old = spark.createDataFrame([("k", 1.0, 1)], "k string, v double, row int")
+    new = spark.createDataFrame([("k", 3.0, 2), ("k", 2.0, 5), ("k", None, 9)], old.schema)
+    assert ingest.merge_upsert(old, new, ["k"], row="row").collect()[0].v == 2.0
+    assert ingest.merge_upsert(old, new, ["k"], overwrite=("v",), row="row").collect()[0].v is None
+
+
+def test_trades_keep_rows_without_side_or_price(spark):
+    rows = spark.createDataFrame([("p", k, s, q) for k, (s, q) in enumerate([("buy", "3"), ("hold", "x"), (" ", None), ("?", "2")])] + [("q", k, "sell", "1") for k in range(600)], "account string, no int, side string, quantity string")
+    got = portfolio.clean_trades(rows, ["account"], "no")
+    assert [(r.no, r.side, r.quantity) for r in got.filter("account = 'p'").orderBy("no").collect()] == [(0, "buy", 3.0), (3, "", 2.0)]
+    assert got.filter("account = 'q'").count() == 500
 
 
 def test_sector_returns_and_rotation(spark):
@@ -179,6 +209,11 @@ def test_signal_sampling_rounds_to_even(spark):
 def test_corpus_helpers(spark):
     page = "<html><script>x()</script><p>One  two</p><style>a{}</style><div>three</div></html>"
     assert corpus.visible_text(spark.createDataFrame([(page,), (None,)], "html string")).select("text").collect()[0][0] == "One two\n\nthree"
+    odd = "<!-- <p>no</p> --><title>T &lt;x&gt;</title><SVG><text>no</text></SVG>caf&#233;&nbsp; &#26085;&#x; 5 < 6 &amp;lt;<br/><script>open"
+    assert corpus.visible_text(spark.createDataFrame([(odd,)], "html string")).first().text == "T <x>\n\ncafé 日&#x; 5 < 6 &lt;"
+    rows = spark.createDataFrame([("o", k % 3, k) for k in range(20)] + [(None, 1, 50)], "owner string, day int, id int")
+    got = sorted((r.owner or "", r.place, r.id) for r in corpus.placed(rows, ["owner"], [("day", "desc")], [F.col("id")]).collect())
+    assert got == [("", 1, 50)] + [("o", i, x) for i, x in enumerate(sorted(range(20), key=lambda k: (-(k % 3), k)), 1)]
     wiki = spark.createDataFrame([("a.md", "[[b]] and [c](c.md) `[[no]]`"), ("b.md", "fine")], "path string, text string")
     assert [(r.path, r.target) for r in corpus.broken_links(wiki).collect()] == [("a.md", "c.md")]
 

@@ -10,8 +10,7 @@ from tidemark.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# a few of each family; the others are compared by the same code at larger sizes
-CHOSEN = [n for n in SQL if not n.startswith(("scr_", "rpl_", "gate_"))] + ["scr_scores", "scr_quality", "gate_confirmation", "gate_source_audit", "rpl_signals", "rpl_review"]
+CHOSEN = list(SQL)
 
 
 def plain(df):

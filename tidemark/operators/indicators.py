@@ -53,7 +53,7 @@ def _over(n: int):
 def trend(rows: DataFrame, index: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Moving averages, distances from them, returns, benchmark and relative return, volatility."""
     c = F.col("close_qfq")
-    with_index = rows.join(F.broadcast(index.select("trade_date", F.col("close").alias("bench"))), "trade_date", "left")
+    with_index = rows.join(index.select("trade_date", F.col("close").alias("bench")), "trade_date", "left")
     r1 = change(c, lagged(c, 1, order="own_no"))
     out = with_index.withColumn("r1", r1)
     bench = change(F.col("bench"), lagged(F.col("bench"), s.short, order="own_no"))

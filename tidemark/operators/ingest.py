@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.asof import parsed_date
+
 
 def canonicalize(rows: DataFrame, aliases: dict[str, list[str]], keys: list[str]) -> DataFrame:
     """Each target column from the first alias present; rows with a blank key drop out."""
@@ -24,17 +26,49 @@ def melt(wide: DataFrame, date: str, field: str) -> DataFrame:
     return wide.unpivot([date], cols, "symbol", field).filter(F.col(field).isNotNull())
 
 
-def merge_upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], overwrite: tuple[str, ...] = ()) -> DataFrame:
-    """Newer non-null values win field by field; `overwrite` fields take the newer value even when null."""
-    both = existing.withColumn("_o", F.lit(0)).unionByName(incoming.withColumn("_o", F.lit(1)))
-    pick = lambda c: F.max_by(c, "_o") if c in overwrite else F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_o")))
-    return both.groupBy(*keys).agg(*[pick(c).alias(c) for c in existing.columns if c not in keys])
+def merge_fields(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Long frames of one field each as one frame: a full outer join on the keys."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, keys, "full_outer")
+    return out
 
 
-def business_key(fields: list[str]):
-    """Hash of the non-null identity fields, by name."""
-    parts = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}="), F.col(f).cast("string"))) for f in sorted(fields)]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def merge_upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], overwrite: tuple[str, ...] = (), row: str | None = None) -> DataFrame:
+    """Newer non-null values win field by field; `overwrite` fields take the newer value even when null. Several rows
+    of a key in one batch follow `row`, a column of both that tells the later one; without it, their values."""
+    fields = [c for c in existing.columns if c not in keys and c != row]
+    place = F.col(row) if row else F.lit(0)
+    both = existing.select(*keys, *fields, F.struct(F.lit(0), place).alias("_o")).unionByName(incoming.select(*keys, *fields, F.struct(F.lit(1), place).alias("_o")))
+    # the value itself settles what the order leaves open
+    at = lambda c: F.struct("_o", c)
+    pick = lambda c: F.max(at(c))[c] if c in overwrite else F.max(F.when(F.col(c).isNotNull(), at(c)))[c]
+    return both.groupBy(*keys).agg(*[pick(c).alias(c) for c in fields])
+
+
+# Fields that identify a record, those of them that date it, and announcement days that stand in for a date.
+IDENTITY = ("ts_code", "trade_date", "end_date", "report_date", "surv_date", "float_date", "cal_date", "month", "date", "index_code", "con_code", "exchange", "org_name", "holder_name", "holder_type", "report_type", "comp_type", "end_type")
+DATING = ("trade_date", "end_date", "report_date", "surv_date", "float_date", "cal_date", "month", "date")
+ANNOUNCED = ("ann_date", "f_ann_date")
+
+
+def business_key(dataset: Column, fields: list[str], row_hash: Column) -> Column:
+    """Hash of the dataset and the identity fields that are not blank, dates in one form; an announcement day joins only
+    where no other date is given; without any of them the row's own hash, marked `row:`."""
+    text = lambda f: F.when(F.trim(F.col(f).cast("string")) != "", F.trim(F.col(f).cast("string")))
+    day = lambda f: F.coalesce(F.date_format(parsed_date(text(f)), "yyyy-MM-dd"), text(f))
+    have = [f for f in IDENTITY if f in fields]
+    values = {f: day(f) if f in DATING else text(f) for f in have}
+    dated = [values[f] for f in have if f in DATING]
+    stand_in = [day(f) for f in ANNOUNCED if f in fields]
+    if stand_in:
+        undated = F.coalesce(*dated).isNull() if dated else F.lit(True)
+        values["ann_date"] = F.when(undated, F.coalesce(*stand_in))
+    if not values:
+        return F.concat(F.lit("row:"), row_hash)
+    # to_json leaves nulls out; names are in order
+    identity = F.to_json(F.struct(dataset.alias("dataset"), F.struct(*[v.alias(f) for f, v in sorted(values.items())]).alias("identity")))
+    return F.when(F.coalesce(*values.values()).isNull(), F.concat(F.lit("row:"), row_hash)).otherwise(F.sha2(identity, 256))
 
 
 def row_hash(fields: list[str]):
@@ -54,9 +88,9 @@ def ledger(observations: DataFrame, payload: list[str]) -> DataFrame:
         F.max("_at").alias("_last"),
         F.min("retrieved_at").alias("first_seen_at"),
         F.max("retrieved_at").alias("last_seen_at"),
-        F.first("symbol").alias("symbol"),
-        F.first("event_date").alias("event_date"),
-        *[F.first(p).alias(p) for p in payload],
+        F.min_by("symbol", "_at").alias("symbol"),
+        F.min_by("event_date", "_at").alias("event_date"),
+        *[F.min_by(p, "_at").alias(p) for p in payload],
     )
     w = Window.partitionBy(*key)
     out = each.withColumn("revision", F.row_number().over(w.orderBy("_first"))).withColumn("is_current", F.col("_last") == F.max("_last").over(w))
@@ -64,6 +98,23 @@ def ledger(observations: DataFrame, payload: list[str]) -> DataFrame:
     return out.withColumn("available_at", available).drop("_first", "_last")
 
 
+def ledger_backfill(legacy: DataFrame, payload: list[str]) -> DataFrame:
+    """The ledger of stored rows (dataset, symbol, event_date, retrieved_at, batch_row and payload) whose keys, revisions
+    and availability are computed anew, in order of arrival."""
+    keyed = legacy.withColumn("business_key", business_key(F.col("dataset"), payload, row_hash(payload)))
+    return ledger(keyed, payload)
+
+
+def ledger_query(rows: DataFrame, datasets: list[str] | None = None, symbols: list | None = None, start: str | None = None, end: str | None = None, limit: int = 200, **cutoffs) -> DataFrame:
+    """`ledger_read` of some datasets, symbols and event days, newest event first, then dataset and symbol, as many rows
+    as `limit`."""
+    for column, values in (("dataset", datasets), ("symbol", symbols)):
+        rows = rows if values is None else rows.filter(F.col(column).isin(values))
+    rows = rows if start is None else rows.filter(F.col("event_date") >= F.lit(start).cast("date"))
+    rows = rows if end is None else rows.filter(F.col("event_date") <= F.lit(end).cast("date"))
+    return ledger_read(rows, **cutoffs).orderBy(F.col("event_date").desc(), "dataset", "symbol", "business_key", F.col("revision").desc()).limit(limit)
+
+
 def ledger_read(rows: DataFrame, available_as_of: str | None = None, observed_as_of: str | None = None, revisions: bool = False) -> DataFrame:
     """Current rows; or, given a cutoff, the highest revision known then of each key, or all of them."""
     if available_as_of is None and observed_as_of is None:
@@ -79,14 +130,19 @@ def ledger_read(rows: DataFrame, available_as_of: str | None = None, observed_as
     return known.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
-def date_coverage(calendar: DataFrame, raw: DataFrame, normalized: DataFrame, start: str, end: str) -> DataFrame:
-    """Expected open days of the range, stored ones, and missing ones with their first and last day."""
-    want = calendar.filter(F.col("cal_date").between(start, end) & (F.col("is_open") == 1)).select("cal_date")
-    have = raw.select(F.col("trade_date").alias("cal_date")).union(normalized.select("trade_date")).distinct()
-    lack = want.join(have, "cal_date", "left_anti")
-    a, b = want.agg(F.count("*").alias("expected")), want.join(have, "cal_date", "left_semi").agg(F.count("*").alias("stored"))
-    c = lack.agg(F.count("*").alias("missing"), F.min("cal_date").alias("first_missing"), F.max("cal_date").alias("last_missing"))
-    return a.crossJoin(b).crossJoin(c)
+def date_coverage(calendar: DataFrame, raw: DataFrame, normalized: DataFrame, start: str, end: str, completed: str | None = None) -> DataFrame:
+    """One row: status, open days expected up to the last completed session, stored ones, and missing ones with their
+    first and last day. Where the calendar lacks a day of the range, the status is `unknown` and the rest null."""
+    last = min(end, completed) if completed else end
+    inside = calendar.filter(F.col("cal_date").between(start, end))
+    whole = inside.agg((F.countDistinct("cal_date") == F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1).alias("whole"))
+    want = inside.filter((F.col("is_open") == 1) & (F.col("cal_date") <= F.lit(last).cast("date"))).select("cal_date").distinct()
+    have = raw.select(F.col("trade_date").alias("cal_date")).union(normalized.select("trade_date")).distinct().withColumn("here", F.lit(1))
+    lacks = F.when(F.col("here").isNull(), F.col("cal_date"))
+    found = want.join(have, "cal_date", "left").agg(F.count("*").alias("expected"), F.count("here").alias("stored"), F.count(lacks).alias("missing"), F.min(lacks).alias("first_missing"), F.max(lacks).alias("last_missing"))
+    both = whole.crossJoin(found)  # a row each
+    status = F.when(~F.col("whole"), "unknown").when(F.col("missing") == 0, "complete").otherwise("incomplete")
+    return both.select(status.alias("status"), *[F.when(F.col("whole"), F.col(c)).alias(c) for c in ("expected", "stored", "missing", "first_missing", "last_missing")])
 
 
 def business_days(days: DataFrame, date: str = "cal_date") -> DataFrame:
@@ -111,3 +167,40 @@ def incremental_window(tables: list[DataFrame], today: str, date: str = "trade_d
 def route(rules: list[tuple[str, set[str], set[str], str]], endpoint: str, columns: list[str]) -> str | None:
     """Target of the first rule (name, endpoints, required columns, target) that fits."""
     return next((target for _, ends, need, target in rules if endpoint in ends and need <= set(columns)), None)
+
+
+# Where sector columns come from if they are not there by name, and what each kind of table keeps.
+SECTOR_ALIASES = {"sector_code": ("ts_code", "index_code", "code"), "sector_name": ("name", "ts_name", "industry_name", "industry"), "sector_type": ("type", "category", "level"), "exchange": ("market",)}
+SECTOR_TABLES = {
+    "master": (("provider", "sector_code"), {}, ("sector_name", "sector_type", "exchange"), ()),
+    "daily": (("provider", "sector_code", "trade_date"), {"trade_date": ("date",), "pct_chg": ("pct_change", "change_pct"), "vol": ("volume",)}, ("sector_name",), ("open", "high", "low", "close", "pct_chg", "vol", "amount", "turnover_rate")),
+    "flow": (("provider", "sector_code", "trade_date"), {"trade_date": ("date",), "pct_chg": ("pct_change",), "lead_stock_pct_chg": ("pct_change_stock",)}, ("sector_name", "lead_stock"), ("pct_chg", "lead_stock_pct_chg", "company_num", "net_buy_amount", "net_sell_amount", "net_amount")),
+}
+
+
+def sector_rows(kind: str, provider: str, rows: DataFrame) -> DataFrame:
+    """Rows of a sector master, daily or flow table: columns by name or alias, days and numbers read, rows without a key
+    left out."""
+    keys, more, texts, numbers = SECTOR_TABLES[kind]
+    aliases = {**SECTOR_ALIASES, **more}
+
+    def found(name: str) -> Column:
+        source = next((c for c in (name, *aliases.get(name, ())) if c in rows.columns), None)
+        return F.col(source).cast("string") if source else F.lit(None).cast("string")
+
+    day = lambda c: parsed_date(c) if kind != "master" else c
+    cols = [F.lit(provider).alias("provider"), F.trim(found("sector_code")).alias("sector_code")]
+    cols += [day(found("trade_date")).alias("trade_date")] if "trade_date" in keys else []
+    out = rows.select(*cols, *[found(c).alias(c) for c in texts], *[found(c).try_cast("double").alias(c) for c in numbers])
+    for k in keys:
+        out = out.filter(F.col(k).isNotNull())
+    return out.filter("sector_code <> ''")
+
+
+def membership_rows(dataset: str, rows: DataFrame, retrieved_at: Column) -> DataFrame:
+    """Rows of a sector membership table: (dataset, index_code, con_code, trade_date, in_date, out_date, name). A table
+    without trade_date is a snapshot of the day it was retrieved."""
+    have = lambda *names: next((F.col(c).cast("string") for c in names if c in rows.columns), F.lit(None).cast("string"))
+    day = parsed_date(have("trade_date")) if "trade_date" in rows.columns else retrieved_at.cast("date")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select(F.lit(dataset).alias("dataset"), blank(have("index_code", "ts_code")).alias("index_code"), blank(have("con_code", "ts_code")).alias("con_code"), day.alias("trade_date"), parsed_date(have("in_date")).alias("in_date"), parsed_date(have("out_date")).alias("out_date"), have("name", "con_name").alias("name"))

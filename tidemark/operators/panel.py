@@ -37,6 +37,7 @@ def sessions(bars: DataFrame) -> DataFrame:
 def session_grid(bars: DataFrame) -> DataFrame:
     """All market sessions by all symbols; a session without a bar is a row of nulls."""
     days = sessions(bars)
+    # a row a session
     cells = bars.select("symbol").distinct().crossJoin(F.broadcast(days))
     return cells.join(bars, ["symbol", "trade_date"], "left")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import ratio, reasons
@@ -39,7 +39,13 @@ def clean_holdings(rows: DataFrame) -> DataFrame:
     """Upper-case trimmed symbols, blank rows dropped, an array of errors a row."""
     symbol = F.upper(F.trim("symbol"))
     kept = rows.filter(F.coalesce(symbol, F.lit("")) != "").withColumn("symbol", symbol)
-    found = reasons((F.coalesce(F.col("quantity") <= 0, F.lit(True)), "quantity"), (F.col("average_cost") < 0, "average_cost"), (F.col("target_weight") > 100, "target_weight"))
+    found = reasons(
+        (F.coalesce(F.col("quantity") <= 0, F.lit(True)), "quantity"),
+        (F.col("average_cost") < 0, "average_cost"),
+        (F.col("latest_price") < 0, "latest_price"),
+        ((F.col("target_weight") > 100) | (F.col("target_weight") < 0), "target_weight"),
+        (F.length(symbol) > 32, "symbol"),
+    )
     return kept.withColumn("errors", found)
 
 
@@ -48,15 +54,29 @@ def holding_metrics(rows: DataFrame) -> DataFrame:
     return rows.select("*", cost.alias("cost"), value.alias("market_value"), (value - cost).alias("profit"), (ratio(value - cost, cost) * 100).alias("profit_pct"))
 
 
-def holding_warnings(rows: DataFrame) -> DataFrame:
-    """Symbols held more than once, and rows without a price."""
+def holding_warnings(rows: DataFrame, symbols: list[str] | None = None) -> DataFrame:
+    """Symbols (all, or some) held more than once, and rows without a price."""
+    rows = rows if symbols is None else rows.filter(F.col("symbol").isin([x.strip().upper() for x in symbols]))
     many = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(F.col("latest_price").isNull(), 1)).alias("unpriced"))
     return many.filter("n > 1 or unpriced > 0")
 
 
-def clean_trades(rows: DataFrame) -> DataFrame:
-    side = F.lower(F.trim("side"))
-    return rows.withColumn("side", side).filter(side.isin("buy", "sell") & (F.col("quantity") > 0) & (F.col("price") > 0))
+#: Rows of one list of trades that are read.
+TRADES = 500
+TRADE_TEXTS = {"date": 16, "side": 8, "symbol": 32, "name": 80, "notes": 600}
+TRADE_NUMBERS = ("quantity", "price", "fees", "realized_pnl")
+
+
+def clean_trades(rows: DataFrame, by: list[str], place: str) -> DataFrame:
+    """The first `TRADES` rows of each list by `place`, texts trimmed and cut, numbers read; a side other than buy or sell
+    becomes blank, and a row with nothing in it goes."""
+    texts = {c: F.substring(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), 1, n) for c, n in TRADE_TEXTS.items() if c in rows.columns}
+    if "side" in texts:
+        texts["side"] = F.when(texts["side"].isin("buy", "sell"), texts["side"]).otherwise("")
+    numbers = {c: F.col(c).cast("string").try_cast("double") for c in TRADE_NUMBERS if c in rows.columns}
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(place))).filter(F.col("_k") <= TRADES)
+    out = first.select(*by, place, *[c.alias(n) for n, c in {**texts, **numbers}.items()])
+    return out.filter(F.greatest(*[F.col(c) != "" for c in texts], *[F.col(c).isNotNull() for c in numbers]))
 
 
 def merge_watchlist(existing: DataFrame, incoming: DataFrame) -> DataFrame:

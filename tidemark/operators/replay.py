@@ -80,27 +80,29 @@ def outcomes(armed: DataFrame, grid: DataFrame, index: DataFrame, horizons: tupl
     each = each.withColumn("target_no", F.col("entry_no") + F.col("horizon")).crossJoin(F.broadcast(last))
     key = ["symbol", "trade_date", "horizon"]
     open_ = each.filter("target_no <= last_no")
-    # stops: rows after the entry up to the target whose low reaches the level
-    low = grid.filter("low_qfq is not null").select(F.col("symbol").alias("s"), F.col("session_no").alias("no"), "low_qfq")
-    near = (F.col("symbol") == F.col("s")) & (F.col("no") > F.col("entry_no")) & (F.col("no") <= F.col("target_no")) & (F.col("low_qfq") <= F.col("invalidation"))
-    stops = open_.join(low, near).groupBy(*key).agg(F.min("no").alias("stop_no"))
+    # stops: the first of the sessions up to the longest horizon whose low reaches the level
+    low = grid.filter("low_qfq is not null").select("symbol", F.col("session_no").alias("no"), "low_qfq")
+    ahead = armed.select("symbol", "trade_date", "invalidation", F.explode(F.sequence(F.col("session_no") + 2, F.col("session_no") + 1 + max(horizons))).alias("no"))
+    hit = ahead.join(low, ["symbol", "no"]).filter("low_qfq <= invalidation").groupBy("symbol", "trade_date").agg(F.min("no").alias("first_no"))
+    stops = open_.join(hit, ["symbol", "trade_date"]).filter("first_no <= target_no").select(*key, F.col("first_no").alias("stop_no"))
     open_ = open_.join(stops, key, "left").withColumn("desired_no", F.coalesce("stop_no", "target_no"))
     # the first session from each one on at which the symbol can be sold
     sellable = F.col("close_qfq").isNotNull() & (F.coalesce("volume", F.lit(0.0)) > 0) & ~has_limit(F.col("limit_types"), "down")
-    ahead = Window.partitionBy("symbol").orderBy("session_no").rowsBetween(0, Window.unboundedFollowing)
-    exits = grid.select("symbol", F.col("session_no").alias("desired_no"), F.min(F.when(sellable, F.col("session_no"))).over(ahead).alias("exit_no"), has_limit(F.col("limit_types"), "down").alias("down_day"))
+    back = Window.partitionBy("symbol").orderBy(F.col("session_no").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    exits = grid.select("symbol", F.col("session_no").alias("desired_no"), F.min(F.when(sellable, F.col("session_no"))).over(back).alias("exit_no"), has_limit(F.col("limit_types"), "down").alias("down_day"))
     open_ = open_.join(exits, ["symbol", "desired_no"], "left")
     bar = grid.select("symbol", F.col("session_no").alias("exit_no"), F.col("trade_date").alias("exit_date"), F.col("open_qfq").alias("x_open"), F.col("close_qfq").alias("x_close"))
     open_ = open_.join(bar, ["symbol", "exit_no"], "left")
     stopped = F.col("stop_no").isNotNull() & (F.col("exit_no") == F.col("desired_no"))
     price = F.when(stopped, F.least(F.coalesce("x_open", "invalidation"), F.col("invalidation"))).otherwise(F.col("x_close"))
     open_ = open_.withColumn("exit_price", price).withColumn("delay", F.col("exit_no") - F.col("desired_no")).withColumn("exit_reason", F.when(F.col("stop_no").isNotNull(), "price_invalidation").otherwise("time_horizon"))
-    seen = grid.filter("close_raw is not null").select(F.col("symbol").alias("s"), F.col("session_no").alias("no"), "low_qfq", "high_qfq")
-    path = open_.join(seen, (F.col("symbol") == F.col("s")) & F.col("no").between(F.col("entry_no"), F.col("exit_no"))).groupBy(*key).agg(F.min("low_qfq").alias("path_low"), F.max("high_qfq").alias("path_high"))
+    seen = grid.filter("close_raw is not null").select("symbol", F.col("session_no").alias("no"), "low_qfq", "high_qfq")
+    walked = open_.filter("exit_no is not null").select(*key, F.explode(F.sequence("entry_no", "exit_no")).alias("no"))
+    path = walked.join(seen, ["symbol", "no"]).groupBy(*key).agg(F.min("low_qfq").alias("path_low"), F.max("high_qfq").alias("path_high"))
     open_ = open_.join(path, key, "left")
     enter = index.select(F.col("trade_date").alias("entry_date"), F.coalesce("open", "close").alias("b_in"))
     leave = index.select(F.col("trade_date").alias("exit_date"), F.col("close").alias("b_out"))
-    open_ = open_.join(F.broadcast(enter), "entry_date", "left").join(F.broadcast(leave), "exit_date", "left")
+    open_ = open_.join(enter, "entry_date", "left").join(leave, "exit_date", "left")
     p = F.col("entry_price")
     net, bench = change(F.col("exit_price"), p) - cost_bps / 10_000, change(F.col("b_out"), F.col("b_in"))
     done = open_.select(*key, "session_no", "sample", "grade", "place", "setup", "basis", "entry_date", "exit_date", "exit_reason", "delay", (F.coalesce(F.col("delay") > 0, F.lit(False)) & F.coalesce("down_day", F.lit(False))).alias("limit_down_delay"), "entry_price", "invalidation", "exit_price", net.alias("net_return"), bench.alias("benchmark_return"), (net - bench).alias("excess_return"), change(F.col("path_low"), p).alias("mae"), change(F.col("path_high"), p).alias("mfe"))
@@ -151,6 +153,22 @@ def accounting(entered: DataFrame, triggered: DataFrame, results: DataFrame) ->
     return a.crossJoin(b).crossJoin(c)
 
 
+def accounting_by_grade(entered: DataFrame, triggered: DataFrame) -> DataFrame:
+    """Per grade: selected, skipped, triggered and not triggered."""
+    a = entered.groupBy("grade").agg(F.count("*").alias("selected"), F.count("skip").alias("skipped"))
+    b = triggered.groupBy("grade").agg(F.count(F.when(F.col("status") == "triggered", 1)).alias("triggered"), F.count(F.when(F.col("status") != "triggered", 1)).alias("not_triggered"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return a.join(b, "grade", "left").select("grade", "selected", "skipped", zero("triggered"), zero("not_triggered"))
+
+
+def signal_coverage(signals: DataFrame, qualities: DataFrame, results: DataFrame) -> DataFrame:
+    """Per sample: signal dates, those blocked by data quality, and the share of closed outcomes with a path low and high."""
+    a = signals.join(qualities.select("trade_date", "status"), "trade_date", "left").groupBy("sample").agg(F.count("*").alias("signal_dates"), F.count(F.when(F.col("status") == "blocked_for_execution", 1)).alias("blocked_dates"))
+    have = lambda c: F.avg(F.when(F.col("net_return").isNotNull(), F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0)))
+    b = results.groupBy("sample").agg(F.count("net_return").alias("closed"), have("mae").alias("mae_coverage"), have("mfe").alias("mfe_coverage"))
+    return a.join(b, "sample", "left").withColumn("closed", F.coalesce("closed", F.lit(0)))
+
+
 def inference(results: DataFrame, signals: DataFrame, qualities: DataFrame) -> DataFrame:
     """Per required sample: signal baskets, warnings and the inference status of the whole run."""
     counts = results.filter("net_return is not null").groupBy("sample").agg(F.countDistinct("trade_date").alias("n"))
@@ -170,9 +188,13 @@ def review(recommendations: DataFrame, bars: DataFrame, index: DataFrame) -> Dat
     b = bars.select(F.col("symbol").alias("s"), F.col("trade_date").alias("d"), "close_qfq", "high_qfq", "low_qfq")
     inside = (F.col("symbol") == F.col("s")) & F.col("d").between(F.col("recommended_on"), F.col("review_as_of"))
     path = recommendations.join(b, inside).groupBy("rec_id").agg(F.min_by("close_qfq", "d").alias("first"), F.max_by("close_qfq", "d").alias("final"), F.min("low_qfq").alias("low"), F.max("high_qfq").alias("high"))
-    i = index.select(F.col("trade_date").alias("d"), "close")
-    spans = recommendations.select("rec_id", "recommended_on", "review_as_of")
-    market = spans.join(F.broadcast(i), F.col("d").between(F.col("recommended_on"), F.col("review_as_of"))).groupBy("rec_id").agg(F.min_by("close", "d").alias("b_in"), F.max_by("close", "d").alias("b_out"))
+    # for every calendar day the next and the last index row; then two equi-joins
+    span = recommendations.agg(F.min("recommended_on").alias("a"), F.max("review_as_of").alias("b"))
+    days = span.filter("a <= b").select(F.explode(F.sequence("a", "b")).alias("d")).join(index.select(F.col("trade_date").alias("d"), F.struct(F.col("trade_date").alias("on"), "close").alias("i")), "d", "left")
+    up, down = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.select("d", F.last("i", ignorenulls=True).over(down).alias("next"), F.last("i", ignorenulls=True).over(up).alias("before"))
+    spans = recommendations.select("rec_id", "recommended_on", "review_as_of").join(days.select(F.col("d").alias("recommended_on"), "next"), "recommended_on").join(days.select(F.col("d").alias("review_as_of"), "before"), "review_as_of")
+    market = spans.filter("next.on <= review_as_of").select("rec_id", F.col("next.close").alias("b_in"), F.col("before.close").alias("b_out"))
     j = recommendations.join(path, "rec_id", "left").join(market, "rec_id", "left")
     fwd, bench = change(F.col("final"), F.col("first")), change(F.col("b_out"), F.col("b_in"))
     return j.select("rec_id", "symbol", fwd.alias("forward_return"), bench.alias("benchmark_return"), (fwd - bench).alias("excess_return"), change(F.col("low"), F.col("first")).alias("mae"), change(F.col("high"), F.col("first")).alias("mfe"), F.when(fwd.isNotNull(), "completed").otherwise("insufficient_evidence").alias("review_status"))

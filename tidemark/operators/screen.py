@@ -131,7 +131,7 @@ def exact_round(x: Column) -> Column:
 
 def scores(rows: DataFrame, bench: DataFrame, profile: Profile = TRADE) -> DataFrame:
     """Percentiles among eligible rows of each date, states, chase-risk and buyability scores."""
-    e = rows.filter("eligible").join(F.broadcast(bench), "trade_date", "left")
+    e = rows.filter("eligible").join(bench, "trade_date", "left")
     b = F.col(f"bench_{profile.momentum}")
     e = e.withColumn("strength", F.when(F.col("aligned") & b.isNotNull(), F.col("primary_return") - b).otherwise(F.col("primary_return"))).withColumn("bench_primary", b)
     day = ["trade_date"]
@@ -264,11 +264,12 @@ def quality(grid: DataFrame, bench: DataFrame, profile: Profile = TRADE, lifecyc
         F.floor(F.percentile(F.when(F.col("_obs") > 0, F.col("_obs")), F.lit(0.5))).alias("median_history"),
         share(F.col("open_qfq").isNotNull()).alias("adjusted_open"),
         ratio(F.sum("_a").cast("double"), F.greatest(F.sum("_p"), F.lit(1)).cast("double")).alias("stored_amount"),
+        share(F.col("high_qfq").isNotNull() & F.col("low_qfq").isNotNull()).alias("high_low"),
         share(F.col("adj_factor").isNotNull()).alias("adjustment"),
         share(F.col("list_date").isNotNull()).alias("metadata"),
         share(F.col("list_status").isNotNull()).alias("lifecycle"),
     )
-    j = day.join(F.broadcast(bench), "trade_date", "left")
+    j = day.join(bench, "trade_date", "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
     found = reasons(
         (F.col("median_history") < profile.trend, "insufficient_history_for_standard_screen"),
@@ -280,7 +281,51 @@ def quality(grid: DataFrame, bench: DataFrame, profile: Profile = TRADE, lifecyc
     )
     j = j.withColumn("blockers", found)
     only = F.array_join("blockers", ",") == "raw_adjustment_contract_incomplete"
-    return j.withColumn("status", F.when(F.size("blockers") == 0, "ready").when(only, "usable_with_caveats").otherwise("blocked_for_execution")).select("trade_date", "rows", "median_history", "adjusted_open", "stored_amount", "adjustment", "metadata", "lifecycle", "blockers", "status")
+    return j.withColumn("status", F.when(F.size("blockers") == 0, "ready").when(only, "usable_with_caveats").otherwise("blocked_for_execution")).select("trade_date", "rows", "median_history", "adjusted_open", "high_low", "stored_amount", "adjustment", "metadata", "lifecycle", "blockers", "status")
+
+
+def business_day_lag(effective: Column, requested: Column) -> Column:
+    """Weekdays after the effective day up to the requested one."""
+    days = F.when(requested > effective, F.sequence(F.date_add(effective, 1), requested))
+    return F.coalesce(F.size(F.filter(days, lambda d: ~F.dayofweek(d).isin(1, 7))), F.lit(0))
+
+
+#: Business days by which prices may lag behind a request.
+MAX_LAG = 2
+
+
+def summary(requests: DataFrame, qualities: DataFrame, exclusions: DataFrame, picks: DataFrame, industries: DataFrame, bench: DataFrame) -> DataFrame:
+    """One row for each requested day (requested_as_of): the last session by then, how many business days it lags, data
+    quality with the blocker of stale prices in its place, counts of the universe, the screen's status and what data
+    lack. Days before the first session are left out."""
+    sessions = qualities.select(F.col("trade_date").alias("requested_as_of"), F.lit(0).alias("_r"), "trade_date")
+    asked = requests.select("requested_as_of", F.lit(1).alias("_r"), F.lit(None).cast("date").alias("trade_date"))
+    so_far = Window.orderBy("requested_as_of", "_r").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
+    last = sessions.unionByName(asked).withColumn("trade_date", F.last("trade_date", ignorenulls=True).over(so_far)).filter("_r = 1 and trade_date is not null").drop("_r")
+    universe = exclusions.groupBy("trade_date").agg(F.count("*").alias("observed"), F.count(F.when(F.col("eligible"), 1)).alias("eligible"))
+    chosen = picks.groupBy("trade_date").agg(F.count("*").alias("selected"), F.max(F.col("candidate_state") == "evidence_ready").alias("any_ready"))
+    j = last.join(qualities, "trade_date").join(universe, "trade_date", "left").join(chosen, "trade_date", "left").join(industries.select("trade_date", F.col("source").alias("industry_source")), "trade_date", "left").join(bench.select("trade_date", "aligned", F.col("bench_20")), "trade_date", "left")
+    j = j.withColumn("lag", business_day_lag(F.col("trade_date"), F.col("requested_as_of")))
+    short = "insufficient_history_for_standard_screen"
+    stale = F.when(F.col("lag") > MAX_LAG, F.lit("stale_price_data"))
+    blockers = F.array_compact(F.concat(F.filter("blockers", lambda b: b == short), F.array(stale), F.filter("blockers", lambda b: b != short)))
+    j = j.withColumn("blockers", blockers)
+    only = F.array_join("blockers", ",") == "raw_adjustment_contract_incomplete"
+    quality_status = F.when(F.size("blockers") == 0, "ready").when(only, "usable_with_caveats").otherwise("blocked_for_execution")
+    status = F.when(F.coalesce("selected", F.lit(0)) == 0, "no_edge_found").when(F.col("any_ready"), "research_candidates_available").otherwise("candidates_require_waiting_or_review")
+    low = lambda c: F.coalesce(F.col(c), F.lit(0.0)) < 0.95
+    gaps = reasons(
+        (~(F.coalesce("aligned", F.lit(False)) & F.col("bench_20").isNotNull()), "benchmark_relative_return"),
+        (F.coalesce("industry_source", F.lit("insufficient_coverage")) == "insufficient_coverage", "industry_membership"),
+        (F.col("lag") > 0, "price_data_not_at_requested_as_of"),
+        (low("stored_amount"), "turnover_amount_partly_proxied"),
+        (low("adjusted_open"), "adjusted_open_history"),
+        (low("high_low"), "intraday_high_low_history"),
+        (low("adjustment"), "raw_price_and_adjustment_factor_history"),
+    )
+    gaps = F.concat(gaps, F.transform(F.filter("blockers", lambda b: b != "stale_price_data"), lambda b: F.concat(F.lit("quality:"), b)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return j.select("requested_as_of", F.col("trade_date").alias("effective_trade_date"), "lag", quality_status.alias("quality_status"), "blockers", zero("observed"), zero("eligible"), zero("selected"), status.alias("screen_status"), gaps.alias("data_gaps"))
 
 
 def states(picked: DataFrame, qualities: DataFrame, regimes: DataFrame) -> DataFrame:

@@ -22,6 +22,34 @@ def performance(moved: DataFrame, by: str = "return_5", limit: int | None = None
     return out if limit is None else out.filter(F.col("place") <= limit)
 
 
+def performance_coverage(moved: DataFrame, flow: DataFrame) -> DataFrame:
+    """One row: sectors with a row on the last date, and how many have each return and a flow."""
+    now = moved.join(F.broadcast(moved.agg(F.max("trade_date").alias("trade_date"))), "trade_date")
+    n = lambda c: F.count(F.when(F.col(c).isNotNull(), 1))
+    return now.join(flow.select("sector_code", "trade_date", "net_amount"), ["sector_code", "trade_date"], "left").agg(F.max("trade_date").alias("trade_date"), F.count("*").alias("sectors"), n("return_5").alias("with_return_5"), n("return_20").alias("with_return_20"), n("net_amount").alias("with_flow"))
+
+
+def auto_universe(master: DataFrame, daily: DataFrame, flow: DataFrame) -> DataFrame:
+    """Sectors to follow: those with a flow on the flows' last date, or, of a kind where none has one, those with a
+    close on the last day; with the rule that chose them."""
+    have = flow_universe(daily.select("sector_code").distinct(), flow).withColumn("flow", F.lit(True))
+    last = daily.join(F.broadcast(daily.agg(F.max("trade_date").alias("trade_date"))), "trade_date").filter("close is not null").select("sector_code", F.lit(True).alias("traded")).distinct()
+    rows = master.join(have, "sector_code", "left").join(last, "sector_code", "left").withColumn("any_flow", F.max(F.coalesce("flow", F.lit(False))).over(Window.partitionBy("sector_type")))
+    chosen = F.when(F.col("flow"), "flow_on_last_date").when(~F.col("any_flow") & F.col("traded"), "traded_on_last_date")
+    return rows.select("sector_code", "sector_name", "sector_type", chosen.alias("rule")).filter("rule is not null")
+
+
+def membership_counts(members: DataFrame) -> DataFrame:
+    """Members of each sector's snapshots, and how many joined or left since the one before."""
+    day = members.groupBy("sector_code", "trade_date").agg(F.countDistinct("con_code").alias("members"))
+    w = Window.partitionBy("sector_code").orderBy("trade_date")
+    days = day.withColumn("next_date", F.lead("trade_date").over(w))
+    stay = members.select("sector_code", "trade_date", "con_code").distinct().join(days.select("sector_code", "trade_date", "next_date"), ["sector_code", "trade_date"])
+    kept = stay.select("sector_code", F.col("next_date").alias("trade_date"), "con_code").join(members.select("sector_code", "trade_date", "con_code").distinct(), ["sector_code", "trade_date", "con_code"]).groupBy("sector_code", "trade_date").agg(F.count("*").alias("kept"))
+    j = day.join(kept, ["sector_code", "trade_date"], "left").withColumn("before", F.lag("members").over(w)).withColumn("kept", F.when(F.col("before").isNotNull(), F.coalesce("kept", F.lit(0))))
+    return j.select("sector_code", "trade_date", "members", (F.col("members") - F.col("kept")).alias("joined"), (F.col("before") - F.col("kept")).alias("left"))
+
+
 def breadth(moved: DataFrame, x: str = "return_1") -> DataFrame:
     """Per date: sectors, advancing, declining, flat, missing, median move."""
     v = F.col(x)

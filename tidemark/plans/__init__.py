@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+_KEPT: list = []
+
+
+def keep(df):
+    """`df` kept in memory while the query that is being built runs; the next query to be built lets it go."""
+    kept = df.persist()
+    _KEPT.append(kept)
+    return kept
+
+
 def query(sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under its name."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark, sf_dir):
+            while _KEPT:
+                _KEPT.pop().unpersist()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = sql
         return f

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators, panel
-from tidemark.plans import query
+from tidemark.plans import keep, query
 from tidemark.plans.base_sql import BARS, GRID, INDEX, LIMITS, META, VALUATION
 from tidemark.sources import adapters
 
@@ -14,7 +14,7 @@ from tidemark.sources import adapters
 def qfq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restated bars. The bars are kept while a query runs: a plan that uses them in several places (grid, limits,
     valuation, index) aggregates the line items once."""
-    adapters.bars(spark, sf_dir).persist()
+    keep(adapters.bars(spark, sf_dir))
     return panel.restate_qfq(adapters.bars(spark, sf_dir))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import gates, panel, replay
-from tidemark.plans import query
+from tidemark.plans import keep, query
 from tidemark.plans.base_sql import BARS, INDEX
 from tidemark.plans.panel_queries import qfq, rounded
 from tidemark.plans.screen_queries import PICKED, PROFILE, bench, full_grid, picked
 from tidemark.operators import screen
-from tidemark.sources import adapters
+from tidemark.sources import adapters, asof, store
 from tidemark.sources.adapters import table
 
 START, END, SPLIT, EVERY, CAP = "1998-06-01", "2001-06-30", "2000-06-01", 2, 20
@@ -122,6 +122,138 @@ def gate_source_audit(spark, sf_dir):
     return gates.source_audit(sources, asked)
 
 
+# --- evidence assembled from the screen
+
+_K = "symbol * 1000 + session_no"
+_AS_OF = "2024-01-15"
+_REQ = f"""{GRADED},
+rq AS (SELECT {_K} AS evidence_id, {_K} AS k, CASE WHEN ({_K}) % 53 = 9 THEN symbol + 100000 ELSE symbol END AS symbol, trade_date, DATE '{_AS_OF}' AS as_of, ['momentum_trade', 'event_trade', 'catalyst_swing'][(({_K}) % 3 + 1)::INTEGER] AS strategy FROM graded),
+kn AS (SELECT user_id AS symbol, count(*) AS events, min(ts::DATE + (event_id % 5)::INTEGER) AS first_event, max(ts::DATE + (event_id % 5)::INTEGER) AS last_event FROM events WHERE event_type IN ('purchase', 'error') AND ts::DATE <= DATE '{_AS_OF}' AND ts::DATE + (event_id % 5)::INTEGER BETWEEN DATE '2023-01-01' AND DATE '2025-01-01' GROUP BY 1),
+evi AS (SELECT rq.*, coalesce(g.screening_status, 'fail') AS screening_status, g.name, g.g AS gt, close_qfq AS analysis_price, close_raw AS execution_price, close_raw IS NOT NULL AS execution_price_known, coalesce(events, 0) AS events, first_event, last_event, grade, chase_risk,
+  strategy <> 'momentum_trade' AS req, CASE strategy WHEN 'momentum_trade' THEN 'momentum_breakout' WHEN 'event_trade' THEN 'event_continuation' ELSE 'trend_pullback' END AS dflt,
+  CASE strategy WHEN 'momentum_trade' THEN ['momentum_breakout', 'trend_pullback'] WHEN 'event_trade' THEN ['event_continuation', 'momentum_breakout'] ELSE ['trend_pullback', 'event_continuation'] END AS setups,
+  CASE WHEN strategy = 'event_trade' THEN 'event_continuation' WHEN pattern IN ('momentum_breakout', 'trend_pullback') THEN pattern WHEN strategy = 'momentum_trade' THEN 'momentum_breakout' ELSE 'trend_pullback' END AS hint
+  FROM rq LEFT JOIN graded g ON g.symbol = rq.symbol AND g.trade_date = rq.trade_date LEFT JOIN kn ON kn.symbol = rq.symbol)"""
+
+
+def _evidence(spark, sf_dir):
+    known = graded(spark, sf_dir)
+    k = F.col("symbol") * 1000 + F.col("session_no")
+    name = F.element_at(F.array(*[F.lit(c) for c in gates.CONTRACTS]), (k % 3 + 1).cast("int"))
+    requests = known.select(k.alias("evidence_id"), F.when(k % 53 == 9, F.col("symbol") + 100_000).otherwise(F.col("symbol")).alias("symbol"), "trade_date", F.lit(_AS_OF).cast("date").alias("as_of"), name.alias("strategy"))
+    events = asof.known_events(adapters.corporate_events(spark, sf_dir), _AS_OF, "2023-01-01", "2025-01-01")
+    return gates.evidence(requests, known, gates.contract_table(spark), events), events
+
+
+@query(f"WITH {_REQ} SELECT evidence_id, symbol, trade_date, strategy, screening_status, hint AS setup_hint, name, round(analysis_price, 6) AS analysis_price, round(execution_price, 6) AS execution_price, execution_price_known, events, first_event, last_event, grade, chase_risk FROM evi")
+def gate_evidence(spark, sf_dir):
+    e = _evidence(spark, sf_dir)[0]
+    return rounded(e.select("evidence_id", "symbol", "trade_date", "strategy", "screening_status", "setup_hint", "name", "analysis_price", "execution_price", "execution_price_known", "events", "first_event", "last_event", "grade", "chase_risk"))
+
+
+@query(f"WITH {_REQ} SELECT evidence_id, event_id, ts::DATE + (event_id % 5)::INTEGER AS event_date FROM evi JOIN events ON user_id = evi.symbol WHERE event_type IN ('purchase', 'error') AND ts::DATE <= DATE '{_AS_OF}' AND ts::DATE + (event_id % 5)::INTEGER BETWEEN DATE '2023-01-01' AND DATE '2025-01-01'")
+def gate_event_leads(spark, sf_dir):
+    return gates.event_leads(*_evidence(spark, sf_dir)).select("evidence_id", "event_id", "event_date")
+
+
+def _assessments(found):
+    """What an assessor might say of each evidence: every field takes all of its values."""
+    k = F.col("evidence_id")
+    pick = lambda n, *vs: F.element_at(F.array(*[F.lit(v).cast("string") for v in vs]), (F.pmod(F.floor(k / n), F.lit(len(vs))) + 1).cast("int"))
+    said = lambda n, r: F.when(k % n != r, "said")
+    none = F.lit(None).cast("string")
+    return found.select(
+        "evidence_id",
+        F.when(k % 50 == 7, F.col("symbol") + 1).otherwise(F.col("symbol")).alias("assessed_symbol"),
+        F.when(k % 41 == 3, "momentum_trade").otherwise(F.col("strategy")).alias("assessed_strategy"),
+        F.when(k % 37 == 5, F.date_add("as_of", 1)).otherwise(F.col("as_of")).alias("assessed_as_of"),
+        (k % 2 == 0).alias("setup_supplied"),
+        pick(2, None, None, "momentum_breakout", "trend_pullback", "event_continuation", "other").alias("setup_type"),
+        said(9, 1).alias("hypothesis"),
+        said(4, 2).alias("trigger_rule"),
+        none.alias("invalidation_rule"),
+        none.alias("valid_until"),
+        pick(4, "pass", "pass", "review", "odd").alias("relative_strength_status"),
+        pick(2, "pass", "pass", "pass", "review").alias("trend_structure_status"),
+        pick(6, "pass", "pass", "fail").alias("participation_status"),
+        pick(8, "pass", "pass", "unknown").alias("extension_status"),
+        pick(1, "verified", "unknown", "verified").alias("event_status"),
+        (k % 3).alias("sources"),
+        F.when(k % 11 == 4, F.greatest(k % 3 - 1, F.lit(0))).otherwise(k % 3).alias("valid_sources"),
+        F.when((k % 11 == 4) & (k % 3 > 0), 1).otherwise(0).alias("source_errors"),
+        pick(5, "positive", "positive", "neutral", "negative", None).alias("expectation"),
+        said(7, 3).alias("expectation_thesis"),
+        pick(3, "low", "moderate", "low", "high").alias("priced_in"),
+        said(17, 2).alias("priced_thesis"),
+        pick(7, "low", "moderate", "high", "odd").alias("crowding"),
+        said(19, 2).alias("crowding_thesis"),
+        said(23, 2).alias("counter_thesis"),
+        said(29, 2).alias("counter_trigger"),
+        pick(1, "priority_action", "wait_price", "wait_evidence", "cash", "wait_price", "odd").alias("action"),
+        (k % 70).cast("double").alias("maximum_holding"),
+        (3 + k % 4).cast("double").alias("expected_upside_pct"),
+        F.when(k % 31 == 6, 0.0).otherwise(2.0).alias("effective_downside_pct"),
+        *[said(n, r).alias(c) for c, n, r in zip(gates.PLAN_FIELDS, (13, 43, 47, 59, 61), (5, 5, 5, 5, 5), strict=True)],
+        F.when(k % 67 == 8, "intraday").alias("decision_frequency"),
+        *[F.when(k % n != 6, 1.0).alias(c) for c, n in zip(gates.LIMITS, (71, 73, 79, 83, 89, 97), strict=True)],
+        pick(1, "high", "medium", "low", "high", "medium", "low", "low", None).alias("confidence"),
+        said(101, 5).alias("thesis"),
+    )
+
+
+def _pick_sql(n: int, *vs) -> str:
+    values = ", ".join("NULL" if v is None else f"'{v}'" for v in vs)
+    return f"[{values}][((k // {n}) % {len(vs)} + 1)::INTEGER]"
+
+
+def _worst_sql(x: str) -> str:
+    return f"CASE WHEN list_contains({x}, 'fail') THEN 'fail' WHEN list_contains({x}, 'unknown') THEN 'unknown' WHEN list_contains({x}, 'review') THEN 'review' WHEN len(list_filter({x}, lambda y: y <> 'not_required')) = 0 THEN 'not_required' ELSE 'pass' END"
+
+
+_SUPPLIED = lambda field, gate: f"CASE WHEN k % 2 = 0 THEN CASE WHEN {field} IN ('pass', 'review', 'fail', 'unknown') THEN {field} ELSE 'unknown' END ELSE coalesce(gt[{gate}], 'unknown') END"
+
+_DECIDED = f"""{_REQ},
+as0 AS (SELECT *, CASE WHEN k % 50 = 7 THEN symbol + 1 ELSE symbol END AS a_symbol, CASE WHEN k % 41 = 3 THEN 'momentum_trade' ELSE strategy END AS a_strategy, k % 37 = 5 AS a_late, {_pick_sql(2, None, None, 'momentum_breakout', 'trend_pullback', 'event_continuation', 'other')} AS st,
+  {_pick_sql(4, 'pass', 'pass', 'review', 'odd')} AS s1, {_pick_sql(2, 'pass', 'pass', 'pass', 'review')} AS s2, {_pick_sql(6, 'pass', 'pass', 'fail')} AS s3, {_pick_sql(8, 'pass', 'pass', 'unknown')} AS s4, {_pick_sql(1, 'verified', 'unknown', 'verified')} AS es,
+  CASE WHEN k % 11 = 4 THEN greatest(k % 3 - 1, 0) ELSE k % 3 END AS vs, CASE WHEN k % 11 = 4 AND k % 3 > 0 THEN 1 ELSE 0 END AS se, {_pick_sql(5, 'positive', 'positive', 'neutral', 'negative', None)} AS ex, {_pick_sql(3, 'low', 'moderate', 'low', 'high')} AS pi, {_pick_sql(7, 'low', 'moderate', 'high', 'odd')} AS cr,
+  {_pick_sql(1, 'priority_action', 'wait_price', 'wait_evidence', 'cash', 'wait_price', 'odd')} AS action, {_pick_sql(1, 'high', 'medium', 'low', 'high', 'medium', 'low', 'low', None)} AS confidence, CASE WHEN k % 31 <> 6 THEN (3 + k % 4) / 2.0 END AS rr, k % 101 <> 5 AS th FROM evi),
+as1 AS (SELECT *, coalesce(CASE WHEN k % 2 = 0 THEN st END, hint) AS setup FROM as0),
+as2 AS (SELECT *, [CASE WHEN list_contains(setups, setup) THEN 'pass' ELSE 'fail' END, CASE WHEN (k % 2 = 0 AND k % 9 <> 1) OR th THEN 'pass' ELSE 'unknown' END, {_SUPPLIED('s1', 4)}, {_SUPPLIED('s2', 5)}, {_SUPPLIED('s3', 6)}, {_SUPPLIED('s4', 2)},
+    CASE WHEN (k % 2 = 0 AND k % 4 <> 2) OR k % 13 <> 5 THEN 'pass' ELSE 'unknown' END, CASE WHEN k % 43 <> 5 THEN 'pass' ELSE 'unknown' END, CASE WHEN k % 59 <> 5 THEN 'pass' ELSE 'unknown' END, 'pass'] AS sg,
+  [CASE WHEN es = 'verified' THEN 'pass' WHEN NOT req THEN 'not_required' ELSE 'unknown' END, CASE WHEN k % 3 = 0 THEN CASE WHEN req THEN 'unknown' ELSE 'not_required' END WHEN vs > 0 AND se = 0 THEN 'pass' ELSE 'fail' END,
+    CASE WHEN ex = 'positive' AND k % 7 <> 3 THEN 'pass' WHEN ex = 'neutral' THEN 'review' WHEN ex = 'negative' THEN 'fail' ELSE 'unknown' END, CASE WHEN pi IN ('low', 'moderate') AND k % 17 <> 2 THEN 'pass' WHEN pi = 'high' THEN 'review' ELSE 'unknown' END,
+    CASE WHEN cr IN ('low', 'moderate') AND k % 19 <> 2 THEN 'pass' WHEN cr = 'high' THEN 'review' ELSE 'unknown' END, CASE WHEN k % 23 <> 2 AND k % 29 <> 2 THEN 'pass' ELSE 'unknown' END] AS rg,
+  [CASE WHEN k % 13 <> 5 AND k % 43 <> 5 AND k % 47 <> 5 AND k % 59 <> 5 AND k % 61 <> 5 THEN 'pass' ELSE 'unknown' END, CASE WHEN k % 70 > 0 AND k % 70 <= CASE strategy WHEN 'catalyst_swing' THEN 60 ELSE 20 END THEN 'pass' ELSE 'fail' END, CASE WHEN rr >= 1.5 THEN 'pass' WHEN rr IS NOT NULL THEN 'review' ELSE 'unknown' END] AS pg,
+  CASE WHEN action = 'cash' THEN 'not_required' WHEN k % 67 = 8 THEN 'fail' WHEN k % 71 = 6 OR k % 73 = 6 OR k % 79 = 6 OR k % 83 = 6 OR k % 89 = 6 OR k % 97 = 6 THEN 'unknown' ELSE 'pass' END AS controls FROM as1),
+as3 AS (SELECT *, {_worst_sql('sg')} AS technical, {_worst_sql('rg')} AS research, {_worst_sql('pg')} AS plan FROM as2),
+as4 AS (SELECT *, screening_status = 'pass' AND technical = 'pass' AND research = 'pass' AND plan = 'pass' AND controls IN ('pass', 'not_required') AS ok FROM as3),
+decided AS (SELECT *, concat_ws(',', CASE WHEN a_symbol <> symbol THEN 'symbol_differs' END, CASE WHEN a_strategy <> strategy THEN 'strategy_differs' END, CASE WHEN a_late THEN 'as_of_differs' END, CASE WHEN se > 0 THEN 'sources_invalid' END, CASE WHEN action = 'odd' THEN 'action_unknown' END,
+  CASE WHEN action = 'priority_action' AND NOT ok THEN 'priority_not_ready' END, CASE WHEN confidence IS NULL THEN 'confidence_unknown' END, CASE WHEN NOT th THEN 'thesis_missing' END) AS errors FROM as4)"""
+
+
+def _decided(spark, sf_dir):
+    found = _evidence(spark, sf_dir)[0]
+    return gates.decide(found, _assessments(found))
+
+
+@query(f"WITH {_DECIDED} SELECT evidence_id, setup, array_to_string(sg, ',') AS setup_gates, technical FROM decided")
+def gate_setup(spark, sf_dir):
+    d = _decided(spark, sf_dir)
+    return d.select("evidence_id", "setup", F.array_join(F.array(*[F.col("setup_gates")[g] for g in gates.SETUP_GATES]), ",").alias("setup_gates"), "technical")
+
+
+@query(f"WITH {_DECIDED} SELECT evidence_id, array_to_string(rg, ',') AS research_gates, array_to_string(pg, ',') AS plan_gates, screening_status, technical, research, plan, controls, round(rr, 6) AS reward_risk, errors, ok AND errors = '' AS decision_ready FROM decided")
+def gate_decision(spark, sf_dir):
+    d = _decided(spark, sf_dir)
+    line = lambda c, names: F.array_join(F.array(*[F.col(c)[g] for g in names]), ",").alias(c)
+    return rounded(d.select("evidence_id", line("research_gates", gates.RESEARCH_GATES), line("plan_gates", gates.PLAN_GATES), "screening_status", "technical", "research", "plan", "controls", "reward_risk", F.array_join("errors", ",").alias("errors"), "decision_ready"))
+
+
+@query(f"WITH {_DECIDED} SELECT evidence_id, strategy, action, CASE WHEN action <> 'cash' THEN symbol END AS symbol, CASE WHEN action <> 'cash' THEN setup END AS setup, technical AS technical_pattern, ok AS decision_ready FROM decided WHERE errors = ''")
+def gate_compact(spark, sf_dir):
+    return gates.compact_decision(_decided(spark, sf_dir)).select("evidence_id", "strategy", "action", "symbol", "setup", "technical_pattern", "decision_ready")
+
+
 # --- replay
 
 
@@ -131,7 +263,7 @@ def _signals(spark, sf_dir):
 
 def _entered(spark, sf_dir):
     good = graded(spark, sf_dir).filter(F.col("grade").isin("A", "B"))
-    chosen = good.join(F.broadcast(_signals(spark, sf_dir).select("trade_date", "sample")), "trade_date")
+    chosen = good.join(_signals(spark, sf_dir).select("trade_date", "sample"), "trade_date")
     return replay.entries(chosen, full_grid(spark, sf_dir))
 
 
@@ -141,7 +273,7 @@ def _armed(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir):
-    return replay.outcomes(_armed(spark, sf_dir).persist(), full_grid(spark, sf_dir), adapters.index_daily(spark, sf_dir)).persist()
+    return keep(replay.outcomes(keep(_armed(spark, sf_dir)), full_grid(spark, sf_dir), adapters.index_daily(spark, sf_dir)))
 
 
 SIGNALS = f"""
@@ -208,6 +340,33 @@ def rpl_accounting(spark, sf_dir):
     return replay.accounting(e, replay.triggers(e), _outcomes(spark, sf_dir))
 
 
+@query(f"WITH {OUTCOMES} SELECT grade, count(*) AS selected, count(skip) AS skipped, count(*) FILTER (t.status = 'triggered') AS triggered, count(*) FILTER (t.status <> 'triggered') AS not_triggered FROM ent LEFT JOIN (SELECT symbol, trade_date, status FROM trg) t USING (symbol, trade_date) GROUP BY 1")
+def rpl_accounting_by_grade(spark, sf_dir):
+    e = keep(_entered(spark, sf_dir))
+    return replay.accounting_by_grade(e, replay.triggers(e))
+
+
+@query(
+    f"""WITH {OUTCOMES}, s AS (SELECT sample, count(*) AS signal_dates, count(*) FILTER (status = 'blocked_for_execution') AS blocked_dates FROM signals LEFT JOIN quality USING (trade_date) GROUP BY 1),
+o AS (SELECT sample, count(net_return) AS closed, avg((mae IS NOT NULL)::INTEGER) FILTER (net_return IS NOT NULL) AS a, avg((mfe IS NOT NULL)::INTEGER) FILTER (net_return IS NOT NULL) AS b FROM outc GROUP BY 1)
+SELECT sample, signal_dates, blocked_dates, coalesce(closed, 0) AS closed, round(a, 6) AS mae_coverage, round(b, 6) AS mfe_coverage FROM s LEFT JOIN o USING (sample)"""
+)
+def rpl_signal_coverage(spark, sf_dir):
+    q = screen.quality(full_grid(spark, sf_dir), bench(spark, sf_dir), PROFILE)
+    return rounded(replay.signal_coverage(_signals(spark, sf_dir), q, _outcomes(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {OUTCOMES}, r AS (SELECT trade_date, substr(sha256(strftime(trade_date, '%Y-%m-%d') || ' 00:00:00|{{"sample":"' || sample || '","session_no":' || session_no || '}}'), 1, 16) AS run_id FROM signals)
+SELECT run_id, horizon, count(*) AS outcomes, count(net_return) AS closed FROM outc JOIN r USING (trade_date) GROUP BY 1, 2"""
+)
+def rpl_run_outcomes(spark, sf_dir):
+    """Each signal date is logged as a run; its outcomes are rows of a child table under the run's id."""
+    runs = store.run_log(_signals(spark, sf_dir).withColumn("operation", F.lit("replay")).withColumn("created_at", F.date_format("trade_date", "yyyy-MM-dd HH:mm:ss")), ["sample", "session_no"])
+    child = store.run_outcomes(runs, _outcomes(spark, sf_dir), ["trade_date"])
+    return child.groupBy("run_id", "horizon").agg(F.count("*").alias("outcomes"), F.count("net_return").alias("closed"))
+
+
 def _dist_sql(source: str, by: str, order: str, x: str = "net_return") -> str:
     return f"""
 dz AS (SELECT *, {x} AS x, sum(CASE WHEN {x} < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY {by} ORDER BY {order}) AS run FROM {source} WHERE {x} IS NOT NULL),

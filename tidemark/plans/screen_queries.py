@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import panel, screen
-from tidemark.plans import query
+from tidemark.plans import keep, query
 from tidemark.plans.base_sql import GRID, INDEX, LIMITS, META, VALUATION
 from tidemark.plans.panel_queries import qfq, rounded
 from tidemark.sources import adapters
@@ -19,7 +19,7 @@ def full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session grid with valuation, metadata, limit types and the amount in currency."""
     grid = panel.session_grid(qfq(spark, sf_dir))
     limits = adapters.limit_events(grid)
-    return panel.amount_cny(panel.screening_panel(grid, adapters.valuation(spark, sf_dir), adapters.metadata(spark, sf_dir), limits)).persist()
+    return keep(panel.amount_cny(panel.screening_panel(grid, adapters.valuation(spark, sf_dir), adapters.metadata(spark, sf_dir), limits)))
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.scores(screen.exclusions(measured(spark, sf_dir), PROFILE), bench(spark, sf_dir), PROFILE).persist()
+    return keep(screen.scores(screen.exclusions(measured(spark, sf_dir), PROFILE), bench(spark, sf_dir), PROFILE))
 
 
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,4 +250,32 @@ def scr_driver(spark, sf_dir):
 )
 def scr_quality(spark, sf_dir):
     q = screen.quality(full_grid(spark, sf_dir), bench(spark, sf_dir), PROFILE)
-    return rounded(q.withColumn("blockers", F.array_join("blockers", ",")))
+    return rounded(q.drop("high_low").withColumn("blockers", F.array_join("blockers", ",")))
+
+
+@query(
+    f"""WITH {PICKED}, {_INDUSTRY},
+rq AS (SELECT DISTINCT o_orderdate::DATE + 2500 AS requested_as_of FROM orders WHERE o_orderdate IS NOT NULL UNION SELECT DISTINCT o_orderdate::DATE FROM orders WHERE o_orderdate IS NOT NULL),
+ef AS (SELECT requested_as_of, (SELECT max(trade_date) FROM quality q WHERE q.trade_date <= requested_as_of) AS trade_date FROM rq),
+un AS (SELECT trade_date, count(*) AS observed, count(*) FILTER (len(reasons) = 0) AS eligible FROM excl GROUP BY 1),
+se AS (SELECT trade_date, count(*) AS selected, bool_or(candidate_state = 'evidence_ready') AS any_ready FROM picked GROUP BY 1),
+hl AS (SELECT trade_date, count(*) FILTER (close_raw IS NOT NULL AND high_qfq IS NOT NULL AND low_qfq IS NOT NULL) / count(close_raw) AS hl FROM met GROUP BY 1),
+jn AS (SELECT ef.*, q.* EXCLUDE (trade_date), coalesce(observed, 0) AS observed, coalesce(eligible, 0) AS eligible, coalesce(selected, 0) AS selected, any_ready, coalesce(source, 'insufficient_coverage') AS isource, b.aligned AS al, b.b20 AS bb, hl,
+  (SELECT count(*) FROM range(ef.trade_date::TIMESTAMP + INTERVAL 1 DAY, ef.requested_as_of::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d) WHERE dayofweek(d) NOT IN (0, 6)) AS lag
+  FROM ef JOIN quality q USING (trade_date) LEFT JOIN un USING (trade_date) LEFT JOIN se USING (trade_date) LEFT JOIN ind USING (trade_date) LEFT JOIN bench b USING (trade_date) LEFT JOIN hl USING (trade_date)),
+bl AS (SELECT *, list_concat(list_concat(list_filter(blockers, lambda x: x = 'insufficient_history_for_standard_screen'), CASE WHEN lag > 2 THEN ['stale_price_data'] ELSE [] END), list_filter(blockers, lambda x: x <> 'insufficient_history_for_standard_screen')) AS bs FROM jn)
+SELECT requested_as_of, trade_date AS effective_trade_date, lag, CASE WHEN len(bs) = 0 THEN 'ready' WHEN bs = ['raw_adjustment_contract_incomplete'] THEN 'usable_with_caveats' ELSE 'blocked_for_execution' END AS quality_status, array_to_string(bs, ',') AS blockers, observed, eligible, selected,
+  CASE WHEN selected = 0 THEN 'no_edge_found' WHEN any_ready THEN 'research_candidates_available' ELSE 'candidates_require_waiting_or_review' END AS screen_status,
+  array_to_string(list_concat(list_filter([CASE WHEN NOT (coalesce(al, false) AND bb IS NOT NULL) THEN 'benchmark_relative_return' END, CASE WHEN isource = 'insufficient_coverage' THEN 'industry_membership' END, CASE WHEN lag > 0 THEN 'price_data_not_at_requested_as_of' END, CASE WHEN coalesce(sa, 0) < 0.95 THEN 'turnover_amount_partly_proxied' END,
+    CASE WHEN coalesce(ao, 0) < 0.95 THEN 'adjusted_open_history' END, CASE WHEN coalesce(hl, 0) < 0.95 THEN 'intraday_high_low_history' END, CASE WHEN coalesce(af, 0) < 0.95 THEN 'raw_price_and_adjustment_factor_history' END], lambda x: x IS NOT NULL), list_transform(list_filter(bs, lambda x: x <> 'stale_price_data'), lambda x: 'quality:' || x)), ',') AS data_gaps FROM bl"""
+)
+def scr_summary(spark, sf_dir):
+    """The screen as asked for on every order day, within the sessions and long after them."""
+    s, g = scored(spark, sf_dir), full_grid(spark, sf_dir)
+    b = bench(spark, sf_dir)
+    q = screen.quality(g, b, PROFILE)
+    day = F.to_date("o_orderdate")
+    asked = adapters.table(spark, sf_dir, "orders").select(F.explode(F.array(day, F.date_add(day, 2500))).alias("requested_as_of")).filter("requested_as_of is not null").distinct()
+    picks = screen.states(screen.candidates(s, PROFILE), q, screen.regime(s))
+    out = screen.summary(asked, q, screen.exclusions(measured(spark, sf_dir), PROFILE), picks, screen.industry(s, memberships(spark, sf_dir)), b)
+    return out.withColumn("blockers", F.array_join("blockers", ",")).withColumn("data_gaps", F.array_join("data_gaps", ","))

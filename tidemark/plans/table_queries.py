@@ -81,32 +81,76 @@ def asof_memberships_of_all_stocks(spark, sf_dir):
     return asof.memberships(member, master, "2002-01-01").select("sector_code", "con_code", "trade_date")
 
 
-_DATES = "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'later' WHEN o_orderkey % 10 = 4 THEN strftime(o_orderdate, '%Y%m%d') WHEN o_orderkey % 10 = 5 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS ann FROM orders"
-_PARSED = f"p AS (SELECT *, CASE WHEN regexp_matches(ann, '^[0-9]{{8}}$') THEN strptime(ann, '%Y%m%d')::DATE WHEN regexp_matches(ann, '^[0-9]{{4}}-') THEN ann::DATE END AS d FROM ({_DATES}))"
+_DATES = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'n/a' END AS f_ann, CASE WHEN o_orderkey % 10 = 3 THEN 'later' WHEN o_orderkey % 10 = 4 THEN strftime(o_orderdate, '%Y%m%d') WHEN o_orderkey % 10 = 5 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS ann FROM orders"
+_DATES_CTE = f"d AS (SELECT o_orderkey, CASE WHEN regexp_full_match(ann, '[0-9]{{8}}') THEN strptime(ann, '%Y%m%d')::DATE WHEN regexp_full_match(ann, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN ann::DATE END AS d FROM ({_DATES}))"
+_PARSED = f"p AS (SELECT *, regexp_replace(coalesce(ann, ''), '[^0-9]', '', 'g') AS d, regexp_full_match(regexp_replace(coalesce(ann, ''), '[^0-9]', '', 'g'), '[0-9]{{8}}') AS ok FROM ({_DATES}))"
 
 
 def _dated(spark, sf_dir):
     k = F.col("o_orderkey")
     text = F.when(k % 10 == 3, "later").when(k % 10 == 4, F.date_format("o_orderdate", "yyyyMMdd")).when(k % 10 == 5, None).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("ann_date"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 2 == 0, "").otherwise("n/a").alias("f_ann_date"), text.alias("ann_date"))
 
 
-@query(f"WITH {_PARSED} SELECT CASE WHEN count(*) FILTER (d > DATE '1998-01-01' OR d IS NULL) > 0 THEN 'filtered' ELSE 'verified' END AS status, 'ann_date' AS field, count(*) AS total, count(*) FILTER (d > DATE '1998-01-01') AS excluded, count(*) FILTER (d IS NULL) AS invalid FROM p")
+@query(f"WITH {_PARSED} SELECT 'filtered' AS status, 'ann_date' AS field, count(*) AS total, count(*) - count(*) FILTER (ok AND d <= '19980101') AS excluded, count(*) FILTER (ok) AS known_rows FROM p")
 def asof_filter_audit(spark, sf_dir):
+    """The first field is there but holds no usable day, so the second one decides."""
     return asof.available_as_of(_dated(spark, sf_dir), ["f_ann_date", "ann_date"], "1998-01-01")[1]
 
 
-@query(f"WITH {_PARSED} SELECT o_orderkey, ann AS ann_date FROM p WHERE d <= DATE '1998-01-01'")
+@query(f"WITH {_PARSED} SELECT o_orderkey, ann AS ann_date FROM p WHERE ok AND d <= '19980101'")
 def asof_filter_rows(spark, sf_dir):
-    return asof.available_as_of(_dated(spark, sf_dir), ["f_ann_date", "ann_date"], "1998-01-01")[0]
+    return asof.available_as_of(_dated(spark, sf_dir), ["f_ann_date", "ann_date"], "1998-01-01")[0].select("o_orderkey", "ann_date")
 
 
-_TABLES = {"lineitem": "l_shipdate", "orders": "o_orderdate", "events": "ts"}
+@query("SELECT count(*) AS n, 'historically_unverified' AS status, 0 AS excluded FROM orders")
+def asof_filter_unusable(spark, sf_dir):
+    """No field holds a usable day: every row stays."""
+    rows, audit = asof.available_as_of(_dated(spark, sf_dir).drop("ann_date"), ["f_ann_date", "ann_date"], "1998-01-01")
+    return rows.agg(F.count("*").alias("n")).crossJoin(audit.select("status", "excluded"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, min({c})::DATE AS first_date, max({c})::DATE AS last_date FROM {t}" for t, c in _TABLES.items()))
+@query(
+    f"""WITH {_DATES_CTE}
+SELECT 'dated' AS source, CASE WHEN count(*) FILTER (d IS NULL) = 0 THEN 'verified' ELSE 'partial' END AS status, count(*) - count(*) FILTER (d <= DATE '1998-01-01') AS excluded, count(*) FILTER (d IS NULL) AS invalid, count(*) FILTER (d <= DATE '1998-01-01') AS kept FROM d
+UNION ALL SELECT 'undated', 'snapshot_without_effective_date', 0, 0, count(*) FROM orders"""
+)
+def asof_sector_audit(spark, sf_dir):
+    dated = _dated(spark, sf_dir).withColumnRenamed("ann_date", "trade_date")
+    out = None
+    for name, rows in (("dated", dated), ("undated", dated.drop("trade_date"))):
+        kept, audit = asof.sectors_as_of(rows, "1998-01-01")
+        one = audit.crossJoin(kept.agg(F.count("*").alias("kept"))).select(F.lit(name).alias("source"), "status", "excluded", "invalid", "kept")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {BARS} SELECT symbol, trade_date, round(close_qfq, 6) AS close_qfq, volume FROM qfq WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")
+def src_matrix(spark, sf_dir):
+    return rounded(asof.read_matrix(qfq(spark, sf_dir), "1996-01-01", "1999-12-31").select("symbol", "trade_date", "close_qfq", "volume"))
+
+
+@query(f"WITH {BARS}, {VALUATION} SELECT symbol, count(*) AS n, max(trade_date) AS last_date, round(min(circ_mv), 4) AS least FROM val WHERE trade_date <= DATE '1999-06-30' GROUP BY 1")
+def asof_valuation(spark, sf_dir):
+    v = asof.valuation_history(adapters.valuation(spark, sf_dir), "1999-06-30")
+    return v.groupBy("symbol").agg(F.count("*").alias("n"), F.max("trade_date").alias("last_date"), F.round(F.min("circ_mv"), 4).alias("least"))
+
+
+@query(
+    """SELECT 'lineitem' AS name, count(*) AS n_rows, NULL::VARCHAR AS last_retrieved, 'trade_date' AS date_field, max(l_shipdate)::DATE AS last_date FROM lineitem UNION ALL
+SELECT 'orders', count(*), strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S'), 'end_date', max(o_orderdate)::DATE + 1 FROM orders UNION ALL SELECT 'events', count(*), strftime(max(ts), '%Y-%m-%d %H:%M:%S'), 'event_date', max(ts)::DATE FROM events UNION ALL SELECT 'nation', count(*), NULL, NULL, NULL FROM nation"""
+)
 def src_table_profile(spark, sf_dir):
-    return asof.table_profile({t: (table(spark, sf_dir, t), c) for t, c in _TABLES.items()})
+    t = lambda name: table(spark, sf_dir, name)
+    day = F.to_date("o_orderdate")
+    given = {
+        "lineitem": t("lineitem").select(F.to_date("l_shipdate").alias("trade_date")),
+        "orders": t("orders").select(F.col("o_orderdate").cast("timestamp").alias("retrieved_at"), day.alias("available_at"), F.date_add(day, 1).alias("end_date")),
+        "events": t("events").select(F.col("ts").alias("retrieved_at"), F.to_date("ts").alias("event_date")),
+        "nation": t("nation"),
+        "none": t("events").filter("event_id is null and event_id is not null"),
+    }
+    return asof.table_profile(given).withColumn("last_retrieved", F.date_format("last_retrieved", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -148,6 +192,99 @@ def ledger_observed_asof(spark, sf_dir):
     return ingest.ledger_read(_ledger(spark, sf_dir), observed_as_of="2024-01-20 12:00:00").select("business_key", F.col("state").cast("bigint").alias("state"), "revision")
 
 
+@query(f"WITH {LEDGER} SELECT business_key, state, revision, event_date FROM leda WHERE available_at::DATE <= DATE '2024-01-25' AND event_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' QUALIFY row_number() OVER (PARTITION BY business_key ORDER BY revision DESC) = 1 ORDER BY event_date DESC, symbol, business_key, revision DESC LIMIT 200")
+def ledger_query(spark, sf_dir):
+    """The newest 200 events of a window, as known on a day."""
+    r = ingest.ledger_query(_ledger(spark, sf_dir), datasets=["events"], start="2024-01-05", end="2024-01-20", available_as_of="2024-01-25")
+    return r.select("business_key", F.col("state").cast("bigint").alias("state"), "revision", "event_date")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 = 1 THEN ' ' ELSE ' c' || o_custkey || ' ' END AS code, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y%m%d') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS trade_date,
+  CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y/%m/%d') END AS ann, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+p AS (SELECT *, list_filter([CASE WHEN trade_date IS NULL AND ann IS NOT NULL THEN '"ann_date":"' || day || '"' END, CASE WHEN trade_date IS NOT NULL THEN '"trade_date":"' || day || '"' END, CASE WHEN nullif(trim(code), '') IS NOT NULL THEN '"ts_code":"' || trim(code) || '"' END], lambda x: x IS NOT NULL) AS f FROM o),
+q AS (SELECT CASE WHEN len(f) = 0 THEN 'row:' || sha256(o_orderkey::VARCHAR) ELSE sha256('{"dataset":"orders","identity":{' || array_to_string(f, ',') || '}}') END AS business_key FROM p)
+SELECT business_key, count(*) AS n FROM q GROUP BY 1"""
+)
+def ing_business_keys(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.when(k % 7 == 0, None).when(k % 7 == 1, " ").otherwise(F.concat(F.lit(" c"), F.col("o_custkey").cast("string"), F.lit(" "))).alias("ts_code"),
+        F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(k % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("trade_date"),
+        F.when(k % 5 != 0, F.date_format("o_orderdate", "yyyy/MM/dd")).alias("ann_date"),
+        k.alias("k"),
+    )
+    key = ingest.business_key(F.lit("orders"), ["ts_code", "trade_date", "ann_date"], F.sha2(F.col("k").cast("string"), 256))
+    return rows.groupBy(key.alias("business_key")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, event_id, event_id % 3 AS state, strftime(ts, '%Y-%m-%d') AS day FROM events), g AS (SELECT user_id, day, state, min(ts) AS f, max(ts) AS l, arg_min(event_id, ts) AS fr, arg_max(event_id, ts) AS lr FROM e GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day, state ORDER BY f, fr)::INTEGER AS revision FROM g)
+SELECT 'ts' || user_id AS ts_code, day AS trade_date, state::INTEGER AS state, revision FROM r"""
+)
+def ing_ledger_backfill(spark, sf_dir):
+    """Stored events get their keys and revisions anew."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.lit("events").alias("dataset"), F.concat(F.lit("ts"), F.col("user_id").cast("string")).alias("ts_code"), F.date_format("ts", "yyyy-MM-dd").alias("trade_date"), F.pmod("event_id", F.lit(3)).cast("string").alias("report_type"), F.col("user_id").alias("symbol"), F.to_date("ts").alias("event_date"), F.col("ts").alias("retrieved_at"), F.col("event_id").alias("batch_row"))
+    return ingest.ledger_backfill(rows, ["ts_code", "trade_date", "report_type"]).select("ts_code", "trade_date", F.col("report_type").cast("int").alias("state"), "revision")
+
+
+@query(
+    """WITH a AS (SELECT l_shipdate::DATE AS d, l_suppkey AS s, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), b AS (SELECT l_shipdate::DATE AS d, l_suppkey AS s, max(l_extendedprice) AS p FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2)
+SELECT coalesce(a.d, b.d) AS trade_date, coalesce(a.s, b.s) AS symbol, q AS volume, p AS close FROM a FULL JOIN b ON a.d = b.d AND a.s = b.s"""
+)
+def ing_merge_fields(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").filter("l_shipdate is not null and l_suppkey is not null")
+    part = lambda flag, x, name: li.filter(F.col("l_returnflag") == flag).groupBy(F.to_date("l_shipdate").alias("trade_date"), F.col("l_suppkey").alias("symbol")).agg(F.max(x).alias(name))
+    return ingest.merge_fields([part("R", "l_quantity", "volume"), part("N", "l_extendedprice", "close")], ["trade_date", "symbol"])
+
+
+_SECTOR_RAW = "r AS (SELECT n_nationkey AS k, n_name AS nm, o_orderkey AS o, o_orderdate::DATE AS d, o_totalprice AS p FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
+
+
+def _sector_raw(spark, sf_dir):
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    k = F.col("o_orderkey")
+    return j.select(F.when(k % 11 == 0, " ").otherwise(F.col("n_nationkey").cast("string")).alias("index_code"), F.col("n_name").alias("name"), F.when(k % 13 == 0, "none").when(k % 2 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.when(k % 5 == 0, "x").otherwise(F.round("o_totalprice", 2).cast("string")).alias("pct_change"), (k % 97).alias("volume"), F.lit("m").alias("market"))
+
+
+@query(
+    f"WITH {_SECTOR_RAW} SELECT 'demo' AS provider, k::VARCHAR AS sector_code, d AS trade_date, nm AS sector_name, CASE WHEN o % 5 <> 0 THEN round(p, 2) END AS pct_chg, (o % 97)::DOUBLE AS vol, NULL::DOUBLE AS amount FROM r WHERE o % 11 <> 0 AND o % 13 <> 0"
+)
+def ing_sector_daily(spark, sf_dir):
+    return ingest.sector_rows("daily", "demo", _sector_raw(spark, sf_dir)).select("provider", "sector_code", "trade_date", "sector_name", F.round("pct_chg", 2).alias("pct_chg"), "vol", "amount")
+
+
+@query(
+    f"WITH {_SECTOR_RAW} SELECT 'demo' AS provider, k::VARCHAR AS sector_code, d AS trade_date, nm AS sector_name, CASE WHEN o % 5 <> 0 THEN round(p, 2) END AS pct_chg, CASE WHEN o % 5 <> 0 THEN round(p, 2) END AS lead_stock_pct_chg FROM r WHERE o % 11 <> 0 AND o % 13 <> 0"
+)
+def ing_sector_flow(spark, sf_dir):
+    raw = _sector_raw(spark, sf_dir)
+    out = ingest.sector_rows("flow", "demo", raw.withColumn("pct_change_stock", F.col("pct_change")))
+    return out.select("provider", "sector_code", "trade_date", "sector_name", F.round("pct_chg", 2).alias("pct_chg"), F.round("lead_stock_pct_chg", 2).alias("lead_stock_pct_chg"))
+
+
+@query(f"WITH {_SECTOR_RAW} SELECT DISTINCT 'demo' AS provider, k::VARCHAR AS sector_code, nm AS sector_name, 'm' AS exchange FROM r WHERE o % 11 <> 0")
+def ing_sector_master(spark, sf_dir):
+    return ingest.sector_rows("master", "demo", _sector_raw(spark, sf_dir)).select("provider", "sector_code", "sector_name", "exchange").distinct()
+
+
+@query(
+    """SELECT 'dated' AS dataset, s_nationkey::VARCHAR AS index_code, s_suppkey::VARCHAR AS con_code, DATE '2000-01-03' + (s_suppkey % 9)::INTEGER AS trade_date, CASE WHEN s_suppkey % 3 = 0 THEN DATE '1999-05-06' END AS in_date, s_name AS name FROM supplier
+UNION ALL SELECT 'snapshot', s_nationkey::VARCHAR, s_suppkey::VARCHAR, DATE '2002-02-03', CASE WHEN s_suppkey % 3 = 0 THEN DATE '1999-05-06' END, s_name FROM supplier"""
+)
+def ing_sector_members(spark, sf_dir):
+    """With a day of its own, and as a snapshot of the day it was retrieved."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("ts_code"), k.alias("con_code"), F.when(k % 3 == 0, "19990506").alias("in_date"), F.col("s_name").alias("con_name"), F.date_add(F.lit("2000-01-03").cast("date"), (k % 9).cast("int")).cast("string").alias("trade_date"))
+    rows = rows.withColumnRenamed("ts_code", "index_code")
+    at = F.lit("2002-02-03 10:00:00").cast("timestamp")
+    both = ingest.membership_rows("dated", rows, at).unionByName(ingest.membership_rows("snapshot", rows.drop("trade_date"), at))
+    return both.select("dataset", "index_code", "con_code", "trade_date", "in_date", "name")
+
+
 @query(
     """WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, c_acctbal AS balance FROM customer WHERE c_custkey % 4 <> 1),
 b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN 'new ' || c_name END AS name, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal + 1 END AS balance FROM customer WHERE c_custkey % 2 = 0)
@@ -186,7 +323,7 @@ def ing_melt_all(spark, sf_dir):
 
 @query(
     """WITH c AS (SELECT d::DATE AS cal_date FROM range(DATE '1998-01-01', DATE '1999-01-01', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) NOT IN (0, 6)), h AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem WHERE l_suppkey % 5 = 1 UNION SELECT DISTINCT o_orderdate::DATE FROM orders WHERE o_orderkey % 9 = 2)
-SELECT count(*) AS expected, count(*) FILTER (cal_date IN (SELECT d FROM h)) AS stored, count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS missing, min(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS first_missing, max(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS last_missing FROM c"""
+SELECT CASE WHEN count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) = 0 THEN 'complete' ELSE 'incomplete' END AS status, count(*) AS expected, count(*) FILTER (cal_date IN (SELECT d FROM h)) AS stored, count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS missing, min(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS first_missing, max(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS last_missing FROM c"""
 )
 def ing_date_coverage(spark, sf_dir):
     raw = table(spark, sf_dir, "lineitem").filter("l_suppkey % 5 = 1").select(F.to_date("l_shipdate").alias("trade_date"))
@@ -196,7 +333,7 @@ def ing_date_coverage(spark, sf_dir):
 
 @query(
     """WITH c AS (SELECT d::DATE AS cal_date FROM range(DATE '1998-01-01', DATE '1999-01-01', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) NOT IN (0, 6)), h AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem UNION SELECT DISTINCT o_orderdate::DATE FROM orders)
-SELECT count(*) AS expected, count(*) FILTER (cal_date IN (SELECT d FROM h)) AS stored, count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS missing, min(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS first_missing, max(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS last_missing FROM c"""
+SELECT CASE WHEN count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) = 0 THEN 'complete' ELSE 'incomplete' END AS status, count(*) AS expected, count(*) FILTER (cal_date IN (SELECT d FROM h)) AS stored, count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS missing, min(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS first_missing, max(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS last_missing FROM c"""
 )
 def ing_date_coverage_all(spark, sf_dir):
     raw = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date"))
@@ -204,6 +341,20 @@ def ing_date_coverage_all(spark, sf_dir):
     return ingest.date_coverage(adapters.calendar(spark), raw, done, "1998-01-01", "1998-12-31")
 
 
+@query(
+    """WITH c AS (SELECT d::DATE AS cal_date FROM range(DATE '1998-01-01', DATE '1998-09-16', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) NOT IN (0, 6)), h AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_orderdate IS NOT NULL), m AS (SELECT cal_date FROM c WHERE cal_date NOT IN (SELECT d FROM h))
+SELECT 'completed' AS source, CASE WHEN (SELECT count(*) FROM m) = 0 THEN 'complete' ELSE 'incomplete' END AS status, (SELECT count(*) FROM c) AS expected, (SELECT count(*) FROM m) AS missing UNION ALL SELECT 'gap', 'unknown', NULL, NULL"""
+)
+def ing_date_coverage_states(spark, sf_dir):
+    """Up to the last completed session; and with a calendar that lacks a day."""
+    done = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("trade_date"))
+    days, out = adapters.calendar(spark), None
+    for name, cal in (("completed", days), ("gap", days.filter("cal_date <> date'1998-03-03'"))):
+        one = ingest.date_coverage(cal, done, done, "1998-01-01", "1998-12-31", completed="1998-09-15").select(F.lit(name).alias("source"), "status", "expected", "missing")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"WITH {META} SELECT symbol FROM meta WHERE (list_date IS NULL OR list_date <= DATE '1996-01-01') AND (delist_date IS NULL OR delist_date >= DATE '2000-06-06')")
 def ing_symbols_alive(spark, sf_dir):
     return ingest.symbols_alive(adapters.metadata(spark, sf_dir), "2000-06-06", "1996-01-01")
@@ -269,6 +420,33 @@ def sec_flow_universe(spark, sf_dir):
     return rounded(sector.flow_universe(daily, flow).select("sector_code", "trade_date", "close"))
 
 
+@query(f"WITH {SECT}, l AS (SELECT max(trade_date) AS d FROM mv) SELECT max(trade_date) AS trade_date, count(*) AS sectors, count(return_5) AS with_return_5, count(return_20) AS with_return_20, count(net_amount) AS with_flow FROM mv LEFT JOIN flow USING (sector_code, trade_date) WHERE trade_date = (SELECT d FROM l)")
+def sec_performance_coverage(spark, sf_dir):
+    _, daily, flow, _ = adapters.sectors(spark, sf_dir)
+    return sector.performance_coverage(sector.returns(daily), flow)
+
+
+@query(
+    f"""WITH {SECT}, f AS (SELECT DISTINCT sector_code FROM flow WHERE net_amount IS NOT NULL AND sector_code % 3 <> 0 AND trade_date = (SELECT max(trade_date) FROM flow WHERE sector_code % 3 <> 0)), t AS (SELECT DISTINCT sector_code FROM daily WHERE close IS NOT NULL AND trade_date = (SELECT max(trade_date) FROM daily)),
+m AS (SELECT n_nationkey AS sector_code, n_name AS sector_name, CASE WHEN n_nationkey % 3 = 0 THEN 'concept' ELSE 'industry' END AS sector_type FROM nation)
+SELECT sector_code, sector_name, sector_type, CASE WHEN f.sector_code IS NOT NULL THEN 'flow_on_last_date' ELSE 'traded_on_last_date' END AS rule FROM m LEFT JOIN f USING (sector_code) LEFT JOIN t USING (sector_code)
+WHERE f.sector_code IS NOT NULL OR (t.sector_code IS NOT NULL AND sector_type NOT IN (SELECT sector_type FROM m JOIN f USING (sector_code)))"""
+)
+def sec_auto_universe(spark, sf_dir):
+    """Concepts are left without flows, so they follow by trading."""
+    master, daily, flow, _ = adapters.sectors(spark, sf_dir)
+    return sector.auto_universe(master, daily, flow.filter("sector_code % 3 <> 0"))
+
+
+@query(
+    f"""WITH {MEMBER}, d AS (SELECT sector_code, trade_date, count(DISTINCT con_code) AS members, lag(trade_date) OVER (PARTITION BY sector_code ORDER BY trade_date) AS prev, lag(count(DISTINCT con_code)) OVER (PARTITION BY sector_code ORDER BY trade_date) AS before FROM mem GROUP BY 1, 2),
+k AS (SELECT d.sector_code, d.trade_date, count(*) AS kept FROM d JOIN mem a ON a.sector_code = d.sector_code AND a.trade_date = d.trade_date JOIN mem b ON b.sector_code = d.sector_code AND b.trade_date = d.prev AND b.con_code = a.con_code GROUP BY 1, 2)
+SELECT sector_code, trade_date, members, CASE WHEN before IS NOT NULL THEN members - coalesce(kept, 0) END AS joined, CASE WHEN before IS NOT NULL THEN before - coalesce(kept, 0) END AS left FROM d LEFT JOIN k USING (sector_code, trade_date)"""
+)
+def sec_membership_counts(spark, sf_dir):
+    return sector.membership_counts(adapters.sectors(spark, sf_dir)[3])
+
+
 # --- positions
 
 
@@ -310,10 +488,17 @@ def port_holding_warnings(spark, sf_dir):
     return portfolio.holding_warnings(portfolio.clean_holdings(_holdings(spark, sf_dir)))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity FROM lineitem WHERE l_returnflag IN ('R', 'N') AND l_quantity > 0 AND l_extendedprice > 0")
+@query(
+    """WITH t AS (SELECT l_suppkey AS account, l_orderkey * 10 + l_linenumber AS no, CASE l_returnflag WHEN 'R' THEN 'sell' WHEN 'N' THEN 'buy' ELSE '' END AS side, CASE WHEN l_partkey % 7 = 0 THEN '' ELSE 's' || l_partkey END AS symbol, CASE WHEN l_partkey % 5 <> 0 THEN l_quantity::DOUBLE END AS quantity, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_extendedprice::DOUBLE END AS price,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS k FROM lineitem)
+SELECT account, no, side, symbol, quantity, round(price, 2) AS price FROM t WHERE k <= 500 AND (side <> '' OR symbol <> '' OR quantity IS NOT NULL OR price IS NOT NULL)"""
+)
 def port_trades(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", " SELL").when(F.col("l_returnflag") == "N", "Buy ").otherwise("hold").alias("side"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
-    return portfolio.clean_trades(rows).drop("price")
+    """The first 500 lines of each supplier as its trades; an unknown side is blank, a missing price null."""
+    p = F.col("l_partkey")
+    side = F.when(F.col("l_returnflag") == "R", " sell").when(F.col("l_returnflag") == "N", "buy ").otherwise("hold")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("account"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("no"), side.alias("side"), F.when(p % 7 == 0, " ").otherwise(F.concat(F.lit("s"), p.cast("string"))).alias("symbol"), F.when(p % 5 != 0, F.col("l_quantity").cast("string")).otherwise("?").alias("quantity"), F.when(p % 3 != 0, F.col("l_extendedprice")).alias("price"))
+    return rounded(portfolio.clean_trades(rows, ["account"], "no"), "account", "no", digits=2)
 
 
 @query(
@@ -335,7 +520,19 @@ def port_watchlist(spark, sf_dir):
 # --- documents
 
 
-@query()
+def _shown() -> str:
+    page = "regexp_replace(html, '<!--.*?(?:-->|$)', '<!>', 'gs')"
+    for name in corpus.HIDDEN:
+        page = rf"regexp_replace({page}, '<{name}\b[^>]*>.*?(?:</{name}\s*>|$)', '<!>', 'gis')"
+    piece = "x"
+    for name, char in corpus.NAMED.items():
+        piece = f"replace({piece}, '&{name};', {repr(char) if char != chr(39) else 'chr(39)'})"
+    return rf"""WITH p AS (SELECT page_id, string_split_regex({page}, '<[!/?a-zA-Z][^>]*(?:>|$)') AS x FROM pages),
+q AS (SELECT page_id, array_to_string(list_filter(list_transform(x, lambda x: trim(regexp_replace({piece}, '[\s\x{{a0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS t FROM p)
+SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM q"""
+
+
+@query(_shown())
 def doc_visible_text(spark, sf_dir):
     t = corpus.visible_text(table(spark, sf_dir, "pages"))
     return t.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -362,14 +559,66 @@ def doc_dedup(spark, sf_dir):
     return corpus.new_entries(d.filter("doc_id % 3 <> 0"), stored, "source", "text").select("entry_id")
 
 
-_TITLES = ["Demo 2019年年度报告", "Demo 2020 年<b>半年度</b>报告", "Demo 2021年第一季度报告", "Demo 2021年第三季度报告", "Demo 2019年年度报告摘要", "Demo Annual Report 2018", "notice"]
-_KINDS = [("annual", 2019), ("q2", 2020), ("q1", 2021), ("q3", 2021), (None, 2019), ("annual", 2018), (None, None)]
+_ENDS = ["年年度报告", " 年<b>半年度</b>报告", "年第一季度报告", "年第三季度报告", "年度报告", "年年度报告摘要", "年报"]
 
 
-@query("SELECT doc_id, " + ", ".join("CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {repr(v[k]) if v[k] is not None else 'NULL'}" for i, v in enumerate(_KINDS)) + f" END AS {name}" for k, name in enumerate(("kind", "year"))) + " FROM documents")
+@query(
+    f"""WITH t AS (SELECT doc_id, coalesce(source, '') || (1990 + n_chars % 40) || [{', '.join(repr(e) for e in _ENDS)}][(n_chars % 7 + 1)::INTEGER] AS title FROM documents WHERE n_chars IS NOT NULL),
+n AS (SELECT doc_id, regexp_replace(title, '<[^>]+>', '', 'g') AS plain, regexp_replace(regexp_replace(title, '<[^>]+>', '', 'g'), '\\s+', '', 'g') AS bare FROM t)
+SELECT doc_id, CASE WHEN contains(bare, '摘要') THEN NULL WHEN regexp_matches(bare, '[0-9]{{4}}(年年度|年度)报告$') THEN 'annual' WHEN regexp_matches(bare, '[0-9]{{4}}年(第一季度|一季度)报告$') THEN 'q1'
+  WHEN regexp_matches(bare, '[0-9]{{4}}年(半年度|半年)报告$') THEN 'q2' WHEN regexp_matches(bare, '[0-9]{{4}}年(第三季度|三季度)报告$') THEN 'q3' END AS kind,
+  try_cast(nullif(regexp_extract(plain, '(?:^|[^0-9])([0-9]{{4}})年', 1), '') AS INTEGER) AS year FROM n"""
+)
 def doc_titles(spark, sf_dir):
-    title = F.element_at(F.array(*[F.lit(t) for t in _TITLES]), (F.col("doc_id") % 7 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", corpus.report_kind(title).alias("k")).select("doc_id", "k.kind", "k.year")
+    """Titles made of each row's source, a year and one of seven endings."""
+    n = F.col("n_chars")
+    title = F.concat(F.coalesce("source", F.lit("")), (1990 + n % 40).cast("string"), F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (n % 7 + 1).cast("int")))
+    return table(spark, sf_dir, "documents").filter("n_chars is not null").select("doc_id", corpus.report_kind(title).alias("k")).select("doc_id", "k.kind", "k.year")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 900)::INTEGER - 100 AS b, ['annual', 'q1', 'q2', 'q3'][(o_orderkey % 4 + 1)::INTEGER] AS kind, year(o_orderdate) - o_orderkey % 3 AS y FROM orders),
+t AS (SELECT *, 'report of ' || y || ['年年度报告', '年一季报', ' 年 半年报', '年三季度报告'][((o_orderkey // 4) % 4 + 1)::INTEGER] AS text, CASE WHEN a <= b THEN range(year(a) - (kind = 'annual')::INTEGER, year(b) - (kind = 'annual')::INTEGER + 1) END AS years FROM o)
+SELECT o_orderkey, array_to_string(years, ',') AS years, coalesce(list_contains(years, y) AND kind = ['annual', 'q1', 'q2', 'q3'][((o_orderkey // 4) % 4 + 1)::INTEGER], false) AS mentioned FROM t"""
+)
+def doc_report_windows(spark, sf_dir):
+    """Which reports a search window can hold, and whether a text refers to one of them."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("annual", "q1", "q2", "q3")]), (k % 4 + 1).cast("int"))
+    words = F.array(*[F.lit(x) for x in ("年年度报告", "年一季报", " 年 半年报", "年三季度报告")])
+    text = F.concat(F.lit("report of "), (F.year(day) - k % 3).cast("string"), F.element_at(words, (F.floor(k / 4) % 4 + 1).cast("int")))
+    years = corpus.period_years(day, F.date_add(day, (k % 900 - 100).cast("int")), kind)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(years, ",").alias("years"), corpus.mentions_report(text, kind, years).alias("mentioned"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, ['company', 'industry', 'macro', 'market', 'topic'][(doc_id % 5 + 1)::INTEGER] AS domain, CASE WHEN doc_id % 31 = 7 THEN 'report' WHEN doc_id % 37 = 8 THEN 'output_markdown' ELSE 'note' END AS kind, coalesce(source, '') || ['财务', '回购', 'CPI', '汇率', '两融', '行情', '交易日历', '统计', '网站', 'x'][((doc_id // 5) % 10 + 1)::INTEGER] AS title FROM documents) SELECT doc_id, CASE "
+    + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in corpus.BY_KIND.items())
+    + " "
+    + " ".join(f"WHEN regexp_full_match(domain, '{d}') AND regexp_matches(lower(title), '{w}') THEN '{name}'" for d, name, w in corpus.BY_WORDS)
+    + f" ELSE '{corpus.OTHER}' END AS category, regexp_matches(title, '{'|'.join(corpus.LOW_REUSE)}') AS low_reuse FROM t"
+)
+def doc_categories(spark, sf_dir):
+    k = F.col("doc_id")
+    one = lambda n, *vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (F.floor(k / n) % len(vs) + 1).cast("int"))
+    title = F.concat(F.coalesce("source", F.lit("")), one(5, "财务", "回购", "CPI", "汇率", "两融", "行情", "交易日历", "统计", "网站", "x"))
+    kind = F.when(k % 31 == 7, "report").when(k % 37 == 8, "output_markdown").otherwise("note")
+    return table(spark, sf_dir, "documents").select("doc_id", corpus.category(one(1, "company", "industry", "macro", "market", "topic"), title, kind).alias("category"), corpus.low_reuse(title).alias("low_reuse"))
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'P' ELSE 'p' END || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 2 THEN '' ELSE '---' || chr(10) || 'title: ' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'T' END || chr(10) || 'domain: ' || coalesce(source, '') || chr(10) || 'updated: 2024-01-01' || chr(10) || '---' || chr(10) END || CASE WHEN doc_id % 7 = 3 THEN '' ELSE 'source: x' END || chr(10) || coalesce(text, '') AS t, source, text FROM documents),
+i AS (SELECT path, unnest(list_filter([CASE WHEN doc_id % 5 = 2 THEN 'head_missing' END, CASE WHEN doc_id % 5 <> 2 AND doc_id % 3 = 0 THEN 'title_missing' END, CASE WHEN doc_id % 5 <> 2 AND trim(coalesce(source, '')) = '' THEN 'domain_missing' END,
+  CASE WHEN doc_id % 5 <> 2 AND trim(coalesce(source, '')) NOT IN ('', 'company', 'industry', 'macro', 'market', 'topic') THEN 'domain_unknown' END, CASE WHEN doc_id % 7 = 3 AND NOT regexp_matches(t, '(?m)^(?:sources?:[ 	]*\S|## (?:Sources|来源))') THEN 'source_missing' END, CASE WHEN doc_id % 4 = 1 THEN 'path_shape' END], lambda x: x IS NOT NULL)) AS issue FROM p)
+SELECT path, issue FROM i"""
+)
+def doc_page_issues(spark, sf_dir):
+    """Pages made of the given texts with a head before them."""
+    k, n = F.col("doc_id"), "\n"
+    head = F.concat(F.lit("---\ntitle: "), F.when(k % 3 == 0, "").otherwise("T"), F.lit("\ndomain: "), F.coalesce("source", F.lit("")), F.lit("\nupdated: 2024-01-01\n---\n"))
+    text = F.concat(F.when(k % 5 == 2, "").otherwise(head), F.when(k % 7 == 3, "").otherwise("source: x"), F.lit(n), F.coalesce("text", F.lit("")))
+    path = F.concat(F.when(k % 4 == 1, "P").otherwise("p"), k.cast("string"), F.lit(".md"))
+    return corpus.page_issues(table(spark, sf_dir, "documents").select(path.alias("path"), text.alias("text")))
 
 
 @query()
@@ -379,16 +628,15 @@ def doc_page_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", corpus.report_kind(title).alias("k")).select("page_id", "k.kind", "k.year")
 
 
-@query(r"SELECT doc_id, length(regexp_replace(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT starts_with(ltrim(x), '#')), ''), '[^\p{L}\p{N}]', '', 'g')) >= 40 AS substantive, length(CASE WHEN length(text) > 2000 THEN text[1:2000] || chr(10) || '[cut]' ELSE text END) AS n FROM documents")
+@query(r"SELECT doc_id, length(regexp_replace(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: NOT starts_with(x, '#') AND x <> '---'), ''), '[^A-Za-z0-9\x{4e00}-\x{9fff}]', '', 'g')) >= 40 AS substantive, length(CASE WHEN length(text) > 2000 THEN text[1:2000] || chr(10) || '[cut]' ELSE text END) AS n FROM documents")
 def doc_filters(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", corpus.substantive(F.col("text"), 40).alias("substantive"), F.length(corpus.capped(F.col("text"), 2000)).alias("n"))
 
 
-@query("SELECT lang, source, count(*) AS n, string_agg((doc_id % 30)::VARCHAR || ':' || doc_id, ',' ORDER BY doc_id % 30 DESC, doc_id::VARCHAR DESC) AS entries FROM documents GROUP BY 1, 2")
+@query("SELECT lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id % 30 DESC, doc_id::VARCHAR DESC)::INTEGER AS place, doc_id % 30 AS day, doc_id::VARCHAR AS title FROM documents")
 def doc_index(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", "source", (F.col("doc_id") % 30).alias("day"), F.col("doc_id").cast("string").alias("title"))
-    c = corpus.catalog(d, ["lang", "source"])
-    return c.select("lang", "source", "n", F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["day"], e["title"])), ",").alias("entries"))
+    return corpus.catalog(d, ["lang", "source"]).select("lang", "source", "place", "day", "title")
 
 
 @query(
@@ -437,6 +685,22 @@ def ing_typed_table(spark, sf_dir):
     return rounded(out, digits=2)
 
 
+@query(
+    """WITH r AS (SELECT 'c' || o_custkey AS ts_code, o_orderdate::DATE AS d, o_orderstatus AS st, round(max(o_totalprice), 2) AS p FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1, 2, 3)
+SELECT 'valuation' AS target, count(*) AS ledger_rows, count(DISTINCT (ts_code, d)) AS typed_rows FROM r UNION ALL SELECT NULL, count(*), 0 FROM r"""
+)
+def ing_persist(spark, sf_dir):
+    """Once with a rule that fits, once without."""
+    o = table(spark, sf_dir, "orders").filter("o_custkey is not null").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("ts_code"), F.to_date("o_orderdate").alias("d"), F.col("o_orderstatus").alias("report_type")).agg(F.round(F.max("o_totalprice"), 2).alias("circ_mv"))
+    rows = o.select("ts_code", F.date_format("d", "yyyy-MM-dd").alias("trade_date"), "report_type", F.col("ts_code").alias("symbol"), F.col("circ_mv").cast("string").alias("circ_mv"), F.col("d").alias("event_date"), F.col("d").cast("timestamp").alias("retrieved_at"), F.lit(0).alias("batch_row"))
+    typed = rows.withColumn("code", F.col("ts_code"))
+    out = None
+    for rules in ([("basic", {"daily_basic"}, {"ts_code", "circ_mv"}, "valuation")], []):
+        one = store.persist_with_ledger(typed, "orders", "daily_basic", rules)[2]
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT 's' || s_suppkey AS symbol, DATE '1999-01-04' AS trade_date, 'U' AS limit_type, NULL::DOUBLE AS pct_chg, '{\"extra\":' || s_nationkey || ',\"limit_type\":\"U\",\"symbol\":\"s' || s_suppkey || '\",\"trade_date\":\"1999-01-04\"}' AS payload_json FROM supplier")
 def ing_payload_table(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("symbol"), F.lit("1999-01-04").alias("trade_date"), F.lit("U").alias("limit_type"), F.col("s_nationkey").alias("extra"))

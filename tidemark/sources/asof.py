@@ -12,8 +12,14 @@ def read_range(rows: DataFrame, start: str, end: str, symbols: list | None = Non
     return out if symbols is None else out.filter(F.col("symbol").isin(symbols))
 
 
-def valuation_history(rows: DataFrame, as_of: str) -> DataFrame:
-    return rows.filter(F.col("trade_date") <= F.lit(as_of).cast("date"))
+def read_matrix(rows: DataFrame, start: str, end: str, symbols: list | None = None, date: str = "trade_date") -> DataFrame:
+    """Closes and volumes only of a range, one row a symbol and date; the other columns are never scanned."""
+    return read_range(rows.select("symbol", date, "close_qfq", "volume"), start, end, symbols, date)
+
+
+def valuation_history(rows: DataFrame, as_of: str, symbols: list | None = None) -> DataFrame:
+    out = rows.filter(F.col("trade_date") <= F.lit(as_of).cast("date"))
+    return out if symbols is None else out.filter(F.col("symbol").isin(symbols))
 
 
 def known_financials(rows: DataFrame, as_of: str) -> DataFrame:
@@ -42,7 +48,7 @@ def known_events(rows: DataFrame, as_of: str, start: str, end: str) -> DataFrame
 def sector_history(daily: DataFrame, master: DataFrame, flow: DataFrame) -> DataFrame:
     key = ["provider", "sector_code"]
     names = master.select(*key, "sector_name", "sector_type")
-    out = daily.join(F.broadcast(names), key, "left").join(flow, [*key, "trade_date"], "left")
+    out = daily.join(names, key, "left").join(flow, [*key, "trade_date"], "left")
     return out.withColumn("sector_name", F.coalesce("sector_name", F.col("sector_code").cast("string")))
 
 
@@ -52,38 +58,74 @@ def memberships(members: DataFrame, master: DataFrame, as_of: str, stock=None, s
     rows = rows if stock is None else rows.filter(F.col("con_code").isin(stock))
     rows = rows if sector is None else rows.filter(F.col("sector_code").isin(sector))
     last = rows.groupBy("sector_code").agg(F.max("trade_date").alias("trade_date"))
-    return rows.join(last, ["sector_code", "trade_date"]).join(F.broadcast(master.select("sector_code", "sector_name", "sector_type")), "sector_code", "left")
+    return rows.join(last, ["sector_code", "trade_date"]).join(master.select("sector_code", "sector_name", "sector_type"), "sector_code", "left")
 
 
 def stored_dates(rows: DataFrame, date: str, *by: str) -> DataFrame:
     return rows.select(*by, date).distinct()
 
 
-def table_profile(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """name, n_rows, first and last date of each non-empty table given with its date column."""
-    parts = [df.agg(F.count("*").alias("n_rows"), F.min(F.to_date(c)).alias("first_date"), F.max(F.to_date(c)).alias("last_date")).select(F.lit(name).alias("name"), "n_rows", "first_date", "last_date") for name, (df, c) in tables.items()]
+#: Date columns by which a table's last day is told, in order of preference.
+PROFILE_DATES = ("trade_date", "event_date", "end_date", "cal_date", "checked_at", "available_at")
+
+
+def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n_rows, last_retrieved (of `retrieved_at`), date_field and last_date (of the first of `PROFILE_DATES` that a
+    table has) of each table that is not empty."""
+    none = F.lit(None)
+    parts = []
+    for name, df in tables.items():
+        field = next((c for c in PROFILE_DATES if c in df.columns), None)
+        got = F.max("retrieved_at") if "retrieved_at" in df.columns else none
+        row = df.agg(F.count("*").alias("n_rows"), got.cast("timestamp").alias("last_retrieved"), (F.max(field) if field else none).cast("date").alias("last_date"))
+        parts.append(row.select(F.lit(name).alias("name"), "n_rows", "last_retrieved", F.lit(field).cast("string").alias("date_field"), "last_date"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.filter("n_rows > 0")
 
 
+#: Forms of dates that are read, after digits alone.
+DATE_FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "dd MMM yyyy", "MMM dd, yyyy")
+
+
 def parsed_date(c) -> F.col:
-    """yyyyMMdd or yyyy-MM-dd text as a date, else null."""
+    """Text as a date: yyyyMMdd, a day of `DATE_FORMS`, or a timestamp that begins with yyyy-MM-dd; else null."""
     t = F.trim(c)
-    return F.coalesce(F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd")), F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")))
+    plain = F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd"))
+    stamp = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
+    return F.coalesce(plain, stamp, *[F.try_to_date(t, form) for form in DATE_FORMS])
 
 
 def available_as_of(rows: DataFrame, fields: list[str], as_of: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose first present date field parses to a day not after as_of, and an audit row."""
-    field = next((f for f in fields if f in rows.columns), None)
-    if field is None:
-        n = rows.agg(F.count("*").alias("total")).select(F.lit("historically_unverified").alias("status"), F.lit(None).cast("string").alias("field"), "total", F.lit(0).alias("excluded"), F.lit(0).alias("invalid"))
-        return rows, n
-    d, limit = parsed_date(F.col(field)), F.lit(as_of).cast("date")
-    audit = rows.agg(F.count("*").alias("total"), F.count(F.when(d > limit, 1)).alias("excluded"), F.count(F.when(d.isNull(), 1)).alias("invalid"))
-    status = F.when(F.col("excluded") + F.col("invalid") > 0, "filtered").otherwise("verified")
-    return rows.filter(d <= limit), audit.select(status.alias("status"), F.lit(field).alias("field"), "total", "excluded", "invalid")
+    """Rows known by as_of, and an audit row. The first field that holds a usable value (eight digits once all else is
+    taken out) for any row decides, and rows without one there are excluded too; if none is usable, all rows stay."""
+    present = [f for f in fields if f in rows.columns]
+    digits = {f: F.regexp_replace(F.coalesce(F.col(f).cast("string"), F.lit("")), "[^0-9]", "") for f in present}
+    usable = {f: digits[f].rlike(r"^\d{8}$") for f in present}
+    limit = as_of.replace("-", "")
+    counts = rows.agg(F.count("*").alias("total"), *[F.count(F.when(usable[f], 1)).alias(f"_u{k}") for k, f in enumerate(present)], *[F.count(F.when(usable[f] & (digits[f] <= limit), 1)).alias(f"_k{k}") for k, f in enumerate(present)])
+    chosen = F.coalesce(*[F.when(F.col(f"_u{k}") > 0, k) for k in range(len(present))], F.lit(-1)) if present else F.lit(-1)
+    one = counts.withColumn("_c", chosen)
+    by = lambda values, other: F.coalesce(*[F.when(F.col("_c") == k, v) for k, v in enumerate(values)], other) if values else other
+    known, valid = by([F.col(f"_k{k}") for k in range(len(present))], F.col("total")), by([F.col(f"_u{k}") for k in range(len(present))], F.lit(0))
+    status = F.when(F.col("total") == 0, "not_applicable").when(F.col("_c") < 0, "historically_unverified").otherwise("filtered")
+    audit = one.select(status.alias("status"), by([F.lit(f) for f in present], F.lit(None).cast("string")).alias("field"), "total", (F.col("total") - known).alias("excluded"), valid.cast("bigint").alias("known_rows"))
+    passes = by([usable[f] & (digits[f] <= limit) for f in present], F.lit(True))
+    kept = rows.crossJoin(F.broadcast(one.select("_c"))).filter(passes).select(*rows.columns)  # one row
+    return kept, audit
+
+
+def sectors_as_of(rows: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Sector rows dated by as_of, and an audit row; without a trade_date column all rows stay, as a snapshot that has no
+    effective date."""
+    if "trade_date" not in rows.columns:
+        return rows, rows.agg(F.count("*").alias("total")).select(F.when(F.col("total") == 0, "empty").otherwise("snapshot_without_effective_date").alias("status"), F.lit(0).cast("bigint").alias("excluded"), F.lit(0).cast("bigint").alias("invalid"))
+    d = parsed_date(F.col("trade_date").cast("string"))
+    fits = F.coalesce(d <= F.lit(as_of).cast("date"), F.lit(False))
+    audit = rows.agg(F.count("*").alias("total"), F.count(F.when(~fits, 1)).alias("excluded"), F.count(F.when(d.isNull(), 1)).alias("invalid"))
+    status = F.when(F.col("total") == 0, "empty").when(F.col("invalid") == 0, "verified").otherwise("partial")
+    return rows.filter(fits), audit.select(status.alias("status"), "excluded", "invalid")
 
 
 def expand_payload(rows: DataFrame, payload: str, schema: str) -> DataFrame:

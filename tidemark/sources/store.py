@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ingest import merge_upsert, route
+from tidemark.operators.ingest import ledger_backfill, merge_upsert, route
 from tidemark.sources.asof import parsed_date
 
 
@@ -94,3 +94,24 @@ def run_log(runs: DataFrame, payload: list[str]) -> DataFrame:
 def list_runs(runs: DataFrame, operation: str, limit: int) -> DataFrame:
     """Newest runs of an operation, ties by id."""
     return runs.filter(F.col("operation") == operation).orderBy(F.col("created_at").desc(), "id").limit(limit)
+
+
+def run_outcomes(runs: DataFrame, outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """Outcome rows as a child table of the runs they come from: `run_id` of the parent first."""
+    return runs.select("run_id", *by).join(outcomes, by).select("run_id", *outcomes.columns)
+
+
+def run_with_outcomes(runs: DataFrame, children: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """A run by its id, and its outcomes."""
+    return runs.filter(F.col("run_id") == run_id), children.filter(F.col("run_id") == run_id)
+
+
+def persist_with_ledger(rows: DataFrame, dataset: str, endpoint: str, rules: list[tuple[str, set[str], set[str], str]], existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(ledger, typed table or null, counts) of an endpoint's rows, which have symbol, event_date, retrieved_at and
+    batch_row besides their payload: the ledger always, the typed table if a rule fits; and how many rows each took."""
+    payload = [c for c in rows.columns if c not in ("symbol", "event_date", "retrieved_at", "batch_row")]
+    told = ledger_backfill(rows.withColumn("dataset", F.lit(dataset)), payload)
+    target, typed = persist(rows.drop("retrieved_at", "batch_row"), endpoint, rules, existing)
+    n = F.count("*")
+    counts = told.agg(n.alias("ledger_rows")).crossJoin(typed.agg(n.alias("typed_rows")) if typed is not None else rows.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("typed_rows")))  # a row each
+    return told, typed, counts.select(F.lit(target).cast("string").alias("target"), "ledger_rows", "typed_rows")
