@@ -84,7 +84,7 @@ def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
 
 def test_tiles_and_forests_match_all_pairs(spark, family, monkeypatch):
     """Small tiles, few cells: the same links."""
-    for name, value in (("TILE", 7), ("TILE_SHINGLES", 900), ("CELLS", 500)):
+    for name, value in (("TILE", 7), ("TILE_SHINGLES", 900), ("CELLS", 500), ("FEW", 3)):
         monkeypatch.setattr(jaccard, name, value)
     df = spark.createDataFrame(family, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}

@@ -10,10 +10,12 @@ Every link is found:
 1. equal sets are one node, with its number of documents;
 2. a group looks under its rarest prefix shingles only, by as many as it has more than the number it must
    share with a partner of the size class; groups that have fewer drop out;
-3. nodes lie in tiles of bounded size, near their smallest possible partner, and tiles rather than nodes are
-   paired: a hot shingle with k nodes gives (k / tile)^2 rows. A pair of tiles is verified at once, as the product
-   of two membership matrices, and returns for each node its number of links and its place in the tiles'
-   forest of links: rows in proportion to nodes, whatever the number of links.
+3. groups that few others meet under a shingle are paired one by one, with a filter on what may follow the shared
+   shingle; nodes lie in tiles of bounded size, near their smallest possible partner, and under a hot shingle tiles
+   rather than groups are paired: k nodes give (k / tile)^2 rows. The nodes that a pair of tiles has to compare are
+   verified at once, as the product of two membership matrices, and each gets its number of links and its place in
+   the forest of links there: rows in proportion to nodes, whatever the number of links. A link has one pair of tiles,
+   so it counts once.
 Links of documents are those of their nodes, counted with copies; components follow from the forests.
 
 The order of shingles is only a matter of speed: a bounded table ranks the most frequent ones last.
@@ -48,6 +50,8 @@ MEMORY = 200_000
 SIZE_STEP = 1.02
 #: Nodes, and shingles, of a tile, about.
 TILE, TILE_SHINGLES = 256, 250_000
+#: Groups that meet under a shingle and are paired one by one; beyond, tiles are.
+FEW = 32
 #: Cells of a membership matrix at a time.
 CELLS = 1 << 21
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -177,11 +181,12 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
 
 
 def _probes(tokens: DataFrame, percent: int) -> DataFrame:
-    """Of rows (token, grp, n): those that have to be joined, as (token, grp, own, other).
+    """Of rows (token, grp, n): those that have to be joined, as (token, grp, n, own, other, rest).
 
     `own` is the size class of the group, `other` one in which the token has another group. A partner
     from that class must share at least `need` of the group's tokens there; of `have` tokens, the rarest
-    `have - need + 1` include the first shared one under one common order."""
+    `have - need + 1` include the first shared one under one common order. `rest` counts the token and those
+    after it: no pair whose first shared token this is can share more."""
     spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
     rows = materialize(tokens.join(spread, "token").withColumn("own", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")), "sized")
     classes = rows.groupBy("token", F.col("own").alias("other")).agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
@@ -196,32 +201,52 @@ def _probes(tokens: DataFrame, percent: int) -> DataFrame:
     group = Window.partitionBy("grp", "other")
     ranked = near.withColumn("have", F.count("*").over(group)).withColumn("need", F.greatest(F.lit(1), F.least(need(low), need(high)))).filter("have >= need")
     ranked = ranked.withColumn("k", F.row_number().over(group.orderBy("df", "token")))
-    return ranked.filter("k <= have - need + 1").select("token", "grp", "own", "other")
+    return ranked.filter("k <= have - need + 1").select("token", "grp", "n", "own", "other", (F.col("have") - F.col("k") + 1).cast("int").alias("rest"))
 
 
-def _tiles(probes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): the tile of each node that may have a link, and the pairs of tiles ta <= tb to verify.
+def _both_fit(percent: int):
+    """Whether sizes na and nb are near enough, and the shared prefix shingles that ra and rb allow, with all that may
+    follow, reach the needed overlap."""
+    near = f"100L * least(na, nb) >= {percent}L * greatest(na, nb)"
+    rest = f"(greatest(na, nb) * {percent}L + 99) div 100 - 1"
+    return F.expr(f"{near} and {100 + percent}L * (least(ra, rb) + {rest}) >= {percent}L * (na + nb)")
+
+
+def _tiles(probes: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members, places): the tile of each node that may have a link, and (ta, tb, digest), the nodes that each pair of
+    tiles ta <= tb has to compare.
 
     Rows that meet share (token, lower class, upper class) and come from both classes. A group lies with the
     smallest group that it meets; a tile is a part of the nodes that lie together."""
-    sides = probes.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "grp", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high"))
-    meets = sides.groupBy("token", "lo", "hi").agg(F.min("grp").alias("first"), F.max("grp").alias("last"), F.max("low").alias("l"), F.max("high").alias("h")).filter("first < last and l and h")
-    met = materialize(sides.join(meets.select("token", "lo", "hi", "first"), ["token", "lo", "hi"]), "met")
-    heads = met.groupBy("grp").agg(F.min("first").alias("head"))
-    several = nodes.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp", F.col("grp").alias("head"))
-    heads = heads.unionByName(several).groupBy("grp").agg(F.min("head").alias("head"))
-    placed = materialize(nodes.join(heads.hint("merge"), "grp"), "placed")
+    key = ["token", "lo", "hi"]
+    sides = probes.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "grp", "n", "rest", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high"))
+    meets = sides.groupBy(*key).agg(F.min("grp").alias("first"), F.max("grp").alias("last"), F.max("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("k")).filter("first < last and l and h")
+    met = materialize(sides.join(meets.select(*key, "first", "k"), key), "met")
+    few, hot = met.filter(F.col("k") <= FEW), met.filter(F.col("k") > FEW)
+    a = few.filter("low").select(*key, F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    b = few.filter("high").select(*key, F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    pairs = a.join(b.hint("merge"), key).filter((F.col("ga") != F.col("gb")) & _both_fit(percent)).select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"))
+    several = nodes.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+    pairs = materialize(pairs.distinct().unionByName(several), "pairs")
+
+    heads = pairs.select(F.col("gb").alias("grp"), F.col("ga").alias("head")).unionByName(pairs.select(F.col("ga").alias("grp"), F.col("ga").alias("head"))).unionByName(hot.select("grp", F.col("first").alias("head")))
+    placed = materialize(nodes.join(heads.groupBy("grp").agg(F.min("head").alias("head")).hint("merge"), "grp"), "placed")
     parts = placed.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
     members = placed.join(parts.hint("merge"), "head").select("grp", "digest", "doc", "th", "copies", F.xxhash64("head", F.pmod(F.xxhash64("digest"), "parts")).alias("tile"))
     members = materialize(members, "members")
+
+    # pairs of groups, as the tiles of both; each sends its own nodes
     of = members.select("grp", "tile").distinct()
-    found = met.join(of.hint("merge"), "grp").groupBy("token", "lo", "hi", "tile").agg(F.max("low").alias("low"), F.max("high").alias("high"))
-    found = materialize(found, "found")
-    a, b = (found.filter(side).select("token", "lo", "hi", F.col("tile").alias(t)) for side, t in (("low", "ta"), ("high", "tb")))
-    across = a.join(b.hint("merge"), ["token", "lo", "hi"]).select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb"))
-    own = of.join(several.select("grp").hint("merge"), "grp")
-    inside = own.select("grp", F.col("tile").alias("ta")).join(own.select("grp", F.col("tile").alias("tb")).hint("merge"), "grp").filter("ta <= tb").select("ta", "tb")
-    return members, materialize(across.unionByName(inside).distinct(), "tiles")
+    paired = pairs.join(of.select(F.col("grp").alias("ga"), F.col("tile").alias("x")).hint("merge"), "ga").join(of.select(F.col("grp").alias("gb"), F.col("tile").alias("y")).hint("merge"), "gb")
+    both = [F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb")]
+    sent = paired.select(*both, F.col("ga").alias("grp"), F.col("x").alias("tile")).unionByName(paired.select(*both, F.col("gb").alias("grp"), F.col("y").alias("tile"))).distinct()
+    own = sent.join(members.select("grp", "tile", "digest").hint("merge"), ["grp", "tile"]).select("ta", "tb", "digest")
+    # under hot shingles, pairs of tiles with all of their nodes
+    found = materialize(hot.join(of.hint("merge"), "grp").groupBy(*key, "tile").agg(F.max("low").alias("low"), F.max("high").alias("high")), "found")
+    x, y = (found.filter(side).select(*key, F.col("tile").alias(t)) for side, t in (("low", "x"), ("high", "y")))
+    wide = x.join(y.hint("merge"), key).select(*both).distinct()
+    every = wide.select("ta", "tb", F.explode(F.array_distinct(F.array("ta", "tb"))).alias("tile")).join(members.select("tile", "digest").hint("merge"), "tile").select("ta", "tb", "digest")
+    return members, materialize(own.unionByName(every).distinct(), "places")
 
 
 def alike(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,10 +293,10 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify(members: DataFrame, pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def verify(members: DataFrame, places: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, others, root) for each node with links in a pair of tiles: the documents it links with there, and a
-    node of the pair of tiles that its links lead to. A node's text is fetched once, its shingles once for each pair of
-    its tile."""
+    node of the pair of tiles that its links lead to. A node's text is fetched once, its shingles once for each of its
+    places."""
     found = prune(docs, members.select("doc"), "doc").join(members.select("doc", "th", "digest", "tile", "copies").hint("merge"), ["doc", "th"])
 
     def shingled(batches):
@@ -287,10 +312,8 @@ def verify(members: DataFrame, pairs: DataFrame, docs: DataFrame, size: int, per
                     told.clear()
 
     held = found.select("text", "digest", "tile", "copies").mapInArrow(shingled, "digest binary, tile bigint, copies bigint, shingles binary")
-    held = materialize(held, "held")
-    # both sides grow with the input, so these are merge joins at every size
-    sent = [pairs.withColumn("tile", F.col(t)).join(held.hint("merge"), "tile").select("ta", "tb", F.lit(side).alias("side"), "digest", "copies", "shingles") for side, t in ((0, "ta"), (1, "tb"))]
-    rows = sent[0].unionByName(sent[1].filter("ta < tb"))
+    # both sides grow with the input, so this is a merge join at every size
+    rows = places.join(held.hint("merge"), "digest").select("ta", "tb", (F.col("tile") != F.col("ta")).cast("int").alias("side"), "digest", "copies", "shingles")
     names = ["node", "others", "root"]
 
     def solve(pair, left, right):
@@ -339,8 +362,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     nodes = materialize(shared.filter("digest is not null").select("grp", "n", "digest").distinct().join(counts.hint("merge"), "digest"), "nodes")
 
     probes = materialize(_probes(shared.filter("digest is null").select("token", "grp", "n"), percent), "probes")
-    members, pairs = _tiles(probes, nodes)
-    found = verify(members, pairs, slim, size, percent)
+    members, places = _tiles(probes, nodes, percent)
+    found = verify(members, places, slim, size, percent)
     degree = found.groupBy("node").agg(F.sum("others").alias("others"))
     of = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = materialize(degree.join(of.hint("merge"), "node").join(nodes.select(F.col("digest").alias("node"), "doc").hint("merge"), "node"), "linked")
