@@ -23,9 +23,8 @@ from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import labelled_sample, materialize, text_slices, texts
@@ -161,12 +160,15 @@ def _term_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, term string, tf long")
 
 
-def relevance(counts: pd.DataFrame, n1: int, n0: int) -> np.ndarray:
-    """For words in `a` of the n1 toxic and `b` of the n0 other examples: how far their log odds differ, beyond one
-    standard error."""
-    a, b = counts["a"].to_numpy(dtype=float) + 0.5, counts["b"].to_numpy(dtype=float) + 0.5
-    a_not, b_not = n1 + 1 - a, n0 + 1 - b
-    return np.maximum(0, np.abs(np.log(a / a_not) - np.log(b / b_not)) - np.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not))
+def relevant_terms(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """(term, no, weight) of the words whose log odds in the n1 toxic and the n0 other examples differ beyond one
+    standard error, and by how much; numbered in order. A row a word of the bounded sample."""
+    each = counts.filter("term != ''").groupBy("term").agg(F.count(F.when(F.col("label") == 1, 1)).alias("a"), F.count(F.when(F.col("label") == 0, 1)).alias("b"))
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    a_not, b_not = F.lit(n1 + 1.0) - a, F.lit(n0 + 1.0) - b
+    weight = F.abs(F.log(a / a_not) - F.log(b / b_not)) - F.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not)
+    kept = each.select("term", weight.alias("weight")).filter("weight > 0")
+    return kept.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("no"), "weight")
 
 
 def document_frequencies(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -200,21 +202,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     n1, n0 = int((each["label"] == 1).sum()), int((each["label"] == 0).sum())
     if not n1 or not n0:
         return Index({}, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32))
-    by_term = counts.filter("term != ''").groupBy("term").agg(F.count(F.when(F.col("label") == 1, 1)).alias("a"), F.count(F.when(F.col("label") == 0, 1)).alias("b")).orderBy("term").toPandas()
-    weight = relevance(by_term, n1, n0)
-    by_term, weight = by_term[weight > 0], weight[weight > 0]
-    vocab = {t: k for k, t in enumerate(by_term["term"])}
+    terms_of = materialize(relevant_terms(counts, n1, n0), "terms")
+    known = terms_of.orderBy("no").toArrow()
+    vocab = {t: k for k, t in enumerate(known["term"].to_pylist())}
     df, n_docs = document_frequencies(docs, vocab)
-    index = Index(vocab, np.log(np.maximum(n_docs, 1) / np.maximum(df, 1)) * weight, np.empty(0, np.int64), np.empty(0, np.int32))
-    kept = counts.filter("term != ''").toPandas()
-    kept = kept.assign(at=kept["term"].map(vocab)).dropna(subset=["at"])
-    by_id = {i: (g["at"].to_numpy(dtype=np.int64), g["tf"].to_numpy(dtype=float)) for i, g in kept.groupby("id")}
-    none = (np.empty(0, np.int64), np.empty(0))
-    each["vector"] = [index.unit(*by_id[i]) if i in by_id else none for i in each["id"]]
-    each["lead"] = [int(at[w.argmax()]) if len(at) else -1 for at, w in each["vector"]]
-    each = each.sort_values(["lead", "id"]).reset_index(drop=True)
-    index.ids, index.labels = each["id"].to_numpy(), each["label"].to_numpy()
-    vectors = list(each["vector"])
+    index = Index(vocab, np.log(np.maximum(n_docs, 1) / np.maximum(df, 1)) * known["weight"].to_numpy(), np.empty(0, np.int64), np.empty(0, np.int32))
+    # postings as numbers; both sides are bounded by the sample
+    kept = counts.join(terms_of, "term").select("id", "no", "tf").toArrow()
+    ids, at, tf = kept["id"].to_numpy(), kept["no"].to_numpy().astype(np.int64), kept["tf"].to_numpy().astype(float)
+    order = np.lexsort((at, ids))
+    ids, at, tf = ids[order], at[order], tf[order]
+    start, end = np.searchsorted(ids, each["id"], side="left"), np.searchsorted(ids, each["id"], side="right")
+    vectors = [index.unit(at[x:y], tf[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+    lead = np.array([int(v[0][v[1].argmax()]) if len(v[0]) else -1 for v in vectors])
+    placed = np.lexsort((each["id"], lead))
+    vectors = [vectors[k] for k in placed]
+    index.ids, index.labels = each["id"].to_numpy()[placed], each["label"].to_numpy()[placed]
     index.build(vectors)
     votes = np.array([index.vote(*index.nearest(*v, skip=k)) for k, v in enumerate(vectors)])
     y = index.labels.astype(float)
