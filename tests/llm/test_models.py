@@ -332,9 +332,12 @@ def test_pipeline_stages(spark, staged):
     assert staged[4].count() == len(redacted)
 
 
-def test_pipeline_stages_on_odd_rows(spark):
-    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in ODD] + [(5, "normal words of a text", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        out = stage(spark, docs, SF)
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in ODD] + [(5, "normal words of a text", None, None, 0), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    sf = spark.read.parquet(f"{SF}/benchmark.parquet")
+    sf.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1), (2, 1), (3, 0), (5, 1), (None, 0), (4, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
         assert out.count() >= 1
-        assert stage(spark, docs.limit(0), SF).count() == 0
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

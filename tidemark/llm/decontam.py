@@ -34,7 +34,7 @@ WINDOW = 13
 BLOCK_WORDS = 1_000_000
 #: Words of a segment of an item. Longest matches are measured within one.
 SEGMENT = 50_000
-#: Rows of a suffix array that are sorted at a time.
+#: Bytes of text of one shard.
 SHARD_BYTES = 4 << 20
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -90,11 +90,6 @@ class TestSuffixes:
         return out
 
 
-def _keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of word hashes as fixed-width byte strings, equal only where the rows are."""
-    return np.ascontiguousarray(rows.astype(">u8")).view(f"V{rows.shape[1] * 8}").ravel()
-
-
 def suffix_array(h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The positions `at` in the order of the `size` words that follow, and those words, a row each."""
     rows = h[at[:, None] + np.arange(size)]
