@@ -49,13 +49,15 @@ _HASHES = TokenHashes()
 
 
 def features(batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, feature, value) of the unigrams and bigrams of each text and its intercept."""
+    """(document, feature, value) of each text: its words, its word bigrams, the equality patterns of its word trigrams
+    (which of the words before a word equals, whatever the words are), and its intercept."""
     doc, feat, val = [], [], []
     shift = np.uint64(64 - BITS)
     for k, text in enumerate(batch_texts):
         tokens = _TOKEN.findall(text)
         h = np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-        both = np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[1:] * np.uint64(0x165667B19E3779F9))])
+        pattern = 1 + (h[2:] == h[1:-1]) + 2 * (h[2:] == h[:-2]).astype(np.uint64)
+        both = np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[1:] * np.uint64(0x165667B19E3779F9)), pattern.astype(np.uint64) * np.uint64(0x27220A95FE1D0F11)])
         one = both >> shift
         one[one == 0] = 1
         feat.append(np.concatenate([[np.uint64(0)], one]).astype(np.int64))
