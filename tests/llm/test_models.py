@@ -128,7 +128,7 @@ def test_toxicity_query_matches_plain_cosine(spark):
     for w, k in ix.vocab.items():
         odds = lambda x, m: np.log((x + 0.5) / (m - x + 0.5))
         error = np.sqrt(sum(1 / (x + 0.5) for x in (a[w], n1 - a[w], b[w], n0 - b[w])))
-        assert np.isclose(ix.idf[k], np.log(n / df[w]) * max(0, abs(odds(a[w], n1) - odds(b[w], n0)) - error))
+        assert np.isclose(ix.idf[k], np.log(n / df[w]) * max(0, abs(odds(a[w], n1) - odds(b[w], n0)) - toxicity.ERRORS * error))
 
     def dense(text):
         v = np.zeros(len(ix.vocab))

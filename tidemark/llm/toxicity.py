@@ -2,7 +2,7 @@
 
 A bounded sample of labelled rows (`MAX_EXAMPLES` a class, `MAX_BYTES` of text) becomes an inverted index over all
 their words. A word weighs (1 + ln tf) ln(N / df), where df and N count all documents, times its relevance: how far
-its odds of standing in a toxic example are from those in another, in logarithms, beyond one standard error (0 if
+its odds of standing in a toxic example are from those in another, in logarithms, beyond `ERRORS` standard errors (0 if
 not beyond). No number of words and no share of the rows cuts this short; words of relevance 0 have no postings.
 Examples lie in blocks, ordered by their weightiest word; for each word and block the largest weight is kept, and
 blocks are scored by falling bound until none reaches the k-th best similarity so far, so the k nearest are exact.
@@ -32,10 +32,12 @@ from tidemark.llm.common import labelled_sample, materialize, text_slices, texts
 #: Labelled rows of each class that become examples, about, and bytes of their texts, about.
 MAX_EXAMPLES = 3_000
 MAX_BYTES = 64 << 20
+#: Standard errors by which log odds must differ.
+ERRORS = 2.0
 BLOCK = 32
 NEIGHBOURS = 25
-#: Blocks scored before any bound is used; each further step takes twice as many.
-FIRST_BLOCKS = 4
+#: Blocks scored before any bound is used; each further step takes four times as many.
+FIRST_BLOCKS = 16
 VOTE_FLOOR = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -109,8 +111,8 @@ class Index:
             if skip >= 0:
                 sim[skip] = 0
             floor = np.partition(sim, -NEIGHBOURS)[-NEIGHBOURS] if len(sim) > NEIGHBOURS else 0.0
-            done, step = done + step, 2 * step
-        found = np.flatnonzero(sim > 0)
+            done, step = done + step, 4 * step
+        found = np.flatnonzero((sim > 0) & (sim >= floor))
         best = found[np.lexsort((found, -sim[found]))[:NEIGHBOURS]]
         return best, sim[best]
 
@@ -161,12 +163,12 @@ def _term_counts(rows: DataFrame) -> DataFrame:
 
 
 def relevant_terms(counts: DataFrame, n1: int, n0: int) -> DataFrame:
-    """(term, no, weight) of the words whose log odds in the n1 toxic and the n0 other examples differ beyond one
-    standard error, and by how much; numbered in order. A row a word of the bounded sample."""
+    """(term, no, weight) of the words whose log odds in the n1 toxic and the n0 other examples differ beyond
+    `ERRORS` standard errors, and by how much; numbered in order. A row a word of the bounded sample."""
     each = counts.filter("term != ''").groupBy("term").agg(F.count(F.when(F.col("label") == 1, 1)).alias("a"), F.count(F.when(F.col("label") == 0, 1)).alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     a_not, b_not = F.lit(n1 + 1.0) - a, F.lit(n0 + 1.0) - b
-    weight = F.abs(F.log(a / a_not) - F.log(b / b_not)) - F.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not)
+    weight = F.abs(F.log(a / a_not) - F.log(b / b_not)) - ERRORS * F.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not)
     kept = each.select("term", weight.alias("weight")).filter("weight > 0")
     return kept.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("no"), "weight")
 
