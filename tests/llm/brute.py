@@ -95,3 +95,34 @@ def repeated(docs, size=50):
                 gone |= set(range(i, i + size))
         out[d] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
     return out
+
+
+def repeated_bytes(docs, size=50):
+    first = {}
+    raw = {d: (t or "").encode() for d, t in docs}
+    for d, b in raw.items():
+        for i in range(len(b) - size + 1):
+            first[b[i : i + size]] = min(first.get(b[i : i + size], d), d)
+    out = {}
+    for d, b in raw.items():
+        gone = set()
+        for i in range(len(b) - size + 1):
+            if first[b[i : i + size]] < d:
+                gone |= set(range(i, i + size))
+        out[d] = (len(b), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest())
+    return out
+
+
+def infill(doc, text):
+    """(n, form, prefix_chars, middle_chars, output)."""
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    digest = sha(f"1:{doc}")
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return len(units), "plain", None, None, text
+    if h[3] % 100 < 20:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"

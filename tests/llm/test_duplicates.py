@@ -94,7 +94,7 @@ def test_tiles_and_forests_match_all_pairs(spark, family, monkeypatch):
 def test_links_query_matches_sql(spark):
     c = duckdb.connect()
     c.register("documents", spark.read.parquet(f"{SF}/documents.parquet").toPandas())
-    want = {r[0]: r[1:] for r in c.execute(queries.oracle_sql()["op4_links"]).fetchall()}
+    want = {r[0]: r[1:] for r in c.execute(queries.oracle_sql()["op4_jaccard"]).fetchall()}
     got = queries.op4_jaccard(spark, SF)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want

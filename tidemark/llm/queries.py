@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, decontam, jaccard, langid, passages, pieces, pii, quality, toxicity
+from tidemark.llm import ann, chat, decontam, factors, infill, jaccard, langid, passages, pieces, pii, quality, toxicity
 from tidemark.llm.common import crc_fold, table
 
 
@@ -33,11 +33,6 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as `op4_jaccard`, which returns the links too."""
-    return op4_jaccard(spark, sf_dir)
-
-
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -75,7 +70,18 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("removed", "text_hash")
 
 
-_ALL = (op1_toxicity, op2_quality, op3_language, op4_jaccard, op4_links, op5_decontamination, op6_pii, op7_neighbours, op8_chat, op9_sentencepiece, op10_passages)
+def op12_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = factors.repeated_strings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents"))
+    restored = infill.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+_ALL = (op1_toxicity, op2_quality, op3_language, op4_jaccard, op5_decontamination, op6_pii, op7_neighbours, op8_chat, op9_sentencepiece, op10_passages, op12_factors, op13_infill)
 
 
 def queries() -> dict:
@@ -155,5 +161,31 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k
 """
 
 
+# hex digits of the bytes, two a byte
+OP12_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS o FROM q) WHERE o < doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS opens FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY 1, 2),
+k AS (SELECT r.doc_id, run, e, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY run), 0) + 1, 2 * (a - coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY run), 0))) AS before FROM r JOIN d USING (doc_id)),
+t AS (SELECT doc_id, string_agg(before, '' ORDER BY run) AS kept, max(e) AS last FROM k GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n FROM r GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+n AS (SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE x END) AS output_sha256, sha256(x) AS restored_sha256 FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard": OP4_SQL, "op4_links": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_neighbours": OP7_SQL, "op8_chat": OP8_SQL, "op10_passages": OP10_SQL}
+    return {"op4_jaccard": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_neighbours": OP7_SQL, "op8_chat": OP8_SQL, "op10_passages": OP10_SQL, "op12_factors": OP12_SQL, "op13_infill": OP13_SQL}
