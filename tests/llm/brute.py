@@ -1,7 +1,9 @@
 """Plain Python versions of the operators' contracts, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 
 
 def sha(text):
@@ -126,3 +128,31 @@ def infill(doc, text):
     if h[3] % 100 < 20:
         return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
     return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def trie(turns):
+    """Rows of the conversation trie from (conv_id, turn, role, text)."""
+    own = {}
+    for c, turn, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, x) for _, _, r, x in sorted(t)] for c, t in own.items()}
+    built = {}
+    for c, t in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = own.get(c - int(math.fmod(c, 100)), [])[:h] + t[h:]
+    members, ends = {}, {}
+    for c, t in built.items():
+        for d in range(len(t) + 1):
+            members.setdefault(tuple(t[:d]), []).append(c)
+        ends.setdefault(tuple(t), []).append(c)
+    children = {}
+    for k in members:
+        if k:
+            children[k[:-1]] = children.get(k[:-1], 0) + 1
+    leaves, saved = dict.fromkeys(members, 0), dict.fromkeys(members, 0)
+    for k, m in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += k not in children
+            saved[k[:d]] += (len(m) - 1) * len(k[-1][1]) if k else 0
+    return sorted((min(m), len(k), min(members[k[:-1]]) if k else -1, len(m), children.get(k, 0), leaves[k], saved[k], sha(",".join(map(str, sorted(ends.get(k, [])))))) for k, m in members.items())

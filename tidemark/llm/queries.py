@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, decontam, factors, infill, jaccard, langid, passages, pieces, pii, quality, toxicity
+from tidemark.llm import ann, chat, decontam, factors, infill, jaccard, langid, passages, pieces, pii, quality, toxicity, trie
 from tidemark.llm.common import crc_fold, table
 
 
@@ -70,6 +70,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("removed", "text_hash")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def op12_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = factors.repeated_strings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
@@ -81,7 +85,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
-_ALL = (op1_toxicity, op2_quality, op3_language, op4_jaccard, op5_decontamination, op6_pii, op7_neighbours, op8_chat, op9_sentencepiece, op10_passages, op12_factors, op13_infill)
+_ALL = (op1_toxicity, op2_quality, op3_language, op4_jaccard, op5_decontamination, op6_pii, op7_neighbours, op8_chat, op9_sentencepiece, op10_passages, op11_trie, op12_factors, op13_infill)
 
 
 def queries() -> dict:
@@ -161,6 +165,32 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k
 """
 
 
+def _crc32_sql(digits: str) -> str:
+    """crc32 of a text of ASCII characters as an expression, bit by bit."""
+    byte = "c"
+    for _ in range(8):
+        byte = f"list_transform([{byte}], lambda c: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)[1]"
+    codes = f"list_transform(string_split({digits}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda acc, ch: list_transform([xor(acc, ch)], lambda c: {byte})[1]), 4294967295::BIGINT)"
+
+
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT DISTINCT c, {_crc32_sql('c::VARCHAR')} % 6 AS h FROM t),
+u AS (SELECT v.c, 0 AS part, t.pos, r, x FROM v JOIN t ON t.c = v.c - v.c % 100 AND t.pos <= h UNION ALL SELECT v.c, 1, t.pos, r, x FROM v JOIN t ON t.c = v.c AND t.pos > h),
+b AS (SELECT c, row_number() OVER w AS d, r, x, string_agg(md5(r || chr(31) || x), '') OVER w AS k FROM u WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
+m AS (SELECT c, d, md5(k) AS k, x FROM b UNION ALL SELECT c, 0, '', '' FROM v),
+l AS (SELECT c, max(d) AS len FROM m GROUP BY 1),
+n AS (SELECT d, k, min(c) AS rep, count(*) AS n_convs, any_value(length(x)) AS size FROM m GROUP BY 1, 2),
+e AS (SELECT d, k, string_agg(m.c::VARCHAR, ',' ORDER BY m.c) AS ends FROM m JOIN l ON l.c = m.c AND l.len = m.d GROUP BY 1, 2),
+p AS (SELECT DISTINCT y.d, y.k, z.k AS up FROM m y JOIN m z ON z.c = y.c AND z.d = y.d - 1),
+ch AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM p GROUP BY 1, 2),
+below AS (SELECT DISTINCT y.d, y.k, z.d AS zd, z.k AS zk FROM m y JOIN m z ON z.c = y.c AND z.d >= y.d),
+s AS (SELECT below.d, below.k, sum((n_convs - 1) * size) AS saved, count(*) FILTER (ch.d IS NULL) AS leaves FROM below JOIN n ON n.d = zd AND n.k = zk LEFT JOIN ch ON ch.d = zd AND ch.k = zk GROUP BY 1, 2)
+SELECT n.rep AS conv_id, n.d::BIGINT AS depth, up.rep AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM n JOIN s USING (d, k) LEFT JOIN ch USING (d, k) LEFT JOIN e USING (d, k) LEFT JOIN p USING (d, k) LEFT JOIN n up ON up.d = n.d - 1 AND up.k = p.up
+"""
+
 # hex digits of the bytes, two a byte
 OP12_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -188,4 +218,4 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_neighbours": OP7_SQL, "op8_chat": OP8_SQL, "op10_passages": OP10_SQL, "op12_factors": OP12_SQL, "op13_infill": OP13_SQL}
+    return {"op4_jaccard": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_neighbours": OP7_SQL, "op8_chat": OP8_SQL, "op10_passages": OP10_SQL, "op11_trie": OP11_SQL, "op12_factors": OP12_SQL, "op13_infill": OP13_SQL}
