@@ -128,39 +128,6 @@ def source_audit(sources: DataFrame, required: DataFrame | None = None) -> DataF
     return required.join(out, "evidence_id", "left").select("evidence_id", zero("sources"), zero("valid"), zero("errors"), F.coalesce("status", none).alias("status"))
 
 
-def confirm(evidence: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Research, setup and plan gates of assessed evidence; errors are kept as an array, ready needs all to pass.
-
-    `evidence` has evidence_id, symbol, strategy, setup_type, hypothesis, trigger_rule, invalidation_rule,
-    valid_until, event_status, expectation, thesis, priced_in, entry, target, stop, holding, risk_limit,
-    screening_status, source_status, assessed_symbol."""
-    j = evidence.join(contracts, "strategy", "left")
-    text = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
-    setup = F.when(text("setup_type"), F.col("setup_type")).otherwise(F.col("default_setup"))
-    rr = F.try_divide(F.col("target") - F.col("entry"), F.col("entry") - F.col("stop"))
-    known = lambda c: F.when(text(c), "pass").otherwise("unknown")
-    research = F.array(
-        F.when(F.col("event_status") == "verified", "pass").when(~F.col("event_required"), "not_required").otherwise("unknown"),
-        F.col("source_status"),
-        F.when((F.col("expectation") == "positive") & text("thesis"), "pass").when(F.col("expectation") == "neutral", "review").when(F.col("expectation") == "negative", "fail").otherwise("unknown"),
-        F.when(F.col("priced_in") == "low", "pass").when(F.col("priced_in") == "medium", "review").when(F.col("priced_in") == "high", "fail").otherwise("unknown"),
-    )
-    technical = F.array(F.when(F.array_contains("setups", setup), "pass").otherwise("fail"), known("hypothesis"), known("trigger_rule"), known("invalidation_rule"), known("valid_until"))
-    plan = F.array(
-        F.when(rr >= F.col("min_reward_risk"), "pass").when(rr.isNull(), "unknown").otherwise("fail"),
-        F.when(F.col("holding") <= F.col("max_holding"), "pass").when(F.col("holding").isNull(), "unknown").otherwise("fail"),
-    )
-    controls = F.array(F.when(F.col("risk_limit") > 0, "pass").otherwise("unknown"))
-    errors = reasons(
-        (~F.coalesce(F.col("assessed_symbol") == F.col("symbol"), F.lit(False)), "symbol_mismatch"),
-        (F.col("default_setup").isNull(), "unknown_strategy"),
-        (F.col("stop") >= F.col("entry"), "stop_not_below_entry"),
-    )
-    out = j.select("evidence_id", "symbol", "strategy", "screening_status", aggregate(research).alias("research"), aggregate(technical).alias("technical"), aggregate(plan).alias("plan"), aggregate(controls).alias("controls"), rr.alias("reward_risk"), errors.alias("errors"))
-    parts = F.array("screening_status", "research", "technical", "plan", "controls")
-    return out.withColumn("decision_ready", (F.size("errors") == 0) & (aggregate(parts) == "pass"))
-
-
 def _given(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
 
@@ -277,7 +244,3 @@ def compact_decision(decided: DataFrame) -> DataFrame:
     """The index of recommendations: no assessment, evidence or gates; of cash only that it was chosen."""
     held = F.col("action") != "cash"
     return decided.filter(F.size("errors") == 0).select("evidence_id", "as_of", "strategy", "action", *[F.when(held, F.col(c)).alias(c) for c in ("symbol", "setup", "confidence", "reward_risk")], "screening_status", F.col("technical").alias("technical_pattern"), "research", "plan", "controls", "decision_ready")
-
-
-def compact(confirmed: DataFrame) -> DataFrame:
-    return confirmed.select("evidence_id", "symbol", "strategy", "decision_ready", F.array_join("errors", ",").alias("errors"))

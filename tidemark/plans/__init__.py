@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import functools
 
+from tidemark.sources.scratch import written
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+_SHARED: dict = {}
+
 
-_KEPT: list = []
+def shared(f):
+    """A function (spark, sf_dir) -> DataFrame whose frame is written once for the query that is being built; whatever
+    else the query builds on it reads the written rows. So plans do not nest, however many steps a query has."""
 
+    @functools.wraps(f)
+    def run(spark, sf_dir):
+        key = (f.__module__, f.__name__, sf_dir)
+        if key not in _SHARED:
+            _SHARED[key] = written(f(spark, sf_dir), f.__name__.strip("_"))
+        return _SHARED[key]
 
-def keep(df):
-    """`df` kept in memory while the query that is being built runs; the next query to be built lets it go."""
-    kept = df.persist()
-    _KEPT.append(kept)
-    return kept
+    return run
 
 
 def query(sql: str | None = None):
@@ -24,8 +32,7 @@ def query(sql: str | None = None):
     def add(f):
         @functools.wraps(f)
         def run(spark, sf_dir):
-            while _KEPT:
-                _KEPT.pop().unpersist()
+            _SHARED.clear()
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators, panel
-from tidemark.plans import keep, query
+from tidemark.plans import query, shared
 from tidemark.plans.base_sql import BARS, GRID, INDEX, LIMITS, META, VALUATION
 from tidemark.sources import adapters
 
 
+@shared
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars, for queries that need them in several places (grid, limits, valuation, index)."""
+    return adapters.bars(spark, sf_dir)
+
+
 def qfq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Restated bars. The bars are kept while a query runs: a plan that uses them in several places (grid, limits,
-    valuation, index) aggregates the line items once."""
-    keep(adapters.bars(spark, sf_dir))
+    """Restated bars."""
     return panel.restate_qfq(adapters.bars(spark, sf_dir))
 
 
@@ -24,7 +28,7 @@ def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
 
 
 def own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.own_rows(qfq(spark, sf_dir))
+    return indicators.own_rows(panel.restate_qfq(bars(spark, sf_dir)))
 
 
 OWN = BARS + ", own AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n FROM qfq)"
@@ -46,7 +50,7 @@ def panel_restate_qfq(spark, sf_dir):
 
 @query(f"WITH {GRID} SELECT symbol, trade_date, session_no, round(close_qfq, 6) AS close_qfq, volume FROM grid")
 def panel_session_grid(spark, sf_dir):
-    g = panel.session_grid(qfq(spark, sf_dir))
+    g = panel.session_grid(panel.restate_qfq(bars(spark, sf_dir)))
     return g.select("symbol", "trade_date", "session_no", F.round("close_qfq", 6).alias("close_qfq"), "volume")
 
 
@@ -58,9 +62,9 @@ SELECT q.symbol, q.trade_date, name, industry, list_date, list_status, round(cir
 FROM qfq q LEFT JOIN val USING (symbol, trade_date) LEFT JOIN meta USING (symbol) LEFT JOIN kinds USING (symbol, trade_date)"""
 )
 def panel_screening(spark, sf_dir):
-    q = qfq(spark, sf_dir)
+    q = panel.restate_qfq(bars(spark, sf_dir))
     limits = adapters.limit_events(panel.session_grid(q))
-    p = panel.amount_cny(panel.screening_panel(q, adapters.valuation(spark, sf_dir), adapters.metadata(spark, sf_dir), limits))
+    p = panel.amount_cny(panel.screening_panel(q, adapters.valuation(spark, sf_dir, bars(spark, sf_dir)), adapters.metadata(spark, sf_dir), limits))
     return p.select("symbol", "trade_date", "name", "industry", "list_date", "list_status", F.round("circ_mv", 4).alias("circ_mv"), F.round("turnover_rate", 6).alias("turnover_rate"), "limit_types", F.round("amount_cny", 2).alias("amount_cny"))
 
 
@@ -94,7 +98,7 @@ SELECT symbol, trade_date, round(s, 6) AS sma_short, round(l, 6) AS sma_long, ro
   round(back, 6) AS return_short, round(bb, 6) AS benchmark_return, round(back - bb, 6) AS relative_return, round(vol, 6) AS volatility FROM t"""
 )
 def ind_trend(spark, sf_dir):
-    t = indicators.trend(own(spark, sf_dir), adapters.index_daily(spark, sf_dir))
+    t = indicators.trend(own(spark, sf_dir), adapters.index_daily(spark, sf_dir, bars(spark, sf_dir)))
     return rounded(t.select("symbol", "trade_date", "sma_short", "sma_long", "price_vs_short", "price_vs_long", "return_short", "benchmark_return", "relative_return", "volatility"))
 
 
@@ -190,7 +194,7 @@ SELECT symbol, trade_date, CASE WHEN s > l THEN 'short_above_long' WHEN s <= l T
 )
 def ind_snapshot(spark, sf_dir):
     base = own(spark, sf_dir)
-    rows = indicators.participation(indicators.bands(indicators.trend(base, adapters.index_daily(spark, sf_dir))))
+    rows = indicators.participation(indicators.bands(indicators.trend(base, adapters.index_daily(spark, sf_dir, bars(spark, sf_dir)))))
     rows = rows.join(indicators.momentum(base), ["symbol", "trade_date"], "left")
     snap = indicators.snapshot(rows)
     return snap.select("symbol", "trade_date", "sma_alignment", "rsi_zone", "macd_position", "band_location", "volume_regime", F.size("available").alias("n_available"), F.array_join("missing", ",").alias("missing"))

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import gates, panel, replay
-from tidemark.plans import keep, query
+from tidemark.plans import query, shared
 from tidemark.plans.base_sql import BARS, INDEX
-from tidemark.plans.panel_queries import qfq, rounded
-from tidemark.plans.screen_queries import PICKED, PROFILE, bench, full_grid, picked
-from tidemark.operators import screen
+from tidemark.plans.panel_queries import bars, rounded
+from tidemark.plans.screen_queries import PICKED, full_grid, picked, quality
 from tidemark.sources import adapters, asof, store
 from tidemark.sources.adapters import table
 
 START, END, SPLIT, EVERY, CAP = "1998-06-01", "2001-06-30", "2000-06-01", 2, 20
 
 
+@shared
 def graded(spark, sf_dir):
     return gates.grades(gates.screening(picked(spark, sf_dir)))
 
@@ -54,58 +54,6 @@ def gate_readiness_counts(spark, sf_dir):
     return gates.readiness_counts(graded(spark, sf_dir)).select("trade_date", "n_pass", "n_review", "n_fail", "n_a", "n_b", "n_c", "screen_status")
 
 
-def evidence(spark, sf_dir):
-    """Assessed evidence derived from customers: every field takes all of its values."""
-    c = table(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
-    pick = lambda n, *vs: F.element_at(F.array(*[F.lit(v).cast("string") for v in vs]), (F.pmod(F.floor(k / n), F.lit(len(vs))) + 1).cast("int"))
-    return c.select(
-        k.alias("evidence_id"),
-        F.col("c_nationkey").alias("symbol"),
-        F.when(k % 50 == 7, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("assessed_symbol"),
-        pick(1, "momentum_trade", "event_trade", "catalyst_swing").alias("strategy"),
-        pick(3, "momentum_breakout", None, "trend_pullback", "event_continuation").alias("setup_type"),
-        F.when(k % 9 != 1, "flow").alias("hypothesis"),
-        F.lit("close above level").alias("trigger_rule"),
-        F.when(k % 13 != 2, "low broken").alias("invalidation_rule"),
-        F.lit("2026-08-01").alias("valid_until"),
-        pick(2, "verified", "unknown", "verified").alias("event_status"),
-        pick(5, "positive", "positive", "neutral", "negative").alias("expectation"),
-        F.when(k % 7 != 3, "thesis").alias("thesis"),
-        pick(4, "low", "medium", "low", "high").alias("priced_in"),
-        F.lit(10.0).alias("entry"),
-        (12 + k % 4).cast("double").alias("target"),
-        F.when(k % 29 == 4, 10.5).otherwise(9.0).alias("stop"),
-        (k % 25).cast("int").alias("holding"),
-        F.when(k % 5 != 0, 100.0).alias("risk_limit"),
-        pick(1, "pass", "pass", "review", "fail").alias("screening_status"),
-        pick(2, "pass", "not_required").alias("source_status"),
-    )
-
-
-_EVIDENCE = """
-ev AS (SELECT c_custkey AS evidence_id, c_custkey AS k, c_nationkey AS symbol, CASE WHEN c_custkey % 50 = 7 THEN c_nationkey + 1 ELSE c_nationkey END AS assessed,
-  ['momentum_trade', 'event_trade', 'catalyst_swing'][(c_custkey % 3 + 1)::INTEGER] AS strategy, ['momentum_breakout', NULL, 'trend_pullback', 'event_continuation'][((c_custkey // 3) % 4 + 1)::INTEGER] AS setup,
-  CASE WHEN c_custkey % 29 = 4 THEN 10.5 ELSE 9.0 END AS stop, (12 + c_custkey % 4) AS target, c_custkey % 25 AS holding FROM customer),
-ek AS (SELECT *, strategy <> 'momentum_trade' AS req, CASE strategy WHEN 'momentum_trade' THEN 'momentum_breakout' WHEN 'event_trade' THEN 'event_continuation' ELSE 'trend_pullback' END AS dflt,
-  CASE strategy WHEN 'momentum_trade' THEN ['momentum_breakout', 'trend_pullback'] WHEN 'event_trade' THEN ['event_continuation', 'momentum_breakout'] ELSE ['trend_pullback', 'event_continuation'] END AS setups, (target - 10.0)::DOUBLE / (10.0 - stop)::DOUBLE AS rr FROM ev),
-eg AS (SELECT *, [CASE WHEN (k // 2) % 3 <> 1 THEN 'pass' WHEN NOT req THEN 'not_required' ELSE 'unknown' END, ['pass', 'not_required'][((k // 2) % 2 + 1)::INTEGER],
-    CASE WHEN (k // 5) % 4 IN (0, 1) THEN CASE WHEN k % 7 <> 3 THEN 'pass' ELSE 'unknown' END WHEN (k // 5) % 4 = 2 THEN 'review' ELSE 'fail' END, ['pass', 'review', 'pass', 'fail'][((k // 4) % 4 + 1)::INTEGER]] AS a,
-  [CASE WHEN list_contains(setups, coalesce(setup, dflt)) THEN 'pass' ELSE 'fail' END, CASE WHEN k % 9 <> 1 THEN 'pass' ELSE 'unknown' END, CASE WHEN k % 13 <> 2 THEN 'pass' ELSE 'unknown' END] AS b,
-  [CASE WHEN rr >= 1.5 THEN 'pass' ELSE 'fail' END, CASE WHEN holding <= CASE strategy WHEN 'catalyst_swing' THEN 60 ELSE 20 END THEN 'pass' ELSE 'fail' END] AS c,
-  [CASE WHEN k % 5 <> 0 THEN 'pass' ELSE 'unknown' END] AS d, ['pass', 'pass', 'review', 'fail'][(k % 4 + 1)::INTEGER] AS screening_status FROM ek),
-worst AS (SELECT *, """ + ", ".join(f"CASE WHEN list_contains({x}, 'fail') THEN 'fail' WHEN list_contains({x}, 'unknown') THEN 'unknown' WHEN list_contains({x}, 'review') THEN 'review' WHEN len(list_filter({x}, lambda y: y <> 'not_required')) = 0 THEN 'not_required' ELSE 'pass' END AS w{x}" for x in "abcd") + """ FROM eg)"""
-
-
-@query(
-    f"""WITH {_EVIDENCE} SELECT evidence_id, strategy, wa AS research, wb AS technical, wc AS plan, wd AS controls, round(rr, 6) AS reward_risk, concat_ws(',', CASE WHEN assessed <> symbol THEN 'symbol_mismatch' END, CASE WHEN stop >= 10 THEN 'stop_not_below_entry' END) AS errors,
-  assessed = symbol AND stop < 10 AND screening_status = 'pass' AND wa = 'pass' AND wb = 'pass' AND wc = 'pass' AND wd = 'pass' AS decision_ready FROM worst"""
-)
-def gate_confirmation(spark, sf_dir):
-    c = gates.confirm(evidence(spark, sf_dir), gates.contract_table(spark))
-    return rounded(c.select("evidence_id", "strategy", "research", "technical", "plan", "controls", "reward_risk", F.array_join("errors", ",").alias("errors"), "decision_ready"))
-
-
 @query(
     """WITH s AS (SELECT o_custkey AS evidence_id, CASE WHEN o_orderkey % 11 <> 4 THEN 'paper' END AS source, CASE WHEN o_orderkey % 13 = 5 THEN NULL WHEN o_orderkey % 17 = 6 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS avail FROM orders),
 t AS (SELECT *, coalesce(try_cast(avail AS TIMESTAMP) < TIMESTAMP '2001-01-02', false) AS ok FROM s),
@@ -136,24 +84,28 @@ evi AS (SELECT rq.*, coalesce(g.screening_status, 'fail') AS screening_status, g
   FROM rq LEFT JOIN graded g ON g.symbol = rq.symbol AND g.trade_date = rq.trade_date LEFT JOIN kn ON kn.symbol = rq.symbol)"""
 
 
+def _events(spark, sf_dir):
+    return asof.known_events(adapters.corporate_events(spark, sf_dir), _AS_OF, "2023-01-01", "2025-01-01")
+
+
+@shared
 def _evidence(spark, sf_dir):
     known = graded(spark, sf_dir)
     k = F.col("symbol") * 1000 + F.col("session_no")
     name = F.element_at(F.array(*[F.lit(c) for c in gates.CONTRACTS]), (k % 3 + 1).cast("int"))
     requests = known.select(k.alias("evidence_id"), F.when(k % 53 == 9, F.col("symbol") + 100_000).otherwise(F.col("symbol")).alias("symbol"), "trade_date", F.lit(_AS_OF).cast("date").alias("as_of"), name.alias("strategy"))
-    events = asof.known_events(adapters.corporate_events(spark, sf_dir), _AS_OF, "2023-01-01", "2025-01-01")
-    return gates.evidence(requests, known, gates.contract_table(spark), events), events
+    return gates.evidence(requests, known, gates.contract_table(spark), _events(spark, sf_dir))
 
 
 @query(f"WITH {_REQ} SELECT evidence_id, symbol, trade_date, strategy, screening_status, hint AS setup_hint, name, round(analysis_price, 6) AS analysis_price, round(execution_price, 6) AS execution_price, execution_price_known, events, first_event, last_event, grade, chase_risk FROM evi")
 def gate_evidence(spark, sf_dir):
-    e = _evidence(spark, sf_dir)[0]
+    e = _evidence(spark, sf_dir)
     return rounded(e.select("evidence_id", "symbol", "trade_date", "strategy", "screening_status", "setup_hint", "name", "analysis_price", "execution_price", "execution_price_known", "events", "first_event", "last_event", "grade", "chase_risk"))
 
 
 @query(f"WITH {_REQ} SELECT evidence_id, event_id, ts::DATE + (event_id % 5)::INTEGER AS event_date FROM evi JOIN events ON user_id = evi.symbol WHERE event_type IN ('purchase', 'error') AND ts::DATE <= DATE '{_AS_OF}' AND ts::DATE + (event_id % 5)::INTEGER BETWEEN DATE '2023-01-01' AND DATE '2025-01-01'")
 def gate_event_leads(spark, sf_dir):
-    return gates.event_leads(*_evidence(spark, sf_dir)).select("evidence_id", "event_id", "event_date")
+    return gates.event_leads(_evidence(spark, sf_dir), _events(spark, sf_dir)).select("evidence_id", "event_id", "event_date")
 
 
 def _assessments(found):
@@ -232,7 +184,7 @@ decided AS (SELECT *, concat_ws(',', CASE WHEN a_symbol <> symbol THEN 'symbol_d
 
 
 def _decided(spark, sf_dir):
-    found = _evidence(spark, sf_dir)[0]
+    found = _evidence(spark, sf_dir)
     return gates.decide(found, _assessments(found))
 
 
@@ -257,23 +209,27 @@ def gate_compact(spark, sf_dir):
 # --- replay
 
 
+@shared
 def _signals(spark, sf_dir):
-    return replay.signal_days(panel.sessions(adapters.bars(spark, sf_dir)), START, END, EVERY, CAP, SPLIT)
+    return replay.signal_days(panel.sessions(bars(spark, sf_dir)), START, END, EVERY, CAP, SPLIT)
 
 
+@shared
 def _entered(spark, sf_dir):
     good = graded(spark, sf_dir).filter(F.col("grade").isin("A", "B"))
     chosen = good.join(_signals(spark, sf_dir).select("trade_date", "sample"), "trade_date")
     return replay.entries(chosen, full_grid(spark, sf_dir))
 
 
+@shared
 def _armed(spark, sf_dir):
     t = replay.triggers(_entered(spark, sf_dir))
-    return replay.with_invalidation(t, replay.own_lows(qfq(spark, sf_dir)))
+    return replay.with_invalidation(t, replay.own_lows(panel.restate_qfq(bars(spark, sf_dir))))
 
 
+@shared
 def _outcomes(spark, sf_dir):
-    return keep(replay.outcomes(keep(_armed(spark, sf_dir)), full_grid(spark, sf_dir), adapters.index_daily(spark, sf_dir)))
+    return replay.outcomes(_armed(spark, sf_dir), full_grid(spark, sf_dir), adapters.index_daily(spark, sf_dir, bars(spark, sf_dir)))
 
 
 SIGNALS = f"""
@@ -342,7 +298,7 @@ def rpl_accounting(spark, sf_dir):
 
 @query(f"WITH {OUTCOMES} SELECT grade, count(*) AS selected, count(skip) AS skipped, count(*) FILTER (t.status = 'triggered') AS triggered, count(*) FILTER (t.status <> 'triggered') AS not_triggered FROM ent LEFT JOIN (SELECT symbol, trade_date, status FROM trg) t USING (symbol, trade_date) GROUP BY 1")
 def rpl_accounting_by_grade(spark, sf_dir):
-    e = keep(_entered(spark, sf_dir))
+    e = _entered(spark, sf_dir)
     return replay.accounting_by_grade(e, replay.triggers(e))
 
 
@@ -352,8 +308,7 @@ o AS (SELECT sample, count(net_return) AS closed, avg((mae IS NOT NULL)::INTEGER
 SELECT sample, signal_dates, blocked_dates, coalesce(closed, 0) AS closed, round(a, 6) AS mae_coverage, round(b, 6) AS mfe_coverage FROM s LEFT JOIN o USING (sample)"""
 )
 def rpl_signal_coverage(spark, sf_dir):
-    q = screen.quality(full_grid(spark, sf_dir), bench(spark, sf_dir), PROFILE)
-    return rounded(replay.signal_coverage(_signals(spark, sf_dir), q, _outcomes(spark, sf_dir)))
+    return rounded(replay.signal_coverage(_signals(spark, sf_dir), quality(spark, sf_dir), _outcomes(spark, sf_dir)))
 
 
 @query(
@@ -402,8 +357,7 @@ SELECT sample, signal_baskets, blocked, unresolved, CASE WHEN signal_baskets = 0
   CASE WHEN blocked > 0 THEN 'blocked_by_data_quality' WHEN min(signal_baskets) OVER () = 0 THEN 'insufficient_sample' WHEN min(signal_baskets) OVER () < 20 OR unresolved > 0 THEN 'exploratory' ELSE 'reviewable_not_validated' END AS inference_status FROM nd, bl, un"""
 )
 def rpl_inference(spark, sf_dir):
-    q = screen.quality(full_grid(spark, sf_dir), bench(spark, sf_dir), PROFILE)
-    return replay.inference(_outcomes(spark, sf_dir), _signals(spark, sf_dir), q)
+    return replay.inference(_outcomes(spark, sf_dir), _signals(spark, sf_dir), quality(spark, sf_dir))
 
 
 @query(
@@ -417,4 +371,4 @@ def rpl_review(spark, sf_dir):
     k = F.col("c_custkey")
     a = F.date_add(F.lit("1996-01-01").cast("date"), (k % 900).cast("int"))
     rec = table(spark, sf_dir, "customer").select(k.alias("rec_id"), (k % 120 + 1).alias("symbol"), a.alias("recommended_on"), F.date_add(a, (40 + (k % 7) * 60).cast("int")).alias("review_as_of"))
-    return rounded(replay.review(rec, qfq(spark, sf_dir), adapters.index_daily(spark, sf_dir)))
+    return rounded(replay.review(rec, panel.restate_qfq(bars(spark, sf_dir)), adapters.index_daily(spark, sf_dir, bars(spark, sf_dir))))

@@ -6,44 +6,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import panel, screen
-from tidemark.plans import keep, query
+from tidemark.plans import query, shared
 from tidemark.plans.base_sql import GRID, INDEX, LIMITS, META, VALUATION
-from tidemark.plans.panel_queries import qfq, rounded
+from tidemark.plans.panel_queries import bars, rounded
 from tidemark.sources import adapters
 
 #: Thresholds at which every branch is taken on the benchmark tables.
 PROFILE = screen.Profile(min_list_days=700, min_amount=150_000_000.0, limit=5)
 
 
+@shared
 def full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session grid with valuation, metadata, limit types and the amount in currency."""
-    grid = panel.session_grid(qfq(spark, sf_dir))
+    grid = panel.session_grid(panel.restate_qfq(bars(spark, sf_dir)))
     limits = adapters.limit_events(grid)
-    return keep(panel.amount_cny(panel.screening_panel(grid, adapters.valuation(spark, sf_dir), adapters.metadata(spark, sf_dir), limits)))
+    return panel.amount_cny(panel.screening_panel(grid, adapters.valuation(spark, sf_dir, bars(spark, sf_dir)), adapters.metadata(spark, sf_dir), limits))
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.metrics(full_grid(spark, sf_dir), PROFILE)
 
 
+@shared
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.exclusions(measured(spark, sf_dir), PROFILE)
+
+
+@shared
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = panel.sessions(adapters.bars(spark, sf_dir))
-    return screen.benchmark_returns(days, adapters.index_daily(spark, sf_dir), PROFILE)
+    days = panel.sessions(bars(spark, sf_dir))
+    return screen.benchmark_returns(days, adapters.index_daily(spark, sf_dir, bars(spark, sf_dir)), PROFILE)
 
 
+@shared
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep(screen.scores(screen.exclusions(measured(spark, sf_dir), PROFILE), bench(spark, sf_dir), PROFILE))
+    return screen.scores(judged(spark, sf_dir), bench(spark, sf_dir), PROFILE)
+
+
+@shared
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.quality(full_grid(spark, sf_dir), bench(spark, sf_dir), PROFILE)
 
 
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     master, _, _, member = adapters.sectors(spark, sf_dir)
-    return member.select(F.col("con_code").alias("symbol"), "sector_code").distinct().join(F.broadcast(master.select("sector_code", "sector_type")), "sector_code")
+    return member.select(F.col("con_code").alias("symbol"), "sector_code").distinct().join(master.select("sector_code", "sector_type"), "sector_code")
 
 
+@shared
 def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    g = full_grid(spark, sf_dir)
-    return screen.states(screen.candidates(s, PROFILE), screen.quality(g, bench(spark, sf_dir), PROFILE), screen.regime(s))
+    return screen.states(screen.candidates(s, PROFILE), quality(spark, sf_dir), screen.regime(s))
 
 
 def _guard(f: str, x: str, n: int) -> str:
@@ -156,13 +169,12 @@ def scr_metrics_all_dates(spark, sf_dir):
 
 @query(f"WITH {EXCL} SELECT symbol, trade_date, len(reasons) = 0 AS eligible, array_to_string(reasons, ',') AS reasons FROM excl")
 def scr_exclusions(spark, sf_dir):
-    e = screen.exclusions(measured(spark, sf_dir), PROFILE)
-    return e.select("symbol", "trade_date", "eligible", F.array_join("exclusion_reasons", ",").alias("reasons"))
+    return judged(spark, sf_dir).select("symbol", "trade_date", "eligible", F.array_join("exclusion_reasons", ",").alias("reasons"))
 
 
 @query(f"WITH {EXCL} SELECT trade_date, reason, count(*) AS n FROM (SELECT trade_date, unnest(reasons) AS reason FROM excl) GROUP BY 1, 2")
 def scr_exclusion_counts(spark, sf_dir):
-    return screen.exclusion_counts(screen.exclusions(measured(spark, sf_dir), PROFILE))
+    return screen.exclusion_counts(judged(spark, sf_dir))
 
 
 @query(f"WITH {GRID}, {INDEX}, {BENCH} SELECT trade_date, aligned, round(b20, 6) AS bench_20 FROM bench")
@@ -249,7 +261,7 @@ def scr_driver(spark, sf_dir):
   array_to_string(blockers, ',') AS blockers, status FROM quality"""
 )
 def scr_quality(spark, sf_dir):
-    q = screen.quality(full_grid(spark, sf_dir), bench(spark, sf_dir), PROFILE)
+    q = quality(spark, sf_dir)
     return rounded(q.drop("high_low").withColumn("blockers", F.array_join("blockers", ",")))
 
 
@@ -271,11 +283,8 @@ SELECT requested_as_of, trade_date AS effective_trade_date, lag, CASE WHEN len(b
 )
 def scr_summary(spark, sf_dir):
     """The screen as asked for on every order day, within the sessions and long after them."""
-    s, g = scored(spark, sf_dir), full_grid(spark, sf_dir)
-    b = bench(spark, sf_dir)
-    q = screen.quality(g, b, PROFILE)
+    s, b, q = scored(spark, sf_dir), bench(spark, sf_dir), quality(spark, sf_dir)
     day = F.to_date("o_orderdate")
     asked = adapters.table(spark, sf_dir, "orders").select(F.explode(F.array(day, F.date_add(day, 2500))).alias("requested_as_of")).filter("requested_as_of is not null").distinct()
-    picks = screen.states(screen.candidates(s, PROFILE), q, screen.regime(s))
-    out = screen.summary(asked, q, screen.exclusions(measured(spark, sf_dir), PROFILE), picks, screen.industry(s, memberships(spark, sf_dir)), b)
+    out = screen.summary(asked, q, judged(spark, sf_dir), picked(spark, sf_dir), screen.industry(s, memberships(spark, sf_dir)), b)
     return out.withColumn("blockers", F.array_join("blockers", ",")).withColumn("data_gaps", F.array_join("data_gaps", ","))

@@ -26,11 +26,6 @@ mem AS (SELECT s_nationkey AS sector_code, s_suppkey AS con_code, d AS trade_dat
   WHERE NOT (year(d) = 2001 AND s_suppkey % 5 = 0) AND NOT (year(d) = 2000 AND s_nationkey % 7 = 0))"""
 
 
-@query(f"WITH {BARS} SELECT symbol, trade_date, round(close_qfq, 6) AS close_qfq, volume FROM qfq WHERE trade_date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' AND symbol IN (1, 2, 3, 5, 8)")
-def src_bars(spark, sf_dir):
-    return rounded(asof.read_range(qfq(spark, sf_dir), "1999-01-01", "1999-12-31", [1, 2, 3, 5, 8]).select("symbol", "trade_date", "close_qfq", "volume"))
-
-
 @query(f"WITH {BARS} SELECT symbol, trade_date, round(close_qfq, 6) AS close_qfq, volume FROM qfq")
 def src_bars_all(spark, sf_dir):
     return rounded(qfq(spark, sf_dir).select("symbol", "trade_date", "close_qfq", "volume"))
@@ -69,12 +64,6 @@ def asof_memberships(spark, sf_dir):
     return asof.memberships(member, master, "2001-06-30").select("sector_code", "con_code", "trade_date", "sector_name")
 
 
-@query(f"WITH {MEMBER}, k AS (SELECT * FROM mem WHERE trade_date <= DATE '2002-01-01' AND con_code IN (5, 7, 10, 15)), l AS (SELECT sector_code, max(trade_date) AS trade_date FROM k GROUP BY 1) SELECT sector_code, con_code, trade_date FROM k JOIN l USING (sector_code, trade_date)")
-def asof_memberships_of_stocks(spark, sf_dir):
-    master, _, _, member = adapters.sectors(spark, sf_dir)
-    return asof.memberships(member, master, "2002-01-01", stock=[5, 7, 10, 15]).select("sector_code", "con_code", "trade_date")
-
-
 @query(f"WITH {MEMBER}, l AS (SELECT sector_code, max(trade_date) AS trade_date FROM mem WHERE trade_date <= DATE '2002-01-01' GROUP BY 1) SELECT sector_code, con_code, trade_date FROM mem JOIN l USING (sector_code, trade_date)")
 def asof_memberships_of_all_stocks(spark, sf_dir):
     master, _, _, member = adapters.sectors(spark, sf_dir)
@@ -298,13 +287,6 @@ def ing_merge_upsert(spark, sf_dir):
     return rounded(ingest.merge_upsert(a, b, ["k"], overwrite=("balance",)), digits=2)
 
 
-@query("SELECT trade_date, symbol, close FROM (UNPIVOT (SELECT trade_date, max(p) FILTER (s = 1) AS s1, max(p) FILTER (s = 2) AS s2, max(p) FILTER (s = 3) AS s3 FROM (SELECT l_shipdate::DATE AS trade_date, l_suppkey AS s, l_extendedprice AS p FROM lineitem) GROUP BY 1) ON s1, s2, s3 INTO NAME symbol VALUE close)")
-def ing_melt(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    wide = li.groupBy(F.to_date("l_shipdate").alias("trade_date")).agg(*[F.max(F.when(F.col("l_suppkey") == k, F.col("l_extendedprice"))).alias(f"s{k}") for k in (1, 2, 3)])
-    return ingest.melt(wide.filter("trade_date is not null"), "trade_date", "close")
-
-
 #: Symbols of one row of a wide table.
 WIDE = 200
 
@@ -321,16 +303,6 @@ def ing_melt_all(spark, sf_dir):
     return long.select("key.trade_date", symbol.alias("symbol"), "close")
 
 
-@query(
-    """WITH c AS (SELECT d::DATE AS cal_date FROM range(DATE '1998-01-01', DATE '1999-01-01', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) NOT IN (0, 6)), h AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem WHERE l_suppkey % 5 = 1 UNION SELECT DISTINCT o_orderdate::DATE FROM orders WHERE o_orderkey % 9 = 2)
-SELECT CASE WHEN count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) = 0 THEN 'complete' ELSE 'incomplete' END AS status, count(*) AS expected, count(*) FILTER (cal_date IN (SELECT d FROM h)) AS stored, count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS missing, min(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS first_missing, max(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS last_missing FROM c"""
-)
-def ing_date_coverage(spark, sf_dir):
-    raw = table(spark, sf_dir, "lineitem").filter("l_suppkey % 5 = 1").select(F.to_date("l_shipdate").alias("trade_date"))
-    done = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 2").select(F.to_date("o_orderdate").alias("trade_date"))
-    return ingest.date_coverage(adapters.calendar(spark), raw, done, "1998-01-01", "1998-12-31")
-
-
 @query(
     """WITH c AS (SELECT d::DATE AS cal_date FROM range(DATE '1998-01-01', DATE '1999-01-01', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) NOT IN (0, 6)), h AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem UNION SELECT DISTINCT o_orderdate::DATE FROM orders)
 SELECT CASE WHEN count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) = 0 THEN 'complete' ELSE 'incomplete' END AS status, count(*) AS expected, count(*) FILTER (cal_date IN (SELECT d FROM h)) AS stored, count(*) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS missing, min(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS first_missing, max(cal_date) FILTER (cal_date NOT IN (SELECT d FROM h WHERE d IS NOT NULL)) AS last_missing FROM c"""

@@ -45,9 +45,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("symbol", "trade_date", "open_raw", "high_raw", "low_raw", close.alias("close_raw"), close.alias("close_qfq"), factor.alias("adj_factor"), "volume", "amount")
 
 
-def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def valuation(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    """Of every bar: symbol, trade_date, circ_mv, turnover_rate. `daily` are the bars, if they are at hand."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    day = bars(spark, sf_dir).select("symbol", "trade_date", "volume")
+    day = (bars(spark, sf_dir) if daily is None else daily).select("symbol", "trade_date", "volume")
     joined = day.join(supplier, day["symbol"] == supplier["s_suppkey"])
     return joined.select("symbol", "trade_date", (F.col("s_acctbal") + 1000 + F.dayofyear("trade_date")).alias("circ_mv"), (F.col("volume") / 1000).alias("turnover_rate"))
 
@@ -69,9 +70,10 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def index_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trade_date, open, close of the all-symbol index; every 29th session has no index row."""
-    day = bars(spark, sf_dir).groupBy("trade_date").agg(
+def index_daily(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    """trade_date, open, close of the all-symbol index; every 29th session has no index row. `daily` are the bars, if they
+    are at hand."""
+    day = (bars(spark, sf_dir) if daily is None else daily).groupBy("trade_date").agg(
         F.sum(F.col("amount").cast("decimal(20,2)")).cast("double").alias("a"),
         F.sum(F.col("volume").cast("decimal(20,2)")).cast("double").alias("v"),
         F.min("low_raw").alias("low"),
