@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT_SHARE, join_copies, materialize, text_slices, window_hashes
+from tidemark.llm.common import HOT_SHARE, discard, join_copies, materialize, text_slices, window_hashes
 from tidemark.llm.passages import sliding_min
 
 #: Bytes of a string, and of an anchor.
@@ -46,8 +46,8 @@ SORTED = 250_000
 STRETCH = 1 << 20
 #: Texts that one task remembers having fingerprinted.
 MEMORY = 200_000
-#: Log2 of the bits that say which anchors may be shared: 2 MB.
-FILTER_BITS = 24
+#: Log2 of the bits that say which anchors may be shared: 8 MB.
+FILTER_BITS = 26
 
 _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -116,7 +116,7 @@ def _fingerprints(texts: DataFrame, span: int, gram: int, filtered=None) -> Data
 
 
 def _bits(shared: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the low bits of every shared anchor; at most 512 rows reach the driver."""
+    """A bitmap of fixed size with the low bits of every shared anchor; at most 2,048 rows of 4 KB reach the driver."""
     place = F.col("anchor").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     rows = shared.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()
     out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
@@ -149,24 +149,45 @@ def _segments(suspects: DataFrame, span: int, gram: int) -> DataFrame:
 
 def suffix_order(buf: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes that start at `at`, in the order of their first `span` bytes, and the longest common prefix of each
-    with the one before it, up to `span`. Every suffix has `span` bytes."""
+    with the one before it, up to `span`. Every suffix has `span` bytes. They are sorted by eight bytes at a time, and
+    after the first eight only those that are still equal to others."""
     wide = buf.astype(np.uint64)
     for k in (1, 2, 4):
         wide = (wide[:-k] << np.uint64(8 * k)) | wide[k:]  # 2, 4, 8 bytes from each place, first byte highest
     offsets = [*range(0, span - 7, 8), *([span - 8] if span % 8 else [])]
-    keys = [wide[at + o] for o in offsets]
-    order = np.lexsort(keys[::-1])
+    key = wide[at]
+    order = np.argsort(key)
     lcp = np.full(len(at), span, dtype=np.int64)
-    for o, key in zip(offsets[::-1], keys[::-1], strict=True):
-        key = key[order]
-        differ = key[1:] ^ key[:-1]
-        here = np.flatnonzero(differ)
-        equal = sum((differ[here] < np.uint64(1 << (8 * k))).astype(np.int64) for k in range(1, 8))
-        lcp[here + 1] = o + equal
     lcp[:1] = 0
+    key = key[order]
+    differ = key[1:] ^ key[:-1]
+    new = np.flatnonzero(differ)
+    lcp[new + 1] = _equal_bytes(differ[new])
+    opens = np.append(True, differ != 0)  # where a group of equal suffixes begins
+    for o in offsets[1:]:
+        tied = np.flatnonzero(~opens | ~np.append(opens[1:], True))
+        if not len(tied):
+            break
+        group = np.cumsum(opens[tied]) - 1
+        key = wide[at[order[tied]] + o]
+        by_key = np.argsort(key)
+        place = np.empty(len(key), dtype=np.int64)
+        place[by_key] = np.arange(len(key))
+        to = np.argsort(group * len(key) + place)
+        order[tied] = order[tied][to]
+        key = key[to]
+        differ = np.append(np.uint64(0), key[1:] ^ key[:-1])
+        new = np.flatnonzero((differ != 0) & ~opens[tied])
+        lcp[tied[new]] = o + _equal_bytes(differ[new])
+        opens[tied[new]] = True
     return order, lcp
 
 
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many of the first bytes of eight are equal, from their exclusive or."""
+    return sum((differ < np.uint64(1 << (8 * k))).astype(np.int64) for k in range(1, 8))
+
+
 def previous_factor(lcp: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
     """For every entry of a suffix order its longest common prefix with the nearest earlier entry of a smaller document,
     where that reaches `span`, else 0. Pointers leap from entry to entry, all of them at once: what lies between an
@@ -289,11 +310,12 @@ def repeated_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd:
     # anchors of a thousandth of all rows: as many as a text has of them, and a thousand times that at most
     hot = np.array([r[0] for r in shared.filter(F.col("copies") >= least).orderBy(F.desc("copies")).limit(10_000).select("anchor").collect()], dtype=np.int64)
     filtered = docs.sparkSession.sparkContext.broadcast((_bits(shared), np.sort(hot)))
-    points = materialize(_fingerprints(long, span, gram, filtered), "points")
+    told = materialize(_fingerprints(long, span, gram, filtered), "points")
     filtered.unpersist()
-    points = points.filter("sure").unionByName(points.filter("not sure").join(shared.select("anchor").hint("merge"), "anchor", "left_semi"))
+    points = told.filter("sure").unionByName(told.filter("not sure").join(shared.select("anchor").hint("merge"), "anchor", "left_semi"))
     marks = points.groupBy("doc", "th").agg(F.collect_list("anchor").alias("marks")).join(tells, ["doc", "th"])
     suspects = materialize(long.join(marks.hint("merge"), ["doc", "th"]).dropDuplicates(["doc", "th"]), "suspects")
+    discard(told, shared)
 
     segs = materialize(_segments(suspects, span, gram).withColumn("sid", F.xxhash64("seg")), "segments")
     distinct = materialize(segs.groupBy("anchor", "sid", "seg").agg(F.min("doc").alias("owner"), F.count("*").alias("copies")), "distinct")
@@ -302,10 +324,12 @@ def repeated_strings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd:
     lost = materialize(_factored(few, span).unionByName(_crowded(distinct.join(crowds, "anchor"), span)), "factors")
     found = distinct.select("anchor", "sid", "owner", "copies").join(lost.hint("merge"), ["anchor", "sid"], "left").filter("copies > 1 or mask is not null")
     found = materialize(found, "found")
+    discard(distinct, crowds, lost)
     every = F.expr("shiftleft(1L, cast(n as int)) - 1")
     mine = F.when(F.col("doc") > F.col("owner"), every).otherwise(F.coalesce("mask", F.lit(0)))
     hits = join_copies(segs.drop("seg"), found, ["anchor", "sid"]).filter("owner is not null").select("doc", "th", "pos", mine.alias("mask")).filter("mask <> 0")
-    hits = hits.groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("lost"))
+    hits = materialize(hits.groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("lost")), "hits")
+    discard(segs, found)
     taken = _taken(suspects.drop("marks").join(hits.hint("merge"), ["doc", "th"]), span)
 
     goes = sets.join(taken.withColumnRenamed("doc", "rep"), ["rep", "th"], "left").filter("copies > 1 or n_removed is not null")
