@@ -76,26 +76,104 @@ def row_hash(fields: list[str]):
     return F.sha2(F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
 
 
-def ledger(observations: DataFrame, payload: list[str]) -> DataFrame:
-    """Revisions of each (dataset, business_key): one row per distinct payload in order of first arrival,
-    first and last seen, and whether it is the payload of the last arrival. A payload seen again becomes
-    current without a new revision."""
-    key = ["dataset", "business_key"]
-    order = F.struct("retrieved_at", "batch_row")
-    seen = observations.withColumn("row_hash", row_hash(payload)).withColumn("_at", order)
-    each = seen.groupBy(*key, "row_hash").agg(
+# Fields that say when a record became available, the first one filled deciding, and flags of a revision.
+AVAILABLE = ("f_ann_date", "ann_date", "report_date", "surv_date", "float_date", "trade_date", "cal_date")
+REVISED = ("1", "true", "yes", "updated", "revised")
+KEY = ("dataset", "business_key")
+
+
+def availability(payload: list[str], retrieved_at: Column) -> Column:
+    """When a record became available: the first dated field that is filled, else its retrieval. A field that is filled
+    with something that is no day leaves it unknown (null), so that no cutoff ever admits the record."""
+    text = lambda f: F.trim(F.col(f).cast("string"))
+    out = retrieved_at
+    for f in reversed([f for f in AVAILABLE if f in payload]):
+        out = F.when(F.coalesce(text(f), F.lit("")) != "", parsed_date(text(f)).cast("timestamp")).otherwise(out)
+    return out
+
+
+def looks_revised(payload: list[str]) -> Column:
+    flag = F.lower(F.trim(F.col("update_flag").cast("string"))) if "update_flag" in payload else F.lit("")
+    return F.coalesce(flag, F.lit("")).isin(*REVISED)
+
+
+def _arrivals(observations: DataFrame, payload: list[str]) -> DataFrame:
+    """Distinct payloads of each key with their first and last arrival (`_first`, `_last`)."""
+    seen = observations.withColumn("row_hash", row_hash(payload)).withColumn("_at", F.struct("retrieved_at", "batch_row"))
+    return seen.groupBy(*KEY, "row_hash").agg(
         F.min("_at").alias("_first"),
         F.max("_at").alias("_last"),
-        F.min("retrieved_at").alias("first_seen_at"),
-        F.max("retrieved_at").alias("last_seen_at"),
         F.min_by("symbol", "_at").alias("symbol"),
         F.min_by("event_date", "_at").alias("event_date"),
         *[F.min_by(p, "_at").alias(p) for p in payload],
     )
-    w = Window.partitionBy(*key)
-    out = each.withColumn("revision", F.row_number().over(w.orderBy("_first"))).withColumn("is_current", F.col("_last") == F.max("_last").over(w))
-    available = F.when(F.col("revision") > 1, F.col("first_seen_at")).otherwise(F.least("first_seen_at", F.col("event_date").cast("timestamp")))
-    return out.withColumn("available_at", available).drop("_first", "_last")
+
+
+def _in_order(each: DataFrame) -> DataFrame:
+    """`_place`, from 1, of each payload by first arrival within its key, and `_latest`, the key's last arrival. Places are
+    counted within days and added up over them, so a key with very many payloads is spread over tasks."""
+    each = each.withColumn("_day", F.to_date("_first.retrieved_at"))
+    inside = Window.partitionBy(*KEY, "_day").orderBy("_first")
+    days = each.groupBy(*KEY, "_day").agg(F.count("*").alias("_n"), F.max("_last").alias("_end"))
+    whole = Window.partitionBy(*KEY)
+    before = F.sum("_n").over(whole.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(*KEY, "_day", F.coalesce(before, F.lit(0)).alias("_before"), F.max("_end").over(whole).alias("_latest"))
+    placed = each.withColumn("_within", F.row_number().over(inside)).join(days, [*KEY, "_day"])
+    return placed.withColumn("_place", (F.col("_within") + F.col("_before")).cast("int")).drop("_day", "_within", "_before")
+
+
+def _available_at(payload: list[str]) -> Column:
+    return F.when((F.col("revision") > 1) | looks_revised(payload), F.col("first_seen_at")).otherwise(availability(payload, F.col("first_seen_at")))
+
+
+def ledger(observations: DataFrame, payload: list[str]) -> DataFrame:
+    """Revisions of each (dataset, business_key): one row per distinct payload in order of first arrival, first and last
+    seen, and whether it is the payload of the last arrival. A payload seen again becomes current without a new revision.
+    A first revision is available from the day its fields say (`availability`), later ones and those flagged as revised
+    from when they were first seen."""
+    each = _in_order(_arrivals(observations, payload))
+    out = each.select(
+        *KEY,
+        "row_hash",
+        F.col("_first.retrieved_at").alias("first_seen_at"),
+        F.col("_last.retrieved_at").alias("last_seen_at"),
+        "symbol",
+        "event_date",
+        *payload,
+        F.col("_place").alias("revision"),
+        (F.col("_last") == F.col("_latest")).alias("is_current"),
+    )
+    return out.withColumn("available_at", _available_at(payload))
+
+
+def ledger_append(existing: DataFrame, batch: DataFrame, payload: list[str]) -> DataFrame:
+    """The ledger rows of the keys that a batch of observations names, after the batch; rows of other keys are neither read
+    nor returned. New payloads get the revisions after the highest of their key, known ones are seen again, and the batch's
+    last arrival of a key is its current row. Batches count in the order they are appended, whatever their retrieval
+    times; appending one again changes nothing."""
+    new = _in_order(_arrivals(batch, payload)).withColumn("_now", F.col("_last") == F.col("_latest"))
+    keys = new.select(*KEY).distinct()
+    old = existing.join(keys, [*KEY], "left_semi")
+    top = old.groupBy(*KEY).agg(F.max("revision").alias("_top"))
+    known = old.select(*KEY, "row_hash", F.lit(True).alias("_known"))
+    marked = new.join(known, [*KEY, "row_hash"], "left")
+    # places of the new payloads only
+    fresh = _in_order(marked.filter("_known is null").drop("_known", "_place", "_latest", "_now"))
+    fresh = fresh.drop("_latest").join(marked.select(*KEY, "row_hash", "_now"), [*KEY, "row_hash"]).join(top, [*KEY], "left")
+    inserted = fresh.select(
+        *KEY,
+        "row_hash",
+        F.col("_first.retrieved_at").alias("first_seen_at"),
+        F.col("_last.retrieved_at").alias("last_seen_at"),
+        "symbol",
+        "event_date",
+        *payload,
+        (F.col("_place") + F.coalesce("_top", F.lit(0))).cast("int").alias("revision"),
+        F.col("_now").alias("is_current"),
+    ).withColumn("available_at", _available_at(payload))
+    again = marked.filter("_known").select(*KEY, "row_hash", F.col("_last.retrieved_at").alias("_seen"), "_now")
+    kept = old.join(again, [*KEY, "row_hash"], "left").withColumn("last_seen_at", F.coalesce("_seen", "last_seen_at")).withColumn("is_current", F.coalesce("_now", F.lit(False)))
+    return kept.select(inserted.columns).unionByName(inserted)
 
 
 def ledger_backfill(legacy: DataFrame, payload: list[str]) -> DataFrame:

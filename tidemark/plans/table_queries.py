@@ -10,6 +10,7 @@ from tidemark.plans.base_sql import BARS, META, VALUATION
 from tidemark.plans.panel_queries import qfq, rounded
 from tidemark.sources import adapters, asof, store
 from tidemark.sources.adapters import table
+from tidemark.sources.scratch import written
 
 FIN = """
 fin AS (SELECT c_nationkey AS symbol, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH)::DATE - 1 AS end_date, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS revenue, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -150,20 +151,40 @@ def src_expand_payload(spark, sf_dir):
 # --- ledger and merging
 
 LEDGER = """
-ob AS (SELECT user_id::VARCHAR || '|' || event_type || '|' || strftime(ts, '%Y-%m-%d') AS business_key, user_id AS symbol, ts::DATE AS event_date, event_id % 3 AS state, ts AS at_, event_id AS row_ FROM events),
-gr AS (SELECT business_key, state, any_value(symbol) AS symbol, any_value(event_date) AS event_date, min(at_) AS first_seen, max(at_) AS last_seen, arg_min(row_, at_) AS fr, arg_max(row_, at_) AS lr FROM ob GROUP BY 1, 2),
+ob AS (SELECT user_id::VARCHAR || '|' || event_type || '|' || strftime(ts, '%Y-%m-%d') AS business_key, user_id AS symbol, ts::DATE AS event_date, event_id % 3 AS state, ts AS at_, event_id AS row_, event_id % 11 = 3 AS flagged,
+  concat_ws(',', event_id % 3, CASE event_id % 5 WHEN 1 THEN 'f' WHEN 2 THEN 'blank' ELSE '' END, CASE WHEN event_id % 7 < 4 THEN 'a' WHEN event_id % 7 = 4 THEN 'soon' ELSE '' END, CASE event_id % 11 WHEN 3 THEN 'yes' WHEN 4 THEN 'no' ELSE '' END) AS body,
+  CASE WHEN event_id % 5 = 1 THEN ts::DATE + 3 WHEN event_id % 7 < 4 THEN ts::DATE + 2 WHEN event_id % 7 = 4 THEN NULL WHEN event_id % 3 = 0 THEN ts::DATE END AS says, event_id % 5 <> 1 AND event_id % 7 = 4 AS never FROM events),
+gr AS (SELECT business_key, body, any_value(state) AS state, any_value(symbol) AS symbol, any_value(event_date) AS event_date, any_value(flagged) AS flagged, any_value(says) AS says, any_value(never) AS never, min(at_) AS first_seen, max(at_) AS last_seen, arg_min(row_, at_) AS fr, arg_max(row_, at_) AS lr FROM ob GROUP BY 1, 2),
 led AS (SELECT *, row_number() OVER (PARTITION BY business_key ORDER BY first_seen, fr)::INTEGER AS revision, row_number() OVER (PARTITION BY business_key ORDER BY last_seen DESC, lr DESC) = 1 AS is_current FROM gr),
-leda AS (SELECT *, CASE WHEN revision > 1 THEN first_seen ELSE least(first_seen, event_date::TIMESTAMP) END AS available_at FROM led)"""
+leda AS (SELECT *, CASE WHEN revision > 1 OR flagged THEN first_seen WHEN never THEN NULL ELSE coalesce(says::TIMESTAMP, first_seen) END AS available_at FROM led)"""
+
+_STAMPS = ("first_seen", "last_seen", "available")
+_LEDGER_ROWS = "SELECT business_key, state, revision, is_current, " + ", ".join(f"strftime({c if c != 'available' else 'available_at'}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in _STAMPS) + " FROM leda"
 
 
 def _ledger(spark, sf_dir):
-    return ingest.ledger(adapters.observations(spark, sf_dir), ["state"])
+    return ingest.ledger(adapters.observations(spark, sf_dir), adapters.OBSERVED)
+
+
+def _ledger_rows(r):
+    return r.select("business_key", F.col("state").cast("bigint").alias("state"), "revision", "is_current", *[F.date_format(f"{c}_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in _STAMPS])
 
 
-@query(f"WITH {LEDGER} SELECT business_key, state, revision, is_current, strftime(first_seen, '%Y-%m-%d %H:%M:%S.%f') AS first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM leda")
+@query(f"WITH {LEDGER} {_LEDGER_ROWS}")
 def ledger_build(spark, sf_dir):
-    r = _ledger(spark, sf_dir)
-    return r.select("business_key", F.col("state").cast("bigint").alias("state"), "revision", "is_current", *[F.date_format(f"{c}_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("first_seen", "last_seen")])
+    return _ledger_rows(_ledger(spark, sf_dir))
+
+
+@query(f"WITH {LEDGER} {_LEDGER_ROWS}")
+def ledger_append(spark, sf_dir):
+    """The ledger of all days but the last ones, then those as a batch: only their keys are merged."""
+    seen = adapters.observations(spark, sf_dir)
+    cut = F.lit("2024-01-20").cast("timestamp")
+    before = written(ingest.ledger(seen.filter(F.col("retrieved_at") < cut), adapters.OBSERVED), "ledger")
+    batch = seen.filter(F.col("retrieved_at") >= cut)
+    merged = ingest.ledger_append(before, batch, adapters.OBSERVED)
+    rest = before.join(batch.select(*ingest.KEY).distinct(), [*ingest.KEY], "left_anti")
+    return _ledger_rows(rest.unionByName(merged))
 
 
 @query(f"WITH {LEDGER} SELECT business_key, state, revision FROM leda WHERE is_current")
@@ -210,13 +231,13 @@ def ing_business_keys(spark, sf_dir):
 @query(
     """WITH e AS (SELECT user_id, ts, event_id, event_id % 3 AS state, strftime(ts, '%Y-%m-%d') AS day FROM events), g AS (SELECT user_id, day, state, min(ts) AS f, max(ts) AS l, arg_min(event_id, ts) AS fr, arg_max(event_id, ts) AS lr FROM e GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day, state ORDER BY f, fr)::INTEGER AS revision FROM g)
-SELECT 'ts' || user_id AS ts_code, day AS trade_date, state::INTEGER AS state, revision FROM r"""
+SELECT 'ts' || user_id AS ts_code, day AS trade_date, state::INTEGER AS state, revision, strftime(CASE WHEN revision > 1 THEN f ELSE day::TIMESTAMP END, '%Y-%m-%d %H:%M:%S.%f') AS available FROM r"""
 )
 def ing_ledger_backfill(spark, sf_dir):
-    """Stored events get their keys and revisions anew."""
+    """Stored events get their keys, revisions and availability anew."""
     e = table(spark, sf_dir, "events")
     rows = e.select(F.lit("events").alias("dataset"), F.concat(F.lit("ts"), F.col("user_id").cast("string")).alias("ts_code"), F.date_format("ts", "yyyy-MM-dd").alias("trade_date"), F.pmod("event_id", F.lit(3)).cast("string").alias("report_type"), F.col("user_id").alias("symbol"), F.to_date("ts").alias("event_date"), F.col("ts").alias("retrieved_at"), F.col("event_id").alias("batch_row"))
-    return ingest.ledger_backfill(rows, ["ts_code", "trade_date", "report_type"]).select("ts_code", "trade_date", F.col("report_type").cast("int").alias("state"), "revision")
+    return ingest.ledger_backfill(rows, ["ts_code", "trade_date", "report_type"]).select("ts_code", "trade_date", F.col("report_type").cast("int").alias("state"), "revision", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("available"))
 
 
 @query(

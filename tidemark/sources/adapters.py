@@ -119,17 +119,27 @@ def corporate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("symbol"), F.date_add(day, (F.col("event_id") % 5).cast("int")).alias("event_date"), F.col("ts").alias("retrieved_at"), "event_type", "event_id")
 
 
+#: Payload fields of `observations`.
+OBSERVED = ["state", "f_ann_date", "ann_date", "trade_date", "update_flag"]
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger input: dataset, business key columns, payload, retrieved_at, batch row."""
-    e = table(spark, sf_dir, "events")
+    """Ledger input: dataset, business key columns, payload (days in several forms, blank or unusable for some), retrieved_at,
+    batch row."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    day = lambda n, form: F.date_format(F.date_add(F.to_date("ts"), n), form)
     return e.select(
         F.lit("events").alias("dataset"),
         F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("business_key"),
         F.col("user_id").alias("symbol"),
         F.to_date("ts").alias("event_date"),
-        F.round(F.col("value") * 0 + F.pmod(F.col("event_id"), F.lit(3)), 0).cast("int").alias("state"),
+        F.pmod(k, F.lit(3)).cast("int").alias("state"),
+        F.when(k % 5 == 1, day(3, "yyyyMMdd")).when(k % 5 == 2, " ").alias("f_ann_date"),
+        F.when(k % 7 < 4, day(2, "yyyy-MM-dd")).when(k % 7 == 4, "soon").alias("ann_date"),
+        F.when(k % 3 == 0, day(0, "yyyy/MM/dd")).alias("trade_date"),
+        F.when(k % 11 == 3, " Yes").when(k % 11 == 4, "0").alias("update_flag"),
         F.col("ts").alias("retrieved_at"),
-        F.col("event_id").alias("batch_row"),
+        k.alias("batch_row"),
     )
 
 
