@@ -5,10 +5,13 @@ All signal dates run in one plan. Path questions are equi-joins on the symbol wi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import change, ratio
+from tidemark.functions.selection import longest_streak, quantiles
 from tidemark.operators.gates import CONTRACTS
 from tidemark.operators.screen import has_limit
 
@@ -110,7 +113,7 @@ def outcomes(armed: DataFrame, grid: DataFrame, index: DataFrame, horizons: tupl
     return done.unionByName(late, allowMissingColumns=True)
 
 
-def _distribution(x: Column, streak: Column) -> list[Column]:
+def _distribution(x: Column) -> list[Column]:
     win, loss = F.when(x > 0, x), F.when(x < 0, x)
     aw, al = F.avg(win), F.avg(loss)
     gp, gl = F.coalesce(F.sum(win), F.lit(0.0)), F.abs(F.coalesce(F.sum(loss), F.lit(0.0)))
@@ -120,23 +123,20 @@ def _distribution(x: Column, streak: Column) -> list[Column]:
         al.alias("average_loss"),
         ratio(aw, F.abs(al)).alias("payoff_ratio"),
         F.when(gl > 0, gp / gl).alias("profit_factor"),
-        F.percentile(x, F.lit(0.05)).alias("p05"),
-        F.percentile(x, F.lit(0.95)).alias("p95"),
-        F.coalesce(F.max(streak), F.lit(0)).alias("max_loss_streak"),
         F.when(F.count(x) > 1, F.avg(x) - half).alias("ci_low"),
         F.when(F.count(x) > 1, F.avg(x) + half).alias("ci_high"),
     ]
 
 
 def summarize(rows: DataFrame, by: list[str], x: str = "net_return", order: tuple[str, ...] = ("trade_date", "place", "horizon")) -> DataFrame:
-    """Mean, median, hit rate, worst and distribution of closed outcomes per group; loss streaks follow `order`."""
-    closed = rows.filter(F.col(x).isNotNull())
-    w = Window.partitionBy(*by).orderBy(*order)
-    runs = closed.withColumn("_loss", F.when(F.col(x) < 0, 1).otherwise(0)).withColumn("_run", F.sum(1 - F.col("_loss")).over(w))
-    run = Window.partitionBy(*by, "_run")
-    runs = runs.withColumn("_streak", F.sum("_loss").over(run))
+    """Mean, median, hit rate, worst and distribution of closed outcomes per group; loss streaks follow `order`. Rows should
+    be a written table: they are read several times. However few the groups are, none meets in one task."""
     v = F.col(x)
-    return runs.groupBy(*by).agg(F.count("*").alias("observations"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.avg(F.when(v > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.avg("excess_return").alias("mean_excess"), F.min(v).alias("worst"), *_distribution(v, F.col("_streak")))
+    closed = rows.filter(v.isNotNull())
+    sums = closed.groupBy(*by).agg(F.count("*").alias("observations"), F.avg(v).alias("mean"), F.avg(F.when(v > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.avg("excess_return").alias("mean_excess"), F.min(v).alias("worst"), *_distribution(v))
+    spread = quantiles(closed, by, x, {"median": 0.5, "p05": 0.05, "p95": 0.95})
+    streaks = longest_streak(closed, by, v < 0, list(order), order[0], "max_loss_streak")
+    return sums.join(spread, by).join(streaks, by)
 
 
 def baskets(rows: DataFrame) -> DataFrame:
@@ -183,11 +183,31 @@ def inference(results: DataFrame, signals: DataFrame, qualities: DataFrame) -> D
     return j.select("sample", "signal_baskets", "blocked", "unresolved", warning.alias("warning"), status.alias("inference_status"))
 
 
+#: Days of a block of bars whose first, last, lowest and highest are kept; a review reads blocks where it spans them whole.
+BLOCK_DAYS = 32
+
+
+def _summed(b: DataFrame, *keys: str) -> DataFrame:
+    return b.groupBy(*keys).agg(F.min_by("f", "f.d").alias("f"), F.max_by("l", "l.d").alias("l"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def review(recommendations: DataFrame, bars: DataFrame, index: DataFrame) -> DataFrame:
-    """Path of each recommendation (rec_id, symbol, recommended_on, review_as_of): returns, excess, MAE, MFE."""
-    b = bars.select(F.col("symbol").alias("s"), F.col("trade_date").alias("d"), "close_qfq", "high_qfq", "low_qfq")
-    inside = (F.col("symbol") == F.col("s")) & F.col("d").between(F.col("recommended_on"), F.col("review_as_of"))
-    path = recommendations.join(b, inside).groupBy("rec_id").agg(F.min_by("close_qfq", "d").alias("first"), F.max_by("close_qfq", "d").alias("final"), F.min("low_qfq").alias("low"), F.max("high_qfq").alias("high"))
+    """Path of each recommendation (rec_id, symbol, recommended_on, review_as_of): returns, excess, MAE, MFE.
+
+    A long review does not read its symbol's every bar. Bars are summed up in blocks of `BLOCK_DAYS` days, and those in
+    super-blocks of as many blocks. A review is split into the whole super-blocks, whole blocks and single days that it
+    spans, some 130 pieces at most besides its super-blocks, and each piece is an equi-join on symbol and place."""
+    day = F.datediff("trade_date", F.lit("1970-01-01"))
+    at = lambda c: F.struct(F.col("trade_date").alias("d"), F.col(c).alias("x"))
+    single = bars.select("symbol", day.alias("place"), at("close_qfq").alias("f"), at("close_qfq").alias("l"), F.col("low_qfq").alias("low"), F.col("high_qfq").alias("high"))
+    levels = [_summed(single, "symbol", "place")]
+    for _ in range(2):
+        levels.append(_summed(levels[-1].withColumn("place", F.floor(F.col("place") / BLOCK_DAYS)), "symbol", "place"))
+    sums = reduce(DataFrame.unionByName, [t.withColumn("level", F.lit(k)).withColumn("place", F.col("place").cast("bigint")) for k, t in enumerate(levels)])
+    number = lambda c: F.datediff(c, F.lit("1970-01-01")).cast("bigint")
+    spans = recommendations.filter("recommended_on <= review_as_of").select("rec_id", "symbol", number("recommended_on").alias("a"), (number("review_as_of") + 1).alias("b"))
+    pieces = spans.select("rec_id", "symbol", F.explode(_pieces(F.col("a"), F.col("b"))).alias("p")).select("rec_id", "symbol", "p.level", "p.place")
+    path = _summed(pieces.join(sums, ["symbol", "level", "place"]), "rec_id").select("rec_id", F.col("f.x").alias("first"), F.col("l.x").alias("final"), "low", "high")
     # for every calendar day the next and the last index row; then two equi-joins
     span = recommendations.agg(F.min("recommended_on").alias("a"), F.max("review_as_of").alias("b"))
     days = span.filter("a <= b").select(F.explode(F.sequence("a", "b")).alias("d")).join(index.select(F.col("trade_date").alias("d"), F.struct(F.col("trade_date").alias("on"), "close").alias("i")), "d", "left")
@@ -198,3 +218,18 @@ def review(recommendations: DataFrame, bars: DataFrame, index: DataFrame) -> Dat
     j = recommendations.join(path, "rec_id", "left").join(market, "rec_id", "left")
     fwd, bench = change(F.col("final"), F.col("first")), change(F.col("b_out"), F.col("b_in"))
     return j.select("rec_id", "symbol", fwd.alias("forward_return"), bench.alias("benchmark_return"), (fwd - bench).alias("excess_return"), change(F.col("low"), F.col("first")).alias("mae"), change(F.col("high"), F.col("first")).alias("mfe"), F.when(fwd.isNotNull(), "completed").otherwise("insufficient_evidence").alias("review_status"))
+
+
+def _pieces(a: Column, b: Column) -> Column:
+    """Array of (level, place): days, blocks and super-blocks that make up the days from a to before b."""
+    none = F.array().cast("array<struct<level:int,place:bigint>>")
+    list_ = lambda lo, hi, level: F.when(lo < hi, F.transform(F.sequence(lo, hi - 1), lambda p: F.struct(F.lit(level).alias("level"), p.alias("place")))).otherwise(none)
+    up = lambda c, n: F.ceil(c / n)
+    down = lambda c, n: F.floor(c / n)
+    n = BLOCK_DAYS
+    # whole blocks from la to before lb, whole super-blocks of those from sa to before sb
+    la, lb = up(a, n), down(b, n)
+    sa, sb = up(la, n), down(lb, n)
+    days = F.when(la < lb, F.concat(list_(a, la * n, 0), list_(lb * n, b, 0))).otherwise(list_(a, b, 0))
+    blocks = F.when(la < lb, F.when(sa < sb, F.concat(list_(la, sa * n, 1), list_(sb * n, lb, 1), list_(sa, sb, 2))).otherwise(list_(la, lb, 1))).otherwise(none)
+    return F.concat(days, blocks)
