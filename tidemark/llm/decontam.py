@@ -1,39 +1,39 @@
 """Benchmark decontamination over suffix arrays of the training text.
 
-Each task cuts its documents into shards of a few MB. The words of a shard that may open a match (a bitmap and
-a sorted table of window hashes tell) make its suffix array: their positions in the order of the `window`
-words that follow. Every test suffix that the shard may hold is looked up there by binary search, and the
-range it delimits holds all its locations. The longest verbatim match of a document with any one item is found by binary
-search over its length.
-
-The test suffixes travel to the tasks as sorted numeric arrays, in blocks of about `block_words` words (some
-50 bytes a word in every worker), one pass over the documents for each block; a shard's work grows with its own
-words and matches, and with the number of blocks. Items longer than `SEGMENT` words are split into segments
-that overlap by a window less one word, so every window is whole in one of them. Passes
-are joined by id and text, so the number of blocks never changes a result.
+Each task cuts its documents into shards of a few MB and sorts all suffixes of a shard's words, document by document,
+into a suffix array: by as many words as fit one number, then by doubling among those still equal. Every test suffix
+is looked up by binary search: a range of the array shares the first words with it, the longest common prefix of the
+range's ends says how many words all of it shares, and the search goes on at the word after them. A suffix whose
+first `window` words occur ends in the range of all their locations; there the longest common prefix of each location
+and the test suffix is the length of the verbatim match. Nothing but the array tells where a test suffix occurs.
+
+Test items travel to the tasks as numeric arrays in blocks of about `block_words` words (some 50 bytes a word in every
+worker), one pass over the documents for each block; an item travels whole. A pass is written and its block
+released before the next is sent. Passes are joined by id and text, so the number of blocks never changes a result.
 
 Words are runs of letters a-z, digits and non-ASCII characters after A-Z is lowered. A null or empty text
 has no words: such a document is clean and such an item has no window. An item shorter than the window
 is one window of its whole length. Repeated items with one id count once each different text, under the one id;
 items whose id is null are ignored. Each row of documents is judged by its own text, whatever its id: null and
-repeated ids are nothing special. Other columns, whatever their names, are ignored. Words and windows are compared as
-64-bit hashes, and windows that agree once more word by word.
+repeated ids are nothing special. Other columns, whatever their names, are ignored. A document longer than a shard is a shard
+of its own. Words are compared as 64-bit hashes, and runs of words as hashes of those.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_HASHES, claim, materialize, text_slices, texts, window_hashes
+from tidemark.llm import common
+from tidemark.llm.common import WORD_HASHES, claim, materialize, text_slices, texts
 
 WINDOW = 13
 #: Words of test items that one pass broadcasts, about.
 BLOCK_WORDS = 1_000_000
-#: Words of a segment of an item. Longest matches are measured within one.
-SEGMENT = 50_000
 #: Bytes of text of one shard.
 SHARD_BYTES = 4 << 20
 
@@ -46,201 +46,206 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
+class Runs:
+    """Words as hashes, and the hash of any run of them."""
+
+    def __init__(self, h: np.ndarray):
+        common.window_hashes(h, 1)  # has powers for so many words
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * common._POWERS[0][: len(h)], dtype=np.uint64)])
+
+    def of(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * common._POWERS[1][at]
+
+
+def common_prefix(a: Runs, i: np.ndarray, b: Runs, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many words from i in `a` and from j in `b` are equal, `limit` at most: by leaps, then by halving."""
+    low, step = np.zeros(len(i), dtype=np.int64), 1
+    going = np.flatnonzero(limit > 0)
+    high = limit.copy()  # no more than these are equal
+    while len(going):
+        n = np.minimum(step, limit[going])
+        same = a.of(i[going], n) == b.of(j[going], n)
+        low[going[same]], high[going[~same]] = n[same], n[~same] - 1
+        going = going[same & (n < limit[going])]
+        step *= 2
+    going = np.flatnonzero(low < high)
+    while len(going):
+        n = (low[going] + high[going] + 1) // 2
+        same = a.of(i[going], n) == b.of(j[going], n)
+        low[going[same]], high[going[~same]] = n[same], n[~same] - 1
+        going = going[low[going] < high[going]]
+    return low
+
+
 class TestSuffixes:
-    """One block of test items: their words as hashes and, for each window size, the sorted window hashes with a
-    place of each and the items that hold it."""
+    """One block of test items: their words, and the suffixes with a window each."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, int, bytes]], window: int):
-        """From (item, whether it is shorter than a window, word hashes) of each segment."""
-        self.window = window
-        names = sorted({name for name, _, _ in items})
-        number = {name: k for k, name in enumerate(names)}
-        self.names = names
-        parts = [np.frombuffer(raw, dtype=np.uint64) for _, _, raw in items]
-        self.start = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        """From (item, word hashes) of each different text."""
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        parts = [np.frombuffer(raw, dtype=np.uint64) for _, raw in items]
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        start = np.cumsum(sizes) - sizes
         self.words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.item = np.array([number[name] for name, _, _ in items], dtype=np.int32)
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        sizes = np.array([min(len(p), window) for p in parts], dtype=np.int64)
-        for size in np.unique(sizes).tolist():
-            key, place, owner = [], [], []
-            for k in np.flatnonzero(sizes == size).tolist():
-                g = window_hashes(parts[k], size)
-                key.append(g)
-                place.append(self.start[k] + np.arange(len(g)))
-                owner.append(np.full(len(g), self.item[k], dtype=np.int32))
-            key, place, owner = np.concatenate(key), np.concatenate(place), np.concatenate(owner)
-            order = np.lexsort((owner, key))
-            key, place, owner = key[order], place[order], owner[order]
-            fresh = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
-            key, place, owner = key[fresh], place[fresh], owner[fresh]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            self.by_size[size] = (key[first], place[first], np.append(first, len(key)), owner)
-
-    def marks(self) -> dict[int, np.ndarray]:
-        """For each window size a bitmap of the windows' high bits, 8 to 16 places a window."""
-        out = {}
-        for size, (key, *_) in self.by_size.items():
-            bits = int(len(key)).bit_length() + 3
-            seen = np.zeros(1 << bits, dtype=bool)
-            seen[key >> np.uint64(64 - bits)] = True
-            out[size] = seen
-        return out
-
-
-def suffix_array(h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The positions `at` in the order of the `size` words that follow, and those words, a row each."""
-    rows = h[at[:, None] + np.arange(size)]
-    order = np.lexsort(rows.T[::-1])
-    return at[order], rows[order]
-
-
-def _search(rows: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right ends, among sorted rows, of the rows equal to each row of `test`: a binary search for all
-    test suffixes at once."""
-    ends = []
-    for right in (False, True):
-        low, high = np.zeros(len(test), dtype=np.int64), np.full(len(test), len(rows), dtype=np.int64)
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            here, there = rows[np.minimum(mid, len(rows) - 1)], test
-            differ = here != there
-            first = differ.argmax(axis=1)
-            k = np.arange(len(test))
-            less = np.where(differ.any(axis=1), here[k, first] < there[k, first], right)
-            low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
-        ends.append(low)
-    return ends[0], ends[1]
-
-
-def locate(h: np.ndarray, ends: np.ndarray, tests: TestSuffixes, marks: dict[int, np.ndarray]):
-    """For each window size: (position, number of the window) of every occurrence in a shard. `h` are the shard's word
-    hashes, `ends` for each position the end of its document."""
-    for size, (key, place, *_) in tests.by_size.items():
-        if len(h) < size:
-            continue
-        g = window_hashes(h, size)
-        seen = marks[size]
-        bits = len(seen).bit_length() - 1
-        at = np.flatnonzero(seen[g >> np.uint64(64 - bits)] & (np.arange(len(g)) + size <= ends[: len(g)]))
-        if not len(at):
-            continue
-        number = np.minimum(np.searchsorted(key, g[at]), len(key) - 1)
-        same = key[number] == g[at]
-        at = at[same]
-        if not len(at):
-            continue
-        tried = np.unique(number[same])
-        at, rows = suffix_array(h, at, size)
-        left, right = _search(rows, tests.words[place[tried][:, None] + np.arange(size)])
-        n = right - left
-        which = np.repeat(np.arange(len(tried)), n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield size, at[left[which] + offset], tried[which]
-
-
-def longest(h: np.ndarray, tests: TestSuffixes, items: np.ndarray, least: int) -> tuple[int, int, int, int]:
-    """(words, position, item, position in the item's segment) of the longest run that `h` shares with a segment of
-    one of the items, given that they share `least` words: binary search over the length."""
-    segments = np.flatnonzero(np.isin(tests.item, items))
-    parts = [tests.words[tests.start[k] : tests.start[k + 1]] for k in segments]
-
-    def shared(size: int):
-        mine = window_hashes(h, size)
-        order = np.argsort(mine, kind="stable")
-        for k, p in zip(segments.tolist(), parts, strict=True):
-            theirs = window_hashes(p, size)
-            if not len(theirs) or not len(mine):
-                continue
-            found = np.minimum(np.searchsorted(mine, theirs, sorter=order), len(mine) - 1)
-            hit = np.flatnonzero(mine[order[found]] == theirs)
-            if len(hit):
-                j = int(hit[0])
-                return size, int(order[found[j]]), int(tests.item[k]), j
-        return None
-
-    low, high = least, min(len(h), max(len(p) for p in parts))
-    best = shared(low) or (least, 0, int(items[0]), 0)
-    while low < high:
-        mid = (low + high + 1) // 2
-        if (found := shared(mid)) is not None:
-            low, best = mid, found
-        else:
-            high = mid - 1
-    return best
-
-
-def _segments(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item, words, segment): word hashes of each segment of each item."""
+        each = np.maximum(sizes - window, 0) + 1
+        which = np.repeat(np.arange(len(parts)), each)
+        self.place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)  # in the item
+        self.at = start[which] + self.place
+        self.item = np.array([number[items[k][0]] for k in which.tolist()], dtype=np.int64)
+        self.window = np.minimum(sizes, window)[which]
+        self.left = sizes[which] - self.place
+
+
+class SuffixArray:
+    """All suffixes of a shard's words in order; a suffix ends where its document ends, and the end comes before any word."""
+
+    def __init__(self, h: np.ndarray, ends: np.ndarray):
+        self.runs, self.ends = Runs(h), ends
+        self.known, self.rank = np.unique(h, return_inverse=True)
+        self.rank = self.rank.astype(np.int64)
+        n = len(h)
+        bits = max(1, int(len(self.known)).bit_length())
+        at, key, depth = np.arange(n), np.zeros(n, dtype=np.int64), max(1, 62 // bits)
+        for k in range(depth):
+            key = (key << bits) | self._next(self.rank, at, k)
+        self.order = np.argsort(key)
+        key = key[self.order]
+        opens = np.append(True, key[1:] != key[:-1]) if n else np.empty(0, bool)
+        place = np.empty(n, dtype=np.int64)  # of the first suffix that is equal so far
+        longest = int((ends - at).max()) if n else 0
+        place[self.order] = np.maximum.accumulate(np.where(opens, at, 0))
+        while depth < longest:
+            tied = np.flatnonzero(~opens | ~np.append(opens[1:], True))
+            if not len(tied):
+                break
+            mine = self.order[tied]
+            further = self._next(place, mine, depth)
+            to = np.argsort(place[mine] * (n + 1) + further)
+            mine, further = mine[to], further[to]
+            self.order[tied] = mine
+            new = np.append(True, (further[1:] != further[:-1]) | (place[mine[1:]] != place[mine[:-1]]))
+            opens[tied] |= new
+            place[mine] = np.maximum.accumulate(np.where(opens[tied], tied, 0))
+            depth *= 2
+
+    def _next(self, values: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """Of each suffix the value k words on, plus 1; 0 where its document has ended."""
+        to = at + k
+        inside = to < self.ends[at]
+        return np.where(inside, values[np.where(inside, to, 0)] + 1, 0)
+
+    def _word(self, entry: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The word number `depth` words into an entry of the array, -1 at the end of its document."""
+        at = self.order[entry]
+        return np.where(at + depth < self.ends[at], self.rank[np.minimum(at + depth, len(self.rank) - 1)], -1)
+
+    def _narrow(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of each range whose word at `depth` is `word`, by binary search."""
+        ends = []
+        for after in (0, 1):
+            a, b = low.copy(), high.copy()
+            while len(open_ := np.flatnonzero(a < b)):
+                mid = (a[open_] + b[open_]) // 2
+                less = self._word(mid, depth[open_]) < word[open_] + after
+                a[open_[less]], b[open_[~less]] = mid[less] + 1, mid[~less]
+            ends.append(a)
+        return ends[0], ends[1]
+
+    def find(self, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(suffix, first, end): the test suffixes whose window occurs, with the range of its locations in the array."""
+        number = np.minimum(np.searchsorted(self.known, tests.words), max(len(self.known) - 1, 0))
+        word = np.where(self.known[number] == tests.words, number, -2) if len(self.known) else np.full(len(tests.words), -2)
+        theirs = Runs(tests.words)
+        todo = np.flatnonzero(word[tests.at] >= 0)
+        low, high = self._narrow(np.zeros(len(todo), np.int64), np.full(len(todo), len(self.order)), np.zeros(len(todo), np.int64), word[tests.at[todo]])
+        here = low < high
+        todo, low, high = todo[here], low[here], high[here]
+        found = []
+        while len(todo):
+            first, last = self.order[low], self.order[high - 1]
+            size = tests.window[todo]
+            # words that all of the range shares, and that it shares with the test suffix
+            own = common_prefix(self.runs, first, self.runs, last, np.minimum(size, np.minimum(self.ends[first] - first, self.ends[last] - last)))
+            both = common_prefix(theirs, tests.at[todo], self.runs, first, np.minimum(size, self.ends[first] - first))
+            whole = np.minimum(own, both) == size
+            found.append((todo[whole], low[whole], high[whole]))
+            go = ~whole & (both >= own)
+            todo, low, high, depth = todo[go], low[go], high[go], own[go]
+            low, high = self._narrow(low, high, depth, word[tests.at[todo] + depth])
+            here = low < high
+            todo, low, high = todo[here], low[here], high[here]
+        if not found:
+            return (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def matches(self, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, suffix, words) of every occurrence of a window: where it is in the shard, the test suffix that it begins,
+        and how many words match there."""
+        which, first, end = self.find(tests)
+        n = end - first
+        suffix = np.repeat(which, n)
+        pos = self.order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        return pos, suffix, common_prefix(Runs(tests.words), tests.at[suffix], self.runs, pos, np.minimum(tests.left[suffix], self.ends[pos] - pos))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, n, words): word hashes of each different text of each item."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).filter("item is not null").distinct()
 
     def run(batches):
         claim("words", [WORD_HASHES])
         for batch in batches:
-            item, n, raw = [], [], []
-            for name, text in zip(batch.column("item").to_pylist(), texts(batch), strict=True):
-                h = WORD_HASHES.of(words(text))
-                for k in range(0, max(1, len(h) - window + 1), SEGMENT) if len(h) else ():
-                    part = h[k : k + SEGMENT + window - 1]
-                    item.append(name)
-                    n.append(len(part))
-                    raw.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["item", "n", "words"])
+            hashes = [WORD_HASHES.of(words(text)) for text in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([len(h) for h in hashes], pa.int64()), pa.array([h.tobytes() for h in hashes], pa.binary())], names=["item", "n", "words"])
 
-    return items.mapInArrow(run, "item string, n bigint, words binary")
+    return items.mapInArrow(run, "item string, n bigint, words binary").filter("n > 0").distinct()
 
 
 def _blocks(benchmark: DataFrame, window: int, block_words: int):
-    """Test suffixes in blocks of bounded size; each block is gathered and sent on its own."""
-    rows = materialize(_segments(benchmark, window), "benchmark")
+    """Test suffixes in blocks of bounded size, gathered one at a time; one without items if there are none."""
+    rows = materialize(_items(benchmark), "benchmark")
     n = int((rows.agg(F.sum("n")).first()[0] or 0) // block_words) + 1
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k).orderBy("item", "words").toArrow()
-        yield TestSuffixes(list(zip(part["item"].to_pylist(), part["n"].to_pylist(), part["words"].to_pylist(), strict=True)), window)
+        yield TestSuffixes(list(zip(part["item"].to_pylist(), part["words"].to_pylist(), strict=True)), window)
 
 
 _MATCH = "struct<item:string,n_words:int,doc_word:int,item_word:int>"
 _MATCH_TYPE = pa.struct([("item", pa.string()), ("n_words", pa.int32()), ("doc_word", pa.int32()), ("item_word", pa.int32())])
 
 
-def _finder(held, window: int):
+def _finder(held):
     """Task function: (id, th, n_words, hits, items, longest) of every document of a pass."""
 
     def run(batches):
         claim("words", [WORD_HASHES])
         tests: TestSuffixes = held.value
-        marks = tests.marks()
         for batch in batches:
             for part in text_slices(batch, budget=SHARD_BYTES):
                 shard = [WORD_HASHES.of(words(t)) for t in texts(part)]
                 counts = np.array([len(w) for w in shard], dtype=np.int64)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                h = np.concatenate(shard)
                 hits: list[list[dict]] = [[] for _ in shard]
                 items: list[list[str]] = [[] for _ in shard]
                 match: list[dict | None] = [None] * len(shard)
-                found = list(locate(h, np.repeat(bounds[1:], counts), tests, marks))
-                if found:
-                    size = np.concatenate([np.full(len(p), s) for s, p, _ in found])
-                    pos = np.concatenate([p for _, p, _ in found])
-                    win = np.concatenate([w for _, _, w in found])
-                    doc = np.searchsorted(bounds, pos, side="right") - 1
-                    order = np.lexsort((pos, doc))
-                    size, pos, win, doc = size[order], pos[order], win[order], doc[order]
-                    cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                        d = int(doc[a])
-                        s, p = size[a:b], pos[a:b] - bounds[d]
-                        ends = np.maximum.accumulate(p + s)
-                        fresh = np.append(True, p[1:] > ends[:-1])
-                        start, end = p[fresh], ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(p) - 1)]
-                        hits[d] = [{"start": x, "end": y} for x, y in zip(start.tolist(), end.tolist(), strict=True)]
-                        its = np.unique(np.concatenate([tests.by_size[z][3][tests.by_size[z][2][w] : tests.by_size[z][2][w + 1]] for z, w in {*zip(s.tolist(), win[a:b].tolist(), strict=True)}]))
-                        items[d] = [tests.names[k] for k in its.tolist()]
-                        n, x, k, y = longest(shard[d], tests, its, int(s.max()))
-                        match[d] = {"item": tests.names[k], "n_words": n, "doc_word": x, "item_word": y}
+                pos, suffix, equal = SuffixArray(np.concatenate(shard), np.repeat(bounds[1:], counts)).matches(tests)
+                doc = np.searchsorted(bounds, pos, side="right") - 1
+                order = np.lexsort((pos, doc))
+                pos, suffix, equal, doc = pos[order], suffix[order], equal[order], doc[order]
+                cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc)) if len(doc) else doc
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    d = int(doc[a])
+                    s, p = suffix[a:b], pos[a:b] - bounds[d]
+                    ends = np.maximum.accumulate(p + tests.window[s])
+                    fresh = np.append(True, p[1:] > ends[:-1])
+                    start, end = p[fresh], ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(p) - 1)]
+                    hits[d] = [{"start": x, "end": y} for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                    items[d] = [tests.names[k] for k in np.unique(tests.item[s]).tolist()]
+                    best = np.lexsort((tests.place[s], p, tests.item[s], -equal[a:b]))[0]
+                    match[d] = {"item": tests.names[tests.item[s[best]]], "n_words": int(equal[a + best]), "doc_word": int(p[best]), "item_word": int(tests.place[s[best]])}
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(counts), pa.array(hits, _RANGE), pa.array(items, pa.list_(pa.string())), pa.array(match, _MATCH_TYPE)], names=["id", "th", "n_words", "hits", "items", "longest"])
 
     return run
@@ -255,25 +260,23 @@ def _covered(ranges):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, `n_words`, `n_hit` (words inside an occurring window), `hits` (their ranges, end
-    exclusive), `items` (ids of the items with occurring windows, sorted as strings), `longest_match` (item, words,
-    and first word in document and segment, of a longest verbatim match with one item; null without a hit) and `text_hash`, which tells texts of one id
-    apart."""
+    exclusive), `items` (ids of the items with occurring windows, sorted as strings), `longest_match` (item, words, and first
+    word in document and item, of the longest verbatim match with one item; ties to the smallest item, then place; null
+    without a hit) and `text_hash`, which tells texts of one id apart."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     passes = []
     for block in _blocks(benchmark, window, block_words):
         held = spark.sparkContext.broadcast(block)
-        passes.append(slim.mapInArrow(_finder(held, window), f"id {kind}, th bigint, n_words bigint, hits array<struct<start:int,end:int>>, items array<string>, longest {_MATCH}"))
-    if len(passes) == 1:
-        out = passes[0]
-    else:
-        each = passes[0].withColumn("pass", F.lit(0))
-        for k, p in enumerate(passes[1:], 1):
-            each = each.unionByName(p.filter("longest is not null").withColumn("pass", F.lit(k)))
-        each = materialize(each, "contamination")
-        hit = each.filter("longest is not null").groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.max_by("longest", F.struct("longest.n_words", "longest.item")).alias("longest"))
-        both = each.filter("pass = 0").select("id", "th", "n_words").join(hit, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
+        found = slim.mapInArrow(_finder(held), f"id {kind}, th bigint, n_words bigint, hits array<struct<start:int,end:int>>, items array<string>, longest {_MATCH}")
+        passes.append(materialize(found.filter("longest is not null") if passes else found, "contamination"))
+        held.unpersist()
+    out = passes[0]
+    if len(passes) > 1:
+        each = reduce(DataFrame.unionByName, [out.filter("longest is not null"), *passes[1:]]).withColumn("rank", F.struct(-F.col("longest.n_words"), "longest.item", "longest.doc_word", "longest.item_word"))
+        hit = each.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.min_by("longest", "rank").alias("longest"))
+        both = out.select("id", "th", "n_words").join(hit, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
         none = lambda c: F.coalesce(c, F.array().cast(hit.schema[c].dataType))
         out = both.select("id", "th", "n_words", F.array_sort(none("hits")).alias("hits"), none("items").alias("items"), "longest")
     return out.select(F.col("id").alias(id_col), "n_words", _covered(F.col("hits")).alias("n_hit"), "hits", F.array_sort("items").alias("items"), F.col("longest").alias("longest_match"), F.col("th").alias("text_hash"))
