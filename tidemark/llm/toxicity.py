@@ -1,15 +1,18 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled rows (`MAX_EXAMPLES` a class, `MAX_BYTES` of text) becomes an inverted index over all
-their words. A word weighs (1 + ln tf) ln(N / df), where df and N count all documents, times its relevance: how far
-its odds of standing in a toxic example are from those in another, in logarithms, beyond `ERRORS` standard errors (0 if
-not beyond). No number of words and no share of the rows cuts this short; words of relevance 0 have no postings.
+their words. A word weighs (1 + ln tf) ln(N / df), where df and N count all documents; no word and no row is left out.
 Examples lie in blocks, ordered by their weightiest word; for each word and block the largest weight is kept, and
 blocks are scored by falling bound until none reaches the k-th best similarity so far, so the k nearest are exact.
-Neighbours vote with their squared similarity; a logistic curve fitted on the examples themselves (each
-scored without itself, classes weighted back to their true shares) turns votes into scores.
+Words that many examples have are summed for a batch of documents at once, as one matrix product; the bound of a
+block then has their exact sum, and the similarities of what is found are summed anew in full precision.
 
-Null and empty texts, and texts without an indexed word, get the score of a document without neighbours.
+Neighbours vote with their squared similarity. A second vote, by the same search, is taken under weights in which a word
+counts as much as its odds of standing in a toxic example differ from those in another (beyond `ERRORS` standard
+errors; `relevance`). A logistic curve over both votes, fitted on the examples themselves (each scored without itself,
+classes weighted back to their true shares), turns them into scores; `evidence` are the neighbours of the first vote.
+
+Null and empty texts, and texts without a word of the examples, get the score of a document without neighbours.
 Rows with a null label or id are not learned from; repeated labels of one document are averaged and rounded, and of
 several texts of one id the smallest is learned, once. Every row is scored by its own text. Ties between neighbours go
 to the smaller example number. Without labelled rows of both classes every score is 0.5. Other columns, whatever their
@@ -30,11 +33,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import labelled_sample, materialize, text_slices, texts
 
 #: Labelled rows of each class that become examples, about, and bytes of their texts, about.
-MAX_EXAMPLES = 3_000
+MAX_EXAMPLES = 1_000
 MAX_BYTES = 64 << 20
-#: Standard errors by which log odds must differ.
+#: Standard errors by which log odds must differ for the second vote.
 ERRORS = 2.0
 BLOCK = 32
+#: A word that one of so many examples has is summed as part of a matrix; and documents of one product.
+DENSE = 20
+BATCH = 64
+#: Slack of sums in single precision.
+SLACK = 1e-5
 NEIGHBOURS = 25
 #: Blocks scored before any bound is used; each further step takes four times as many.
 FIRST_BLOCKS = 16
@@ -49,7 +57,7 @@ def terms(text: str) -> list[str]:
 @dataclass
 class Index:
     """Block-max inverted index over examples. Cells are the pairs of a word and a block with postings, by word, then
-    block; a cell has its largest weight and the range of its postings."""
+    block; a cell has its largest weight and the range of its postings. Words of many examples are rows of a matrix."""
 
     vocab: dict[str, int]
     idf: np.ndarray
@@ -62,24 +70,32 @@ class Index:
     bound: np.ndarray = field(default_factory=lambda: np.empty(0))
     start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     blocks: int = 1
-    curve: tuple[float, float] = (0.0, 0.0)
+    row: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    vectors: tuple[np.ndarray, np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0)))
+    scratch: np.ndarray | None = None
 
     def unit(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vector of word numbers and their counts; `idf` holds the relevance too."""
+        """Unit vector of word numbers and their counts."""
         w = (1 + np.log(tf)) * self.idf[at]
         norm = np.sqrt(w @ w)
         return (at[w > 0], w[w > 0] / norm) if norm > 0 else (at[:0], w[:0])
 
-    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.vocab.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        return self.unit(*np.unique(at[at >= 0], return_counts=True))
-
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Postings of the examples; example k of the index is `vectors[k]`."""
         n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
+        size = np.array([len(v[0]) for v in vectors], dtype=np.int64)
         term = np.concatenate([v[0] for v in vectors]) if n else np.empty(0, np.int64)
         weight = np.concatenate([v[1] for v in vectors]) if n else np.empty(0)
-        example = np.repeat(np.arange(n), [len(v[0]) for v in vectors]) if n else np.empty(0, np.int64)
+        self.vectors = (np.concatenate([[0], np.cumsum(size)]), term, weight)
+        example = np.repeat(np.arange(n), size)
+        often = np.flatnonzero(np.bincount(term, minlength=len(self.vocab)) * DENSE >= max(n, DENSE))
+        self.row = np.full(len(self.vocab), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), dtype=np.float32)
+        mine = self.row[term] >= 0
+        self.dense[self.row[term[mine]], example[mine]] = weight[mine]
+        term, weight, example = term[~mine], weight[~mine], example[~mine]
         order = np.lexsort((example, term))
         term, self.weight, self.example = term[order], weight[order], example[order].astype(np.int32)
         cell = term * self.blocks + self.example // BLOCK
@@ -89,32 +105,61 @@ class Index:
         self.bound = np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0)
         self.first = np.searchsorted(term[at], np.arange(len(self.vocab) + 1))
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The exact nearest examples with positive similarity, nearest first."""
-        sim = np.zeros(len(self.ids))
-        cells, q = _ranges(self.first[at], self.first[at + 1], w)
-        if not len(cells):
-            return np.empty(0, np.int64), sim[:0]
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None):
+        """For each query vector the exact nearest examples with positive similarity, nearest first."""
+        for a in range(0, len(queries), BATCH):
+            part = queries[a : a + BATCH]
+            q = np.zeros((len(part), len(self.dense)), dtype=np.float32)
+            for k, (at, w) in enumerate(part):
+                row = self.row[at]
+                q[k, row[row >= 0]] = w[row >= 0]
+            sums = q @ self.dense
+            for k, (at, w) in enumerate(part):
+                yield self._nearest(at, w, sums[k], -1 if skip is None else skip[a + k])
+
+    def _nearest(self, at: np.ndarray, w: np.ndarray, sums: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """`sums`: of each example the products of the words in the matrix."""
+        n = len(self.ids)
+        if not n or not len(at):
+            return np.empty(0, np.int64), np.empty(0)
+        rare = self.row[at] < 0
+        cells, q = _ranges(self.first[at[rare]], self.first[at[rare] + 1], w[rare])
         block = self.block[cells]
-        bound = np.bincount(block, weights=q * self.bound[cells], minlength=self.blocks)
+        most = np.maximum.reduceat(sums, np.arange(0, n, BLOCK))
+        bound = most + np.bincount(block, weights=q * self.bound[cells], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        done, step, floor = 0, FIRST_BLOCKS, 0.0
         # cells by the place of their block in the order of bounds
-        place = np.empty(self.blocks, dtype=np.int64)
+        place = np.full(self.blocks, self.blocks, dtype=np.int64)
         place[order] = np.arange(len(order))
-        mine = place[block]
-        while done < len(order) and bound[order[done]] >= floor - 1e-9:
+        mine, spot = place[block], np.repeat(place, BLOCK)[:n]
+        sim = sums.astype(float)
+        known = np.zeros(n)
+        done, step, floor = 0, FIRST_BLOCKS, 0.0
+        while done < len(order) and bound[order[done]] >= floor - SLACK:
             take = (mine >= done) & (mine < done + step)
             post, weight = _ranges(self.start[cells[take]], self.start[cells[take] + 1], q[take])
-            sim += np.bincount(self.example[post], weights=weight * self.weight[post], minlength=len(sim))
-            if skip >= 0:
-                sim[skip] = 0
-            floor = np.partition(sim, -NEIGHBOURS)[-NEIGHBOURS] if len(sim) > NEIGHBOURS else 0.0
+            sim += np.bincount(self.example[post], weights=weight * self.weight[post], minlength=n)
             done, step = done + step, 4 * step
-        found = np.flatnonzero((sim > 0) & (sim >= floor))
-        best = found[np.lexsort((found, -sim[found]))[:NEIGHBOURS]]
-        return best, sim[best]
+            known = np.where(spot < done, sim, 0)
+            if skip >= 0:
+                known[skip] = 0
+            floor = np.partition(known, -NEIGHBOURS)[-NEIGHBOURS] if n > NEIGHBOURS else 0.0
+        near = np.flatnonzero((known > 0) & (known >= floor - SLACK))
+        exact = self._similarity(near, at, w)
+        keep = np.lexsort((near, -exact))[:NEIGHBOURS]
+        keep = keep[exact[keep] > 0]
+        return near[keep], exact[keep]
+
+    def _similarity(self, examples: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Sums in full precision."""
+        if self.scratch is None:
+            self.scratch = np.zeros(len(self.vocab))
+        self.scratch[at] = w
+        edge, term, weight = self.vectors
+        out = np.array([self.scratch[term[a:b]] @ weight[a:b] for a, b in zip(edge[examples].tolist(), edge[examples + 1].tolist(), strict=True)])
+        self.scratch[at] = 0
+        return out
 
     def vote(self, near: np.ndarray, sim: np.ndarray) -> float:
         """Log ratio of the squared similarities of toxic and other neighbours."""
@@ -122,9 +167,26 @@ class Index:
         toxic = w[self.labels[near] == 1].sum()
         return float(np.log((toxic + VOTE_FLOOR) / (w.sum() - toxic + VOTE_FLOOR)))
 
-    def calibrated(self, vote: float) -> float:
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * vote + b, -35, 35))))
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> np.ndarray:
+        return np.array([self.vote(*found) for found in self.nearest(queries, skip)])
+
+
+@dataclass
+class Model:
+    """Both indexes, over the same examples and words, and the curve over their votes."""
+
+    plain: Index
+    relevant: Index
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(3))
+
+    def vectors(self, words: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        at = np.fromiter(map(self.plain.vocab.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        at, tf = np.unique(at[at >= 0], return_counts=True)
+        return self.plain.unit(at, tf), self.relevant.unit(at, tf)
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        """Scores from rows of two votes."""
+        return 1 / (1 + np.exp(-np.clip(votes @ self.curve[:2] + self.curve[2], -35, 35)))
 
 
 def _ranges(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +196,19 @@ def _ranges(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.n
     return np.arange(total) + np.repeat(start - np.cumsum(size) + size, size), np.repeat(value, size)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps with a slight ridge."""
-    beta, design = np.zeros(2), np.stack([x, np.ones_like(x)], axis=1)
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slopes and intercept by Newton steps with a slight ridge."""
+    design = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    beta, ridge = np.zeros(design.shape[1]), np.array([1e-2] * x.shape[1] + [1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -35, 35)))
-        grad = design.T @ (w * (y - p)) - np.array([1e-2, 1e-3]) * beta
-        hess = (design * (w * p * (1 - p))[:, None]).T @ design + np.diag([1e-2, 1e-3])
+        grad = design.T @ (w * (y - p)) - ridge * beta
+        hess = (design * (w * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return beta
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
@@ -162,15 +225,14 @@ def _term_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, term string, tf long")
 
 
-def relevant_terms(counts: DataFrame, n1: int, n0: int) -> DataFrame:
-    """(term, no, weight) of the words whose log odds in the n1 toxic and the n0 other examples differ beyond
-    `ERRORS` standard errors, and by how much; numbered in order. A row a word of the bounded sample."""
+def weighed_terms(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """(term, no, relevance) of all words of the n1 toxic and the n0 other examples: by how much their log odds differ
+    beyond `ERRORS` standard errors, or 0; numbered in order. A row a word of the bounded sample."""
     each = counts.filter("term != ''").groupBy("term").agg(F.count(F.when(F.col("label") == 1, 1)).alias("a"), F.count(F.when(F.col("label") == 0, 1)).alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     a_not, b_not = F.lit(n1 + 1.0) - a, F.lit(n0 + 1.0) - b
-    weight = F.abs(F.log(a / a_not) - F.log(b / b_not)) - ERRORS * F.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not)
-    kept = each.select("term", weight.alias("weight")).filter("weight > 0")
-    return kept.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("no"), "weight")
+    beyond = F.abs(F.log(a / a_not) - F.log(b / b_not)) - ERRORS * F.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not)
+    return each.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("no"), F.greatest(beyond, F.lit(0.0)).alias("relevance"))
 
 
 def document_frequencies(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -195,54 +257,62 @@ def document_frequencies(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.nda
     return np.array([counts.get(k, 0) for k in range(len(vocab))], dtype=np.int64), int(counts.get(-1, 0))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id") -> Index:
-    """Index over a bounded sample of the labelled rows, word statistics over all of `docs`."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id") -> Model:
+    """Indexes over a bounded sample of the labelled rows, word statistics over all of `docs`."""
     rows, sizes = labelled_sample(docs, labels, label, MAX_EXAMPLES, MAX_BYTES, id_col, per_class=True)
     counts = materialize(_term_counts(rows), "examples")
     # what reaches the driver is bounded by the sample's bytes
     each = counts.select("id", "label").distinct().toPandas()
     n1, n0 = int((each["label"] == 1).sum()), int((each["label"] == 0).sum())
+    none = lambda: Index({}, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32))
     if not n1 or not n0:
-        return Index({}, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32))
-    terms_of = materialize(relevant_terms(counts, n1, n0), "terms")
+        return Model(none(), none())
+    terms_of = materialize(weighed_terms(counts, n1, n0), "terms")
     known = terms_of.orderBy("no").toArrow()
     vocab = {t: k for k, t in enumerate(known["term"].to_pylist())}
     df, n_docs = document_frequencies(docs, vocab)
-    index = Index(vocab, np.log(np.maximum(n_docs, 1) / np.maximum(df, 1)) * known["weight"].to_numpy(), np.empty(0, np.int64), np.empty(0, np.int32))
+    idf = np.log(np.maximum(n_docs, 1) / np.maximum(df, 1))
     # postings as numbers; both sides are bounded by the sample
     kept = counts.join(terms_of, "term").select("id", "no", "tf").toArrow()
     ids, at, tf = kept["id"].to_numpy(), kept["no"].to_numpy().astype(np.int64), kept["tf"].to_numpy().astype(float)
     order = np.lexsort((at, ids))
     ids, at, tf = ids[order], at[order], tf[order]
     start, end = np.searchsorted(ids, each["id"], side="left"), np.searchsorted(ids, each["id"], side="right")
-    vectors = [index.unit(at[x:y], tf[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
-    lead = np.array([int(v[0][v[1].argmax()]) if len(v[0]) else -1 for v in vectors])
-    placed = np.lexsort((each["id"], lead))
-    vectors = [vectors[k] for k in placed]
-    index.ids, index.labels = each["id"].to_numpy()[placed], each["label"].to_numpy()[placed]
-    index.build(vectors)
-    votes = np.array([index.vote(*index.nearest(*v, skip=k)) for k, v in enumerate(vectors)])
-    y = index.labels.astype(float)
-    index.curve = _logistic(votes, y, np.where(y == 1, sizes[1] / n1, sizes[0] / n0) * len(y) / (sizes[1] + sizes[0]))
-    return index
-
-
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame:
+    found = []
+    for weights in (idf, idf * known["relevance"].to_numpy()):
+        index = Index(vocab, weights, np.empty(0, np.int64), np.empty(0, np.int32))
+        vectors = [index.unit(at[x:y], tf[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+        lead = np.array([int(v[0][v[1].argmax()]) if len(v[0]) else -1 for v in vectors])
+        placed = np.lexsort((each["id"], lead))
+        index.ids, index.labels = each["id"].to_numpy()[placed], each["label"].to_numpy()[placed]
+        vectors = [vectors[k] for k in placed]
+        index.build(vectors)
+        votes = np.empty(len(placed))
+        votes[placed] = index.votes(vectors, list(range(len(vectors))))
+        found.append((index, votes))
+    y = each["label"].to_numpy().astype(float)
+    share = np.where(y == 1, sizes[1] / n1, sizes[0] / n0) * len(y) / (sizes[1] + sizes[0])
+    return Model(found[0][0], found[1][0], _logistic(np.stack([found[0][1], found[1][1]], axis=1), y, share))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, `score`, and `evidence`, its nearest examples (id, similarity, label)."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     near_type = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
-        ix = held.value
+        known = held.value
+        ix = known.plain
         for batch in batches:
             for part in text_slices(batch):
-                scores, evidence = [], []
-                for text in texts(part):
-                    near, sim = ix.nearest(*ix.vector(terms(text)))
-                    scores.append(ix.calibrated(ix.vote(near, sim)))
-                    evidence.append([{"example": int(ix.ids[k]), "similarity": float(s), "label": int(ix.labels[k])} for k, s in zip(near, sim, strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores), pa.array(evidence, near_type)], names=["id", "score", "evidence"])
+                vectors = [known.vectors(terms(text)) for text in texts(part)]
+                votes, evidence = np.zeros((len(vectors), 2)), []
+                for k, (near, sim) in enumerate(ix.nearest([v[0] for v in vectors])):
+                    votes[k, 0] = ix.vote(near, sim)
+                    evidence.append([{"example": int(i), "similarity": float(s), "label": int(y)} for i, s, y in zip(ix.ids[near], sim, ix.labels[near], strict=True)])
+                votes[:, 1] = known.relevant.votes([v[1] for v in vectors])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(known.calibrated(votes)), pa.array(evidence, near_type)], names=["id", "score", "evidence"])
 
     slim = docs.select(F.col(id_col).alias("id"), "text")
     return slim.mapInArrow(run, f"id {kind}, score double, evidence array<struct<example:bigint,similarity:double,label:int>>").withColumnRenamed("id", id_col)
