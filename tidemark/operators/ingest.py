@@ -247,6 +247,41 @@ def route(rules: list[tuple[str, set[str], set[str], str]], endpoint: str, colum
     return next((target for _, ends, need, target in rules if endpoint in ends and need <= set(columns)), None)
 
 
+# Which endpoints' rows, with which fields, go to which table; the first rule that fits decides.
+RULES = [
+    ("valuation", {"daily_basic"}, {"ts_code", "trade_date"}, "valuation"),
+    ("financials", {"fina_indicator"}, {"ts_code", "end_date"}, "financials"),
+    ("metadata", {"stock_basic"}, {"ts_code", "name", "industry", "market", "list_date"}, "metadata"),
+    ("calendar", {"trade_cal"}, {"exchange", "cal_date"}, "calendar"),
+    ("index daily", {"index_daily"}, {"ts_code", "trade_date"}, "index_daily"),
+    ("index basic", {"index_dailybasic"}, {"ts_code", "trade_date"}, "index_daily_basic"),
+    ("classification", {"index_classify"}, {"src", "index_code"}, "classification"),
+    ("index members", {"index_member"}, {"index_code", "con_code", "in_date"}, "index_member"),
+    ("index weights", {"index_weight"}, {"index_code", "con_code", "trade_date"}, "index_weight"),
+    ("market info", {"daily_info"}, {"trade_date", "ts_code"}, "market_info"),
+    ("market flow", {"moneyflow_mkt_dc"}, {"trade_date", "net_amount"}, "market_flow"),
+    ("margin", {"margin"}, {"trade_date", "exchange_id"}, "margin"),
+    ("stock flow", {"moneyflow", "moneyflow_ths", "moneyflow_dc"}, {"ts_code", "trade_date"}, "stock_flow"),
+    ("limit events", {"limit_list_d", "limit_step", "kpl_list", "kpl_stock_rank"}, {"ts_code", "trade_date"}, "limit_events"),
+    ("chips", {"cyq_chips", "cyq_perf"}, {"ts_code", "trade_date", "price"}, "chips"),
+    ("factors", {"stk_factor", "stk_factor_pro"}, {"ts_code", "trade_date"}, "factor_daily"),
+    ("visits", {"stk_surv"}, {"ts_code", "surv_date"}, "visits"),
+    ("corporate events", {"repurchase", "pledge_detail", "stk_holdertrade", "block_trade", "namechange", "share_float"}, {"ts_code"}, "corporate_events"),
+]
+
+
+def routed(landing: DataFrame, rules: list[tuple[str, set[str], set[str], str]] = RULES) -> DataFrame:
+    """Landed rows (endpoint, payload as a map of texts, and others) of all endpoints with `target`, the table of the first
+    rule that fits each, or null: one expression over one scan."""
+    target = F.lit(None).cast("string")
+    for _, ends, need, name in reversed(rules):
+        fits = F.col("endpoint").isin(*sorted(ends))
+        for field in sorted(need):
+            fits = fits & F.coalesce(F.map_contains_key("payload", F.lit(field)), F.lit(False))
+        target = F.when(fits, name).otherwise(target)
+    return landing.withColumn("target", target)
+
+
 # Where sector columns come from if they are not there by name, and what each kind of table keeps.
 SECTOR_ALIASES = {"sector_code": ("ts_code", "index_code", "code"), "sector_name": ("name", "ts_name", "industry_name", "industry"), "sector_type": ("type", "category", "level"), "exchange": ("market",)}
 SECTOR_TABLES = {

@@ -312,7 +312,7 @@ def rpl_signal_coverage(spark, sf_dir):
 
 
 @query(
-    f"""WITH {OUTCOMES}, r AS (SELECT trade_date, substr(sha256(strftime(trade_date, '%Y-%m-%d') || ' 00:00:00|{{"sample":"' || sample || '","session_no":' || session_no || '}}'), 1, 16) AS run_id FROM signals)
+    f"""WITH {OUTCOMES}, r AS (SELECT trade_date, substr(sha256(strftime(trade_date, '%Y-%m-%d') || ' 00:00:00:{{"sample":"' || sample || '","session_no":' || session_no || '}}'), 1, 24) AS run_id FROM signals)
 SELECT run_id, horizon, count(*) AS outcomes, count(net_return) AS closed FROM outc JOIN r USING (trade_date) GROUP BY 1, 2"""
 )
 def rpl_run_outcomes(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import corpus, ingest, portfolio, sector
@@ -700,11 +701,102 @@ def ing_payload_table(spark, sf_dir):
     return store.conform(rows, store.SPECS["limit_events"])
 
 
-@query("SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+# --- all endpoints at once
+
+_ENDPOINTS = sorted(e for _, ends, _, _ in ingest.RULES for e in ends)
+
+
+def _landing(spark, sf_dir):
+    """Events as landed rows: endpoints in turn; every field of any table, some left out, blank or unreadable."""
+    k = F.col("event_id")
+    text = lambda c: c.cast("string")
+    day = F.date_format("ts", "yyyyMMdd")
+    fields = {
+        "ts_code": F.concat(F.lit(" s"), text(F.col("user_id"))), "trade_date": day, "end_date": day, "cal_date": day, "surv_date": day, "in_date": day, "list_date": day,
+        "name": F.col("event_type"), "industry": F.lit(" "), "market": F.lit("main"), "exchange": F.lit("X"), "exchange_id": F.lit("X"), "src": F.lit("L"), "index_code": text(k % 9), "con_code": text(F.col("user_id")),
+        "org_name": F.col("event_type"), "price": text(k % 4), "net_amount": text(F.round("value", 2)), "weight": F.when(k % 3 == 0, "n/a").otherwise(text(F.round("value", 2))),
+    }
+    whole = F.create_map(*[x for name, v in fields.items() for x in (F.lit(name), v)])
+    payload = F.when(k % 7 == 3, F.map_filter(whole, lambda f, _: ~f.isin("trade_date", "list_date", "in_date", "cal_date", "end_date", "surv_date", "src", "ts_code"))).otherwise(whole)
+    e = table(spark, sf_dir, "events").filter("event_id is not null")
+    return e.select(F.element_at(F.array(*[F.lit(x) for x in [*_ENDPOINTS, "other"]]), (F.pmod(k, F.lit(len(_ENDPOINTS) + 1)) + 1).cast("int")).alias("endpoint"), k.alias("batch_row"), payload.alias("payload"))
+
+
+_LANDED = "la AS (SELECT event_id AS k, user_id AS u, ts::DATE AS d, event_type AS et, round(value, 2) AS v, list_extract([" + ", ".join(f"'{e}'" for e in [*_ENDPOINTS, "other"]) + f"], (event_id % {len(_ENDPOINTS) + 1} + 1)::INTEGER) AS endpoint, event_id % 7 <> 3 AS full_ FROM events WHERE event_id IS NOT NULL)"
+# independent of the rules: table, endpoints, key as text, number of values besides the key
+_TARGETS_SQL = [
+    ("valuation", "'daily_basic'", "u || '|' || d", "0"),
+    ("financials", "'fina_indicator'", "u || '|' || d", "0"),
+    ("metadata", "'stock_basic'", "u::VARCHAR", "3"),
+    ("calendar", "'trade_cal'", "d::VARCHAR", "0"),
+    ("index_daily", "'index_daily'", "u || '|' || d", "0"),
+    ("index_daily_basic", "'index_dailybasic'", "u || '|' || d", "0"),
+    ("classification", "'index_classify'", "(k % 9)::VARCHAR", "0"),
+    ("index_member", "'index_member'", "(k % 9) || '|' || u || '|' || d", "0"),
+    ("index_weight", "'index_weight'", "(k % 9) || '|' || u || '|' || d", "max(CASE WHEN k % 3 <> 0 AND v IS NOT NULL THEN 1 ELSE 0 END)"),
+    ("market_info", "'daily_info'", "u || '|' || d", "0"),
+    ("market_flow", "'moneyflow_mkt_dc'", "d::VARCHAR", "max(CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END)"),
+    ("margin", "'margin'", "d::VARCHAR", "0"),
+    ("stock_flow", "'moneyflow', 'moneyflow_ths', 'moneyflow_dc'", "u || '|' || d", "1"),
+    ("limit_events", "'limit_list_d', 'limit_step', 'kpl_list', 'kpl_stock_rank'", "u || '|' || d || '|' || endpoint", "1"),
+    ("chips", "'cyq_chips', 'cyq_perf'", "u || '|' || d || '|' || (k % 4)", "1"),
+    ("factor_daily", "'stk_factor', 'stk_factor_pro'", "u || '|' || d", "1"),
+    ("visits", "'stk_surv'", "u || '|' || d || '|' || et", "1"),
+]
+
+
+@query(f"WITH {_LANDED} SELECT endpoint, CASE " + " ".join(f"WHEN full_ AND endpoint IN ({ends}) THEN '{t}'" for t, ends, _, _ in _TARGETS_SQL) + " WHEN full_ AND endpoint IN ('repurchase', 'pledge_detail', 'stk_holdertrade', 'block_trade', 'namechange', 'share_float') THEN 'corporate_events' END AS target, count(*) AS rows FROM la GROUP BY 1, 2")
+def ing_route_counts(spark, sf_dir):
+    """Rows of all endpoints, split in one scan."""
+    return store.route_all(_landing(spark, sf_dir))[1]
+
+
+@query(f"WITH {_LANDED}, " + ", ".join(f"t{i} AS (SELECT {key} AS key, {n} AS filled FROM la WHERE full_ AND endpoint IN ({ends}) GROUP BY 1)" for i, (_, ends, key, n) in enumerate(_TARGETS_SQL)) + " " + " UNION ALL ".join(f"SELECT '{t}' AS target, count(*) AS keys, coalesce(sum(filled), 0)::BIGINT AS filled FROM t{i}" for i, (t, *_) in enumerate(_TARGETS_SQL)) + " UNION ALL SELECT 'corporate_events', count(*), count(*) FROM la WHERE full_ AND endpoint IN ('repurchase', 'pledge_detail', 'stk_holdertrade', 'block_trade', 'namechange', 'share_float')")
+def ing_typed_tables(spark, sf_dir):
+    """Every typed table after the split: its keys, and how many values they have besides."""
+    tables, _ = store.route_all(_landing(spark, sf_dir))
+    out = None
+    for name, t in tables.items():
+        rest = [c for c in t.columns if c not in store.SPECS[name].keys]
+        filled = F.lit(0)
+        for c in rest:
+            filled = filled + F.col(c).isNotNull().cast("int")
+        one = t.select(filled.alias("f")).agg(F.count("*").alias("keys"), F.coalesce(F.sum("f"), F.lit(0)).alias("filled")).select(F.lit(name).alias("target"), "keys", "filled")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- the run log
+
+
+def _runs(spark, sf_dir):
+    """Orders as logged runs: a customer's order goes back to the one before; every fifth is a saved recommendation."""
+    o, k = table(spark, sf_dir, "orders").filter("o_custkey is not null"), F.col("o_orderkey")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    label = F.when(k % 3 == 0, F.struct(F.when(k % 2 == 0, "cash").otherwise("wait_price").alias("action_label")))
+    runs = o.select("o_orderkey", "o_custkey", before.alias("before"), F.when(k % 5 == 0, store.RECOMMENDATION).otherwise("screen").alias("operation"), F.col("o_orderdate").alias("created_at"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("symbol"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("requested_as_of"), label.alias("recommendation"), (k % 4 == 0).alias("decision_ready"), k.alias("no"))
+    return store.run_log(runs, ["no", "recommendation", "decision_ready"])
+
+
+_LOGGED = f"""jb AS (SELECT *, '{{"decision_ready":' || (o_orderkey % 4 = 0) || ',"no":' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ',"recommendation":{{"action_label":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'cash' ELSE 'wait_price' END || '"}}' ELSE '' END || '}}' AS body FROM orders WHERE o_custkey IS NOT NULL),
+lg AS (SELECT *, substr(sha256(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ':' || body), 1, 24) AS run_id FROM jb)"""
+
+
+@query(f"WITH {_LOGGED} SELECT run_id AS recommendation_run_id, 's' || o_custkey AS symbol, strftime(o_orderdate, '%Y-%m-%d') AS as_of, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'cash' ELSE 'wait_price' END END AS action_label, CASE WHEN o_orderkey % 4 = 0 THEN 'true' ELSE 'false' END AS decision_ready FROM lg WHERE o_orderkey % 5 = 0 ORDER BY o_orderdate DESC, run_id LIMIT 200")
 def rpl_runs(spark, sf_dir):
-    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("operation"), F.col("o_orderdate").alias("created_at"), "o_totalprice")
-    logged = store.run_log(runs, ["o_totalprice"])
-    return store.list_runs(logged, "F", 50).select("id", F.to_date("created_at").alias("day"))
+    """The newest 200 recommendations of the log."""
+    return store.list_recommendations(_runs(spark, sf_dir), limit=200).select("recommendation_run_id", "symbol", "as_of", "action_label", "decision_ready")
+
+
+@query("SELECT o_orderkey AS no, first_value(o_orderkey) OVER w AS root_no, row_number() OVER w - 1 AS depth FROM orders WHERE o_custkey IS NOT NULL WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def rpl_run_chains(spark, sf_dir):
+    """Every run with the first one it goes back to."""
+    logged = written(_runs(spark, sf_dir), "runs")
+    parent = logged.select(F.col("no").alias("before"), F.col("run_id").alias("parent"))
+    runs = written(logged.join(parent, "before", "left").withColumn("parent_run_id", F.col("parent")), "runs")
+    number = runs.select("run_id", "no")
+    chains = store.run_chains(runs).join(number, "run_id")
+    return chains.join(number.select(F.col("run_id").alias("root_run_id"), F.col("no").alias("root_no")), "root_run_id").select("no", "root_no", "depth")
 
 
 @query("SELECT n_nationkey AS sector_code, n_name AS sector_name, CASE WHEN n_nationkey % 3 = 0 THEN 'concept' ELSE 'industry' END AS sector_type FROM nation WHERE n_nationkey % 3 <> 0")
