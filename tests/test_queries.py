@@ -56,5 +56,7 @@ def test_queries_over_all_symbols_and_given_texts(spark, tmp_path):
     assert {r[0] for r in QUERIES["ing_melt_all"](spark, SF).select("symbol").distinct().collect()} == {f"s{k}" for k in symbols}
     spark.createDataFrame([(1, "<head><TITLE>Demo 2019年年度报告</TITLE>"), (2, "<p>2020 年报</p>"), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(map(tuple, QUERIES["doc_page_titles"](spark, str(tmp_path)).collect())) == [(1, "annual", 2019), (2, None, None), (3, None, None)]
-    spark.createDataFrame([(1, "to [[p2]] and [x](p9.md)"), (2, "`[[p8]]` [[p7|seven]]"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(map(tuple, QUERIES["doc_text_links"](spark, str(tmp_path)).collect())) == [("p1.md", "p9.md"), ("p2.md", "p7")]
+    pages = [(1, "http://e.org/a/b.html?x=1", '<a class="k" href="../c.html#t">c</a> <A HREF=\'/d\'>d</A> <a href="mailto:x@e.org">m</a>'), (2, "http://e.org/c.html", '<a href="http://e.org/a/b.html">b</a><a href="../../up">u</a>'), (3, "http://e.org/x", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, QUERIES["doc_page_links"](spark, str(tmp_path)).collect()))
+    assert got == [(1, "../c.html#t", "http://e.org/c.html", True), (1, "/d", "http://e.org/d", False), (2, "../../up", "http://e.org/", False), (2, "http://e.org/a/b.html", "http://e.org/a/b.html", True)]

@@ -61,7 +61,12 @@ def latest_cross_section(panel: DataFrame, as_of: str) -> DataFrame:
     return known.join(F.broadcast(last), "trade_date").dropDuplicates(["symbol"])
 
 
-def load_window(bars: DataFrame, start: str, end: str, history: int, horizon: int) -> DataFrame:
-    """Lead-in of twice the history and a tail of twice the horizon, in calendar days."""
-    d = F.col("trade_date")
-    return bars.filter((d >= F.date_sub(F.lit(start).cast("date"), 2 * history)) & (d <= F.date_add(F.lit(end).cast("date"), 2 * horizon)))
+def load_windows(bars: DataFrame, requests: DataFrame, profiles: dict, year: str = "year") -> DataFrame:
+    """Bars that requests (request_id, profile, start_date, end_date) need, once each request: a lead-in of twice the
+    profile's history and a tail of twice its longest horizon, in calendar days. `bars` are partitioned by `year`; the years
+    that any request reaches are found first, so that the scan opens their folders only."""
+    days = lambda f: F.create_map(*[F.lit(x) for name, p in profiles.items() for x in (name, 2 * f(p))])[F.col("profile")]
+    asked = requests.select("request_id", F.date_sub("start_date", days(lambda p: p.history)).alias("_from"), F.date_add("end_date", days(lambda p: max(p.horizons))).alias("_to")).filter("_from <= _to")
+    # a number a year
+    years = sorted(r[0] for r in asked.select(F.explode(F.sequence(F.year("_from"), F.year("_to")))).distinct().collect())
+    return bars.filter(F.col(year).isin(years)).join(asked, F.col("trade_date").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")

@@ -25,10 +25,11 @@ class Profile:
     min_amount: float = 50_000_000.0
     min_percentile: float = 0.7
     limit: int = 20
+    history: int = 100
 
 
 TRADE = Profile()
-SWING = Profile(momentum=60, trend=120, horizons=(20, 40, 60))
+SWING = Profile(momentum=60, trend=120, horizons=(20, 40, 60), history=180)
 
 
 def metrics(grid: DataFrame, profile: Profile = TRADE) -> DataFrame:

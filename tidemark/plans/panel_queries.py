@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import indicators, panel
+from tidemark.operators import indicators, panel, screen
 from tidemark.plans import query, shared
 from tidemark.plans.base_sql import BARS, GRID, INDEX, LIMITS, META, VALUATION
 from tidemark.sources import adapters
+from tidemark.sources.adapters import table
+from tidemark.sources.scratch import written
 
 
 @shared
@@ -198,3 +200,25 @@ def ind_snapshot(spark, sf_dir):
     rows = rows.join(indicators.momentum(base), ["symbol", "trade_date"], "left")
     snap = indicators.snapshot(rows)
     return snap.select("symbol", "trade_date", "sma_alignment", "rsi_zone", "macd_position", "band_location", "volume_regime", F.size("available").alias("n_available"), F.array_join("missing", ",").alias("missing"))
+
+
+# --- windows that requests load
+
+
+def _requests(spark, sf_dir):
+    """A request a nation: both profiles, a month within 1996 and 1997."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey").cast("int")
+    start = F.date_add(F.lit("1996-01-10").cast("date"), k * 20)
+    return n.select(k.alias("request_id"), F.when(k % 2 == 0, "trade").otherwise("swing").alias("profile"), start.alias("start_date"), F.date_add(start, 30).alias("end_date"))
+
+
+@query(
+    f"""WITH {BARS}, rq AS (SELECT n_nationkey::INTEGER AS request_id, DATE '1996-01-10' + n_nationkey::INTEGER * 20 AS a, CASE WHEN n_nationkey % 2 = 0 THEN 200 ELSE 360 END AS lead, CASE WHEN n_nationkey % 2 = 0 THEN 40 ELSE 120 END AS tail FROM nation)
+SELECT request_id, symbol, count(*) AS bars, min(trade_date) AS first_date, max(trade_date) AS last_date FROM rq JOIN qfq ON trade_date BETWEEN a - lead AND a + 30 + tail GROUP BY 1, 2"""
+)
+def panel_load_windows(spark, sf_dir):
+    """What the requests load of bars that lie in a folder a year."""
+    stored = written(qfq(spark, sf_dir).withColumn("year", F.year("trade_date")), "bars", "year")
+    loaded = panel.load_windows(stored, _requests(spark, sf_dir), {"trade": screen.TRADE, "swing": screen.SWING})
+    return loaded.groupBy("request_id", "symbol").agg(F.count("*").alias("bars"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))

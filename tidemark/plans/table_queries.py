@@ -149,6 +149,15 @@ def src_expand_payload(spark, sf_dir):
     return asof.expand_payload(table(spark, sf_dir, "events").select("event_id", "event_type", "props"), "props", "k bigint").select("event_id", "event_type", "k")
 
 
+@query("SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 THEN round(value, 2) END AS amount, CASE WHEN event_id % 4 = 1 THEN 'x' || event_id END AS payload_event_type, CASE WHEN event_id % 5 = 2 THEN '{\"part\":' || event_id || '}' END AS more FROM events")
+def src_expand_any(spark, sf_dir):
+    """Payloads with keys that nobody declared, different from row to row."""
+    k = F.col("event_id")
+    given = F.struct(F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.when(k % 3 == 0, F.round("value", 2)).alias("amount"), F.when(k % 4 == 1, F.concat(F.lit("x"), k.cast("string"))).alias("event_type"), F.when(k % 5 == 2, F.struct(k.alias("part"))).alias("more"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.to_json(given).alias("payload"))
+    return asof.expand_any(rows, "payload").drop("payload")
+
+
 # --- ledger and merging
 
 LEDGER = """
@@ -649,19 +658,33 @@ def doc_plan_coverage(spark, sf_dir):
     return corpus.plan_coverage(d.filter("doc_id % 3 <> 0").select(path.alias("path")), d.filter("doc_id % 2 = 0").select(path.alias("path")))
 
 
-@query("WITH n AS (SELECT doc_id AS i FROM documents) SELECT 'p' || i || '.md' AS path, 'p' || (i + 7) AS target FROM n WHERE i + 7 NOT IN (SELECT i FROM n) UNION ALL SELECT 'p' || i || '.md', 'p' || (i * 2) || '.md' FROM n WHERE i * 2 NOT IN (SELECT i FROM n)")
+_KIND = lambda i: f"(['entity', 'concept', 'analysis'])[(({i}) % 3 + 1)::INTEGER]"
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id AS i, 'wiki/' || {_KIND('doc_id')} || '/p' || doc_id || '.md' AS path FROM documents)
+SELECT path, 'p' || (i + 7) AS target FROM n WHERE i + 7 NOT IN (SELECT i FROM n) UNION ALL
+SELECT path, '../entity/p' || (i * 2) || '.md' FROM n WHERE NOT (i * 2 IN (SELECT i FROM n) AND i * 2 % 3 = 0) UNION ALL
+SELECT path, './p' || (i + 3) || '.md' FROM n WHERE i + 3 NOT IN (SELECT i FROM n) UNION ALL
+SELECT path, '/concept/p' || (i + 1) FROM n WHERE NOT (i + 1 IN (SELECT i FROM n) AND (i + 1) % 3 = 1)"""
+)
 def doc_links(spark, sf_dir):
+    """Pages in the folders of their kinds with links of every form, those outside the wiki among them."""
     i = F.col("doc_id")
     s = lambda c: c.cast("string")
-    text = F.concat(F.lit("see [[p"), s(i + 7), F.lit("|x]] and [y](p"), s(i * 2), F.lit(".md) not `[[zz]]`\n```\n[[code]]\n```\n[u](https://e.org/a)"))
-    return corpus.broken_links(table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), s(i), F.lit(".md")).alias("path"), text.alias("text")))
+    path = F.concat(F.lit("wiki/"), F.element_at(F.array(*[F.lit(k) for k in corpus.PAGE_KINDS]), (i % 3 + 1).cast("int")), F.lit("/p"), s(i), F.lit(".md"))
+    text = F.concat(F.lit("see [[p"), s(i + 7), F.lit("|x]] and [y](../entity/p"), s(i * 2), F.lit('.md "title") or [z](<./p'), s(i + 3), F.lit(".md>) [[/concept/p"), s(i + 1), F.lit("#part]] not `[[zz]]`\n```\n[[code]]\n```\n[u](https://e.org/a.md) ![i](no.md) [t](no.txt) [o](../../../no.md)"))
+    return corpus.broken_links(table(spark, sf_dir, "documents").select(path.alias("path"), text.alias("text")))
 
 
-@query()
-def doc_text_links(spark, sf_dir):
-    """Links of the given texts that lead to no document, a document being the page p<doc_id>.md."""
-    path = F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return corpus.broken_links(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+@query(
+    r"""WITH h AS (SELECT DISTINCT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+u AS (SELECT page_id, href, host || regexp_replace(href, '[?#].*$', '') AS url FROM h WHERE starts_with(href, '/'))
+SELECT page_id, href, url, url IN (SELECT regexp_replace(url, '[?#].*$', '') FROM pages) AS found FROM u"""
+)
+def doc_page_links(spark, sf_dir):
+    """Every anchor of the given pages, and whether a given page has the address it leads to."""
+    return corpus.html_links(table(spark, sf_dir, "pages"))
 
 
 # --- typed tables and runs

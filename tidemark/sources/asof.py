@@ -133,3 +133,29 @@ def expand_payload(rows: DataFrame, payload: str, schema: str) -> DataFrame:
     parsed = rows.withColumn("_p", F.from_json(payload, schema))
     names = [f.name for f in parsed.schema["_p"].dataType.fields]
     return parsed.select("*", *[F.col("_p")[n].alias(f"payload_{n}" if n in rows.columns else n) for n in names]).drop("_p")
+
+
+#: Keys that a payload may be expanded to.
+MAX_KEYS = 2_000
+
+
+def _column_type(kind: str) -> str:
+    """Column type of a key from the variant schema of all its values: whole numbers, numbers, booleans; else text, nested
+    values as JSON."""
+    if kind.startswith(("DECIMAL", "DOUBLE", "FLOAT")):
+        return "double"
+    return {"BIGINT": "bigint", "BOOLEAN": "boolean"}.get(kind, "string")
+
+
+def expand_any(rows: DataFrame, payload: str) -> DataFrame:
+    """Every key that a JSON column has in any row as a column, in order of name, with the type that fits all of its values;
+    nothing is declared. A name already taken gets the prefix payload_. Rows without a JSON object get nulls. The keys
+    and their types are one aggregate over the data; more than `MAX_KEYS` of them are an error, as a table has no more columns."""
+    parsed = rows.withColumn("_p", F.from_json(payload, "map<string,variant>"))
+    found = parsed.select(F.explode("_p").alias("key", "value")).groupBy("key").agg(F.schema_of_variant_agg("value").alias("kind"))
+    keys = sorted((r["key"], _column_type(r["kind"])) for r in found.limit(MAX_KEYS + 1).collect())
+    if len(keys) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} keys in {payload}")
+    taken = {c.lower() for c in rows.columns}
+    value = lambda k, t: F.try_variant_get(F.col("_p")[k], "$", t).alias(f"payload_{k}" if k.lower() in taken else k)
+    return parsed.select(*[F.col(f"`{c}`") for c in rows.columns], *[value(k, t) for k, t in keys])

@@ -124,15 +124,15 @@ def export(rows: DataFrame, path: str, kind: str = "csv") -> None:
     """Whole-frame write as csv with a header, or as JSON records with ISO dates."""
     writer = rows.write.mode("overwrite")
     if kind == "csv":
-        writer.option("header", True).option("nullValue", "").option("emptyValue", '""').option("escape", '"').csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.option("ignoreNullFields", False).json(path)
 
 
 def exported(spark: SparkSession, path: str, schema: StructType, kind: str = "csv") -> DataFrame:
-    """What `export` wrote, read back under the schema of the frame that was written."""
+    """What `export` wrote, read back under the schema of the frame that was written. In csv an empty text is a null."""
     if kind == "csv":
-        return spark.read.schema(schema).option("header", True).option("nullValue", "").option("emptyValue", '""').option("escape", '"').option("multiLine", True).csv(path)
+        return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return spark.read.schema(schema).json(path)
 
 
