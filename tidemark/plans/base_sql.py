@@ -24,6 +24,9 @@ qfq AS (
     coalesce(close_raw * adj_factor / nullif(lf, 0), close_raw) AS close_qfq FROM lastf)
 """
 
+#: Day by day, by nation.
+DAILY = BARS.replace(" / 21) * 21", " / 1) * 1").replace("l_suppkey AS symbol", "s_nationkey AS symbol").replace("FROM lineitem WHERE", "FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE")
+
 GRID = (
     BARS
     + """,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import indicators, panel, screen
 from tidemark.plans import query, shared
-from tidemark.plans.base_sql import BARS, GRID, INDEX, LIMITS, META, VALUATION
+from tidemark.plans.base_sql import BARS, DAILY, GRID, INDEX, LIMITS, META, VALUATION
 from tidemark.sources import adapters
 from tidemark.sources.adapters import table
 from tidemark.sources.scratch import written
@@ -165,20 +165,21 @@ def ind_histogram_change(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BARS}, r AS (SELECT symbol, trade_date, close_qfq AS c, CASE WHEN high_qfq >= close_qfq THEN high_qfq ELSE close_qfq END AS hi, CASE WHEN low_qfq <= close_qfq THEN low_qfq ELSE close_qfq END AS lo,
+    f"""WITH {DAILY}, r AS (SELECT symbol, trade_date, close_qfq AS c, CASE WHEN high_qfq >= close_qfq THEN high_qfq ELSE close_qfq END AS hi, CASE WHEN low_qfq <= close_qfq THEN low_qfq ELSE close_qfq END AS lo,
   row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS ago, count(*) OVER (PARTITION BY symbol) AS total FROM qfq),
-p AS (SELECT r.*, period FROM r CROSS JOIN (VALUES (0), (60), (117)) t(period) WHERE period = 0 OR (ago <= period AND total >= period)),
+p AS (SELECT r.*, period FROM r CROSS JOIN (VALUES (0), (252), (756)) t(period) WHERE period = 0 OR (ago <= period AND total >= period)),
 w AS (SELECT *, c / nullif(max(hi) OVER v, 0) - 1 AS dd, row_number() OVER v - 1 AS x FROM p WINDOW v AS (PARTITION BY symbol, period ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 g AS (SELECT symbol, period, count(*) AS observations, arg_min(c, trade_date) AS f, arg_max(c, trade_date) AS l, max(hi) AS high, min(lo) AS low, first(trade_date ORDER BY hi DESC, trade_date) AS high_date,
   arg_max(dd, trade_date) AS cd, min(dd) AS md, regr_slope(ln(c), x) AS sl, regr_r2(ln(c), x) AS r2 FROM w GROUP BY 1, 2),
 h AS (SELECT *, exp(sl * 252) - 1 AS t FROM g)
 SELECT symbol, period::INTEGER AS period, observations, round(f, 6) AS first_close, round(l, 6) AS last_close, round(high, 6) AS high, round(low, 6) AS low, high_date, round(cd, 6) AS current_drawdown, round(md, 6) AS max_drawdown,
   round(pow(l / nullif(f, 0), 1 / ((observations - 1) / 252.0::DOUBLE)) - 1, 6) AS cagr, round(t, 6) AS log_trend, round(r2, 6) AS r2, round((l - low) / nullif(high - low, 0), 6) AS range_position,
-  CASE WHEN observations < 80 THEN 'insufficient_history_for_path_label' WHEN t IS NULL OR r2 IS NULL THEN 'insufficient_price_data_for_path_label'
+  CASE WHEN observations < 126 THEN 'insufficient_history_for_path_label' WHEN t IS NULL OR r2 IS NULL THEN 'insufficient_price_data_for_path_label'
     WHEN t >= 0.1 AND r2 >= 0.45 THEN 'persistent_uptrend' WHEN t <= -0.1 AND r2 >= 0.45 THEN 'persistent_downtrend' WHEN abs(t) < 0.1 AND r2 < 0.25 THEN 'sideways_or_oscillating' ELSE 'mixed_or_transitional' END AS path_label FROM h"""
 )
 def ind_price_path(spark, sf_dir):
-    out = rounded(indicators.price_path(qfq(spark, sf_dir), windows=(60, 117), min_label=80))
+    """All of a daily history, and its last 252 and 756 sessions."""
+    out = rounded(indicators.price_path(panel.restate_qfq(adapters.daily_bars(spark, sf_dir))))
     return out.select("symbol", "period", "observations", "first_close", "last_close", "high", "low", "high_date", "current_drawdown", "max_drawdown", "cagr", "log_trend", "r2", "range_position", "path_label")
 
 

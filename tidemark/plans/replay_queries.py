@@ -12,7 +12,7 @@ from tidemark.plans.screen_queries import PICKED, full_grid, picked, quality
 from tidemark.sources import adapters, asof, store
 from tidemark.sources.adapters import table
 
-START, END, SPLIT, EVERY, CAP = "1998-06-01", "2001-06-30", "2000-06-01", 2, 20
+START, END, SPLIT, EVERY, CAP = "1996-01-01", "2000-06-30", "1999-06-01", 1, 60
 
 
 @shared

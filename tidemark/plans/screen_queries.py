@@ -12,7 +12,7 @@ from tidemark.plans.panel_queries import bars, rounded
 from tidemark.sources import adapters
 
 #: Thresholds at which every branch is taken on the benchmark tables.
-PROFILE = screen.Profile(min_list_days=700, min_amount=150_000_000.0, limit=5)
+PROFILE = screen.Profile(min_list_days=700, min_amount=150_000_000.0)
 
 
 @shared
@@ -153,7 +153,7 @@ pool AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY buyabilit
 picked AS (SELECT pool.*, q.status AS quality_status, r.market_state,
   CASE WHEN trend_state = 'supportive' AND extension_state = 'stretched' THEN 'trend_pullback' WHEN trend_state = 'supportive' AND participation_state = 'supportive' THEN 'momentum_breakout' WHEN trend_state = 'supportive' THEN 'trend_pullback' ELSE 'unconfirmed' END AS pattern,
   CASE WHEN q.status = 'blocked_for_execution' THEN 'data_quality_review' WHEN extension_state = 'stretched' THEN 'waiting_price' WHEN participation_state = 'adverse' THEN 'waiting_confirmation' WHEN coalesce(volatility_pct, 0) >= 0.9 THEN 'high_risk_review' WHEN r.market_state = 'hostile' THEN 'hostile_market_review' ELSE 'evidence_ready' END AS candidate_state
-  FROM pool LEFT JOIN quality q USING (trade_date) LEFT JOIN regime r USING (trade_date) WHERE place <= 5)"""
+  FROM pool LEFT JOIN quality q USING (trade_date) LEFT JOIN regime r USING (trade_date) WHERE place <= 20)"""
 
 
 @query(

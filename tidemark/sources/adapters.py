@@ -21,19 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def session_date(ship: str):
-    """First day of the 21-day session that a ship date falls in."""
+def session_date(ship: str, days: int = SESSION_DAYS):
+    """First day of the session, of so many days, that a ship date falls in."""
     first = F.lit(FIRST_DAY).cast("date")
-    return F.date_add(first, (F.floor(F.datediff(F.col(ship), first) / SESSION_DAYS) * SESSION_DAYS).cast("int"))
+    return F.date_add(first, (F.floor(F.datediff(F.col(ship), first) / days) * days).cast("int"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, trade_date, open/high/low/close raw, cached close_qfq, adj_factor, volume, amount."""
+    return _bars(table(spark, sf_dir, "lineitem").withColumn("symbol", F.col("l_suppkey")), SESSION_DAYS)
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of suppliers' nations, day by day: fewer symbols with far longer histories."""
+    home = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("symbol"))
+    return _bars(table(spark, sf_dir, "lineitem").join(home, "l_suppkey"), 1)
+
+
+def _bars(items: DataFrame, days: int) -> DataFrame:
     money = lambda c: F.col(c).cast("decimal(18,2)")
     px = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", px.alias("px"))
-    items = table(spark, sf_dir, "lineitem").filter("l_shipdate is not null and l_quantity > 0")
-    each = items.groupBy(F.col("l_suppkey").alias("symbol"), session_date("l_shipdate").alias("trade_date")).agg(
+    each = items.filter("l_shipdate is not null and l_quantity > 0").groupBy("symbol", session_date("l_shipdate", days).alias("trade_date")).agg(
         F.min(order)["px"].alias("open_raw"),
         F.max(px).alias("high_raw"),
         F.min(px).alias("low_raw"),
