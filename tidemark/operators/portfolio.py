@@ -35,18 +35,48 @@ def position_plan(rows: DataFrame, lot: int = 100) -> DataFrame:
     return out.withColumn("planned_capital", F.col("shares") * e).withColumn("planned_loss", F.col("shares") * e * F.col("effective_loss"))
 
 
-def clean_holdings(rows: DataFrame) -> DataFrame:
-    """Upper-case trimmed symbols, blank rows dropped, an array of errors a row."""
-    symbol = F.upper(F.trim("symbol"))
-    kept = rows.filter(F.coalesce(symbol, F.lit("")) != "").withColumn("symbol", symbol)
+# How many holdings of an account are read, how long texts may be, and the numbers a holding has.
+HOLDINGS = 200
+HOLDING_TEXTS = {"name": 80, "notes": 600, "source": 32, "updated_at": 40}
+HOLDING_NUMBERS = ("quantity", "average_cost", "latest_price", "target_weight")
+
+
+def clean_holdings(rows: DataFrame, by: list[str] | None = None, place: str | None = None, as_of: str = "", source: str = "") -> DataFrame:
+    """Holdings as given (any of symbol, the numbers, the texts and as_of; others are kept as they are) with clean columns
+    and `errors`, an array of what is wrong with a row; nothing is raised, and a value that is wrong is null.
+
+    Of the rows of one account (`by`), in order of `place`, the first `HOLDINGS` are read. Rows without any of symbol,
+    name, numbers and notes are left out. Symbols are trimmed, cut, upper-cased and freed of spaces; texts are trimmed and cut; an
+    absent day or source takes the default. A holding needs a symbol, a quantity above zero if it has one, no price below
+    zero, a weight from 0 to 100, finite numbers and a day as yyyy-MM-dd."""
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    cut = lambda c, n: F.substring(F.trim(given(c)), 1, n)
+    if place is not None:
+        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(place))).filter(F.col("_k") <= HOLDINGS).drop("_k")
+    filled = F.lit(False)
+    for c in ("symbol", "name", *HOLDING_NUMBERS, "notes"):
+        filled = filled | (given(c) != "")
+    kept = rows.filter(filled)
+    symbol = F.replace(F.upper(cut("symbol", 32)), F.lit(" "), F.lit(""))
+    read = {c: F.trim(given(c)).try_cast("double") for c in HOLDING_NUMBERS}
+    finite = {c: ~(F.isnan(x) | (F.abs(x) == float("inf"))) for c, x in read.items()}
+    number = {c: F.when(finite[c], x) for c, x in read.items()}
+    said = F.when(F.trim(given("as_of")) != "", cut("as_of", 10)).otherwise(as_of[:10])
+    day = F.when(said.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(said, "yyyy-MM-dd"))
     found = reasons(
-        (F.coalesce(F.col("quantity") <= 0, F.lit(True)), "quantity"),
-        (F.col("average_cost") < 0, "average_cost"),
-        (F.col("latest_price") < 0, "latest_price"),
-        ((F.col("target_weight") > 100) | (F.col("target_weight") < 0), "target_weight"),
-        (F.length(symbol) > 32, "symbol"),
+        (symbol == "", "symbol"),
+        *[((F.trim(given(c)) != "") & x.isNull(), f"{c}_not_a_number") for c, x in read.items()],
+        *[(~finite[c], f"{c}_not_finite") for c in HOLDING_NUMBERS],
+        (number["quantity"] <= 0, "quantity"),
+        (number["average_cost"] < 0, "average_cost"),
+        (number["latest_price"] < 0, "latest_price"),
+        ((number["target_weight"] > 100) | (number["target_weight"] < 0), "target_weight"),
+        ((said != "") & day.isNull(), "as_of"),
     )
-    return kept.withColumn("errors", found)
+    texts = {c: cut(c, n) for c, n in HOLDING_TEXTS.items()}
+    texts["source"] = F.when(F.trim(given("source")) != "", texts["source"]).otherwise(source[: HOLDING_TEXTS["source"]])
+    clean = {"symbol": symbol, **number, **texts, "as_of": day, "errors": found}
+    return kept.select(*[c for c in rows.columns if c not in clean], *[x.alias(c) for c, x in clean.items()])
 
 
 def holding_metrics(rows: DataFrame) -> DataFrame:

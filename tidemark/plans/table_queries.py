@@ -477,15 +477,41 @@ def _holdings(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("account"), F.when(k % 20 == 0, " ").otherwise(F.concat(F.lit(" s"), (k % 40).cast("string"))).alias("symbol"), (k % 15).cast("double").alias("quantity"), F.when(k % 9 == 0, F.lit(0.0)).otherwise(k.cast("double")).alias("average_cost"), F.when(k % 13 != 0, F.abs("c_acctbal")).alias("latest_price"), (k % 120).cast("double").alias("target_weight"))
 
 
-_HOLD = "h AS (SELECT c_custkey AS account, 'S' || (c_custkey % 40) AS symbol, (c_custkey % 15)::DOUBLE AS q, CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_custkey END::DOUBLE AS ac, CASE WHEN c_custkey % 13 <> 0 THEN abs(c_acctbal) END AS lp, c_custkey % 120 AS tw FROM customer WHERE c_custkey % 20 <> 0)"
+_HOLD = "h AS (SELECT c_custkey AS account, CASE WHEN c_custkey % 20 = 0 THEN '' ELSE 'S' || (c_custkey % 40) END AS symbol, (c_custkey % 15)::DOUBLE AS q, CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_custkey END::DOUBLE AS ac, CASE WHEN c_custkey % 13 <> 0 THEN abs(c_acctbal) END AS lp, c_custkey % 120 AS tw FROM customer)"
 
 
-@query(f"WITH {_HOLD} SELECT account, symbol, round(q * ac, 2) AS cost, round(q * lp, 2) AS market_value, round(q * lp - q * ac, 2) AS profit, round((q * lp - q * ac) / nullif(q * ac, 0) * 100, 2) AS profit_pct, concat_ws(',', CASE WHEN q <= 0 THEN 'quantity' END, CASE WHEN tw > 100 THEN 'target_weight' END) AS errors FROM h")
+@query(f"WITH {_HOLD} SELECT account, symbol, round(q * ac, 2) AS cost, round(q * lp, 2) AS market_value, round(q * lp - q * ac, 2) AS profit, round((q * lp - q * ac) / nullif(q * ac, 0) * 100, 2) AS profit_pct, concat_ws(',', CASE WHEN symbol = '' THEN 'symbol' END, CASE WHEN q <= 0 THEN 'quantity' END, CASE WHEN tw > 100 THEN 'target_weight' END) AS errors FROM h")
 def port_holdings(spark, sf_dir):
     h = portfolio.holding_metrics(portfolio.clean_holdings(_holdings(spark, sf_dir)))
     return rounded(h.select("account", "symbol", "cost", "market_value", "profit", "profit_pct", F.array_join("errors", ",").alias("errors")), digits=2)
 
 
+@query(
+    """WITH r AS (SELECT l_suppkey AS account, l_orderkey * 10 + l_linenumber AS no, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN ' s ' || l_partkey || ' ' ELSE 's' || l_partkey END AS sym, l_partkey % 11 AS e, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p, l_shipdate::DATE AS d,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS k FROM lineitem),
+c AS (SELECT *, coalesce(upper(replace(trim(sym), ' ', '')), '') AS symbol, CASE e WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN -q ELSE q END AS quantity, CASE e WHEN 4 THEN NULL WHEN 5 THEN -p ELSE p END AS price, CASE WHEN e = 6 THEN 101.5 WHEN e = 7 THEN NULL ELSE 50 END AS weight,
+  CASE WHEN e = 8 THEN NULL WHEN e = 9 THEN DATE '2001-02-03' ELSE d END AS day FROM r WHERE k <= 200)
+SELECT account, no, symbol, quantity, round(price, 2) AS average_cost, weight AS target_weight, day AS as_of, CASE WHEN e = 10 THEN 'hand' ELSE 'import' END AS source,
+  concat_ws(',', CASE WHEN symbol = '' THEN 'symbol' END, CASE WHEN e = 1 THEN 'quantity_not_a_number' END, CASE WHEN e = 2 THEN 'quantity_not_finite' END, CASE WHEN e = 4 THEN 'average_cost_not_finite' END, CASE WHEN quantity <= 0 THEN 'quantity' END, CASE WHEN price < 0 THEN 'average_cost' END, CASE WHEN weight > 100 THEN 'target_weight' END, CASE WHEN e = 8 THEN 'as_of' END) AS errors FROM c"""
+)
+def port_holding_rules(spark, sf_dir):
+    """Line items as holdings typed in by hand: odd numbers, days, symbols and defaults."""
+    e, text = F.col("l_partkey") % 11, lambda c: F.col(c).cast("string")
+    symbol = F.when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit(" s "), text("l_partkey"), F.lit(" "))).when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("s"), text("l_partkey")))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("account"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("no"),
+        symbol.alias("symbol"),
+        F.when(e == 1, "many").when(e == 2, "NaN").when(e == 3, F.concat(F.lit("-"), text("l_quantity"))).otherwise(text("l_quantity")).alias("quantity"),
+        F.when(e == 4, "Infinity").when(e == 5, F.concat(F.lit("-"), text("l_extendedprice"))).otherwise(text("l_extendedprice")).alias("average_cost"),
+        F.when(e == 6, "101.5").when(e != 7, " 50 ").alias("target_weight"),
+        F.when(e == 8, "2001-13-45").when(e != 9, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("as_of"),
+        F.when(e == 10, " hand ").alias("source"),
+    )
+    clean = portfolio.clean_holdings(rows, ["account"], "no", as_of="2001-02-03", source="import")
+    return rounded(clean.select("account", "no", "symbol", "quantity", "average_cost", "target_weight", "as_of", "source", F.array_join("errors", ",").alias("errors")), digits=2)
+
+
 @query(f"WITH {_HOLD} SELECT symbol, count(*) AS n, count(*) FILTER (lp IS NULL) AS unpriced FROM h GROUP BY 1 HAVING count(*) > 1 OR count(*) FILTER (lp IS NULL) > 0")
 def port_holding_warnings(spark, sf_dir):
     return portfolio.holding_warnings(portfolio.clean_holdings(_holdings(spark, sf_dir)))
