@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.expr import change, clip, lagged, last_rows, rank_pct, ratio, reasons, rolling, up_to_here
 
@@ -72,15 +76,35 @@ def metrics(grid: DataFrame, profile: Profile = TRADE) -> DataFrame:
         (F.col("return_5d") - 0.25 * F.col("return_20d")).alias("acceleration"),
         basis.alias("amount_basis"),
     ).drop("_stored", "_priced", "true_range", "up_volume", "is_up")
-    return third.withColumn("own_extension_pct", _own_percentile("price_vs_ma", 120))
-
-
-def _own_percentile(x: str, n: int) -> Column:
-    """Average rank of the last non-null value among the non-null ones of the last n rows."""
-    seen = F.collect_list(x).over(last_rows(n))
-    last = F.element_at(seen, -1)
-    rank = lambda a: F.size(F.filter(a, lambda y: y < F.element_at(a, -1))) + (F.size(F.filter(a, lambda y: y == F.element_at(a, -1))) + 1) / 2
-    return F.when(F.size(seen) > 0, F.when(last.isNotNull(), rank(seen) / F.size(seen)))
+    return own_percentile(third, "price_vs_ma", 120, "own_extension_pct")
+
+
+def own_percentile(rows: DataFrame, x: str, n: int, out: str) -> DataFrame:
+    """Average rank of the last non-null value among the non-null ones of the last n rows of each symbol; null where there
+    are none. Rows are already dealt by symbol for the windows before, so the pass adds no shuffle; a task holds the rows
+    of one symbol, and looks at `RANKED` windows at a time."""
+    schema = StructType([*rows.schema.fields, StructField(out, DoubleType())])
+
+    def rank(group: pa.Table) -> pa.Table:
+        group = group.sort_by("session_no")
+        v = pc.fill_null(group[x], float("nan")).to_numpy()
+        here = np.arange(len(v))
+        last = np.maximum.accumulate(np.where(np.isnan(v), -1, here))
+        known = (last >= 0) & (here - last < n)
+        mine = np.where(known, v[np.maximum(last, 0)], np.nan)
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), v]), n)
+        share = np.empty(len(v))
+        for a in range(0, len(v), RANKED):
+            w, m = windows[a : a + RANKED], mine[a : a + RANKED, None]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                share[a : a + RANKED] = ((w < m).sum(axis=1) + ((w == m).sum(axis=1) + 1) / 2) / (~np.isnan(w)).sum(axis=1)
+        return group.append_column(out, pa.array(share, mask=~known))
+
+    return rows.groupBy("symbol").applyInArrow(rank, schema)
+
+
+#: Windows that are ranked at once.
+RANKED = 4096
 
 
 def benchmark_returns(days: DataFrame, index: DataFrame, profile: Profile = TRADE) -> DataFrame:
