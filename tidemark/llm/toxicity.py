@@ -44,7 +44,7 @@ BATCH = 64
 #: Slack of sums in single precision.
 SLACK = 1e-5
 NEIGHBOURS = 25
-#: Blocks scored before any bound is used; each further step takes four times as many.
+#: Blocks scored before any bound is used.
 FIRST_BLOCKS = 16
 VOTE_FLOOR = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -106,50 +106,47 @@ class Index:
         self.first = np.searchsorted(term[at], np.arange(len(self.vocab) + 1))
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None):
-        """For each query vector the exact nearest examples with positive similarity, nearest first."""
+        """For each query vector the exact nearest examples with positive similarity, nearest first. Queries are worked
+        off in batches: the blocks of highest bound first, then those whose bound reaches the k-th best similarity of these."""
+        n = len(self.ids)
         for a in range(0, len(queries), BATCH):
             part = queries[a : a + BATCH]
-            q = np.zeros((len(part), len(self.dense)), dtype=np.float32)
-            for k, (at, w) in enumerate(part):
-                row = self.row[at]
-                q[k, row[row >= 0]] = w[row >= 0]
-            sums = q @ self.dense
-            for k, (at, w) in enumerate(part):
-                yield self._nearest(at, w, sums[k], -1 if skip is None else skip[a + k])
-
-    def _nearest(self, at: np.ndarray, w: np.ndarray, sums: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """`sums`: of each example the products of the words in the matrix."""
-        n = len(self.ids)
-        if not n or not len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        rare = self.row[at] < 0
-        cells, q = _ranges(self.first[at[rare]], self.first[at[rare] + 1], w[rare])
-        block = self.block[cells]
-        most = np.maximum.reduceat(sums, np.arange(0, n, BLOCK))
-        bound = most + np.bincount(block, weights=q * self.bound[cells], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        # cells by the place of their block in the order of bounds
-        place = np.full(self.blocks, self.blocks, dtype=np.int64)
-        place[order] = np.arange(len(order))
-        mine, spot = place[block], np.repeat(place, BLOCK)[:n]
-        sim = sums.astype(float)
-        known = np.zeros(n)
-        done, step, floor = 0, FIRST_BLOCKS, 0.0
-        while done < len(order) and bound[order[done]] >= floor - SLACK:
-            take = (mine >= done) & (mine < done + step)
-            post, weight = _ranges(self.start[cells[take]], self.start[cells[take] + 1], q[take])
-            sim += np.bincount(self.example[post], weights=weight * self.weight[post], minlength=n)
-            done, step = done + step, 4 * step
-            known = np.where(spot < done, sim, 0)
-            if skip >= 0:
-                known[skip] = 0
-            floor = np.partition(known, -NEIGHBOURS)[-NEIGHBOURS] if n > NEIGHBOURS else 0.0
-        near = np.flatnonzero((known > 0) & (known >= floor - SLACK))
-        exact = self._similarity(near, at, w)
-        keep = np.lexsort((near, -exact))[:NEIGHBOURS]
-        keep = keep[exact[keep] > 0]
-        return near[keep], exact[keep]
+            m = len(part)
+            if not n:
+                yield from [(np.empty(0, np.int64), np.empty(0))] * m
+                continue
+            of = np.repeat(np.arange(m), [len(v[0]) for v in part])
+            at, w = (np.concatenate([v[i] for v in part]) for i in (0, 1))
+            row = self.row[at]
+            often, rare = row >= 0, row < 0
+            q = np.zeros((m, len(self.dense)), dtype=np.float32)
+            q[of[often], row[often]] = w[often]
+            sim = (q @ self.dense).astype(float)
+            cells, term = _ranges(self.first[at[rare]], self.first[at[rare] + 1], np.arange(np.count_nonzero(rare)))
+            asks, share, block = of[rare][term], w[rare][term], self.block[cells]
+            bound = np.maximum.reduceat(sim, np.arange(0, n, BLOCK), axis=1)
+            bound += np.bincount(asks * self.blocks + block, weights=share * self.bound[cells], minlength=m * self.blocks).reshape(m, -1)
+            place = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+            done = np.zeros((m, self.blocks), dtype=bool)
+            floor = np.zeros(m)
+            for step in (place < FIRST_BLOCKS, None):
+                step = ((bound >= floor[:, None] - SLACK) if step is None else step) & (bound > 0) & ~done
+                take = step[asks, block]
+                post, cell = _ranges(self.start[cells[take]], self.start[cells[take] + 1], np.arange(np.count_nonzero(take)))
+                sim += np.bincount(asks[take][cell] * n + self.example[post], weights=share[take][cell] * self.weight[post], minlength=m * n).reshape(m, n)
+                done |= step
+                known = np.where(np.repeat(done, BLOCK, axis=1)[:, :n], sim, 0)
+                if skip is not None:
+                    known[np.arange(m), skip[a : a + m]] = 0
+                if n > NEIGHBOURS:
+                    floor = np.partition(known, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS]
+            found = (known > 0) & (known >= floor[:, None] - SLACK)
+            for k, v in enumerate(part):
+                near = np.flatnonzero(found[k])
+                exact = self._similarity(near, *v)
+                keep = np.lexsort((near, -exact))[:NEIGHBOURS]
+                keep = keep[exact[keep] > 0]
+                yield near[keep], exact[keep]
 
     def _similarity(self, examples: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Sums in full precision."""
@@ -157,7 +154,7 @@ class Index:
             self.scratch = np.zeros(len(self.vocab))
         self.scratch[at] = w
         edge, term, weight = self.vectors
-        out = np.array([self.scratch[term[a:b]] @ weight[a:b] for a, b in zip(edge[examples].tolist(), edge[examples + 1].tolist(), strict=True)])
+        out = np.array([self.scratch[term[a:b]] @ weight[a:b] for a, b in zip(edge[examples].tolist(), edge[examples + 1].tolist(), strict=True)], dtype=float)
         self.scratch[at] = 0
         return out
 
@@ -307,12 +304,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             for part in text_slices(batch):
                 vectors = [known.vectors(terms(text)) for text in texts(part)]
-                votes, evidence = np.zeros((len(vectors), 2)), []
-                for k, (near, sim) in enumerate(ix.nearest([v[0] for v in vectors])):
-                    votes[k, 0] = ix.vote(near, sim)
-                    evidence.append([{"example": int(i), "similarity": float(s), "label": int(y)} for i, s, y in zip(ix.ids[near], sim, ix.labels[near], strict=True)])
+                found = list(ix.nearest([v[0] for v in vectors]))
+                near, sim = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                rows = pa.StructArray.from_arrays([pa.array(ix.ids[near].astype(np.int64)), pa.array(sim), pa.array(ix.labels[near].astype(np.int32))], fields=list(near_type.value_type))
+                evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(f[0]) for f in found]]), pa.int32()), rows)
+                votes = np.zeros((len(vectors), 2))
+                votes[:, 0] = [ix.vote(*f) for f in found]
                 votes[:, 1] = known.relevant.votes([v[1] for v in vectors])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(known.calibrated(votes)), pa.array(evidence, near_type)], names=["id", "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(known.calibrated(votes)), evidence], names=["id", "score", "evidence"])
 
     slim = docs.select(F.col(id_col).alias("id"), "text")
     return slim.mapInArrow(run, f"id {kind}, score double, evidence array<struct<example:bigint,similarity:double,label:int>>").withColumnRenamed("id", id_col)
