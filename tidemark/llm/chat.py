@@ -8,7 +8,8 @@ log shares costs one row. Of equal conversations the smallest id stays. All step
 Two 64-bit hashes with different seeds are carried, so different prefixes do not meet in practice.
 Rows without a conversation id are ignored. A null role is `unknown`, a null text is empty, a null turn
 number comes first. Rows repeated in full are one turn; rows that share a turn number are ordered by role,
-then text. Other columns are ignored. An empty table gives no rows.
+then text. Other columns, whatever their names, are ignored. An empty table gives no rows. A very long text is hashed whole; a
+very long conversation is one window partition and one row of the result (2 GB at most).
 """
 
 from __future__ import annotations
