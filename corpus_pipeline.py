@@ -2,7 +2,11 @@
 
 quality -> one of each group of near duplicates -> benchmark decontamination -> personal data -> subwords.
 Each stage takes all rows that the one before kept; all but the last return the columns of `documents`.
-Documents without labels still get a score; a document with a null text is scored as an empty one.
+Documents without labels still get a score; a document with a null text is scored as an empty one. Rows are judged one by
+one: repeated rows stay together or go together, except that of near duplicates only those of the smallest id stay. Rows with a
+null id link to nothing and stay unless another stage drops them. An empty table gives no rows, and without labels of both
+classes nothing is rejected. Columns besides those of `documents`, whatever their names, are carried through the first four
+stages. Very long texts are worked off whole, in slices where they meet Python.
 """
 
 from __future__ import annotations
