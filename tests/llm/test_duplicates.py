@@ -176,3 +176,27 @@ def test_prune_keeps_needed_rows(spark):
 def test_registered_digest_columns(spark):
     assert queries.op4_jaccard(spark, SF).columns[:3] == ["doc_id", "n_shingles", "component_id"]
     assert queries.op10_passages(spark, SF).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
+def test_a_shared_head_costs_the_same_for_any_number_of_pieces():
+    """A document that only carries a head of 49 words, which thousands of pieces begin with, tries none of them."""
+    import time
+
+    head, took = [f"h{k}".encode() for k in range(49)], []
+    for n in (500, 4000):
+        pieces = [(k, [*head, *[f"p{k}w{i}".encode() for i in range(5)]]) for k in range(n)]
+        machine = passages.PhraseAutomaton(pieces, 50)
+        began = time.perf_counter()
+        for _ in range(20):
+            assert not machine.covered(10**9, [*head, *[b"own"] * 60]).any()
+        took.append(time.perf_counter() - began)
+        assert machine.covered(10**9, [b"x", *pieces[7][1], b"x"]).sum() == 54 and not machine.covered(7, pieces[7][1]).any()
+    assert took[1] < 3 * took[0] + 0.02
+
+
+def test_two_matches_on_one_diagonal():
+    """A copy with a change in its middle keeps both sides."""
+    words = [f"w{k}".encode() for k in range(170)]
+    copy = [*words[:70], b"changed", *words[71:130], b"again", *words[131:]]
+    gone = passages.PhraseAutomaton([(1, words)], 50).covered(2, copy)
+    assert gone.tolist() == [True] * 70 + [False] + [True] * 59 + [False] * 40

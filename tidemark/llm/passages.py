@@ -8,7 +8,7 @@
    confirmed.
 3. Confirmed windows of their smallest document join to passages, cut to pieces of bounded length that
    overlap by a window. Blocks of each piece, laid so that every window holds one, become the phrases of an
-   Aho-Corasick automaton over words. Suspects are dealt over buckets; a bucket's automaton holds the pieces
+   Aho-Corasick automaton over words; a table of the pieces' windows tells which of them a hit may belong to. Suspects are dealt over buckets; a bucket's automaton holds the pieces
    that its documents share a confirmed window with, and the documents stream through it. Each hit is extended word by word against the piece; matches of at least `SPAN` words
    from a smaller document are removed.
 
@@ -179,23 +179,32 @@ class PhraseAutomaton:
     def __init__(self, pieces: list[tuple[int, list[bytes]]], span: int):
         self.span, self.letter = span, {}
         self.owner = [d for d, _ in pieces]
-        places: dict[str, list[tuple[int, int]]] = {}
+        blocks: set[str] = set()
         letter = self.letter
         self.pieces = []
-        for k, (_, words) in enumerate(pieces):
+        for _, words in pieces:
             for w in words:
                 if w not in letter:
                     letter[w] = chr(_FIRST + len(letter) + 1)
             line = "".join(map(letter.__getitem__, words))
             self.pieces.append(self._numbers(line))
-            for at in range(0, len(words) - BLOCK + 1, span - BLOCK + 1):
-                places.setdefault(line[at : at + BLOCK], []).append((k, at))
+            blocks.update(line[at : at + BLOCK] for at in range(0, len(words) - BLOCK + 1, span - BLOCK + 1))
         self.automaton = ahocorasick.Automaton()
-        for block, where in places.items():
-            self.automaton.add_word(block, where)
-        if places:
+        for block in blocks:
+            self.automaton.add_word(block, len(block))
+        if blocks:
             self.automaton.make_automaton()
-        self.empty = not places
+        self.empty = not blocks
+        # every window of every piece by its hash
+        each = [self._windows(p) for p in self.pieces]
+        size = np.array([len(w) for w in each], dtype=np.int64)
+        window = np.concatenate(each) if each else np.empty(0, np.uint64)
+        order = np.argsort(window, kind="stable")
+        self.window, self.piece = window[order], np.repeat(np.arange(len(each)), size)[order]
+        self.place = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))[order]
+
+    def _windows(self, ids: np.ndarray) -> np.ndarray:
+        return window_hashes(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), self.span)
 
     @staticmethod
     def _numbers(line: str) -> np.ndarray:
@@ -207,22 +216,32 @@ class PhraseAutomaton:
         if self.empty or len(words) < self.span:
             return out
         line = "".join(map(self.letter.get, words, repeat(chr(_FIRST))))
-        ids = None
+        ids = known = None
         reached: dict[tuple[int, int], int] = {}
         reach = self.span - BLOCK
-        for end, where in self.automaton.iter(line):
+        for end, _ in self.automaton.iter(line):
             at = end - BLOCK + 1
-            if out[max(0, at - reach) : end + 1 + reach].all():
+            first = max(0, at - reach)
+            if out[first : end + 1 + reach].all():
                 continue
             if ids is None:
                 ids = self._numbers(line)
-            for k, block_at in where:
-                if self.owner[k] >= doc or reached.get((k, at - block_at), -1) > at:
+                mine = self._windows(ids)
+                left, right = np.searchsorted(self.window, mine, side="left"), np.searchsorted(self.window, mine, side="right")
+                known = left < right
+            # only windows that a piece has word for word, by its hash, are extended: a block that many pieces begin
+            # with costs nothing where what follows is another
+            for start in (first + np.flatnonzero(known[first : at + 1])).tolist():
+                if out[start : start + self.span].all():
                     continue
-                left, right = _extent(ids, at, self.pieces[k], block_at)
-                reached[(k, at - block_at)] = right
-                if right - left >= self.span:
-                    out[left:right] = True
+                for e in range(left[start], right[start]):
+                    k, off = int(self.piece[e]), int(self.place[e])
+                    if self.owner[k] >= doc or reached.get((k, start - off), -1) > start:
+                        continue
+                    a, b = _extent(ids, start, self.pieces[k], off)
+                    reached[(k, start - off)] = b
+                    if b - a >= self.span:
+                        out[a:b] = True
         return out
 
 
