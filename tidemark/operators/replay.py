@@ -207,13 +207,14 @@ def review(recommendations: DataFrame, bars: DataFrame, index: DataFrame) -> Dat
     number = lambda c: F.datediff(c, F.lit("1970-01-01")).cast("bigint")
     spans = recommendations.filter("recommended_on <= review_as_of").select("rec_id", "symbol", number("recommended_on").alias("a"), (number("review_as_of") + 1).alias("b"))
     pieces = spans.select("rec_id", "symbol", F.explode(_pieces(F.col("a"), F.col("b"))).alias("p")).select("rec_id", "symbol", "p.level", "p.place")
-    path = _summed(pieces.join(sums, ["symbol", "level", "place"]), "rec_id").select("rec_id", F.col("f.x").alias("first"), F.col("l.x").alias("final"), "low", "high")
+    # pieces are many times what Spark expects of the rows they come from, so never broadcast
+    path = _summed(pieces.hint("shuffle_merge").join(sums, ["symbol", "level", "place"]), "rec_id").select("rec_id", F.col("f.x").alias("first"), F.col("l.x").alias("final"), "low", "high")
     # for every calendar day the next and the last index row; then two equi-joins
     span = recommendations.agg(F.min("recommended_on").alias("a"), F.max("review_as_of").alias("b"))
     days = span.filter("a <= b").select(F.explode(F.sequence("a", "b")).alias("d")).join(index.select(F.col("trade_date").alias("d"), F.struct(F.col("trade_date").alias("on"), "close").alias("i")), "d", "left")
     up, down = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, 0)
     days = days.select("d", F.last("i", ignorenulls=True).over(down).alias("next"), F.last("i", ignorenulls=True).over(up).alias("before"))
-    spans = recommendations.select("rec_id", "recommended_on", "review_as_of").join(days.select(F.col("d").alias("recommended_on"), "next"), "recommended_on").join(days.select(F.col("d").alias("review_as_of"), "before"), "review_as_of")
+    spans = recommendations.select("rec_id", "recommended_on", "review_as_of").join(F.broadcast(days.select(F.col("d").alias("recommended_on"), "next")), "recommended_on").join(F.broadcast(days.select(F.col("d").alias("review_as_of"), "before")), "review_as_of")  # a row a day
     market = spans.filter("next.on <= review_as_of").select("rec_id", F.col("next.close").alias("b_in"), F.col("before.close").alias("b_out"))
     j = recommendations.join(path, "rec_id", "left").join(market, "rec_id", "left")
     fwd, bench = change(F.col("final"), F.col("first")), change(F.col("b_out"), F.col("b_in"))
