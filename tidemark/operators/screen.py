@@ -7,13 +7,10 @@ Every metric of a date uses rows up to that date only, so one plan serves the la
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.expr import change, clip, lagged, last_rows, rank_pct, ratio, reasons, rolling, up_to_here
 
@@ -81,30 +78,17 @@ def metrics(grid: DataFrame, profile: Profile = TRADE) -> DataFrame:
 
 def own_percentile(rows: DataFrame, x: str, n: int, out: str) -> DataFrame:
     """Average rank of the last non-null value among the non-null ones of the last n rows of each symbol; null where there
-    are none. Rows are already dealt by symbol for the windows before, so the pass adds no shuffle; a task holds the rows
-    of one symbol, and looks at `RANKED` windows at a time."""
-    schema = StructType([*rows.schema.fields, StructField(out, DoubleType())])
-
-    def rank(group: pa.Table) -> pa.Table:
-        group = group.sort_by("session_no")
-        v = pc.fill_null(group[x], float("nan")).to_numpy()
-        here = np.arange(len(v))
-        last = np.maximum.accumulate(np.where(np.isnan(v), -1, here))
-        known = (last >= 0) & (here - last < n)
-        mine = np.where(known, v[np.maximum(last, 0)], np.nan)
-        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), v]), n)
-        share = np.empty(len(v))
-        for a in range(0, len(v), RANKED):
-            w, m = windows[a : a + RANKED], mine[a : a + RANKED, None]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                share[a : a + RANKED] = ((w < m).sum(axis=1) + ((w == m).sum(axis=1) + 1) / 2) / (~np.isnan(w)).sum(axis=1)
-        return group.append_column(out, pa.array(share, mask=~known))
-
-    return rows.groupBy("symbol").applyInArrow(rank, schema)
-
-
-#: Windows that are ranked at once.
-RANKED = 4096
+    are none, NaN counts as null. Rows are already dealt by symbol for the windows before, so no shuffle is added. Values are
+    collected over a few rows, and the lists of n rows are put together from those of earlier rows."""
+    few = max(d for d in range(1, isqrt(n) + 1) if n % d == 0)
+    value = F.when(~F.isnan(x), F.col(x).cast("double"))
+    parts = rows.withColumn("_part", F.collect_list(value).over(last_rows(few)))
+    before = [F.coalesce(lagged(F.col("_part"), k), F.array().cast("array<double>")) for k in range(n - few, 0, -few)]
+    listed = parts.withColumn("_seen", F.flatten(F.array(*before, "_part")))
+    mine = F.try_element_at("_seen", F.lit(-1))
+    counted = listed.withColumn("_mine", mine)
+    below, same = (F.size(F.filter("_seen", f)) for f in (lambda v: v < F.col("_mine"), lambda v: v == F.col("_mine")))
+    return counted.withColumn(out, F.when(F.col("_mine").isNotNull(), (below + (same + 1) / 2) / F.size("_seen"))).drop("_part", "_seen", "_mine")
 
 
 def benchmark_returns(days: DataFrame, index: DataFrame, profile: Profile = TRADE) -> DataFrame:
@@ -160,8 +144,12 @@ def scores(rows: DataFrame, bench: DataFrame, profile: Profile = TRADE) -> DataF
     b = F.col(f"bench_{profile.momentum}")
     e = e.withColumn("strength", F.when(F.col("aligned") & b.isNotNull(), F.col("primary_return") - b).otherwise(F.col("primary_return"))).withColumn("bench_primary", b)
     day = ["trade_date"]
-    for out, x in (("momentum_pct", "strength"), ("liquidity_pct", "median_amount"), ("participation_pct", "volume_ratio"), ("volatility_pct", "volatility"), ("extension_pct", "price_vs_ma"), ("acceleration_pct", "acceleration")):
-        e = e.withColumn(out, rank_pct(x, day))
+    ranked = {"momentum_pct": "strength", "liquidity_pct": "median_amount", "participation_pct": "volume_ratio", "volatility_pct": "volatility", "extension_pct": "price_vs_ma", "acceleration_pct": "acceleration"}
+    # only the values to rank are sorted by date; rows are one a symbol and date
+    ranks = e.select("symbol", "trade_date", *ranked.values())
+    for out, x in ranked.items():
+        ranks = ranks.withColumn(out, rank_pct(x, day))
+    e = e.join(ranks.select("symbol", "trade_date", *ranked), ["symbol", "trade_date"])
     c, s, t = F.col("close_qfq"), F.col("sma_m"), F.col("sma_t")
     vr, us = F.coalesce("volume_ratio", F.lit(0.0)), F.coalesce("up_volume_share", F.lit(0.0))
     tail = F.greatest(F.coalesce("extension_pct", F.lit(0.0)), F.coalesce("own_extension_pct", F.lit(0.0)))
