@@ -34,12 +34,21 @@ def sessions(bars: DataFrame) -> DataFrame:
     return bars.select("trade_date").distinct().withColumn("session_no", F.row_number().over(Window.orderBy("trade_date")))
 
 
-def session_grid(bars: DataFrame) -> DataFrame:
-    """All market sessions by all symbols; a session without a bar is a row of nulls."""
-    days = sessions(bars)
+def session_grid(bars: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """All market sessions by all symbols; a session without a bar is a row of nulls. `days` are the sessions, if they are at
+    hand. Each bar stands for its own session and those without a bar up to the next one (the first also for those before
+    it), so rows that are dealt by symbol stay where they are."""
     # a row a session
-    cells = bars.select("symbol").distinct().crossJoin(F.broadcast(days))
-    return cells.join(bars, ["symbol", "trade_date"], "left")
+    days = F.broadcast((sessions(bars) if days is None else days).select("trade_date", "session_no", F.max("session_no").over(Window.partitionBy()).alias("_last")))
+    own = Window.partitionBy("symbol").orderBy("trade_date")
+    values = [c for c in bars.columns if c not in ("symbol", "trade_date")]
+    at = days.select(F.col("trade_date").alias("_day"), F.col("session_no").alias("_own"), "_last")
+    placed = bars.join(at, bars["trade_date"].eqNullSafe(at["_day"])).withColumn("_before", F.lag("_own").over(own)).withColumn("_next", F.lead("_own").over(own))
+    first, last = F.when(F.col("_before").isNull(), 1).otherwise(F.col("_own")), F.greatest("_own", F.coalesce(F.col("_next") - 1, "_last"))
+    cells = placed.withColumn("session_no", F.explode(F.sequence(first, last)))
+    here = (F.col("session_no") == F.col("_own")) & F.col("symbol").isNotNull() & F.col("_day").isNotNull()
+    cells = cells.select("symbol", "session_no", *[F.when(here, F.col(c)).alias(c) for c in values])
+    return cells.join(days.select("session_no", "trade_date"), "session_no").select("symbol", "trade_date", "session_no", *values)
 
 
 def screening_panel(bars: DataFrame, valuation: DataFrame, metadata: DataFrame, limits: DataFrame) -> DataFrame:

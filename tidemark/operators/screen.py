@@ -7,10 +7,11 @@ Every metric of a date uses rows up to that date only, so one plan serves the la
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import isqrt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tidemark.functions.expr import change, clip, lagged, last_rows, rank_pct, ratio, reasons, rolling, up_to_here
 
@@ -59,11 +60,12 @@ def metrics(grid: DataFrame, profile: Profile = TRADE) -> DataFrame:
         change(c, F.max(c).over(last_rows(60))).alias("drawdown_60d"),
         ratio(v, rolling("mean", v, 20)).alias("volume_ratio"),
         F.when(F.count("*").over(w20) == 20, ratio(F.sum("up_volume").over(w20), rolling("sum", v, 20))).alias("up_volume_share"),
-        F.percentile("amount_cny", F.lit(0.5)).over(w20).alias("median_amount"),
-        F.count("amount").over(w20).alias("_stored"),
-        F.count(c).over(w20).alias("_priced"),
+        F.collect_list(F.col("amount_cny").cast("double")).over(last_rows(10)).alias("_amounts"),
+        F.count("amount").over(w20).alias("stored_20d"),
+        F.count(c).over(w20).alias("priced_20d"),
     )
-    basis = F.when(F.col("_stored") == 0, "price_volume_proxy").when((F.col("_stored") >= F.col("_priced")) & (F.col("_priced") > 0), "stored_amount").otherwise("mixed")
+    stored, priced = F.col("stored_20d"), F.col("priced_20d")
+    basis = F.when(stored == 0, "price_volume_proxy").when((stored >= priced) & (priced > 0), "stored_amount").otherwise("mixed")
     third = second.select(
         "*",
         F.col(f"return_{m}d").alias("primary_return"),
@@ -72,22 +74,32 @@ def metrics(grid: DataFrame, profile: Profile = TRADE) -> DataFrame:
         ratio(c - F.col("sma_m"), F.col("atr_20d")).alias("extension_atr"),
         (F.col("return_5d") - 0.25 * F.col("return_20d")).alias("acceleration"),
         basis.alias("amount_basis"),
-    ).drop("_stored", "_priced", "true_range", "up_volume", "is_up")
-    return own_percentile(third, "price_vs_ma", 120, "own_extension_pct")
+        F.sort_array(F.concat(_or_empty(lagged(F.col("_amounts"), 10)), "_amounts")).alias("_sorted"),
+    ).drop("true_range", "up_volume", "is_up", "_amounts")
+    ranked = own_percentile(third, "price_vs_ma", 120, "own_extension_pct")
+    n = F.size("_sorted")
+    middle = [F.try_element_at("_sorted", F.floor((n + k) / 2).cast("int")) for k in (1, 2)]
+    return ranked.withColumn("median_amount", F.when(n > 0, 0.5 * middle[0] + 0.5 * middle[1])).drop("_sorted")
+
+
+def _or_empty(listed: Column) -> Column:
+    """A list of doubles, empty where it is null; neither holds nulls, so that sorting needs no objects."""
+    return F.coalesce(listed, F.array().cast(ArrayType(DoubleType(), False)))
 
 
 def own_percentile(rows: DataFrame, x: str, n: int, out: str) -> DataFrame:
     """Average rank of the last non-null value among the non-null ones of the last n rows of each symbol; null where there
     are none, NaN counts as null. Rows are already dealt by symbol for the windows before, so no shuffle is added. Values are
-    collected over a few rows, and the lists of n rows are put together from those of earlier rows."""
-    few = max(d for d in range(1, isqrt(n) + 1) if n % d == 0)
+    collected over a part of the rows, and the lists of n rows are put together from those of earlier rows."""
+    # a longer frame costs less than another column of lists
+    few = max(d for d in range(1, max(n // 3, 1) + 1) if n % d == 0)
     value = F.when(~F.isnan(x), F.col(x).cast("double"))
     parts = rows.withColumn("_part", F.collect_list(value).over(last_rows(few)))
-    before = [F.coalesce(lagged(F.col("_part"), k), F.array().cast("array<double>")) for k in range(n - few, 0, -few)]
-    listed = parts.withColumn("_seen", F.flatten(F.array(*before, "_part")))
+    before = [_or_empty(lagged(F.col("_part"), k)) for k in range(n - few, 0, -few)]
+    listed = parts.withColumn("_seen", F.concat(*before, "_part"))
     mine = F.try_element_at("_seen", F.lit(-1))
     counted = listed.withColumn("_mine", mine)
-    below, same = (F.size(F.filter("_seen", f)) for f in (lambda v: v < F.col("_mine"), lambda v: v == F.col("_mine")))
+    below, same = F.array_position(F.sort_array("_seen"), F.col("_mine")) - 1, F.size("_seen") - F.size(F.array_remove("_seen", F.col("_mine")))
     return counted.withColumn(out, F.when(F.col("_mine").isNotNull(), (below + (same + 1) / 2) / F.size("_seen"))).drop("_part", "_seen", "_mine")
 
 
@@ -107,14 +119,14 @@ def has_limit(kinds: Column, direction: str) -> Column:
     tokens = F.transform(F.split(F.coalesce(kinds, F.lit("")), ","), lambda x: F.upper(F.trim(x)))
     # fixed values: accepted tokens and the sign that marks them in provider text
     names, sign = (["U", "UP", "LIMIT_UP"], "涨") if direction == "up" else (["D", "DOWN", "LIMIT_DOWN"], "跌")
-    return F.exists(tokens, lambda x: x.isin(*names) | x.contains(sign))
+    return F.when(kinds.isNull(), False).otherwise(F.exists(tokens, lambda x: x.isin(*names) | x.contains(sign)))
 
 
-def exclusions(rows: DataFrame, profile: Profile = TRADE) -> DataFrame:
-    """Rows with a bar, `exclusion_reasons` in rule order, and `eligible`."""
+def exclusion_rules(profile: Profile = TRADE) -> list[tuple[Column, str]]:
+    """When a row is excluded, and the reason."""
     name, d = F.coalesce("name", F.lit("")), F.col("trade_date")
     age = F.datediff(d, F.col("list_date"))
-    out = reasons(
+    return [
         (F.upper(name).contains("ST") | name.contains("退"), "special_treatment_or_delisting"),
         (F.col("list_date").isNull(), "missing_list_date"),
         (age < profile.min_list_days, "insufficient_listing_age"),
@@ -125,9 +137,19 @@ def exclusions(rows: DataFrame, profile: Profile = TRADE) -> DataFrame:
         (F.col("median_amount").isNull(), "missing_liquidity"),
         (F.col("median_amount") < profile.min_amount, "insufficient_liquidity"),
         (F.col("primary_return").isNull(), "missing_primary_return"),
-    )
-    kept = rows.filter("close_raw is not null").withColumn("exclusion_reasons", out)
-    return kept.withColumn("eligible", F.size("exclusion_reasons") == 0)
+    ]
+
+
+def is_eligible(profile: Profile = TRADE) -> Column:
+    """Whether a measured row has a bar and no rule excludes it; a rule that is null does not."""
+    none = [~F.coalesce(rule, F.lit(False)) for rule, _ in exclusion_rules(profile)]
+    return reduce(Column.__and__, none, F.col("close_raw").isNotNull())
+
+
+def exclusions(rows: DataFrame, profile: Profile = TRADE) -> DataFrame:
+    """Rows with a bar, `exclusion_reasons` in rule order, and `eligible`."""
+    kept = rows.filter("close_raw is not null").withColumn("exclusion_reasons", reasons(*exclusion_rules(profile)))
+    return kept.withColumn("eligible", is_eligible(profile))
 
 
 def exclusion_counts(rows: DataFrame) -> DataFrame:
@@ -269,14 +291,16 @@ def driver(regimes: DataFrame, industries: DataFrame, styles: DataFrame) -> Data
 def quality(grid: DataFrame, bench: DataFrame, profile: Profile = TRADE, lifecycle: bool = False) -> DataFrame:
     """Per date: coverage of the cross-section and of 20 sessions, blockers, status. The request is for the date itself."""
     c, w = F.col("close_qfq"), last_rows(20)
-    cells = grid.withColumn("_obs", F.count(c).over(up_to_here())).withColumn("_p", F.count(c).over(w)).withColumn("_a", F.count("amount").over(w))
+    counts = {"observations": F.count(c).over(up_to_here()), "priced_20d": F.count(c).over(w), "stored_20d": F.count("amount").over(w)}
+    # a measured grid has them
+    cells = grid.withColumns({k: x for k, x in counts.items() if k not in grid.columns})
     have = F.col("close_raw").isNotNull()
     share = lambda x: F.avg(F.when(have, F.when(x, 1.0).otherwise(0.0)))
     day = cells.groupBy("trade_date").agg(
         F.count(F.when(have, 1)).alias("rows"),
-        F.floor(F.percentile(F.when(F.col("_obs") > 0, F.col("_obs")), F.lit(0.5))).alias("median_history"),
+        F.floor(F.percentile(F.when(F.col("observations") > 0, F.col("observations")), F.lit(0.5))).alias("median_history"),
         share(F.col("open_qfq").isNotNull()).alias("adjusted_open"),
-        ratio(F.sum("_a").cast("double"), F.greatest(F.sum("_p"), F.lit(1)).cast("double")).alias("stored_amount"),
+        ratio(F.sum("stored_20d").cast("double"), F.greatest(F.sum("priced_20d"), F.lit(1)).cast("double")).alias("stored_amount"),
         share(F.col("high_qfq").isNotNull() & F.col("low_qfq").isNotNull()).alias("high_low"),
         share(F.col("adj_factor").isNotNull()).alias("adjustment"),
         share(F.col("list_date").isNotNull()).alias("metadata"),

@@ -24,10 +24,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+#: Rows of a task of `spread`, and the fewest for which a task is worth starting.
+TASK_ROWS, LEAST_ROWS = 150_000, 2_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df`, of about so many rows, dealt by its keys to three tasks a core and to more where those would be large. Adaptive
+    execution would join them to one task a core and a few over, which then run alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = max(min(3 * cores, rows // LEAST_ROWS), rows // TASK_ROWS, 1)
+    return df.repartition(n, *keys)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends in files that outlive any executor, and plans
     built on it start from a scan."""
     path = f"{scratch_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    # doubles that hardly repeat: dictionaries cost more than all else of writing them
+    writer = df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
