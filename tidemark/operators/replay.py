@@ -60,6 +60,11 @@ def triggers(entered: DataFrame, strategy: str = "momentum_trade") -> DataFrame:
     return e.withColumn("status", status).withColumn("entry_price", price).withColumn("basis", basis)
 
 
+def only_symbols(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Rows of the symbols that `of` has."""
+    return rows.join(of.select("symbol").distinct(), "symbol", "left_semi")
+
+
 def own_lows(bars: DataFrame, n: int = 10) -> DataFrame:
     """Lowest low of the last n own rows at each bar."""
     w = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(-(n - 1), 0)
@@ -75,9 +80,10 @@ def with_invalidation(triggered: DataFrame, lows: DataFrame) -> DataFrame:
     return t.withColumn("invalidation", F.when(level.isNull() | (level >= entry), entry * 0.97).otherwise(level))
 
 
-def outcomes(armed: DataFrame, grid: DataFrame, index: DataFrame, horizons: tuple[int, ...] = (5, 10, 20), cost_bps: float = 20.0) -> DataFrame:
-    """One row per signal and horizon; rows whose exit lies beyond the data have a null exit_date."""
-    last = grid.agg(F.max("session_no").alias("last_no"))
+def outcomes(armed: DataFrame, grid: DataFrame, index: DataFrame, horizons: tuple[int, ...] = (5, 10, 20), cost_bps: float = 20.0, last_no: DataFrame | None = None) -> DataFrame:
+    """One row per signal and horizon; rows whose exit lies beyond the data have a null exit_date. `grid` may be cut to the
+    symbols that were armed; `last_no` is then the last session of all."""
+    last = grid.agg(F.max("session_no").alias("last_no")) if last_no is None else last_no
     each = armed.select("symbol", "trade_date", "session_no", "sample", "grade", "place", "setup", "basis", "entry_price", "invalidation", F.col("e_trade_date").alias("entry_date"))
     each = each.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("entry_no", F.col("session_no") + 1)
     each = each.withColumn("target_no", F.col("entry_no") + F.col("horizon")).crossJoin(F.broadcast(last))

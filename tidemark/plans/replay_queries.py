@@ -8,7 +8,7 @@ from tidemark.operators import gates, panel, replay
 from tidemark.plans import query, shared
 from tidemark.plans.base_sql import BARS, INDEX
 from tidemark.plans.panel_queries import bars, rounded
-from tidemark.plans.screen_queries import PICKED, full_grid, picked, quality
+from tidemark.plans.screen_queries import PICKED, days, full_grid, picked, quality
 from tidemark.sources import adapters, asof, store
 from tidemark.sources.adapters import table
 
@@ -211,7 +211,7 @@ def gate_compact(spark, sf_dir):
 
 @shared
 def _signals(spark, sf_dir):
-    return replay.signal_days(panel.sessions(bars(spark, sf_dir)), START, END, EVERY, CAP, SPLIT)
+    return replay.signal_days(days(spark, sf_dir), START, END, EVERY, CAP, SPLIT)
 
 
 @shared
@@ -223,13 +223,28 @@ def _entered(spark, sf_dir):
 
 @shared
 def _armed(spark, sf_dir):
-    t = replay.triggers(_entered(spark, sf_dir))
-    return replay.with_invalidation(t, replay.own_lows(panel.restate_qfq(bars(spark, sf_dir))))
+    entered = _entered(spark, sf_dir)
+    # restated symbol by symbol
+    own = replay.only_symbols(bars(spark, sf_dir), entered)
+    return replay.with_invalidation(replay.triggers(entered), replay.own_lows(panel.restate_qfq(own)))
+
+
+@shared
+def _armed_grid(spark, sf_dir):
+    """The cells of armed symbols, at most a screen's candidates on the signal dates, which every walk reads."""
+    cells = full_grid(spark, sf_dir).select("symbol", "session_no", "trade_date", "open_qfq", "high_qfq", "low_qfq", "close_qfq", "close_raw", "volume", "limit_types")
+    return replay.only_symbols(cells, _armed(spark, sf_dir))
+
+
+@shared
+def _index(spark, sf_dir):
+    return adapters.index_daily(spark, sf_dir, bars(spark, sf_dir))
 
 
 @shared
 def _outcomes(spark, sf_dir):
-    return replay.outcomes(_armed(spark, sf_dir), full_grid(spark, sf_dir), adapters.index_daily(spark, sf_dir, bars(spark, sf_dir)))
+    armed = _armed(spark, sf_dir)
+    return replay.outcomes(armed, _armed_grid(spark, sf_dir), _index(spark, sf_dir), last_no=days(spark, sf_dir).agg(F.max("session_no").alias("last_no")))
 
 
 SIGNALS = f"""
