@@ -56,3 +56,14 @@ def test_medians_of_twenty_sessions(spark):
 def test_eligible_rows_are_those_without_a_reason(spark):
     rows = screen.exclusions(screen_queries.full_grid(spark, SMALL).drop("eligible"), screen_queries.PROFILE)
     assert rows.filter(F.col("eligible") != (F.size("exclusion_reasons") == 0)).isEmpty()
+
+
+def test_scores_deal_rows_by_date_once_and_keep_those_without_a_symbol(spark):
+    plans._SHARED.clear()
+    grid, bench = screen_queries.full_grid(spark, SMALL), screen_queries.bench(spark, SMALL)
+    some = grid.filter("eligible").first()["symbol"]
+    rows = grid.withColumn("symbol", F.when(F.col("symbol") != some, F.col("symbol")))
+    scored = screen.scores(rows, bench, screen_queries.PROFILE)
+    shuffles = [x for x in plan(scored).splitlines() if "Exchange hashpartitioning" in x]
+    assert len(shuffles) == 1 and "trade_date" in shuffles[0]
+    assert scored.filter("symbol is null").count() == rows.filter("eligible and symbol is null").count() > 0

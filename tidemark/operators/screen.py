@@ -167,11 +167,9 @@ def scores(rows: DataFrame, bench: DataFrame, profile: Profile = TRADE) -> DataF
     e = e.withColumn("strength", F.when(F.col("aligned") & b.isNotNull(), F.col("primary_return") - b).otherwise(F.col("primary_return"))).withColumn("bench_primary", b)
     day = ["trade_date"]
     ranked = {"momentum_pct": "strength", "liquidity_pct": "median_amount", "participation_pct": "volume_ratio", "volatility_pct": "volatility", "extension_pct": "price_vs_ma", "acceleration_pct": "acceleration"}
-    # only the values to rank are sorted by date; rows are one a symbol and date
-    ranks = e.select("symbol", "trade_date", *ranked.values())
+    # rows are dealt by date once: sorting them whole costs less than reading, dealing and sorting them again for a join
     for out, x in ranked.items():
-        ranks = ranks.withColumn(out, rank_pct(x, day))
-    e = e.join(ranks.select("symbol", "trade_date", *ranked), ["symbol", "trade_date"])
+        e = e.withColumn(out, rank_pct(x, day))
     c, s, t = F.col("close_qfq"), F.col("sma_m"), F.col("sma_t")
     vr, us = F.coalesce("volume_ratio", F.lit(0.0)), F.coalesce("up_volume_share", F.lit(0.0))
     tail = F.greatest(F.coalesce("extension_pct", F.lit(0.0)), F.coalesce("own_extension_pct", F.lit(0.0)))
